@@ -76,3 +76,55 @@ def q_trend_residuals(df):
     """M12 on the M1 fit."""
     r = ev.residual_summary(trend.trend_pairs(df))
     return r.select(PRODUCT, _r6("residual_mean"), _r6("residual_std"), "unbiased")
+
+
+# ------------------------------------------------------------------ M2, M3 (rows-only; numpy-checked in tests)
+from ..forecast import recursive as rc  # noqa: E402
+from ..forecast import ridge as rg  # noqa: E402
+
+
+@register("poly_ridge_forecast")
+def q_ridge_forecast(df):
+    """M2: fitted smoothed history and 30 forecast days."""
+    return rg.ridge_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+
+
+@register("poly_ridge_metrics")
+def q_ridge_metrics(df):
+    """M10 + M11 for M2, with the chosen alpha."""
+    return ev.grade_metrics(ev.round_metrics(rg.ridge_metrics(df)))
+
+
+@register("recursive_linear_forecast")
+def q_recursive_forecast(df):
+    """M3: fitted smoothed history and the 30-step recursion."""
+    return rc.recursive_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+
+
+@register("recursive_linear_metrics")
+def q_recursive_metrics(df):
+    """M10 + M11 for M3."""
+    return ev.grade_metrics(ev.round_metrics(rc.recursive_metrics(df)))
+
+
+@register("recursive_features", f""", {DAILY}
+, t AS (SELECT *, quantile_cont(Demand, 0.95) OVER (PARTITION BY Product_ID) AS qc FROM daily)
+, a AS (SELECT * FROM t WHERE Demand < qc)
+, b AS (SELECT *, CASE WHEN count(Demand) OVER w7 = 7 THEN avg(Demand) OVER w7 END AS smoothed FROM a
+        WINDOW w7 AS (PARTITION BY Product_ID ORDER BY Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+, c AS (SELECT Product_ID, Date, smoothed,
+          lag(smoothed, 1) OVER (PARTITION BY Product_ID ORDER BY Date) AS lag1,
+          lag(smoothed, 7) OVER (PARTITION BY Product_ID ORDER BY Date) AS lag7,
+          CASE WHEN count(smoothed) OVER w7 = 7 THEN avg(smoothed) OVER w7 END AS mean7
+        FROM b WHERE smoothed IS NOT NULL
+        WINDOW w7 AS (PARTITION BY Product_ID ORDER BY Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT Product_ID, Date, round(smoothed, 6) AS smoothed, round(lag1, 6) AS lag1, round(lag7, 6) AS lag7,
+       round(mean7, 6) AS mean7, CAST(isodow(Date) - 1 AS DOUBLE) AS dow, CAST(month(Date) AS DOUBLE) AS month,
+       CAST(isodow(Date) >= 6 AS DOUBLE) AS weekend, round(ln(1 + smoothed), 6) AS ly
+FROM c WHERE lag1 IS NOT NULL AND lag7 IS NOT NULL AND mean7 IS NOT NULL""")
+def q_recursive_features(df):
+    """The M3 training frame (F8 .95, W2, W3, P14): checked against SQL."""
+    from ..forecast.series import daily_series
+    d = rc.smoothed_features(daily_series(df), 0.95, with_x=False)
+    return d.select(PRODUCT, DATE, *[_r6(c) for c in ("smoothed", "lag1", "lag7", "mean7")],
+                    "dow", "month", "weekend", _r6("ly"))
