@@ -28,7 +28,14 @@ def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """``(keys…, n, g)`` with ``g`` the row-major k×k Gram matrix of
     ``[1, cols…]`` (k = len(cols) + 1) over rows where no column is null."""
     keys, cols = list(keys), list(cols)
-    data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=cols)
+    types = dict(df.dtypes)
+    data = df.select(*keys, *[F.col(c) if types[c] == "double" else F.col(c).cast("double").alias(c) for c in cols])
+    # one IsNotNull per column (a single n-column null test would make the
+    # optimizer's constraint propagation grow with every alias above it)
+    keep = F.lit(True)
+    for c in cols:
+        keep = keep & F.col(c).isNotNull()
+    data = data.where(keep)
     k = len(cols) + 1
     if k * (k + 1) // 2 <= SQL_ENTRIES_MAX:
         z = [F.lit(1.0)] + [F.col(c) for c in cols]

@@ -128,3 +128,31 @@ def q_recursive_features(df):
     d = rc.smoothed_features(daily_series(df), 0.95, with_x=False)
     return d.select(PRODUCT, DATE, *[_r6(c) for c in ("smoothed", "lag1", "lag7", "mean7")],
                     "dow", "month", "weekend", _r6("ly"))
+
+
+# ------------------------------------------------------------------ M6–M8 (rows-only; checked in tests)
+from ..forecast import arima as ar  # noqa: E402
+
+
+@register("adf_test")
+def q_adf(df):
+    """M6: ADF on each product's zero-filled series and on its difference."""
+    return ar.adf_test(df)
+
+
+@register("ar_order_search")
+def q_order(df):
+    """M7: chosen (p, d, q) per product by Hannan–Rissanen + AIC."""
+    return ar.ar_order_search(df).select(PRODUCT, "p", "d", "q", F.round("aic", 6).alias("aic"))
+
+
+@register("arima_forecast")
+def q_arima_forecast(df):
+    """M8: fitted values and 30 forecast days from the chosen order."""
+    return ar.arima_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"), "order")
+
+
+@register("arima_metrics")
+def q_arima_metrics(df):
+    """M10 + M11 for M8."""
+    return ev.grade_metrics(ev.round_metrics(ar.arima_metrics(df)))
