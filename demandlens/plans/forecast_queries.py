@@ -156,3 +156,31 @@ def q_arima_forecast(df):
 def q_arima_metrics(df):
     """M10 + M11 for M8."""
     return ev.grade_metrics(ev.round_metrics(ar.arima_metrics(df)))
+
+
+# ------------------------------------------------------------------ M4, M5 (Spark ML, rows-only)
+from ..forecast import pooled as pl  # noqa: E402
+
+
+@register("recursive_boosted_forecast")
+def q_boosted_forecast(df):
+    """M4: pooled GBT (100 trees, step 0.1, depth 6), 30-step recursion."""
+    return pl.boosted_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+
+
+@register("recursive_boosted_metrics")
+def q_boosted_metrics(df):
+    """M10 + M11 for M4."""
+    return ev.grade_metrics(ev.round_metrics(pl.boosted_metrics(df)))
+
+
+@register("lookback_forecast")
+def q_lookback_forecast(df):
+    """M5: pooled linear model on 30 scaled look-back values, 30-step rollout."""
+    return pl.lookback_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+
+
+@register("lookback_metrics")
+def q_lookback_metrics(df):
+    """M10 + M11 for M5."""
+    return ev.grade_metrics(ev.round_metrics(pl.lookback_metrics(df)))
