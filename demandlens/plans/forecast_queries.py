@@ -184,3 +184,57 @@ def q_lookback_forecast(df):
 def q_lookback_metrics(df):
     """M10 + M11 for M5."""
     return ev.grade_metrics(ev.round_metrics(pl.lookback_metrics(df)))
+
+
+# ------------------------------------------------------------------ M9 (rows-only)
+from ..forecast import seasonal as sn  # noqa: E402
+
+
+@register("seasonal_regression_forecast")
+def q_seasonal_forecast(df):
+    """M9: fitted and 30 forecast days with 80 % band and components."""
+    out = sn.seasonal_forecast(df, 30)
+    return out.select(PRODUCT, DATE, "kind", *[_r6(c) for c in ["value"] + sn.OUT_COLS[1:]])
+
+
+@register("seasonal_regression_metrics")
+def q_seasonal_metrics(df):
+    """M10 + M11 (seasonal limits) + M12 for M9."""
+    m = ev.grade_metrics(ev.round_metrics(sn.seasonal_metrics(df)), ev.SEASONAL_THRESHOLDS)
+    return m.select(*[c for c in m.columns if c not in ("residual_mean", "residual_std")],
+                    _r6("residual_mean"), _r6("residual_std"))
+
+
+@register("iqr_cleaning_report", f""", feats AS (SELECT Product_ID, Date, CAST(SUM(Demand) AS DOUBLE) AS y,
+          CAST(max(Public_Holiday) AS INTEGER) AS h,
+          {', '.join(f'CAST(SUM({c}) AS DOUBLE) / COUNT({c}) AS {c}' for c in sn.REGRESSORS)}
+        FROM demand GROUP BY 1, 2)
+, b AS (SELECT * FROM feats WHERE y > 0 AND {' AND '.join(f'{c} IS NOT NULL' for c in sn.REGRESSORS)})
+, q AS (SELECT *, quantile_cont(y, 0.25) OVER (PARTITION BY Product_ID) AS q1,
+               quantile_cont(y, 0.75) OVER (PARTITION BY Product_ID) AS q3 FROM b)
+SELECT Product_ID, COUNT(*) FILTER (WHERE NOT (y >= q1 - 1.5 * (q3 - q1) AND y <= q3 + 1.5 * (q3 - q1))) AS removed,
+       COUNT(*) AS rows
+FROM q GROUP BY Product_ID""")
+def q_iqr_report(df):
+    """F9 report: per product rows removed by the IQR rule."""
+    return sn.cleaning_report(df)
+
+
+# ------------------------------------------------------------------ M13, M14 (rows-only)
+from ..forecast import backtest as bt  # noqa: E402
+
+
+def _r6all(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@register("compare_models")
+def q_compare(df):
+    """All models' in-sample metrics, rank 1 = lowest RMSE % per product."""
+    return _r6all(bt.compare_models(df))
+
+
+@register("rolling_backtest")
+def q_backtest(df):
+    """Out-of-sample metrics per product, model and fold (3 folds of 30 days)."""
+    return _r6all(bt.rolling_backtest(df, 3, 30))
