@@ -1,0 +1 @@
+"""Named queries over the driver tables and their DuckDB oracles."""

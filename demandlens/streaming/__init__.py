@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming operator: "real-time" appears only as a
+slogan and a plan, with no watermark, event-time window or state.  No
+streaming operator is owed, so none is provided; every operator here is a
+batch DataFrame job.
+"""
