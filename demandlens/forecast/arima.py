@@ -93,9 +93,16 @@ _ADF_SCHEMA = T.StructType([
     T.StructField("nobs", T.IntegerType()), T.StructField("is_stationary", T.BooleanType())])
 
 
+def filled_series(df: DataFrame, value: str = Y) -> DataFrame:
+    """J1 series written once to the checkpoint folder: the multi-pass fits
+    below then read products × days rows instead of re-joining the fact
+    tables for every pass."""
+    return cut_lineage(fill_calendar(daily_series(df), value))
+
+
 def adf_test(df: DataFrame, value: str = Y) -> DataFrame:
     """M6 on every product's zero-filled series and on its first difference."""
-    return adf_on_series(_adf_stack(fill_calendar(daily_series(df), value), value))
+    return adf_on_series(_adf_stack(filled_series(df, value), value))
 
 
 def adf_on_series(s: DataFrame) -> DataFrame:
@@ -275,7 +282,7 @@ def hannan_rissanen(filled: DataFrame, value: str = Y) -> tuple[DataFrame, DataF
 
 def ar_order_search(df: DataFrame, value: str = Y) -> DataFrame:
     """M7: per product the (p, d, q) with the lowest AIC."""
-    _, cands = hannan_rissanen(fill_calendar(daily_series(df), value), value)
+    _, cands = hannan_rissanen(filled_series(df, value), value)
     return choose_order(cands)
 
 
@@ -300,8 +307,7 @@ def _arma_pred(coef: str, w: list[Column], e: list[Column]) -> Column:
 
 
 def _fitted_frame(df: DataFrame, value: str = Y) -> tuple[DataFrame, DataFrame]:
-    filled = fill_calendar(daily_series(df), value)
-    stage2, cands = hannan_rissanen(filled, value)
+    stage2, cands = hannan_rissanen(filled_series(df, value), value)
     best = choose_order(cands)
     s = stage2.join(best.select(P, "d", "coef", F.col("p").alias("_p"), F.col("q").alias("_q")), [P, "d"])
     s = s.na.drop(subset=["wl1", "wl2", "wl3", "el1", "el2", "el3", "w"])

@@ -49,27 +49,39 @@ def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return _gram_partial(data, keys, cols)
 
 
+PARTIAL_KEYS_MAX = 512  # keys held per task before a partial block is emitted (~k² doubles each)
+
+
 def _gram_partial(data: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     k = len(cols) + 1
     schema = T.StructType([*(data.schema[c] for c in keys),
                            T.StructField("_e", T.IntegerType()), T.StructField("_v", T.DoubleType())])
+    entries = np.arange(-1, k * k, dtype=np.int32)  # -1 carries the row count
+
+    def emit(acc):
+        kv = list(acc.keys())
+        vals = np.stack([np.concatenate([[n], g.ravel()]) for n, g in acc.values()])
+        frame = pd.DataFrame({"_e": np.tile(entries, len(kv)), "_v": vals.ravel()})
+        for i, name in enumerate(keys):
+            frame[name] = np.repeat(np.array([t[i] for t in kv], dtype=object), len(entries))
+        return frame[[*keys, "_e", "_v"]]
 
     def partial(batches):
+        # partial Gram blocks per key, summed over all batches of the task
+        acc: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            out = []
             for kv, grp in pdf.groupby(keys, sort=False, dropna=False):
-                z = np.column_stack([np.ones(len(grp))] + [grp[c].to_numpy(dtype=float) for c in cols])
-                g = (z.T @ z).ravel()
                 kv = kv if isinstance(kv, tuple) else (kv,)
-                frame = pd.DataFrame({"_e": np.arange(k * k, dtype=np.int32), "_v": g})
-                for name, val in zip(keys, kv):
-                    frame[name] = val
-                frame = pd.concat([frame, pd.DataFrame({"_e": [-1], "_v": [float(len(grp))],
-                                                        **{n: [v] for n, v in zip(keys, kv)}})])
-                out.append(frame)
-            yield pd.concat(out)[[*keys, "_e", "_v"]]
+                z = np.column_stack([np.ones(len(grp))] + [grp[c].to_numpy(dtype=float) for c in cols])
+                n, g = acc.get(kv, (0.0, 0.0))
+                acc[kv] = (n + len(grp), g + z.T @ z)
+            if len(acc) >= PARTIAL_KEYS_MAX:
+                yield emit(acc)
+                acc = {}
+        if acc:
+            yield emit(acc)
 
     long = data.mapInPandas(partial, schema).groupBy(*keys, "_e").agg(F.sum("_v").alias("_v"))
     packed = long.groupBy(*keys).agg(
