@@ -238,3 +238,57 @@ def q_compare(df):
 def q_backtest(df):
     """Out-of-sample metrics per product, model and fold (3 folds of 30 days)."""
     return _r6all(bt.rolling_backtest(df, 3, 30))
+
+
+# ------------------------------------------------------------------ inputs of M2 and M5 (oracle)
+from ..sources.demand import DEMAND_VIEW_SQL  # noqa: E402
+
+_A5 = 2.0 / 6.0
+RIDGE_DESIGN_SQL = f"""WITH RECURSIVE demand AS ({DEMAND_VIEW_SQL}), {DAILY}
+, n AS (SELECT *, row_number() OVER (PARTITION BY Product_ID ORDER BY Date) AS rn, {ORD} AS x FROM daily)
+, rec AS (SELECT Product_ID, Date, Demand, rn, x, Demand AS e FROM n WHERE rn = 1
+          UNION ALL
+          SELECT n.Product_ID, n.Date, n.Demand, n.rn, n.x, {_A5!r} * n.Demand + {1 - _A5!r} * rec.e
+          FROM rec JOIN n ON n.Product_ID = rec.Product_ID AND n.rn = rec.rn + 1)
+, s AS (SELECT *, avg(x) OVER (PARTITION BY Product_ID) AS mu, stddev_pop(x) OVER (PARTITION BY Product_ID) AS sd
+        FROM rec)
+SELECT Product_ID, Date, round(e, 6) AS smoothed,
+       round((x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 6) AS z FROM s"""
+
+
+@register("poly_ridge_design", RIDGE_DESIGN_SQL, raw_oracle=True)
+def q_ridge_design(df):
+    """Inputs of M2: EWMA-smoothed demand (W5) and the standardised day number."""
+    d = rg._prepared(df)
+    return d.select(PRODUCT, DATE, _r6("smoothed"), _r6("z"))
+
+
+@register("lookback_design", f""", {DAILY}
+, a AS (SELECT *, CASE WHEN count(Demand) OVER w7 = 7 THEN avg(Demand) OVER w7 END AS smoothed FROM daily
+        WINDOW w7 AS (PARTITION BY Product_ID ORDER BY Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+, b AS (SELECT *, min(smoothed) OVER (PARTITION BY Product_ID) AS mn, max(smoothed) OVER (PARTITION BY Product_ID) AS mx
+        FROM a WHERE smoothed IS NOT NULL)
+SELECT Product_ID, Date, round(smoothed, 6) AS smoothed,
+       round(CASE WHEN mx > mn THEN (smoothed - mn) / (mx - mn) ELSE 0.0 END, 6) AS scaled FROM b""")
+def q_lookback_design(df):
+    """Inputs of M5: strict 7-row mean (W2) min–max scaled per product."""
+    d = pl._lookback_frame(df)
+    return d.select(PRODUCT, DATE, _r6("smoothed"), _r6("scaled"))
+
+
+@register("arima_differenced", f""", {DAILY}
+, span AS (SELECT Product_ID, min(Date) AS a, max(Date) AS b FROM daily GROUP BY 1)
+, cal AS (SELECT Product_ID, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS Date FROM span)
+, f AS (SELECT c.Product_ID, c.Date, coalesce(d.Demand, 0.0) AS y
+        FROM cal c LEFT JOIN daily d ON c.Product_ID = d.Product_ID AND c.Date = d.Date)
+, l AS (SELECT *, row_number() OVER (PARTITION BY Product_ID ORDER BY Date) - 1 AS t,
+               lag(y, 1) OVER (PARTITION BY Product_ID ORDER BY Date) AS y1,
+               lag(y, 2) OVER (PARTITION BY Product_ID ORDER BY Date) AS y2 FROM f)
+SELECT Product_ID, CAST(d AS INTEGER) AS d, Date, y,
+       CASE WHEN d = 0 THEN y WHEN d = 1 THEN y - y1 ELSE y - 2 * y1 + y2 END AS w
+FROM l, range(0, 3) r(d) WHERE t >= d""")
+def q_arima_differenced(df):
+    """Inputs of M6–M8: the zero-filled series (J1) differenced d = 0, 1, 2 times."""
+    from ..forecast.series import daily_series, fill_calendar
+    x = ar._differenced(fill_calendar(daily_series(df)), "Demand")
+    return x.select(PRODUCT, F.col("d").cast("int").alias("d"), DATE, "y", "w")
