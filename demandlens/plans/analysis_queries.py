@@ -101,7 +101,7 @@ def _profile_sql(feature: str) -> str:
          {r6(q('Demand', 0.75))} AS q75, SUM(Demand) AS s_
   FROM {t} GROUP BY band, band_label)
 SELECT band, band_label, n, mean, median, std, q25, q75,
-       SUM(n) OVER () AS total_n, COUNT(*) OVER () AS n_bands,
+       CAST(SUM(n) OVER () AS BIGINT) AS total_n, COUNT(*) OVER () AS n_bands,
        round(SUM(s_) OVER () / SUM(n) OVER (), 6) AS overall_mean
 FROM per ORDER BY band"""
 
@@ -233,7 +233,7 @@ register("stock_demand_trend", f"""
 , p AS (SELECT Product_ID, {mean('Stock_Availability')} AS x, {mean('Demand')} AS y
         FROM demand WHERE {POS} GROUP BY Product_ID)
 SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept,
-       round(regr_r2(y, x), 6) AS r2, regr_count(y, x) AS n FROM p""")(st.stock_demand_trend)
+       round(regr_r2(y, x), 6) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM p""")(st.stock_demand_trend)
 
 register("stock_turnover_top15", f"""
 , p AS (SELECT Product_ID, {mean(TURNOVER)} AS turnover FROM demand WHERE {POS} GROUP BY Product_ID)
@@ -320,7 +320,7 @@ FROM demand WHERE {POS} {_SAMPLE.format(n=1000)}""")(cp.discount_points)
 register("discount_demand_trend", f"""
 , s AS (SELECT CAST(Discount AS DOUBLE) AS x, Demand AS y FROM demand WHERE {POS} {_SAMPLE.format(n=1000)})
 SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept,
-       round(regr_r2(y, x), 6) AS r2, regr_count(y, x) AS n FROM s""")(cp.discount_demand_trend)
+       round(regr_r2(y, x), 6) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM s""")(cp.discount_demand_trend)
 
 # ------------------------------------------------------------------ A30–A34, A38 (price page)
 register("price_funnel", f"""

@@ -77,6 +77,22 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols, rel=1e-6):
     return None
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+          "boolean": "BOOLEAN", "array<double>": "DOUBLE[]", "smallint": "SMALLINT", "timestamp": "TIMESTAMP"}
+
+
+def type_mismatches(spark_dtypes, duck_description) -> list[str]:
+    """Column types that differ between the engines (after the usual mapping)."""
+    duck = {d[0]: str(d[1]).upper() for d in duck_description}
+    out = []
+    for name, t in spark_dtypes:
+        want = _TYPES.get(t, t.upper())
+        got = duck.get(name)
+        if got is not None and got != want and not (t.startswith("decimal") and got.startswith("DECIMAL")):
+            out.append(f"{name}: spark {t} vs duckdb {got}")
+    return out
+
+
 def main(argv):
     from pyspark.sql import SparkSession
 
@@ -114,6 +130,9 @@ def main(argv):
             bad += 1
             continue
         msg = compare(rows, cols, drows, dcols)
+        tm = type_mismatches(df.dtypes, res.description)
+        if tm and not msg:
+            msg = "types differ: " + "; ".join(tm)
         if msg:
             bad += 1
             print(f"FAIL {name}: {msg}")
