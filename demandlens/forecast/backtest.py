@@ -18,7 +18,7 @@ from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
 from . import recursive as rc
 from . import trend as tr
-from .series import by_product, daily_series
+from .series import by_product, daily_checkpoint
 
 P, D, Y = PRODUCT, DATE, DEMAND
 SEP = "|"
@@ -39,7 +39,7 @@ def _split_key(df: DataFrame) -> DataFrame:
 
 def rolling_backtest(df: DataFrame, folds: int = 3, horizon: int = 30) -> DataFrame:
     """Out-of-sample M10 per (product, model, fold) for M1 and M3."""
-    daily = daily_series(df)
+    daily = daily_checkpoint(df)
     f = _folds(daily, folds, horizon)
     train = f.where(F.col(D) <= F.col("cutoff")).select(F.col("_key").alias(P), D, Y)
     test = f.where((F.col(D) > F.col("cutoff")) & (F.col(D) <= F.date_add("cutoff", horizon))) \

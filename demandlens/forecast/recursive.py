@@ -25,7 +25,7 @@ from ..operators.filters import below_quantile
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
 from .gram import as_matrix, gram, lstsq_from_gram, solve_table
-from .series import by_product, daily_series
+from .series import by_product, daily_checkpoint
 
 P, D, Y = PRODUCT, DATE, DEMAND
 # Day numbers are shifted before the Gram sums (conditioning).
@@ -119,7 +119,7 @@ def date_ordinal_col(day: Column) -> Column:
 def recursive_forecast(df: DataFrame, horizon: int = 30, q: float = 0.95) -> DataFrame:
     """``(Product_ID, Date, kind, value)``: fitted smoothed history and the
     30-step recursive forecast."""
-    d = smoothed_features(daily_series(df), q)
+    d = smoothed_features(daily_checkpoint(df), q)
     coef = fit(d)
     fitted = d.join(coef, P).select(P, D, F.lit("fitted").alias("kind"),
                                     F.expm1(_linear("beta", [F.col(c) for c in FEATURES])).alias("value"))
@@ -131,7 +131,7 @@ def recursive_forecast(df: DataFrame, horizon: int = 30, q: float = 0.95) -> Dat
 
 def recursive_metrics(df: DataFrame, q: float = 0.95) -> DataFrame:
     """M10 for M3: errors on the smoothed natural scale, R² on the log scale."""
-    d = smoothed_features(daily_series(df), q)
+    d = smoothed_features(daily_checkpoint(df), q)
     coef = fit(d)
     pairs = d.join(coef, P).select(P, F.col("smoothed").alias("actual"), "ly",
                                    _linear("beta", [F.col(c) for c in FEATURES]).alias("pl"))

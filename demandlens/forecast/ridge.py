@@ -20,7 +20,7 @@ from ..functions.derive import date_ordinal
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
 from .gram import as_matrix, gram, lstsq_from_gram, solve_table
-from .series import daily_series, ewma, standardise
+from .series import daily_checkpoint, ewma, standardise
 
 P, D, Y = PRODUCT, DATE, DEMAND
 # Candidate penalties, tried in this order.
@@ -29,7 +29,7 @@ DEGREE = 4
 
 
 def _prepared(df: DataFrame) -> DataFrame:
-    d = ewma(daily_series(df), Y, 5.0, out="smoothed")
+    d = ewma(daily_checkpoint(df), Y, 5.0, out="smoothed")
     d = standardise(d.withColumn("ordinal", date_ordinal(D).cast("double")), "ordinal", out="z")
     return d.withColumns({f"z{k}": F.pow(F.col("z"), k) for k in range(1, DEGREE + 1)})
 

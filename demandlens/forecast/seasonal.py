@@ -94,7 +94,7 @@ def prepare(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean training frame with its design columns, the per-product scaling
     table (start, span, change points, regressor means/stds) and the
     holiday flags."""
-    base = daily_features(df)
+    base = cut_lineage(daily_features(df))  # read by the cleaning, the scaling and the holiday flags
     feats = base.withColumnRenamed(DATE, "ds").withColumnRenamed("Demand", "y")
     flags = holiday_flags(base)
     clean = min_history(iqr_clean(feats.drop(HOLIDAY), "y"), 30)

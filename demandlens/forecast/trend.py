@@ -14,7 +14,7 @@ from ..functions.derive import date_ordinal
 from ..operators.filters import below_quantile
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
-from .series import daily_series
+from .series import daily_checkpoint
 
 P, D, Y = PRODUCT, DATE, DEMAND
 
@@ -33,7 +33,7 @@ def _predict_log(x: F.Column) -> F.Column:
 
 def trend_fit(df: DataFrame, q: float = 0.99) -> DataFrame:
     """Per-product coefficients: slope per day, mean log demand and day."""
-    return _fit(daily_series(df), q)[1]
+    return _fit(daily_checkpoint(df), q)[1]
 
 
 def trend_forecast(df: DataFrame, horizon: int = 30, q: float = 0.99) -> DataFrame:
@@ -42,7 +42,7 @@ def trend_forecast(df: DataFrame, horizon: int = 30, q: float = 0.99) -> DataFra
     The per-product coefficients (one row per product) are joined back on
     the product key; the future days come from ``sequence(1, horizon)``.
     """
-    d, coef = _fit(daily_series(df), q)
+    d, coef = _fit(daily_checkpoint(df), q)
     fitted = d.join(coef, P).select(P, D, F.lit("fitted").alias("kind"),
                                     F.expm1(_predict_log(F.col("x"))).alias("value"))
     fut = coef.select(P, "slope", "ybar", "xbar", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"),
@@ -53,7 +53,7 @@ def trend_forecast(df: DataFrame, horizon: int = 30, q: float = 0.99) -> DataFra
 
 def trend_pairs(df: DataFrame, q: float = 0.99) -> DataFrame:
     """J5 for M1: (product, day, actual, fitted, log actual, log fitted)."""
-    d, coef = _fit(daily_series(df), q)
+    d, coef = _fit(daily_checkpoint(df), q)
     pairs = d.join(coef, P).select(P, D, F.col(Y).alias("actual"), F.col("ly"),
                                    _predict_log(F.col("x")).alias("pl"))
     return pairs.withColumn("fitted", F.expm1("pl"))
