@@ -113,13 +113,15 @@ def week_product_matrix(df: DataFrame, filters: FilterParams | None = None) -> D
 def week_product_long(df: DataFrame, filters: FilterParams | None = None) -> DataFrame:
     """A17 long form with J2: every (observed week × product) cell, missing = 0.
 
-    The week side is the set of observed ISO weeks, at most 53 rows (a bound
-    fixed by the calendar), so it is broadcast to the distinct products.
+    The observed ISO weeks are gathered into one array of at most 53 values
+    (a bound fixed by the calendar), attached to each distinct product as a
+    one-row scalar and exploded; the sums are then left-joined on
+    (product, week).  No pairwise join of two data-sized sides is formed.
     """
     d = prepare(df, filters).withColumn("week", F.weekofyear(DATE).cast("bigint"))
     sums = d.groupBy(PRODUCT, "week").agg(dsum(DEMAND).alias("demand"))
-    weeks = sums.select("week").distinct()
-    products = sums.select(PRODUCT).distinct()
-    grid = products.crossJoin(F.broadcast(weeks))
+    weeks = sums.agg(F.array_sort(F.collect_set("week")).alias("_weeks"))
+    grid = (sums.select(PRODUCT).distinct().crossJoin(F.broadcast(weeks))
+            .select(PRODUCT, F.explode("_weeks").alias("week")))
     return (grid.join(sums, [PRODUCT, "week"], "left")
             .select(PRODUCT, "week", F.coalesce("demand", F.lit(0.0)).alias("demand")))
