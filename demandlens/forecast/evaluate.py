@@ -32,7 +32,9 @@ def forecast_metrics(pairs: DataFrame, y: str = "actual", f: str = "fitted",
     ry, rf = (r2_y or y), (r2_f or f)
     x = pairs.withColumn("_my", F.avg(ry).over(Window.partitionBy(*keys)))
     err = F.col(y) - F.col(f)
-    ape = F.abs(err / F.col(y))
+    # try_divide: a zero actual gives null (left out of the mean) instead of
+    # an error under ANSI mode; with skip_zero_mape such days are also counted
+    ape = F.abs(F.try_divide(err, F.col(y)))
     if skip_zero_mape:
         ape = F.when(F.col(y) != 0, ape)
     agg = x.groupBy(*keys).agg(
@@ -40,7 +42,7 @@ def forecast_metrics(pairs: DataFrame, y: str = "actual", f: str = "fitted",
         (F.avg(ape) * 100).alias("mape"),
         F.sum((F.col(ry) - F.col(rf)) ** 2).alias("_sse"), F.sum((F.col(ry) - F.col("_my")) ** 2).alias("_sst"),
         F.count_if(F.col(y) == 0).alias("zero_days"))
-    out = (agg.withColumn("rmse_pct", F.col("rmse") / F.col("mean") * 100)
+    out = (agg.withColumn("rmse_pct", F.try_divide(F.col("rmse"), F.col("mean")) * 100)
            .withColumn("r2", F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))))
     cols = [*keys, "n", "mean", "rmse", "rmse_pct", "mape", "r2"] + (["zero_days"] if skip_zero_mape else [])
     return out.select(*cols)
