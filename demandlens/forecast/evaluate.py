@@ -105,3 +105,11 @@ def compare_models(metrics_by_model: dict[str, DataFrame]) -> DataFrame:
         allm = allm.unionByName(p)
     w = Window.partitionBy(P).orderBy(F.asc_nulls_last("rmse_pct"), "model")
     return allm.withColumn("rank", F.row_number().over(w))
+
+
+def chart_series(actual: DataFrame, forecast: DataFrame, value: str = "Demand") -> DataFrame:
+    """Actual history, fitted values and future forecast as one series
+    with a ``kind`` column (``unionByName``, no join)."""
+    from ..sources.demand import DATE
+    a = actual.select(P, DATE, F.lit("actual").alias("kind"), F.col(value).cast("double").alias("value"))
+    return a.unionByName(forecast.select(P, DATE, "kind", "value"))

@@ -292,3 +292,19 @@ def q_arima_differenced(df):
     from ..forecast.series import daily_series, fill_calendar
     x = ar._differenced(fill_calendar(daily_series(df)), "Demand")
     return x.select(PRODUCT, F.col("d").cast("int").alias("d"), DATE, "y", "w")
+
+
+@register("trend_chart_series", M1_FIT + """
+SELECT Product_ID, Date, 'actual' AS kind, Demand AS value FROM daily
+UNION ALL
+SELECT Product_ID, Date, 'fitted' AS kind, round(exp(pl) - 1, 6) AS value FROM f
+UNION ALL
+SELECT Product_ID, CAST(last_date + INTERVAL (h) DAY AS DATE) AS Date, 'forecast' AS kind,
+       round(exp(ybar + coalesce(slope, 0) * ((CAST(last_date - DATE '1970-01-01' AS BIGINT) + 719163 + h) - xbar)) - 1, 6)
+         AS value
+FROM c, range(1, 31) r(h)""")
+def q_trend_chart_series(df):
+    """U2 over M1: actual, fitted and forecast rows in one frame."""
+    from ..forecast.series import daily_series
+    fc = trend.trend_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+    return ev.chart_series(daily_series(df), fc)
