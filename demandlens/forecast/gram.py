@@ -128,7 +128,3 @@ def lstsq_from_gram(G: np.ndarray, feat: Sequence[int], target: int, ridge: floa
     sse = float(G[target, target] - 2 * beta @ b + beta @ G[np.ix_(idx, idx)] @ beta)
     return beta, max(sse, 0.0)
 
-
-def inverse_block(G: np.ndarray, feat: Sequence[int]) -> np.ndarray:
-    idx = list(feat)
-    return np.linalg.pinv(G[np.ix_(idx, idx)])

@@ -68,16 +68,12 @@ def boosted_model(train: DataFrame, max_iter: int = 100, step: float = 0.1, dept
     return BoostedModel(indexer, Pipeline(stages=[asm, gbt]).fit(data))
 
 
-def _with_pidx(model: BoostedModel, df: DataFrame) -> DataFrame:
-    return model.transform(df)
-
-
 def boosted_forecast(df: DataFrame, horizon: int = 30, max_iter: int = 100, step: float = 0.1,
                      depth: int = 6) -> DataFrame:
     """``(Product_ID, Date, kind, value)`` fitted and forecast rows of M4."""
     train = cut_lineage(smoothed_features(daily_series(df), None, with_x=False))
     model = boosted_model(train, max_iter, step, depth)
-    fitted = _with_pidx(model, train).select(P, D, F.lit("fitted").alias("kind"),
+    fitted = model.transform(train).select(P, D, F.lit("fitted").alias("kind"),
                                              F.expm1("prediction").alias("value"))
     w = Window.partitionBy(P).orderBy(F.desc(D))
     state = (train.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 7).groupBy(P)
@@ -89,7 +85,7 @@ def boosted_forecast(df: DataFrame, horizon: int = 30, max_iter: int = 100, step
         feats = step_features(day, F.col("hist"), with_x=False)
         names = BOOST_FEATURES[:-1]
         step_df = state.select("*", *[f.alias(n) for f, n in zip(feats, names)])
-        pred = _with_pidx(model, step_df)
+        pred = model.transform(step_df)
         p = F.expm1("prediction")
         state = pred.select(P, "last_date", F.slice(F.concat("hist", F.array(p)), -7, 7).alias("hist"),
                             F.concat("out", F.array(p)).alias("out"))
@@ -104,7 +100,7 @@ def boosted_metrics(df: DataFrame, max_iter: int = 100, step: float = 0.1, depth
     """M10 for M4: natural-scale errors on the smoothed series, R² on the log scale."""
     train = cut_lineage(smoothed_features(daily_series(df), None, with_x=False))
     model = boosted_model(train, max_iter, step, depth)
-    pairs = _with_pidx(model, train).select(P, F.col("smoothed").alias("actual"), "ly",
+    pairs = model.transform(train).select(P, F.col("smoothed").alias("actual"), "ly",
                                             F.col("prediction").alias("pl"))
     return ev.forecast_metrics(pairs.withColumn("fitted", F.expm1("pl")), "actual", "fitted", "ly", "pl")
 
