@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, packing, rules, sharding, topk
+from . import licences, mixing, packing, rules, sharding, topk
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ owners AS (SELECT generate_subscripts(owner, 1) - 1 AS slot, unnest(owner) AS sh
 k AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents)
 SELECT doc_id, k.slot, CAST(shard AS INTEGER) AS shard FROM k JOIN owners ON k.slot = owners.slot
 """
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all documents takes of each."""
+    return mixing.Mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source").documents()
