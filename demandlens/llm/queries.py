@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, packing, rules, sharding, topk
+from . import crf, lbl, licences, mixing, packing, rules, sharding, topk
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,25 @@ SELECT doc_id, k.slot, CAST(shard AS INTEGER) AS shard FROM k JOIN owners ON k.s
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of all documents takes of each."""
     return mixing.Mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source").documents()
+
+
+def quality_field(docs: DataFrame, spark: SparkSession, sf_dir: str) -> crf.Field | None:
+    """The quality field, from labels outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels")
+    return crf.fit(docs, "doc_id", "text", labels.where(crf.remainder(F.col("doc_id"), 4) != 2))
+
+
+@query
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    rows = crf.score(docs.select("doc_id", "text"), "text", quality_field(docs, spark, sf_dir))
+    return rows.select("doc_id", (crf.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                       (F.col("score") >= crf.ACCEPT).cast("int").alias("predicted"))
+
+
+@query
+def op9_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of those outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents")
+    return lbl.score(docs, "doc_id", "text", crf.remainder(F.col("doc_id"), 5) == 1)
