@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, lbl, licences, mixing, packing, rules, sharding, topk
+from . import crf, lbl, licences, mixing, near_dups, packing, rules, sharding, topk
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op9_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of all documents under a model of those outside the held-out fold."""
     docs = read(spark, sf_dir, "documents")
     return lbl.score(docs, "doc_id", "text", crf.remainder(F.col("doc_id"), 5) == 1)
+
+
+@query
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dups.classes(read(spark, sf_dir, "documents"), "doc_id", "text")
