@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, lbl, licences, mixing, near_dups, packing, rules, sharding, topk
+from . import crf, lbl, licences, line_dedup, mixing, near_dups, packing, rules, sharding, topk
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op9_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dups.classes(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line of all documents."""
+    return line_dedup.Lines(read(spark, sf_dir, "documents"), "doc_id", "text").classes()
