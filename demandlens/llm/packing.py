@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,23 @@ from pyspark.sql import functions as F
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 300_000
-_ENDINGS = ".,;:!?"
+REMEMBERED = 600_000
+#: A word may end with a run of these and still be plain (the apostrophe has a meaning of its own to the tokenizer).
+_ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` one after the other."""
+    end = np.cumsum(size)
+    return flat[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
 
 class Ids:
     """Token ids of texts by way of their words.
 
     The tokenizer never looks across blanks, so the ids of a text are those of its words in
-    order.  Each new word is encoded once; plain words (letters only, as the tokenizer's
-    own pattern sees them) go through it many at a time.
+    order.  Each new word is encoded once; plain words (letters, then perhaps a run of
+    punctuation, which the tokenizer's own pattern parts) go through it many at a time.
     """
 
     def __init__(self, path: str):
@@ -50,57 +58,59 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {"": 0}
+        self.at: dict[str, int] = {}
         self.flat = np.empty(0, dtype=np.uint32)
-        self.size = np.zeros(1, dtype=np.int64)
+        self.size = np.empty(0, dtype=np.int64)
 
     def _encode(self, word: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _plain(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words that are one run of letters each."""
-        if not words:
-            return []
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are one run of letters each, and their numbers."""
         ids = self._encode(" ".join(words))
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return [self._encode(w) for w in words]
-        return np.split(ids, ends[:-1])
+        if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
+            return ids, np.diff(ends, prepend=0)
+        each = [self._encode(w) for w in words]
+        return np.concatenate(each), np.array([len(x) for x in each])
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.at]
-        if not new:
+    def learn(self, words: list[str]) -> None:
+        if not words:
             return
-        core = {}
-        for w in new:
-            x = w[:-1] if w[-1] in _ENDINGS else w
+        plain: dict[str, int] = {}
+        odd: dict[str, int] = {"": 0}
+        first, then = np.empty(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for k, w in enumerate(words):
+            x = w.rstrip(_ENDINGS)
             if x.isalpha() and x.lower().isalpha():
-                core[w] = x
-        plain = list(dict.fromkeys(core.values()))
-        ids = {}
-        for i in range(0, len(plain), 1000):
-            ids.update(zip(plain[i:i + 1000], self._plain(plain[i:i + 1000]), strict=True))
-        ending = {c: self._encode(c) for c in _ENDINGS}
-        first, parts = len(self.at), []
-        for k, w in enumerate(new):
-            x = core.get(w)
-            parts.append(self._encode(w) if x is None else ids[x] if len(x) == len(w) else np.concatenate([ids[x], ending[w[-1]]]))
-            self.at[w] = first + k
-        self.flat = np.concatenate([self.flat, *parts])
-        self.size = np.concatenate([self.size, np.fromiter(map(len, parts), dtype=np.int64, count=len(new))])
-
-    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+                first[k] = plain.setdefault(x, len(plain))
+                then[k] = odd.setdefault(w[len(x):], len(odd))
+            else:
+                first[k] = -1 - odd.setdefault(w, len(odd))
+        letters = list(plain)
+        done = [self._plain(letters[i:i + 1000]) for i in range(0, len(letters), 1000)]
+        each = [self._encode(w) for w in odd]
+        flat = np.concatenate([ids for ids, _ in done] + each)
+        size = np.concatenate([n for _, n in done] + [np.array([len(x) for x in each])]).astype(np.int64)
+        start = np.cumsum(size) - size
+        # odd words stand after the plain ones
+        parts = np.column_stack([np.where(first < 0, len(plain) - 1 - first, first), len(plain) + then])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, _gathered(flat, start[parts.ravel()], size[parts.ravel()])])
+        self.size = np.concatenate([self.size, size[parts].sum(1)])
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and the number of each."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        found = coded.dictionary.to_pylist()
         if len(self.at) > REMEMBERED:
             self.forget()
-        self.learn(set().union(*words))
-        start = np.cumsum(self.size) - self.size
-        for own in words:
-            at = np.fromiter(map(self.at.__getitem__, own), dtype=np.int64, count=len(own))
-            size = self.size[at]
-            end = np.cumsum(size)
-            yield self.flat[np.repeat(start[at] - end + size, size) + np.arange(end[-1])]
+        self.learn([w for w in found if w not in self.at])
+        at = np.fromiter(map(self.at.__getitem__, found), dtype=np.int64, count=len(found))[coded.indices.to_numpy()]
+        size = self.size[at]
+        edges = np.concatenate([[0], np.cumsum(size)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return _gathered(self.flat, (np.cumsum(self.size) - self.size)[at], size), np.diff(edges)
 
 
 def cuts(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -119,9 +129,11 @@ def _packer(tokenizer: str, longest: int, end_id: int, with_ids: bool, names: li
         sequence = (task.partitionId() if task else 0) << 33
         for batch in batches:
             rows, start, length, crc, total, tokens = [], [], [], [], [], []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for row, own in enumerate(ids.texts(texts)):
-                own = np.append(own, np.uint32(end_id)).astype("<u4")
+            flat, sizes = ids.texts(batch.column(1))
+            to = 0
+            for row, size in enumerate(sizes):
+                own = np.append(flat[to:to + size], np.uint32(end_id)).astype("<u4")
+                to += size
                 at = 0
                 for size in cuts(len(own), longest):
                     piece = own[at:at + size]
