@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 100_000
@@ -195,16 +196,16 @@ def _scorer(field: Field | None):
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             score = field.scores(texts) if field is not None and texts else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score)], names=["doc", "score"])
     return run
 
 
 def score(docs: DataFrame, text: str, field: Field | None, name: str = "score") -> DataFrame:
     """``docs`` with the score of every text in a column ``name`` (in place of one of that name)."""
-    rest = [c for c in docs.columns if c != name]
-    given = docs.select(F.col(text).cast("string").alias("_text"), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", `_score` double"
-    return given.mapInArrow(_scorer(field), schema).drop("_text").withColumnRenamed("_score", name)
+    given = docs.select(F.col(text).cast("string").alias("text"), F.struct(*docs.columns).alias("doc"))
+    schema = T.StructType([given.schema["doc"], T.StructField("score", T.DoubleType())])
+    rest = [F.col("doc")[c].alias(c) for c in docs.columns if c != name]
+    return given.mapInArrow(_scorer(field), schema).select(*rest, F.col("score").alias(name))
 
 
 def remainder(key: Column, n: int) -> Column:

@@ -76,12 +76,12 @@ class Mix:
     def __init__(self, docs: DataFrame, key: str, text: str, source: str, share: float = 1.5, repeats: int = 2,
                  block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0, with_texts: bool = False):
         self.key, self.text, self.source, self.columns = key, text, source, docs.columns
-        rows = docs.withColumn("_row", F.monotonically_increasing_id())
+        rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
         if with_texts:
             rows = written(rows)
         self.rows = rows
-        size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-        self.sizes = written(rows.select(F.col("_row").alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")))
+        size = F.regexp_count(F.coalesce(F.col("doc")[text], F.lit("")), F.lit(WORD)).cast("long")
+        self.sizes = written(rows.select("row", F.col("doc")[key].alias("key"), F.col("doc")[source].alias("source"), size.alias("size")))
         sums = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
         self.sources = written(targets(sums, share, repeats).withColumn("blocks", F.ceil(F.col("source_size") / block)))
         self.pieces = self._pieces(block)
@@ -154,16 +154,20 @@ class Mix:
         stand on a line each.
         """
         runs = self.pieces.join(self.slots.select("sid", "at", "pass"), ["sid", "at"]).groupBy("row", "pass").agg(
-            F.sort_array(F.collect_list(F.struct("start", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
-        rows = self.rows.join(runs, F.col("_row") == F.col("row"))
-        words = F.regexp_extract_all(F.col(self.text), F.lit(WORD), F.lit(0))
-        rows = rows.withColumn("_words", F.when(F.col("_taken") < F.regexp_count(F.col(self.text), F.lit(WORD)), words))
+            F.sort_array(F.collect_list(F.struct("start", "words"))).alias("runs"), F.sum("words").alias("taken"))
+        text = F.col("doc")[self.text]
+        rows = self.rows.join(runs, "row")
+        words = F.when(F.col("taken") < F.regexp_count(text, F.lit(WORD)), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+        rows = rows.withColumn("all", words)
+
         # neighbouring pieces are one run: a line break stands where words between were not taken
-        run = F.transform("_runs", lambda r, i: F.concat(
-            F.when(i == 0, "").when(F.element_at("_runs", i.cast("int")).start + F.element_at("_runs", i.cast("int")).words == r.start, " ").otherwise("\n"),
-            F.array_join(F.slice("_words", r.start.cast("int") + 1, r.words.cast("int")), " ")))
-        text = F.when(F.col("_words").isNull(), F.col(self.text)).otherwise(F.array_join(run, ""))
-        out = rows.withColumn(self.text, text)
+        def run(r: Column, i: Column) -> Column:
+            last = F.element_at("runs", i.cast("int"))
+            gap = F.when(i == 0, "").when(last.start + last.words == r.start, " ").otherwise("\n")
+            return F.concat(gap, F.array_join(F.slice("all", r.start.cast("int") + 1, r.words.cast("int")), " "))
+
+        rows = rows.withColumn("mixed", F.when(F.col("all").isNull(), text).otherwise(F.array_join(F.transform("runs", run), "")))
+        new = {self.text: F.col("mixed")}
         if "n_chars" in self.columns:
-            out = out.withColumn("n_chars", F.length(self.text).cast(out.schema["n_chars"].dataType))
-        return out.select(*self.columns)
+            new["n_chars"] = F.length("mixed").cast(rows.schema["doc"].dataType["n_chars"].dataType)
+        return rows.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in self.columns])

@@ -24,7 +24,7 @@ four standard deviations, rule the similarity out are not read again.  No bucket
 gathered: leaders and sizes are partial aggregates, and pairs come from joins by bucket.
 
 Null, empty and blank texts are copies of each other.  Repeated rows are copies.  A null
-key counts as the largest when a class takes its smallest key as its name.  Words are
+key comes after all others when a class takes its smallest key as its name.  Words are
 compared as they are written.
 """
 
@@ -195,25 +195,55 @@ def digest(text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS + "+", " ")))
 
 
+class Classes:
+    """Near-duplicate classes of ``docs``."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY):
+        self.docs, self.key, self.text = docs, key, text
+        given = docs.select(F.col(key).alias("key"), digest(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text"))
+        kind = docs.schema[key].dataType.simpleString()
+        self.rows = written(given.mapInArrow(_signed, f"key {kind}, digest string, weight long, bands array<long>, sign binary"))
+        first = F.min(F.struct(F.col("key").isNull().alias("last"), "key")).alias("first")
+        nodes = written(self.rows.groupBy("digest").agg(first, F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
+                        .select("digest", "first.key", "weight", "bands", "sign", F.monotonically_increasing_id().alias("node")))
+        links = _links(given, nodes, similarity)
+        if links is not None:
+            roots = components(links, "a", "b").select(F.col("node").alias("n"), "root")
+            named = nodes.join(roots, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node"))
+        else:
+            named = nodes.withColumn("root", F.col("node"))
+        named = written(named.select("digest", "key", "root"))
+        #: a row per class: its first text (smallest key, then digest), and how many different texts it has
+        self.firsts = written(named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "digest")).alias("first"),
+                                                        F.count("*").alias("class_texts")))
+        self.named = written(named.select("digest", "root").join(self.firsts, "root").select("digest", F.col("first.key").alias("class_id"), "class_texts"))
+
+    def members(self) -> DataFrame:
+        """One row a document: ``key``, ``class_id`` (smallest key of its class), ``class_texts`` (different texts in the class)."""
+        return self.rows.select("key", "digest").join(self.named, "digest").select(F.col("key").alias(self.key), "class_id", "class_texts")
+
+    def kept(self) -> DataFrame:
+        """The documents of which each class keeps one: that with the smallest key (of equal rows, one)."""
+        firsts = written(self.firsts.select(F.col("first.digest").alias("d"), F.col("first.key").alias("k")))
+        same = (F.col("digest") == F.col("d")) & F.col("key").eqNullSafe(F.col("k"))
+        often = self.rows.select("key", "digest").join(firsts, same).groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
+        often = written(often.select("d"))
+        docs = self.docs.select(F.struct(*self.docs.columns).alias("doc"), F.col(self.key).alias("key"), digest(F.col(self.text)).alias("digest"))
+        out = docs.join(firsts.join(often, "d", "left_anti"), same).select("doc")
+        if not often.isEmpty():
+            again = docs.join(firsts.join(often, "d", "left_semi"), same)
+            out = out.union(again.groupBy("digest").agg(F.first("doc").alias("doc")).select("doc"))
+        return out.select("doc.*")
+
+
 def classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: ``key``, ``class_id`` (smallest key of its class), ``class_texts`` (different texts in the class)."""
-    given = docs.select(F.col(key).alias("key"), digest(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = written(given.mapInArrow(_signed, f"key {kind}, digest string, weight long, bands array<long>, sign binary"))
-    nodes = written(rows.groupBy("digest").agg(F.min("key").alias("key"), F.first("weight").alias("weight"), F.first("bands").alias("bands"),
-                                               F.first("sign").alias("sign")).withColumn("node", F.monotonically_increasing_id()))
-    links = _links(given, nodes, similarity)
-    roots = components(links, "a", "b") if links is not None else None
-    named = nodes.select("digest", "node", "key")
-    if roots is not None:
-        named = named.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        named = named.withColumn("root", F.col("node"))
-    named = written(named.select("digest", "key", "root"))
-    names = written(named.groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_texts")))
-    named = written(named.select("digest", "root").join(names, "root"))
-    return rows.select("key", "digest").join(named.select("digest", "class_id", "class_texts"), "digest").select(
-        F.col("key").alias(key), "class_id", "class_texts")
+    return Classes(docs, key, text, similarity).members()
+
+
+def kept(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class."""
+    return Classes(docs, key, text, similarity).kept()
 
 
 def _links(given: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame | None:
