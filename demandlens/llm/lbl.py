@@ -140,7 +140,7 @@ def _with_counts(counts: Counts, key_kind: pa.DataType):
         doc = np.repeat(np.arange(len(size)), size)
 
         def per_doc(x: np.ndarray) -> np.ndarray:
-            return np.bincount(doc, weights=x[tokens], minlength=len(size))
+            return np.bincount(doc, weights=x[tokens], minlength=len(size)).astype(np.float64)
 
         base = per_doc(counts.base(c)) + counts.base(np.array([counts.docs]))[0]
         known = per_doc((c > 0).astype(np.float64)).astype(np.int64) + (counts.docs > 0)
