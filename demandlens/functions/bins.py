@@ -17,22 +17,23 @@ from ..sources.demand import COMPETITOR, DEMAND, DISCOUNT, EFFECT, PRICE, STOCK
 
 INF = float("inf")
 
-# Bin edges and labels of each band.
+# Bin edges of each band.
 PRICE_EDGES = [0, 50, 100, 200, INF]
-PRICE_LABELS = ["Low", "Medium", "High", "Premium"]
 DISCOUNT_EDGES = [0, 0.05, 0.15, 0.30, 1.0]
-DISCOUNT_LABELS = ["Low (0-5%)", "Medium (5-15%)", "High (15-30%)", "Very high (30%+)"]
 STOCK_EDGES = [0, 30, 70, 90, 100]
-STOCK_LABELS = ["Critical", "Low", "Normal", "High"]
 DISCOUNT_PCT_EDGES = [0, 5, 15, 30, 100]
-DISCOUNT_PCT_LABELS = ["Full price 0-5%", "Attractive 5-15%", "Big deal 15-30%", "Mega 30%+"]
 EFFECT_EDGES = [0, 0.3, 0.6, 0.8, 1.0]
-EFFECT_LABELS = ["Organic", "Active campaign", "Strong message", "Viral"]
 COMPETITOR_FACTORS = [0.8, 0.95, 1.05]
-COMPETITOR_LABELS = ["Price leader", "Aggressive", "Balanced", "Premium position"]
-TERTILE_LABELS = ["Lower", "Standard", "Upper"]
-FUNNEL_LABELS = ["Low price", "Medium price", "High price"]
-LEVEL_LABELS = ["Low", "Medium", "High"]
+
+
+def interval_labels(edges: Sequence) -> list[str]:
+    """Labels of the bins between ``edges``, such as ``(5, 15]``."""
+    return [f"({a}, inf)" if b == INF else f"({a}, {b}]" for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def part_labels(n: int) -> list[str]:
+    """Labels of ``n`` bins whose edges depend on the data."""
+    return [f"{i} of {n}" for i in range(1, n + 1)]
 
 
 def _c(v) -> Column:
@@ -102,12 +103,9 @@ def price_quartile_band(df: DataFrame, col: str = PRICE) -> DataFrame:
     """Bins 0, q25, q50, q75, ∞ of the (filtered) set; label with rounded edges."""
     edges = df.agg(*quartile_edges(col))
     out = attach_scalars(df, edges)
-    r = lambda c: F.bround(F.col(c), 0).cast("bigint").cast("string")
-    label = F.element_at(F.array(
-        F.concat(F.lit("Economy <="), r("q25")),
-        F.concat(F.lit("Popular "), r("q25"), F.lit("-"), r("q50")),
-        F.concat(F.lit("Premium "), r("q50"), F.lit("-"), r("q75")),
-        F.concat(F.lit("Luxury >="), r("q75"))), F.col("band"))
+    r = [F.lit("0"), *[F.bround(F.col(c), 0).cast("bigint").cast("string") for c in ("q25", "q50", "q75")]]
+    closed = [F.concat(F.lit("("), a, F.lit(", "), b, F.lit("]")) for a, b in zip(r, r[1:], strict=False)]
+    label = F.element_at(F.array(*closed, F.concat(F.lit("("), r[-1], F.lit(", inf)"))), F.col("band"))
     out = out.withColumn("band", cut(F.col(col).cast("double"), [0, F.col("q25"), F.col("q50"), F.col("q75"), INF]))
     return out.withColumn("band_label", label).drop("q25", "q50", "q75")
 
@@ -118,7 +116,7 @@ def competitor_band(df: DataFrame, col: str = COMPETITOR) -> DataFrame:
     out = attach_scalars(df, m)
     edges = [0] + [F.col("_cmean") * f for f in COMPETITOR_FACTORS] + [INF]
     out = out.withColumn("band", cut(F.col(col).cast("double"), edges))
-    return out.withColumn("band_label", label_of(F.col("band"), COMPETITOR_LABELS)).drop("_cmean")
+    return out.withColumn("band_label", label_of(F.col("band"), interval_labels([0, *COMPETITOR_FACTORS, INF]))).drop("_cmean")
 
 
 def tertile_band(df: DataFrame, col: str) -> DataFrame:
@@ -136,7 +134,7 @@ def tertile_band(df: DataFrame, col: str) -> DataFrame:
     qbin = cut(x, [F.element_at("_e", i) for i in range(1, 5)], include_lowest=True)
     ebin = cut(x, _equal_width_edges(F.col("_mn"), F.col("_mx"), 3))
     out = out.withColumn("band", F.when(F.size("_e") == 4, qbin).otherwise(ebin))
-    return out.withColumn("band_label", label_of(F.col("band"), TERTILE_LABELS)).drop("_e", "_mn", "_mx")
+    return out.withColumn("band_label", label_of(F.col("band"), part_labels(3))).drop("_e", "_mn", "_mx")
 
 
 def _equal_width_edges(mn: Column, mx: Column, k: int) -> list[Column]:
@@ -167,7 +165,7 @@ def price_third_band(df: DataFrame, col: str = PRICE) -> DataFrame:
     rng = F.col("_mx") - F.col("_mn")
     edges = [F.col("_mn") - 0.1, F.col("_mn") + rng / 3, F.col("_mn") + 2 * rng / 3, F.col("_mx") + 0.1]
     out = out.withColumn("band", cut(x, edges, include_lowest=True))
-    return out.withColumn("band_label", label_of(F.col("band"), FUNNEL_LABELS)).drop("_mn", "_mx")
+    return out.withColumn("band_label", label_of(F.col("band"), part_labels(3))).drop("_mn", "_mx")
 
 
 def level_bands(df: DataFrame) -> DataFrame:

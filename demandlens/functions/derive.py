@@ -117,15 +117,9 @@ def month_label(month: str | Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES_TR]), m.cast("int"))
 
 
-def with_measures(df: DataFrame) -> DataFrame:
-    """All row-level measures of the analysis pages at once."""
-    return df.withColumns({
-        "Revenue": revenue(), "Discount_Amount": discount_amount(),
-        "Discounted_Price": discounted_price(), "Price_Difference": price_difference(),
-        "Campaign_ROI": campaign_roi(), "Campaign_Effectiveness": campaign_effectiveness(),
-        "Stock_Demand_Ratio": stock_demand_ratio(), "Stock_Efficiency": stock_efficiency(),
-        "Stock_Turnover": stock_turnover(),
-    })
+def title_label(col: str) -> Column:
+    """Trimmed text in title case, for option lists (first letter of a word upper, the rest lower)."""
+    return F.initcap(F.trim(F.col(col)))
 
 
 # P18 ----------------------------------------------------------------------

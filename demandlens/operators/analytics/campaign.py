@@ -60,7 +60,7 @@ def campaign_discount_flow(df: DataFrame, filters: FilterParams | None = None) -
     per = per.withColumn("source", F.dense_rank().over(Window.orderBy(CAMPAIGN)) - 1)
     n_campaigns = F.max("source").over(w) + 1
     return per.select(CAMPAIGN, F.col("discount_level").cast("bigint").alias("discount_level"),
-                      bins.label_of(F.col("discount_level"), bins.LEVEL_LABELS).alias("level_label"),
+                      bins.label_of(F.col("discount_level"), bins.part_labels(3)).alias("level_label"),
                       "n", F.col("source").cast("bigint").alias("source"),
                       (n_campaigns + F.col("discount_level") - 1).cast("bigint").alias("target"))
 

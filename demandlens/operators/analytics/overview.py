@@ -74,10 +74,10 @@ def feature_bands(df: DataFrame, feature: str) -> DataFrame:
         out = bins.price_quartile_band(df)
     elif feature == DISCOUNT:
         out = df.withColumn("band", bins.discount_pct_band()) \
-                .withColumn("band_label", bins.label_of(F.col("band"), bins.DISCOUNT_PCT_LABELS))
+                .withColumn("band_label", bins.label_of(F.col("band"), bins.interval_labels(bins.DISCOUNT_PCT_EDGES)))
     elif feature == EFFECT:
         out = df.withColumn("band", bins.marketing_effect_band()) \
-                .withColumn("band_label", bins.label_of(F.col("band"), bins.EFFECT_LABELS))
+                .withColumn("band_label", bins.label_of(F.col("band"), bins.interval_labels(bins.EFFECT_EDGES)))
     elif feature == COMPETITOR:
         out = bins.competitor_band(df)
     else:

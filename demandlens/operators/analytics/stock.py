@@ -26,7 +26,7 @@ def stock_category_counts(df: DataFrame, filters: FilterParams | None = None) ->
     """Rows per stock band (B3), descending, with the share of rows."""
     d = prepare(df, filters).withColumn("band", bins.stock_category())
     per = (d.where(F.col("band").isNotNull()).groupBy("band").agg(F.count("*").alias("n"))
-           .withColumn("label", bins.label_of(F.col("band"), bins.STOCK_LABELS)))
+           .withColumn("label", bins.label_of(F.col("band"), bins.interval_labels(bins.STOCK_EDGES))))
     # ≤ 4 band rows: the total over them is a tiny global window
     return (per.withColumn("share_pct", r6(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100))
             .orderBy(F.desc("n"), "band"))

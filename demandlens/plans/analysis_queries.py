@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from ..functions import bins as B
 from ..functions.derive import HOLIDAY_LABELS, MONTH_NAMES_TR
 from ..operators.analytics import overview as ov
 from ..sources import demand as src
 from .registry import register
 from .sqlgen import POS, REVENUE, cut, dsum, label, mean, q, r6
 
+# Edges and labels are written out here, apart from the engine's, so that the oracle proves them.
+INF = float("inf")
+PCT, PCT_LABELS = [0, 5, 15, 30, 100], ["(0, 5]", "(5, 15]", "(15, 30]", "(30, 100]"]
+EFFECT, EFFECT_LABELS = [0, 0.3, 0.6, 0.8, 1.0], ["(0, 0.3]", "(0.3, 0.6]", "(0.6, 0.8]", "(0.8, 1.0]"]
+STOCK, STOCK_LABELS = [0, 30, 70, 90, 100], ["(0, 30]", "(30, 70]", "(70, 90]", "(90, 100]"]
+RIVAL, RIVAL_LABELS = [0.8, 0.95, 1.05], ["(0, 0.8]", "(0.8, 0.95]", "(0.95, 1.05]", "(1.05, inf)"]
+THIRDS = ["1 of 3", "2 of 3", "3 of 3"]
+
 # ------------------------------------------------------------------ S4
 register("filter_options", f"""
 SELECT * FROM (
@@ -53,27 +60,27 @@ def _band_sql(feature: str) -> tuple[str, str]:
     if feature == "Price":
         edges = ["@0", "@s.q25", "@s.q50", "@s.q75", float("inf")]
         r = lambda c: f"CAST(CAST(round_even(s.{c}, 0) AS BIGINT) AS VARCHAR)"
-        lab = (f"list_extract(['Economy <=' || {r('q25')}, 'Popular ' || {r('q25')} || '-' || {r('q50')}, "
-               f"'Premium ' || {r('q50')} || '-' || {r('q75')}, 'Luxury >=' || {r('q75')}], band)")
+        lab = (f"list_extract(['(0, ' || {r('q25')} || ']', '(' || {r('q25')} || ', ' || {r('q50')} || ']', "
+               f"'(' || {r('q50')} || ', ' || {r('q75')} || ']', '(' || {r('q75')} || ', inf)'], band)")
         stats = (f"SELECT {q('Price', 0.25)} AS q25, {q('Price', 0.5)} AS q50, {q('Price', 0.75)} AS q75 "
                  "FROM base")
         x = "CAST(b.Price AS DOUBLE)"
         return (f", s AS ({stats}), b1 AS (SELECT b.*, {cut(x, edges)} AS band, s.* FROM base b, s), "
                 f"banded AS (SELECT b1.*, {lab.replace('s.', 'b1.')} AS band_label FROM b1 WHERE band IS NOT NULL)"), ""
     if feature == "Discount":
-        return (f", banded AS (SELECT * FROM (SELECT b.*, {cut('(b.Discount * 100)', B.DISCOUNT_PCT_EDGES)} AS band "
-                f"FROM base b) WHERE band IS NOT NULL), banded2 AS (SELECT *, {label('band', B.DISCOUNT_PCT_LABELS)} "
+        return (f", banded AS (SELECT * FROM (SELECT b.*, {cut('(b.Discount * 100)', PCT)} AS band "
+                f"FROM base b) WHERE band IS NOT NULL), banded2 AS (SELECT *, {label('band', PCT_LABELS)} "
                 "AS band_label FROM banded)"), "2"
     if feature == "Marketing_Effect":
-        return (f", banded AS (SELECT * FROM (SELECT b.*, {cut('b.Marketing_Effect', B.EFFECT_EDGES)} AS band "
-                f"FROM base b) WHERE band IS NOT NULL), banded2 AS (SELECT *, {label('band', B.EFFECT_LABELS)} "
+        return (f", banded AS (SELECT * FROM (SELECT b.*, {cut('b.Marketing_Effect', EFFECT)} AS band "
+                f"FROM base b) WHERE band IS NOT NULL), banded2 AS (SELECT *, {label('band', EFFECT_LABELS)} "
                 "AS band_label FROM banded)"), "2"
     if feature == "Competitor_Price":
-        edges = ["@0"] + [f"@(s.m * {f!r})" for f in B.COMPETITOR_FACTORS] + [float("inf")]
+        edges = ["@0"] + [f"@(s.m * {f!r})" for f in RIVAL] + [float("inf")]
         return (f", s AS (SELECT {mean('CAST(Competitor_Price AS DOUBLE)')} AS m FROM base), "
                 f"banded AS (SELECT * FROM (SELECT b.*, {cut('CAST(b.Competitor_Price AS DOUBLE)', edges)} AS band "
                 f"FROM base b, s) WHERE band IS NOT NULL), banded2 AS (SELECT *, "
-                f"{label('band', B.COMPETITOR_LABELS)} AS band_label FROM banded)"), "2"
+                f"{label('band', RIVAL_LABELS)} AS band_label FROM banded)"), "2"
     # tertiles (B8) with the equal-width fallback
     x = f"CAST(b.{feature} AS DOUBLE)"
     stats = (f"SELECT list_sort(list_distinct([{q(feature, 0.0)}, {q(feature, 1 / 3)}, {q(feature, 2 / 3)}, "
@@ -86,7 +93,7 @@ def _band_sql(feature: str) -> tuple[str, str]:
     eb = cut(x, [f"@{first}", f"@({lo} + ({hi} - {lo}) / 3 * 1)", f"@({lo} + ({hi} - {lo}) / 3 * 2)", f"@{hi}"])
     return (f", s AS ({stats}), banded AS (SELECT * FROM (SELECT b.*, CASE WHEN len(s.e) = 4 THEN {qb} "
             f"ELSE {eb} END AS band FROM base b, s) WHERE band IS NOT NULL), banded2 AS (SELECT *, "
-            f"{label('band', B.TERTILE_LABELS)} AS band_label FROM banded)"), "2"
+            f"{label('band', THIRDS)} AS band_label FROM banded)"), "2"
 
 
 def _profile_sql(feature: str) -> str:
@@ -219,9 +226,9 @@ SELECT Date, {r6(mean('Stock_Availability'))} AS avg_stock, {dsum('Demand')} AS
 FROM demand WHERE {POS} GROUP BY Date""")(st.daily_stock)
 
 register("stock_category_counts", f"""
-, b AS (SELECT {cut('Stock_Availability', B.STOCK_EDGES, True)} AS band FROM demand WHERE {POS})
+, b AS (SELECT {cut('Stock_Availability', STOCK, True)} AS band FROM demand WHERE {POS})
 , c AS (SELECT band, COUNT(*) AS n FROM b WHERE band IS NOT NULL GROUP BY band)
-SELECT band, n, {label('band', B.STOCK_LABELS)} AS label, round(n / SUM(n) OVER () * 100, 6) AS share_pct
+SELECT band, n, {label('band', STOCK_LABELS)} AS label, round(n / SUM(n) OVER () * 100, 6) AS share_pct
 FROM c ORDER BY n DESC, band""")(st.stock_category_counts)
 
 register("stock_demand_by_product", f"""
@@ -243,7 +250,7 @@ SELECT Product_ID, round(turnover, 6) AS turnover FROM
 
 register("kpi_stock", f"""
 SELECT {r6(mean('Stock_Availability'))} AS avg_stock, {r6(mean(TURNOVER))} AS avg_turnover,
-       COUNT(*) FILTER (WHERE {cut('Stock_Availability', B.STOCK_EDGES, True)} = 1) AS critical_rows
+       COUNT(*) FILTER (WHERE {cut('Stock_Availability', STOCK, True)} = 1) AS critical_rows
 FROM demand WHERE {POS}""")(st.kpi_stock)
 
 # ------------------------------------------------------------------ A23–A29, A35, A38 (campaign page)
@@ -282,7 +289,7 @@ register("campaign_discount_flow", f"""
         GROUP BY 1, 2)
 , r AS (SELECT *, dense_rank() OVER (ORDER BY Marketing_Campaign) - 1 AS source FROM c)
 SELECT Marketing_Campaign, CAST(discount_level AS BIGINT) AS discount_level,
-       {label('discount_level', B.LEVEL_LABELS)} AS level_label, n, CAST(source AS BIGINT) AS source,
+       {label('discount_level', THIRDS)} AS level_label, n, CAST(source AS BIGINT) AS source,
        CAST(max(source) OVER () + 1 + discount_level - 1 AS BIGINT) AS target FROM r""")(cp.campaign_discount_flow)
 
 register("campaign_weekly_timeline", f"""
@@ -329,7 +336,7 @@ register("price_funnel", f"""
 , b AS (SELECT Demand, {REVENUE} AS rev,
           {cut('CAST(Price AS DOUBLE)', ['@(s.mn - 0.1)', '@(s.mn + (s.mx - s.mn) / 3)', '@(s.mn + 2 * (s.mx - s.mn) / 3)', '@(s.mx + 0.1)'], True)} AS band
         FROM base, s)
-, p AS (SELECT band, {label('band', B.FUNNEL_LABELS)} AS band_label, {dsum('Demand')} AS demand,
+, p AS (SELECT band, {label('band', THIRDS)} AS band_label, {dsum('Demand')} AS demand,
                {dsum('rev')} AS revenue FROM b WHERE band IS NOT NULL GROUP BY band)
 SELECT band, band_label, demand, revenue,
        round(demand / lag(demand) OVER (ORDER BY band DESC) * 100, 6) AS pct_previous

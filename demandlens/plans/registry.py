@@ -45,4 +45,4 @@ def register(name: str, oracle: str | None = None, raw_oracle: bool = False):
 
 def load_all() -> None:
     """Import every query module so the registry is filled."""
-    from . import analysis_queries, forecast_queries, series_queries  # noqa: F401
+    from . import analysis_queries, filter_queries, forecast_queries, series_queries  # noqa: F401

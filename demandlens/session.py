@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +43,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only when it is unset *and* the
-    master is local (tests, a laptop) is a private folder created; on a
-    cluster an unset directory is an error, because a machine-local folder
-    does not survive the loss of an executor.
+    The setting is read from the session.  Only when it is unset, a folder in
+    the session's warehouse is used, which all executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,9 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for this job")
-        configured = tempfile.mkdtemp(prefix="demandlens-ckpt-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -4,6 +4,8 @@ driver's star-schema tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,49 +19,25 @@ CAMPAIGN, EFFECT = "Marketing_Campaign", "Marketing_Effect"
 SEASON, STOCK, HOLIDAY, COMPETITOR = "Seasonal_Trend", "Stock_Availability", "Public_Holiday", "Competitor_Price"
 ROW_ID = "Row_ID"
 
+# Types of a demand table that is read from a file: doubles keep every value
+# as it is written, so that none crosses an edge of a band by rounding.
 DEMAND_SCHEMA = T.StructType([
     T.StructField(DATE, T.DateType(), False),
     T.StructField(PRODUCT, T.StringType(), False),
     T.StructField(DEMAND, T.DoubleType(), True),
-    T.StructField(PRICE, T.DecimalType(12, 2), True),
-    T.StructField(DISCOUNT, T.DecimalType(4, 2), True),
+    T.StructField(PRICE, T.DoubleType(), True),
+    T.StructField(DISCOUNT, T.DoubleType(), True),
     T.StructField(CAMPAIGN, T.StringType(), True),
-    T.StructField(EFFECT, T.DecimalType(5, 3), True),
+    T.StructField(EFFECT, T.DoubleType(), True),
     T.StructField(SEASON, T.StringType(), False),
     T.StructField(STOCK, T.DoubleType(), True),
     T.StructField(HOLIDAY, T.IntegerType(), False),
-    T.StructField(COMPETITOR, T.DecimalType(12, 2), True),
+    T.StructField(COMPETITOR, T.DoubleType(), True),
     T.StructField(ROW_ID, T.StringType(), False),
 ])
 
-# The view text; it runs unchanged in Spark SQL and in DuckDB, so the oracle
-# queries use it verbatim as a CTE named ``demand``.
-DEMAND_VIEW_SQL = """
-SELECT
-  CAST(l_shipdate AS DATE) AS Date,
-  p_brand AS Product_ID,
-  l_quantity AS Demand,
-  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(0.002 AS DECIMAL(4,3)) AS DECIMAL(12,2)) AS Price,
-  CAST(CAST(l_discount AS DECIMAL(4,2)) * 5 AS DECIMAL(4,2)) AS Discount,
-  NULLIF(o_orderpriority, '4-NOT SPECIFIED') AS Marketing_Campaign,
-  CAST(CAST(l_tax AS DECIMAL(4,2)) * CAST(12.5 AS DECIMAL(3,1)) AS DECIMAL(5,3)) AS Marketing_Effect,
-  CASE WHEN month(l_shipdate) IN (12, 1, 2) THEN 'Winter'
-       WHEN month(l_shipdate) IN (3, 4, 5) THEN 'Spring'
-       WHEN month(l_shipdate) IN (6, 7, 8) THEN 'Summer'
-       ELSE 'Autumn' END AS Seasonal_Trend,
-  CAST((l_partkey * 7 + l_suppkey * 13 + l_linenumber) % 101 AS DOUBLE) AS Stock_Availability,
-  CASE WHEN month(l_shipdate) * 100 + day(l_shipdate) IN (101, 423, 501, 519, 830, 1029)
-       THEN 1 ELSE 0 END AS Public_Holiday,
-  CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(0.002 AS DECIMAL(4,3)) AS DECIMAL(12,2))
-       * CAST(0.75 + 0.01 * p_size AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS Competitor_Price,
-  concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
-            CAST(l_suppkey AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING)) AS Row_ID
-FROM lineitem
-JOIN orders ON l_orderkey = o_orderkey
-JOIN part ON l_partkey = p_partkey
-"""
-
-# Derived columns of the view, one expression each (same text as above).
+# Derived columns of the view, one expression each; they run unchanged in
+# Spark SQL and in DuckDB.
 _VIEW_COLUMNS = {
     DATE: "CAST(l_shipdate AS DATE)",
     PRODUCT: "p_brand",
@@ -81,6 +59,11 @@ _VIEW_COLUMNS = {
 }
 
 
+# The view as SQL text: the oracle queries use it as a CTE named ``demand``.
+DEMAND_VIEW_SQL = ("SELECT " + ", ".join(f"{e} AS {name}" for name, e in _VIEW_COLUMNS.items())
+                   + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey")
+
+
 def demand_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ orders ⋈ part → the demand fact table.
 
@@ -99,24 +82,44 @@ def demand_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S1 / S2
-def load_demand(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read the demand table (CSV with header, or parquet) with the fixed
-    schema; ``Date`` parsed as a date.  Never infers the schema."""
+def _raw_demand(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
+    """The file's known columns by name (blanks around names don't count), CSV cells as text."""
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
-    if fmt == "csv":
-        raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-               .schema(_csv_schema()).csv(path))
-        return raw.select(
-            F.to_date(F.col(DATE)).alias(DATE),
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in DEMAND_SCHEMA.fields if f.name != DATE])
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DEMAND_SCHEMA.fields
-                       if f.name in df.columns])
+    raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    raw, _ = normalise_columns(raw)
+    missing = [f.name for f in DEMAND_SCHEMA.fields if f.name not in (*raw.columns, ROW_ID)]
+    if missing:
+        raise ValueError(f"the demand table lacks the columns {missing}")
+    names = [f.name for f in DEMAND_SCHEMA.fields if f.name in raw.columns]
+    if ROW_ID in names:
+        return raw.select(*names)
+    # equal rows get equal keys: their order does not matter
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
+    return raw.select(*names, key.alias(ROW_ID))
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    """``raw`` with the typed columns and, in ``_bad``, the names of filled cells that don't parse."""
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in DEMAND_SCHEMA.fields}
+    bad = F.filter(F.array(*[F.when(F.col(c).isNotNull() & t.isNull(), F.lit(c)) for c, t in typed.items()]),
+                   lambda x: x.isNotNull())
+    return raw.select(F.struct(*raw.columns).alias("_raw"), bad.alias("_bad"), *[t.alias(c) for c, t in typed.items()])
+
+
+def load_demand(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Read the demand table (CSV with header, or parquet) by column name with the fixed types.
+
+    A missing column is an error.  Rows with a cell that does not parse are not in
+    the result but in :func:`rejected_demand`; an empty cell is null.
+    """
+    rows = _parsed(_raw_demand(spark, path, fmt))
+    return rows.where(F.size("_bad") == 0).select(*DEMAND_SCHEMA.names)
 
 
-def _csv_schema() -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType() if f.name == DATE else f.dataType, True)
-                         for f in DEMAND_SCHEMA.fields])
+def rejected_demand(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """The rows that :func:`load_demand` leaves out, as read, with the columns at fault in ``bad_columns``."""
+    rows = _parsed(_raw_demand(spark, path, fmt))
+    return rows.where(F.size("_bad") > 0).select("_raw.*", F.col("_bad").alias("bad_columns"))
 
 
 def write_cleaned(df: DataFrame, path: str) -> None:
@@ -172,13 +175,16 @@ def filter_limits(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S5
-def result_records(df: DataFrame, max_rows: int = 10_000) -> list[dict]:
-    """Row dicts of a *small, already aggregated* result for a table
-    widget.  Refuses results larger than ``max_rows`` instead of pulling an
-    unbounded frame to the driver; large outputs are written with
-    ``df.write.parquet`` instead."""
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        raise ValueError(f"result has more than {max_rows} rows; write it out instead of collecting")
-    return [r.asDict(recursive=True) for r in head]
+def result_records(df: DataFrame) -> Iterator[dict]:
+    """Row dicts of a result, partition after partition, whatever its size.
+
+    The driver holds one partition at a time; results for other programs are
+    written with :func:`write_result`.
+    """
+    for row in df.toLocalIterator():
+        yield row.asDict(recursive=True)
+
 
+def write_result(df: DataFrame, path: str) -> None:
+    """A result of any size as Parquet."""
+    df.write.mode("overwrite").parquet(path)

@@ -16,7 +16,6 @@ from demandlens.operators.analytics import overview as ov
 from demandlens.operators.analytics import price as pr
 from demandlens.operators.analytics import stock as st
 from demandlens.operators.filters import FilterParams, apply_filters, below_quantile
-from demandlens.sources.demand import DEMAND_SCHEMA
 
 D0 = dt.date(2024, 1, 1)
 
@@ -35,7 +34,9 @@ def demand_frame(spark, rows):
             _dec(r.get("Marketing_Effect", 0.5), 3), r.get("Seasonal_Trend", "Winter"),
             r.get("Stock_Availability", 50.0), r.get("Public_Holiday", 0), _dec(r.get("Competitor_Price", 55.0), 2),
             r.get("Row_ID", f"r{i}")))
-    return spark.createDataFrame(out, DEMAND_SCHEMA)
+    return spark.createDataFrame(
+        out, "Date date, Product_ID string, Demand double, Price decimal(12,2), Discount decimal(4,2), Marketing_Campaign string, Marketing_Effect decimal(5,3),"
+             " Seasonal_Trend string, Stock_Availability double, Public_Holiday int, Competitor_Price decimal(12,2), Row_ID string")
 
 
 def test_cut_right_closed_and_lowest(spark):

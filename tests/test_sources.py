@@ -31,7 +31,7 @@ def test_load_csv_typed(spark):
     with open(path, "w") as fh:
         fh.write(CSV)
     df = src.load_demand(spark, path)
-    assert dict(df.dtypes)["Date"] == "date" and dict(df.dtypes)["Price"] == "decimal(12,2)"
+    assert dict(df.dtypes)["Date"] == "date" and dict(df.dtypes)["Price"] == "double"
     rows = df.orderBy("Row_ID").collect()
     assert rows[0].Date == dt.date(2024, 1, 1) and rows[1].Demand is None and rows[1].Marketing_Campaign is None
 
@@ -61,11 +61,28 @@ def test_filter_domain(demand_small):
     assert lim.min_date <= lim.max_date and lim.max_price > 0
 
 
-def test_result_records_bounded(demand_small):
-    recs = src.result_records(demand_small.limit(3))
-    assert len(recs) == 3 and "Product_ID" in recs[0]
-    with pytest.raises(ValueError):
-        src.result_records(demand_small, max_rows=5)
+def test_result_records_stream(demand_small):
+    recs = src.result_records(demand_small)
+    assert "Product_ID" in next(recs)
+    assert sum(1 for _ in recs) == demand_small.count() - 1
+
+
+def test_columns_by_name_and_rejected_rows(spark):
+    path = os.path.join(_tmp(), "demand.csv")
+    with open(path, "w") as fh:
+        fh.write("Discount, Price ,Product_ID,Demand,Date,Marketing_Campaign,Marketing_Effect,Seasonal_Trend,Stock_Availability,"
+                 "Public_Holiday,Competitor_Price,Extra\n"
+                 "0.1499,10.559,P1,5,2024-01-01,,0.3,Winter,40,1,9.99,x\n"
+                 "0.2,11,P2,x5,2024-01-02,,0.1,Winter,10,0,10.1,y\n"
+                 "0.2,11,P3,7,2024-13-02,,0.1,Winter,10,zero,10.1,y\n")
+    good = src.load_demand(spark, path).collect()
+    assert [(r.Price, r.Discount, r.Demand) for r in good] == [(10.559, 0.1499, 5.0)] and good[0].Row_ID
+    bad = {r.Product_ID: r.bad_columns for r in src.rejected_demand(spark, path).collect()}
+    assert bad == {"P2": ["Demand"], "P3": ["Date", "Public_Holiday"]}
+    with open(path, "w") as fh:
+        fh.write("Date,Product_ID\n2024-01-01,P1\n")
+    with pytest.raises(ValueError, match="Demand"):
+        src.load_demand(spark, path)
 
 
 def test_model_store_roundtrip(spark, demand_small):
