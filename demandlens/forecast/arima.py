@@ -1,22 +1,27 @@
 """Unit-root test (M6), ARIMA order search (M7) and ARIMA forecast (M8).
 
-Every product's zero-filled daily series (J1) is handled at once.  Lags are
-window functions partitioned by product (a partition holds one product's
-days); all regressions are Gram aggregations (G) with a small per-key solve.
+Every product's zero-filled daily series (J1) is handled at once.  A series
+has one number per calendar day, so it is one bounded array: each product is
+one group of a grouped Arrow pass, its lags are shifted slices, and every
+input product gives at least one row with a ``status``.
 
 * M6 ``adf_test``: augmented Dickey–Fuller with a constant; the lag order is
   chosen by AIC over 0..maxlag on a common sample (maxlag =
   ⌈12·(n/100)^¼⌉), the statistic comes from a second regression with the
   chosen lag; p-value from MacKinnon's (1994) response surface, critical
-  values from MacKinnon (2010).
+  values from MacKinnon (2010).  Status: ``ok``, ``too_short``, ``constant``,
+  ``singular`` (the regressors are linearly dependent) or ``exact_fit`` (no
+  residual is left, so there is no statistic).
 * M7 ``ar_order_search``: re-aimed from 48 maximum-likelihood fits to the
   Hannan–Rissanen (1982) two-stage regression: a long AR gives innovation
-  estimates, then ARMA(p, q) for all p, q ≤ 3 are sub-blocks of one Gram
-  matrix per (product, d).  d ∈ {0, 1, 2} is searched on the raw series
-  (Q19); the lowest Gaussian AIC wins, ties to the first (p, d, q).
+  estimates, then ARMA(p, q) for all p, q ≤ 3 are fitted by least squares on
+  one sample per product, the same for d = 0, 1, 2 (Q19).  Orders whose AR
+  part is not stationary, whose MA part is not invertible, or whose
+  regressors are dependent are left out; the lowest Gaussian AIC wins, ties
+  to the first (p, d, q).  Products for which none is left get (1, 1, 1)
+  with zero coefficients, a random walk, and status ``fallback``.
 * M8 ``arima_forecast``: fitted values and a 30-day forecast from the chosen
-  model; the recursion is an ``aggregate`` fold over a state of 3 + 3 + 2
-  numbers per product.
+  model; both use the first-stage innovations.
 """
 
 from __future__ import annotations
@@ -24,15 +29,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
-from .gram import as_matrix, gram, lstsq_from_gram, solve_table
-from .series import daily_series, fill_calendar
+from .series import by_product, daily_series, fill_calendar
 
 P, D, Y = PRODUCT, DATE, DEMAND
 MAX_P, MAX_D, MAX_Q = 3, 2, 3
@@ -66,299 +70,245 @@ def mackinnon_crit(nobs: int) -> dict[str, float]:
     return {k: sum(c / nobs ** i for i, c in enumerate(v)) for k, v in CRIT_2010.items()}
 
 
-def _w(keys) -> Window:
-    return Window.partitionBy(*keys).orderBy(D)
+def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Coefficients, residual sum of squares and (XᵀX)⁻¹, or None if the columns are linearly dependent."""
+    if not x.shape[1]:
+        return np.zeros(0), float(y @ y), np.zeros((0, 0))
+    if len(y) < x.shape[1]:
+        return None
+    scale = np.sqrt((x * x).sum(0))
+    if not scale.all():
+        return None
+    gram = (x / scale).T @ (x / scale)
+    values, vectors = np.linalg.eigh(gram)
+    if values[0] <= 1e-10 * values[-1]:
+        return None
+    inverse = (vectors / values) @ vectors.T / np.outer(scale, scale)
+    beta = inverse @ (x.T @ y)
+    rest = y - x @ beta
+    return beta, float(rest @ rest), inverse
 
 
-def _max_scalar(df: DataFrame, col: str) -> int:
-    """One number to the driver: the widest lag set any key needs."""
-    v = df.agg(F.max(col)).first()[0]
-    return int(v or 0)
-
-
-# ------------------------------------------------------------------ M6
-def _adf_stack(filled: DataFrame, value: str) -> DataFrame:
-    """The level series and its first difference as two series per product."""
-    x = filled.withColumn("_d1", F.col(value) - F.lag(value, 1).over(_w([P])))
-    lev = x.select(P, D, F.lit("level").alias("series"), F.col(value).alias("v"))
-    dif = x.where(F.col("_d1").isNotNull()).select(P, D, F.lit("difference").alias("series"), F.col("_d1").alias("v"))
-    return lev.unionByName(dif)
-
-
-_ADF_SCHEMA = T.StructType([
-    T.StructField(P, T.StringType()), T.StructField("series", T.StringType()),
-    T.StructField("adf_statistic", T.DoubleType()), T.StructField("p_value", T.DoubleType()),
-    T.StructField("crit_1", T.DoubleType()), T.StructField("crit_5", T.DoubleType()),
-    T.StructField("crit_10", T.DoubleType()), T.StructField("used_lag", T.IntegerType()),
-    T.StructField("nobs", T.IntegerType()), T.StructField("is_stationary", T.BooleanType())])
+def gaussian_aic(ssr: float, n: int, k: int) -> float:
+    return n * (math.log(2 * math.pi * ssr / n) + 1) + 2 * k
 
 
 def filled_series(df: DataFrame, value: str = Y) -> DataFrame:
-    """J1 series written once to the checkpoint folder: the multi-pass fits
-    below then read products × days rows instead of re-joining the fact
-    tables for every pass."""
+    """J1 series written once to the checkpoint folder."""
     return cut_lineage(fill_calendar(daily_series(df), value))
 
 
-def adf_test(df: DataFrame, value: str = Y) -> DataFrame:
-    """M6 on every product's zero-filled series and on its first difference."""
-    return adf_on_series(_adf_stack(filled_series(df, value), value))
-
-
-def adf_on_series(s: DataFrame) -> DataFrame:
-    """ADF per (product, series) of a frame ``(Product_ID, series, Date, v)``."""
-    keys = [P, "series"]
-    w = _w(keys)
-    x = (s.withColumn("_t", F.row_number().over(w) - 1)
-         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-         .withColumn("_ml", F.least(F.floor(F.col("_n") / 2) - 2,
-                                    F.ceil(12.0 * F.pow(F.col("_n") / 100.0, 0.25))).cast("int")))
-    K = max(_max_scalar(x, "_ml"), 0)
-    x = x.withColumn("dy", F.col("v") - F.lag("v", 1).over(w)).withColumn("ylag", F.lag("v", 1).over(w))
-    lag_cols = [f"dl{k}" for k in range(1, K + 1)]
-    # lags of the difference, 0 where the series has not started yet (such
-    # entries only ever meet lag orders the key does not use)
-    dy0 = F.coalesce(F.col("dy"), F.lit(0.0))
-    x = x.withColumns({c: F.lag(dy0, k, 0.0).over(w) for k, c in enumerate(lag_cols, start=1)})
-    # the lagged frame feeds two Gram passes and a join with their results:
-    # write it once to the shared checkpoint folder so the plans stay flat
-    x = cut_lineage(x)
-    cols = ["ylag"] + lag_cols + ["dy"]
-    k = len(cols) + 1
-    meta = x.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_ml").alias("_ml"))
-
-    # pass 1: common sample, every lag order 0..maxlag, AIC
-    s1 = x.where(F.col("_t") >= F.col("_ml") + 1)
-    g1 = gram(s1, keys, cols).join(meta, keys)
-    sel_schema = T.StructType([T.StructField(P, T.StringType()), T.StructField("series", T.StringType()),
-                               T.StructField("_lag", T.IntegerType())])
-
-    def pick(row):
-        G = as_matrix(row["g"], k)
-        nobs = float(row["n"])
-        best = None
-        for L in range(0, int(row["_ml"]) + 1):
-            _, ssr = lstsq_from_gram(G, range(0, L + 2), k - 1)
-            if ssr <= 0 or nobs <= 0:
-                continue
-            llf = -nobs / 2 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
-            aic = -2 * llf + 2 * (L + 2)
+# ------------------------------------------------------------------ M6
+_ADF_SCHEMA = (f"{P} string, series string, adf_statistic double, p_value double, crit_1 double, crit_5 double, crit_10 double,"
+               " used_lag int, nobs int, is_stationary boolean, status string")
+
+
+def adf(v: np.ndarray, max_lag: int | None = None) -> dict:
+    """The test on one series; ``max_lag`` overrides the usual bound."""
+    out = dict.fromkeys(("adf_statistic", "p_value", "crit_1", "crit_5", "crit_10", "used_lag", "nobs", "is_stationary"))
+    n = len(v)
+    top = min(n // 2 - 2, math.ceil(12 * (n / 100) ** 0.25)) if max_lag is None else max_lag
+    if top < 0 or n < 4:
+        return out | {"status": "too_short"}
+    if (v == v[0]).all():
+        return out | {"status": "constant"}
+    dy = np.diff(v)
+
+    def design(lag: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the differences from ``first`` on: constant, level before, the ``lag`` differences before."""
+        cols = [np.ones(len(dy) - first), v[first:-1], *(dy[first - k:len(dy) - k] for k in range(1, lag + 1))]
+        return np.column_stack(cols), dy[first:]
+
+    full, y = design(top, top)
+    best = None
+    for lag in range(top + 1):
+        found = least_squares(full[:, :lag + 2], y)
+        if found and found[1] <= 1e-12 * float(y @ y):
+            return out | {"status": "exact_fit"}
+        if found:
+            aic = gaussian_aic(found[1], len(y), lag + 2)
             if best is None or aic < best[0]:
-                best = (aic, L)
-        return {P: row[P], "series": row["series"], "_lag": None if best is None else best[1]}
-
-    chosen = solve_table(g1, pick, sel_schema)
-
-    # pass 2: sample from the chosen lag on, statistic of the level coefficient
-    s2 = x.join(chosen, keys).where(F.col("_t") >= F.col("_lag") + 1)
-    g2 = gram(s2, keys, cols).join(chosen, keys)
-
-    def stat(row):
-        out = {P: row[P], "series": row["series"], "adf_statistic": None, "p_value": None, "crit_1": None,
-               "crit_5": None, "crit_10": None, "used_lag": None, "nobs": None, "is_stationary": None}
-        L = row["_lag"]
-        if L is None:
-            return out
-        G = as_matrix(row["g"], k)
-        nobs = int(row["n"])
-        idx = list(range(0, L + 2))
-        beta, ssr = lstsq_from_gram(G, idx, k - 1)
-        dof = nobs - len(idx)
-        if dof <= 0 or ssr <= 0:
-            return out
-        cov = (ssr / dof) * np.linalg.pinv(G[np.ix_(idx, idx)])
-        tau = float(beta[1] / math.sqrt(cov[1, 1]))
-        crit = mackinnon_crit(nobs)
-        pv = mackinnon_p(tau)
-        out.update({"adf_statistic": tau, "p_value": pv, "crit_1": crit["1%"], "crit_5": crit["5%"],
-                    "crit_10": crit["10%"], "used_lag": int(L), "nobs": nobs, "is_stationary": bool(pv < 0.05)})
-        return out
-
-    return solve_table(g2, stat, _ADF_SCHEMA)
+                best = (aic, lag)
+    if best is None:
+        return out | {"status": "singular"}
+    lag = best[1]
+    x, y = design(lag, lag)
+    found = least_squares(x, y)
+    free = len(y) - x.shape[1]
+    if found is None or free <= 0:
+        return out | {"status": "singular" if found is None else "too_short"}
+    if found[1] <= 1e-12 * float(y @ y):
+        return out | {"status": "exact_fit"}
+    tau = float(found[0][1] / math.sqrt(found[1] / free * found[2][1, 1]))
+    crit, p = mackinnon_crit(len(y)), mackinnon_p(tau)
+    return {"adf_statistic": tau, "p_value": p, "crit_1": crit["1%"], "crit_5": crit["5%"], "crit_10": crit["10%"], "used_lag": lag,
+            "nobs": len(y), "is_stationary": bool(p < 0.05), "status": "ok"}
+
+
+def _adf_rows(max_lag: int | None):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(D)["v"].to_numpy(dtype=float)
+        rows = [{"series": "level"} | adf(v, max_lag), {"series": "difference"} | adf(np.diff(v), max_lag)]
+        return pd.DataFrame([{P: pdf[P].iloc[0]} | r for r in rows])
+    return run
+
+
+def adf_on_series(filled: DataFrame, value: str = Y, max_lag: int | None = None) -> DataFrame:
+    """ADF of every product's series and of its first difference, a row each."""
+    return filled.select(P, D, F.col(value).cast("double").alias("v")).groupBy(P).applyInPandas(_adf_rows(max_lag), _ADF_SCHEMA)
+
+
+def adf_test(df: DataFrame, value: str = Y, max_lag: int | None = None) -> DataFrame:
+    """M6 on every product's zero-filled series and on its first difference."""
+    return adf_on_series(fill_calendar(daily_series(df), value), value, max_lag)
 
 
 # ------------------------------------------------------------------ M7
 def _differenced(filled: DataFrame, value: str) -> DataFrame:
     """Rows ``(Product_ID, d, Date, y, w)`` for d = 0, 1, 2 (w = Δ^d y)."""
-    w = _w([P])
-    x = filled.withColumn("_t", F.row_number().over(w) - 1) \
-        .withColumn("_y1", F.lag(value, 1).over(w)).withColumn("_y2", F.lag(value, 2).over(w))
-    x = x.withColumn("_w1", F.col(value) - F.col("_y1")) \
-         .withColumn("_w2", F.col(value) - 2 * F.col("_y1") + F.col("_y2"))
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(MAX_D))).alias("d"))
-    x = x.withColumn("w", F.when(F.col("d") == 0, F.col(value)).when(F.col("d") == 1, F.col("_w1"))
-                     .otherwise(F.col("_w2")))
-    return x.where(F.col("_t") >= F.col("d")).select(P, "d", D, "_t", F.col(value).alias("y"), "_y1", "_y2", "w")
-
-
-def _long_ar_order(n_eff: Column) -> Column:
-    """Initial AR order of the first stage: max(⌊ln(n)²⌋, 2·max(p, q)), kept
-    below a third of the sample."""
-    m = F.greatest(F.floor(F.pow(F.log(n_eff), 2)), F.lit(2 * max(MAX_P, MAX_Q)))
-    return F.least(m, F.greatest(F.floor((n_eff - 1) / 3), F.lit(1))).cast("int")
-
-
-_CAND_SCHEMA = T.StructType([
-    T.StructField(P, T.StringType()), T.StructField("d", T.IntegerType()),
-    T.StructField("cands", T.ArrayType(T.StructType([
-        T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType()),
-        T.StructField("aic", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))])))])
-
-
-def hannan_rissanen(filled: DataFrame, value: str = Y) -> tuple[DataFrame, DataFrame]:
-    """Both stages for every (product, d).  Returns ``(stage2, candidates)``:
-    the stage-2 frame (with lags of w and of the innovations) and one row per
-    (product, d, p, q) with its AIC and coefficients ``[c, φ1..3, θ1..3]``."""
-    keys = [P, "d"]
-    x = _differenced(filled, value)
-    wk = _w(keys)
-    x = x.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    x = x.withColumn("_m", _long_ar_order(F.col("_n").cast("double")))
-    M = max(_max_scalar(x, "_m"), MAX_P)
-    wl = [f"wl{i}" for i in range(1, M + 1)]
-    w0 = F.coalesce(F.col("w"), F.lit(0.0))
-    x = x.withColumns({c: F.lag(w0, i, 0.0).over(wk) for i, c in enumerate(wl, start=1)})
-    x = cut_lineage(x.withColumn("_pos", F.col("_t") - F.col("d")))
-
-    # stage 1: long AR(m) by OLS on rows with all m lags
-    s1 = x.where(F.col("_pos") >= F.col("_m"))
-    k1 = M + 2
-    g1 = gram(s1, keys, wl + ["w"]).join(x.groupBy(*keys).agg(F.first("_m").alias("_m")), keys)
-    ar_schema = T.StructType([T.StructField(P, T.StringType()), T.StructField("d", T.IntegerType()),
-                              T.StructField("_a", T.ArrayType(T.DoubleType()))])
-
-    def stage1(row):
-        m = int(row["_m"])
-        beta, _ = lstsq_from_gram(as_matrix(row["g"], k1), range(0, m + 1), k1 - 1)
-        a = np.zeros(M + 1)
-        a[: m + 1] = beta
-        return {P: row[P], "d": int(row["d"]), "_a": [float(v) for v in a]}
-
-    ar = solve_table(g1, stage1, ar_schema)
-    x = x.join(ar, keys)
-    pred = F.element_at("_a", 1)
-    for i, c in enumerate(wl, start=1):
-        pred = pred + F.element_at("_a", i + 1) * F.col(c)
-    x = x.withColumn("e", F.when(F.col("_pos") >= F.col("_m"), F.col("w") - pred))
-    el = ["el1", "el2", "el3"]
-    x = x.withColumns({c: F.lag("e", i).over(wk) for i, c in enumerate(el, start=1)})
-    stage2 = cut_lineage(x.drop(*wl[MAX_P:], "_a"))
-
-    # stage 2: ARMA(p, q) sub-blocks of one Gram per (product, d)
-    s2 = stage2.na.drop(subset=["wl1", "wl2", "wl3", "el1", "el2", "el3", "w"])
-    cols = ["wl1", "wl2", "wl3", "el1", "el2", "el3", "w"]
-    g2 = gram(s2, keys, cols)
-
-    def stage2_fit(row):
-        G = as_matrix(row["g"], 8)
-        n = float(row["n"])
-        d = int(row["d"])
-        out = []
+    w = by_product()
+    x = filled.select(P, D, F.col(value).alias("y"), (F.row_number().over(w) - 1).alias("_t"), F.lag(value, 1).over(w).alias("_y1"),
+                      F.lag(value, 2).over(w).alias("_y2"))
+    x = x.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(MAX_D))))
+    y = F.col("y")
+    diff = F.when(F.col("d") == 0, y).when(F.col("d") == 1, y - F.col("_y1")).otherwise(y - 2 * F.col("_y1") + F.col("_y2"))
+    return x.withColumn("w", diff).where(F.col("_t") >= F.col("d")).select(P, "d", D, "y", "w")
+
+
+def long_ar_order(n: int) -> int:
+    """Order of the first stage: max(⌊ln(n)²⌋, 2·max(p, q)), kept below a third of the sample."""
+    return int(min(max(math.floor(math.log(n) ** 2), 2 * max(MAX_P, MAX_Q)), max((n - 1) // 3, 1)))
+
+
+def _stable(coef: np.ndarray) -> bool:
+    """Whether 1 − c₁z − c₂z² − … has all roots outside the unit circle."""
+    return not coef.any() or bool((np.abs(np.roots(np.concatenate([[1.0], -coef]))) < 1 - 1e-6).all())
+
+
+class Fits:
+    """All candidate orders of one series.  ``table``: (aic, p, d, q, coef) with coef = [c, φ1..3, θ1..3]."""
+
+    def __init__(self, y: np.ndarray):
+        self.y, n = y, len(y)
+        m = long_ar_order(n) if n > 1 else 1
+        self.first = MAX_D + m + MAX_Q
+        self.innovations: dict[int, np.ndarray] = {}
+        self.table: list[tuple] = []
+        for d in range(MAX_D + 1):
+            w = np.concatenate([np.zeros(d), np.diff(y, d)]) if n > d else np.zeros(n)
+            e = np.zeros(n)
+            rows = np.arange(d + m, n)
+            if len(rows):
+                x = np.column_stack([np.ones(len(rows)), *(w[rows - k] for k in range(1, m + 1))])
+                found = least_squares(x, w[rows])
+                beta = found[0] if found else np.linalg.lstsq(x, w[rows], rcond=None)[0]
+                e[rows] = w[rows] - x @ beta
+            self.innovations[d] = e
+            self._fit(d, w, e, np.arange(self.first, n))
+
+    def _fit(self, d: int, w: np.ndarray, e: np.ndarray, rows: np.ndarray) -> None:
+        if len(rows) < MAX_P + MAX_Q + 2:
+            return
+        full = np.column_stack([np.ones(len(rows)), *(w[rows - k] for k in range(1, MAX_P + 1)), *(e[rows - k] for k in range(1, MAX_Q + 1))])
         for p in range(MAX_P + 1):
             for q in range(MAX_Q + 1):
-                feat = ([0] if d == 0 else []) + list(range(1, p + 1)) + list(range(4, 4 + q))
-                if feat:
-                    beta, ssr = lstsq_from_gram(G, feat, 7)
-                else:
-                    beta, ssr = np.zeros(0), float(G[7, 7])
-                coef = np.zeros(7)
-                for f, b in zip(feat, beta):
-                    coef[f] = b
-                if ssr <= 0 or n <= 0:
-                    aic = None
-                else:
-                    s2_ = ssr / n
-                    llf = -n / 2 * (math.log(2 * math.pi * s2_) + 1)
-                    aic = -2 * llf + 2 * (p + q + 1 + (1 if d == 0 else 0))
-                out.append({"p": p, "q": q, "aic": aic, "coef": [float(v) for v in coef]})
-        return {P: row[P], "d": d, "cands": out}
-
-    cands = solve_table(g2, stage2_fit, _CAND_SCHEMA)
-    cands = cands.select(P, "d", F.explode("cands").alias("c")).select(
-        P, "d", F.col("c.p").alias("p"), F.col("c.q").alias("q"), F.col("c.aic").alias("aic"),
-        F.col("c.coef").alias("coef"))
-    return stage2, cands
+                use = [0] * (d == 0) + list(range(1, p + 1)) + list(range(1 + MAX_P, 1 + MAX_P + q))
+                found = least_squares(full[:, use], w[rows])
+                # an exact fit (a constant or a straight line) has no likelihood
+                if found is None or found[1] <= 1e-12 * float(self.y @ self.y):
+                    continue
+                coef = np.zeros(1 + MAX_P + MAX_Q)
+                coef[use] = found[0]
+                if _stable(coef[1:1 + MAX_P]) and _stable(-coef[1 + MAX_P:]):
+                    self.table.append((gaussian_aic(found[1], len(rows), p + q + 1 + (d == 0)), p, d, q, coef))
+
+    def best(self) -> tuple:
+        """Lowest AIC, ties to the first (p, d, q); a random walk where nothing could be fitted."""
+        if self.table:
+            return min(self.table, key=lambda c: c[:4])
+        return None, 1, 1, 1, np.zeros(1 + MAX_P + MAX_Q)
+
+    def run(self, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fitted values (nan where the sample has not begun) and the next ``horizon`` values of the best order."""
+        _, _, d, _, coef = self.best()
+        y, n = self.y, len(self.y)
+        pad = MAX_D + MAX_P
+        level = np.concatenate([np.full(pad, y[0] if d else 0.0), y, np.zeros(horizon)])
+        e = np.concatenate([np.zeros(pad), self.innovations[d], np.zeros(horizon)])
+        w = level.copy()
+        for _ in range(d):
+            w = np.concatenate([[0.0], np.diff(w)])
+
+        def ahead(t: int) -> float:
+            step = coef[0] + sum(coef[k] * w[t - k] + coef[MAX_P + k] * e[t - k] for k in range(1, MAX_P + 1))
+            return step + (0.0, level[t - 1], 2 * level[t - 1] - level[t - 2])[d]
+
+        start = self.first if self.table else d
+        fitted = np.full(n, np.nan)
+        for t in range(start, n):
+            fitted[t] = ahead(t + pad)
+        for t in range(n + pad, n + pad + horizon):
+            level[t] = ahead(t)
+            w[t] = level[t] - (0.0, level[t - 1], 2 * level[t - 1] - level[t - 2])[d]
+        return fitted, level[n + pad:]
+
+
+def _series(pdf: pd.DataFrame) -> tuple[str, pd.Series, np.ndarray]:
+    pdf = pdf.sort_values(D)
+    return pdf[P].iloc[0], pdf[D], pdf["v"].to_numpy(dtype=float)
+
+
+def _grouped(filled: DataFrame, value: str):
+    return filled.select(P, D, F.col(value).cast("double").alias("v")).groupBy(P)
+
+
+def order_candidates(filled: DataFrame, value: str = Y) -> DataFrame:
+    """Every candidate that could be fitted: product, p, d, q, aic, coef ([c, φ1..3, θ1..3])."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, _, y = _series(pdf)
+        return pd.DataFrame([{P: name, "p": p, "d": d, "q": q, "aic": aic, "coef": coef.tolist()} for aic, p, d, q, coef in Fits(y).table],
+                            columns=[P, "p", "d", "q", "aic", "coef"])
+    return _grouped(filled, value).applyInPandas(run, f"{P} string, p int, d int, q int, aic double, coef array<double>")
 
 
 def ar_order_search(df: DataFrame, value: str = Y) -> DataFrame:
-    """M7: per product the (p, d, q) with the lowest AIC."""
-    _, cands = hannan_rissanen(filled_series(df, value), value)
-    return choose_order(cands)
-
-
-def choose_order(cands: DataFrame) -> DataFrame:
-    """Lowest AIC; ties go to the first order in (p, d, q) loop order;
-    products without any fit fall back to (1, 1, 1)."""
-    ok = cands.where(F.col("aic").isNotNull())
-    best = ok.groupBy(P).agg(F.min_by(F.struct("p", "d", "q", "aic", "coef"),
-                                      F.struct("aic", "p", "d", "q")).alias("b"))
-    best = best.select(P, "b.p", "b.d", "b.q", "b.aic", "b.coef")
-    fallback = cands.where((F.col("p") == 1) & (F.col("d") == 1) & (F.col("q") == 1)) \
-        .join(best.select(P), P, "left_anti").select(P, "p", "d", "q", "aic", "coef")
-    return best.unionByName(fallback)
+    """M7: per product the (p, d, q) with the lowest AIC, one row for every product."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, _, y = _series(pdf)
+        fits = Fits(y)
+        aic, p, d, q, coef = fits.best()
+        return pd.DataFrame([{P: name, "p": p, "d": d, "q": q, "aic": aic, "coef": coef.tolist(), "status": "ok" if fits.table else "fallback"}])
+    return _grouped(fill_calendar(daily_series(df), value), value).applyInPandas(run, f"{P} string, p int, d int, q int, aic double, coef array<double>, status string")
 
 
 # ------------------------------------------------------------------ M8
-def _arma_pred(coef: str, w: list[Column], e: list[Column]) -> Column:
-    out = F.element_at(coef, 1)
-    for i in range(3):
-        out = out + F.element_at(coef, i + 2) * w[i] + F.element_at(coef, i + 5) * e[i]
-    return out
-
-
-def _fitted_frame(df: DataFrame, value: str = Y) -> tuple[DataFrame, DataFrame]:
-    stage2, cands = hannan_rissanen(filled_series(df, value), value)
-    best = choose_order(cands)
-    s = stage2.join(best.select(P, "d", "coef", F.col("p").alias("_p"), F.col("q").alias("_q")), [P, "d"])
-    s = s.na.drop(subset=["wl1", "wl2", "wl3", "el1", "el2", "el3", "w"])
-    what = _arma_pred("coef", [F.col(c) for c in ("wl1", "wl2", "wl3")], [F.col(c) for c in ("el1", "el2", "el3")])
-    s = s.withColumn("w_hat", what).withColumn("eps", F.col("w") - F.col("w_hat"))
-    level = F.when(F.col("d") == 0, F.lit(0.0)).when(F.col("d") == 1, F.col("_y1")) \
-        .otherwise(2 * F.col("_y1") - F.col("_y2"))
-    s = s.withColumn("fitted", F.col("w_hat") + level)
-    return s, best
+def _runs(df: DataFrame, horizon: int, value: str) -> DataFrame:
+    """Fitted and forecast rows of every product from its best order."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, days, y = _series(pdf)
+        fits = Fits(y)
+        aic, p, d, q, _ = fits.best()
+        fitted, ahead = fits.run(horizon)
+        days = pd.to_datetime(days)
+        seen = ~np.isnan(fitted)
+        out = pd.concat([pd.DataFrame({D: days[seen], "kind": "fitted", "value": fitted[seen], "actual": y[seen]}),
+                         pd.DataFrame({D: days.iloc[-1] + pd.to_timedelta(np.arange(1, horizon + 1), unit="D"), "kind": "forecast", "value": ahead, "actual": np.nan})])
+        out[D] = out[D].dt.date
+        return out.assign(**{P: name, "p": p, "d": d, "q": q, "aic": aic, "status": "ok" if fits.table else "fallback"})[
+            [P, D, "kind", "value", "actual", "p", "d", "q", "aic", "status"]]
+    schema = f"{P} string, {D} date, kind string, value double, actual double, p int, d int, q int, aic double, status string"
+    return _grouped(fill_calendar(daily_series(df), value), value).applyInPandas(run, schema)
 
 
 def arima_forecast(df: DataFrame, horizon: int = 30, value: str = Y) -> DataFrame:
-    """M8: ``(Product_ID, Date, kind, value)`` fitted and forecast rows, with
-    the chosen order in ``order``."""
-    s, best = _fitted_frame(df, value)
+    """M8: ``(Product_ID, Date, kind, value)`` fitted and forecast rows, with the chosen order in ``order`` and ``status``."""
     order = F.concat_ws(",", F.col("p").cast("string"), F.col("d").cast("string"), F.col("q").cast("string"))
-    fitted = s.join(best.select(P, order.alias("order")), P).select(
-        P, D, F.lit("fitted").alias("kind"), F.col("fitted").alias("value"), "order")
-    wlast = Window.partitionBy(P).orderBy(F.desc(D))
-    tail = s.withColumn("_rn", F.row_number().over(wlast)).where(F.col("_rn") <= 3)
-    state = tail.groupBy(P).agg(
-        F.max(D).alias("last_date"),
-        F.expr("transform(sort_array(collect_list(struct(Date, w))), s -> s.w)").alias("wh"),
-        F.expr("transform(sort_array(collect_list(struct(Date, eps))), s -> s.eps)").alias("eh"),
-        F.expr("transform(sort_array(collect_list(struct(Date, y))), s -> s.y)").alias("yh"))
-    state = state.join(best, P)
-
-    init = F.struct(F.col("wh").alias("wh"), F.col("eh").alias("eh"), F.slice("yh", -2, 2).alias("yh"),
-                    F.array().cast("array<double>").alias("out"))
-
-    def step(acc, h):
-        wv = [F.element_at(acc["wh"], -i) for i in (1, 2, 3)]
-        ev_ = [F.element_at(acc["eh"], -i) for i in (1, 2, 3)]
-        wn = _arma_pred("coef", wv, ev_)
-        yl1, yl2 = F.element_at(acc["yh"], -1), F.element_at(acc["yh"], -2)
-        yn = F.when(F.col("d") == 0, wn).when(F.col("d") == 1, wn + yl1).otherwise(wn + 2 * yl1 - yl2)
-        return F.struct(F.slice(F.concat(acc["wh"], F.array(wn)), -3, 3).alias("wh"),
-                        F.slice(F.concat(acc["eh"], F.array(F.lit(0.0))), -3, 3).alias("eh"),
-                        F.slice(F.concat(acc["yh"], F.array(yn)), -2, 2).alias("yh"),
-                        F.concat(acc["out"], F.array(yn)).alias("out"))
-
-    folded = state.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, step))
-    fut = folded.select(P, "last_date", order.alias("order"), F.posexplode(F.col("_f")["out"]).alias("_pos", "value"))
-    fut = fut.select(P, F.date_add("last_date", F.col("_pos") + 1).alias(D), F.lit("forecast").alias("kind"),
-                     "value", "order")
-    return fitted.unionByName(fut)
+    return _runs(df, horizon, value).select(P, D, "kind", "value", order.alias("order"), "status")
 
 
 def arima_metrics(df: DataFrame, value: str = Y) -> DataFrame:
-    """M10 for M8 on the zero-filled series; MAPE skips zero days (Q20)."""
-    s, best = _fitted_frame(df, value)
-    pairs = s.select(P, F.col("y").alias("actual"), "fitted")
-    m = ev.forecast_metrics(pairs, skip_zero_mape=True)
-    return m.join(best.select(P, "p", "d", "q", "aic"), P)
+    """M10 for M8 on the zero-filled series; MAPE skips zero days (Q20).  Products with one day have no fitted value: no metrics, but a row."""
+    rows = cut_lineage(_runs(df, 1, value))
+    pairs = rows.where("kind = 'fitted'").select(P, "actual", F.col("value").alias("fitted"))
+    best = rows.where("kind = 'forecast'").select(P, "p", "d", "q", "aic", "status")
+    return best.join(ev.forecast_metrics(pairs, skip_zero_mape=True), P, "left")

@@ -3,10 +3,11 @@
 For every key (usually the product) the Gram matrix ``ZᵀZ`` of
 ``Z = [1, x₁ … x_p, y]`` is an ordinary distributed aggregation: rows are
 reduced map-side, so a key holding a third of the rows still ships one
-partial matrix per task.  Narrow designs use one SQL ``sum`` per matrix
-entry (JVM, whole-stage codegen); wide designs (ADF lag sets, the seasonal
-model) compute partial Gram blocks per Arrow batch with ``mapInPandas`` and
-merge them with a grouped sum over (key, entry).
+partial matrix per task.  :func:`gram` has one SQL ``sum`` per entry of the
+upper triangle (JVM, whole-stage codegen) and suits the models with a
+handful of columns; :func:`gram_blocks` suits the seasonal model with its
+fixed 62: each Arrow batch gives one partial upper triangle per key, merged
+by a grouped sum.  The caller chooses by its model, never by the data.
 
 Only the p×p solve runs in Python, in :func:`solve_table`, one row per key.
 """
@@ -21,13 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SQL_ENTRIES_MAX = 120
 
-
-def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """``(keys…, n, g)`` with ``g`` the row-major k×k Gram matrix of
-    ``[1, cols…]`` (k = len(cols) + 1) over rows where no column is null."""
-    keys, cols = list(keys), list(cols)
+def _complete(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     types = dict(df.dtypes)
     data = df.select(*keys, *[F.col(c) if types[c] == "double" else F.col(c).cast("double").alias(c) for c in cols])
     # one IsNotNull per column (a single n-column null test would make the
@@ -35,70 +31,55 @@ def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     keep = F.lit(True)
     for c in cols:
         keep = keep & F.col(c).isNotNull()
-    data = data.where(keep)
-    k = len(cols) + 1
-    if k * (k + 1) // 2 <= SQL_ENTRIES_MAX:
-        z = [F.lit(1.0)] + [F.col(c) for c in cols]
-        sums = []
-        for i in range(k):
-            for j in range(i, k):
-                sums.append(F.sum(z[i] * z[j]).alias(f"_g{i}_{j}"))
-        agg = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-        entries = [F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)]
-        return agg.select(*keys, "n", F.array(*entries).alias("g"))
-    return _gram_partial(data, keys, cols)
+    return data.where(keep)
 
 
-PARTIAL_KEYS_MAX = 512  # keys held per task before a partial block is emitted (~k² doubles each)
+def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``(keys…, n, g)`` with ``g`` the row-major k×k Gram matrix of
+    ``[1, cols…]`` (k = len(cols) + 1) over rows where no column is null."""
+    keys, cols = list(keys), list(cols)
+    k = len(cols) + 1
+    z = [F.lit(1.0)] + [F.col(c) for c in cols]
+    sums = [F.sum(z[i] * z[j]).alias(f"_g{i}_{j}") for i in range(k) for j in range(i, k)]
+    agg = _complete(df, keys, cols).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+    entries = [F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)]
+    return agg.select(*keys, "n", F.array(*entries).alias("g"))
 
 
-def _gram_partial(data: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+def gram_blocks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The same as :func:`gram` for wide designs: a partial upper triangle per key and Arrow batch."""
+    keys, cols = list(keys), list(cols)
+    data = _complete(df, keys, cols)
     k = len(cols) + 1
-    schema = T.StructType([*(data.schema[c] for c in keys),
-                           T.StructField("_e", T.IntegerType()), T.StructField("_v", T.DoubleType())])
-    entries = np.arange(-1, k * k, dtype=np.int32)  # -1 carries the row count
-
-    def emit(acc):
-        kv = list(acc.keys())
-        vals = np.stack([np.concatenate([[n], g.ravel()]) for n, g in acc.values()])
-        frame = pd.DataFrame({"_e": np.tile(entries, len(kv)), "_v": vals.ravel()})
-        for i, name in enumerate(keys):
-            frame[name] = np.repeat(np.array([t[i] for t in kv], dtype=object), len(entries))
-        return frame[[*keys, "_e", "_v"]]
+    upper = np.triu_indices(k)
+    schema = T.StructType([*(data.schema[c] for c in keys), T.StructField("_n", T.LongType()),
+                           T.StructField("_u", T.ArrayType(T.DoubleType()))])
 
     def partial(batches):
-        # partial Gram blocks per key, summed over all batches of the task
-        acc: dict = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
+            rows = []
             for kv, grp in pdf.groupby(keys, sort=False, dropna=False):
-                kv = kv if isinstance(kv, tuple) else (kv,)
-                z = np.column_stack([np.ones(len(grp))] + [grp[c].to_numpy(dtype=float) for c in cols])
-                n, g = acc.get(kv, (0.0, 0.0))
-                acc[kv] = (n + len(grp), g + z.T @ z)
-            if len(acc) >= PARTIAL_KEYS_MAX:
-                yield emit(acc)
-                acc = {}
-        if acc:
-            yield emit(acc)
-
-    long = data.mapInPandas(partial, schema).groupBy(*keys, "_e").agg(F.sum("_v").alias("_v"))
-    packed = long.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_e", "_v"))).alias("_s"))
-    return packed.select(*keys, F.element_at("_s", 1)["_v"].cast("long").alias("n"),
-                         F.expr("transform(slice(_s, 2, size(_s) - 1), s -> s._v)").alias("g"))
-
-
-def solve_table(table: DataFrame, fn: Callable[[pd.Series], dict], schema: T.StructType) -> DataFrame:
+                z = np.column_stack([np.ones(len(grp)), grp[cols].to_numpy(dtype=float)])
+                rows.append((*(kv if isinstance(kv, tuple) else (kv,)), len(grp), (z.T @ z)[upper]))
+            yield pd.DataFrame(rows, columns=[*keys, "_n", "_u"])
+
+    parts = data.mapInPandas(partial, schema).select(*keys, "_n", F.posexplode("_u").alias("_i", "_x"))
+    sums = parts.groupBy(*keys, "_i").agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"))
+    packed = sums.groupBy(*keys).agg(F.max("_n").alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
+    place = np.zeros((k, k), dtype=int)
+    place[upper] = np.arange(len(upper[0]))
+    place = np.maximum(place, place.T).ravel().tolist()
+    return packed.select(*keys, "n", F.transform(F.lit(place), lambda i: F.get("_s", i)["_x"]).alias("g"))
+
+
+def solve_table(table: DataFrame, fn: Callable[[dict], dict], schema: T.StructType) -> DataFrame:
     """Apply ``fn`` to every row of a small per-key table (Gram matrices and
     their parameters) in Arrow batches; no shuffle, one output row per key."""
     names = [f.name for f in schema.fields]
 
     def run(batches):
         for pdf in batches:
-            rows = [fn(r) for _, r in pdf.iterrows()]
-            yield pd.DataFrame(rows, columns=names) if rows else pd.DataFrame(columns=names)
+            yield pd.DataFrame([fn(r) for r in pdf.to_dict("records")], columns=names)
 
     return table.mapInPandas(run, schema)
 

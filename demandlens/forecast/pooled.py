@@ -1,8 +1,9 @@
 """Spark ML forecasts pooled over all products (M4, M5) and model storage.
 
 * M4 ``recursive_boosted_forecast``: the M3 features without the day number
-  and without the outlier cut, plus the product as a feature, fitted by one
-  ``GBTRegressor`` (100 trees, step 0.1, depth 6 by default) on the log of
+  and without the outlier cut, plus the product's level and spread (mean and
+  standard deviation of its log series), which tell products apart without a
+  list of them on the driver, fitted by one ``GBTRegressor`` (100 trees, step 0.1, depth 6 by default) on the log of
   the smoothed series; the 30-day recursion calls the model once per day on
   a one-row-per-product state frame, and the state is checkpointed to the
   shared checkpoint folder every few steps so the plan stays short and a
@@ -15,10 +16,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -31,63 +30,51 @@ from .recursive import smoothed_features, step_features
 from .series import by_product, daily_series, lookback_windows, minmax_inverse
 
 P, D, Y = PRODUCT, DATE, DEMAND
-BOOST_FEATURES = ["dow", "month", "weekend", "lag1", "lag7", "mean7", "pidx"]
+BOOST_FEATURES = ["dow", "month", "weekend", "lag1", "lag7", "mean7"]
+PRODUCT_FEATURES = ["level", "spread"]
 CHECKPOINT_EVERY = 5
 
 
 # ------------------------------------------------------------------ M4
-@dataclass
-class BoostedModel:
-    """Product indexer + (assembler, GBT) pipeline; saved as two folders."""
-    indexer: StringIndexerModel
-    model: PipelineModel
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        # a plain numeric product index: the product is an ordered feature, so
-        # the number of products is not limited by maxBins
-        out = self.indexer.transform(df).withColumn("pidx", F.col("_pidx_nominal") + F.lit(0.0))
-        return self.model.transform(out)
-
-    def save(self, path: str) -> None:
-        self.indexer.write().overwrite().save(f"{path}/indexer")
-        self.model.write().overwrite().save(f"{path}/model")
-
-    @classmethod
-    def load(cls, path: str) -> "BoostedModel":
-        return cls(StringIndexerModel.load(f"{path}/indexer"), PipelineModel.load(f"{path}/model"))
+def boosted_frame(df: DataFrame) -> DataFrame:
+    """Training rows of M4: the smoothed features, the log target and the product's level and spread."""
+    w = Window.partitionBy(P)
+    rows = smoothed_features(daily_series(df), None, with_x=False)
+    return cut_lineage(rows.withColumns({"level": F.avg("ly").over(w), "spread": F.coalesce(F.stddev_pop("ly").over(w), F.lit(0.0))}))
 
 
 def boosted_model(train: DataFrame, max_iter: int = 100, step: float = 0.1, depth: int = 6,
-                  seed: int = 42) -> BoostedModel:
-    """Product index (StringIndexer, distributed) + assembler + GBT on ``ly``."""
-    indexer = StringIndexer(inputCol=P, outputCol="_pidx_nominal", handleInvalid="keep").fit(train)
-    data = indexer.transform(train).withColumn("pidx", F.col("_pidx_nominal") + F.lit(0.0))
-    asm = VectorAssembler(inputCols=BOOST_FEATURES, outputCol="features")
+                  seed: int = 42) -> PipelineModel:
+    """Assembler + GBT on ``ly``; one model for all products."""
+    asm = VectorAssembler(inputCols=BOOST_FEATURES + PRODUCT_FEATURES, outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol="ly", maxIter=max_iter, stepSize=step,
                        maxDepth=depth, seed=seed)
-    return BoostedModel(indexer, Pipeline(stages=[asm, gbt]).fit(data))
+    return Pipeline(stages=[asm, gbt]).fit(train)
 
 
 def boosted_forecast(df: DataFrame, horizon: int = 30, max_iter: int = 100, step: float = 0.1,
                      depth: int = 6) -> DataFrame:
     """``(Product_ID, Date, kind, value)`` fitted and forecast rows of M4."""
-    train = cut_lineage(smoothed_features(daily_series(df), None, with_x=False))
-    model = boosted_model(train, max_iter, step, depth)
+    train = boosted_frame(df)
+    return boosted_rollout(train, boosted_model(train, max_iter, step, depth), horizon)
+
+
+def boosted_rollout(train: DataFrame, model: PipelineModel, horizon: int = 30) -> DataFrame:
+    """Fitted rows of the training frame and the recursion from each product's last seven values."""
     fitted = model.transform(train).select(P, D, F.lit("fitted").alias("kind"),
                                              F.expm1("prediction").alias("value"))
     w = Window.partitionBy(P).orderBy(F.desc(D))
     state = (train.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 7).groupBy(P)
-             .agg(F.max(D).alias("last_date"),
+             .agg(F.max(D).alias("last_date"), *[F.first(c).alias(c) for c in PRODUCT_FEATURES],
                   F.expr("transform(sort_array(collect_list(struct(Date, smoothed))), s -> s.smoothed)").alias("hist"))
              .withColumn("out", F.array().cast("array<double>")))
     for h in range(1, horizon + 1):
         day = F.date_add("last_date", F.lit(h))
         feats = step_features(day, F.col("hist"), with_x=False)
-        names = BOOST_FEATURES[:-1]
-        step_df = state.select("*", *[f.alias(n) for f, n in zip(feats, names)])
+        step_df = state.select("*", *[f.alias(n) for f, n in zip(feats, BOOST_FEATURES, strict=True)])
         pred = model.transform(step_df)
         p = F.expm1("prediction")
-        state = pred.select(P, "last_date", F.slice(F.concat("hist", F.array(p)), -7, 7).alias("hist"),
+        state = pred.select(P, "last_date", *PRODUCT_FEATURES, F.slice(F.concat("hist", F.array(p)), -7, 7).alias("hist"),
                             F.concat("out", F.array(p)).alias("out"))
         if h % CHECKPOINT_EVERY == 0 and h < horizon:
             state = cut_lineage(state)
@@ -98,7 +85,7 @@ def boosted_forecast(df: DataFrame, horizon: int = 30, max_iter: int = 100, step
 
 def boosted_metrics(df: DataFrame, max_iter: int = 100, step: float = 0.1, depth: int = 6) -> DataFrame:
     """M10 for M4: natural-scale errors on the smoothed series, R² on the log scale."""
-    train = cut_lineage(smoothed_features(daily_series(df), None, with_x=False))
+    train = boosted_frame(df)
     model = boosted_model(train, max_iter, step, depth)
     pairs = model.transform(train).select(P, F.col("smoothed").alias("actual"), "ly",
                                             F.col("prediction").alias("pl"))
@@ -179,7 +166,7 @@ def save_model(model, path: str) -> None:
 
 def load_model(path: str, kind=PipelineModel):
     """Load a model saved by :func:`save_model` (``kind`` is the model
-    class, e.g. ``BoostedModel`` or ``LinearRegressionModel``); ``None``
+    class, e.g. ``PipelineModel`` or ``LinearRegressionModel``); ``None``
     when nothing is stored there."""
     try:
         return kind.load(path)

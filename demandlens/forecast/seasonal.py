@@ -34,7 +34,7 @@ from ..operators.filters import iqr_clean, min_history
 from ..session import cut_lineage
 from ..sources.demand import DATE, HOLIDAY, PRODUCT
 from . import evaluate as ev
-from .gram import as_matrix, gram, lstsq_from_gram, solve_table
+from .gram import as_matrix, gram_blocks, lstsq_from_gram, solve_table
 from .series import REGRESSORS, daily_features, holiday_window, last_n_mean
 
 P = PRODUCT
@@ -136,7 +136,7 @@ _COEF_SCHEMA = T.StructType([T.StructField(P, T.StringType()),
 
 
 def fit(train: DataFrame) -> DataFrame:
-    g = gram(train, [P], DESIGN + ["ly"])
+    g = gram_blocks(train, [P], DESIGN + ["ly"])
     k = len(DESIGN) + 2
     pen = _penalties()
 

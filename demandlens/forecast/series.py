@@ -125,21 +125,22 @@ EWMA_BLOCK = 128
 
 def ewma(daily: DataFrame, value: str = Y, span: float = 5.0, out: str = "ewma") -> DataFrame:
     """``e0 = x0, e_t = a·x_t + (1−a)·e_{t−1}`` with a = 2/(span+1)
-    (pandas ``ewm(adjust=False)``), computed without a sequential loop.
+    (pandas ``ewm(adjust=False)``) for any span of 1 or more.
 
     Closed form ``e_t = Σ_k w_k r^(t−k) x_k`` (r = 1−a, w_0 = 1, w_k = a).
-    Rows are cut into blocks of B rows; inside a block a running window sum
-    of ``w_k r^−(k−s) x_k`` (s = block start, so the factor stays below
-    r^−B) gives the in-block part.  The carry into block b is
-    ``Σ_m r^((m−1)B) T_{b−m}`` over earlier block totals T; terms with
-    (m−1)·B·log10(1/r) > 324 are exactly 0 in double precision, so only that
-    many lags are summed and the result is exact to rounding.  Everything is
-    window functions partitioned by product (or by product and block).
+    Rows are cut into blocks of B rows, B small enough for r^−B to stay
+    finite; inside a block a running window sum of ``w_k r^−(k−s) x_k`` (s =
+    block start) gives the in-block part.  The carry into a block folds the
+    totals of the product's earlier blocks, ``C ← r^B·C + T``: one array of
+    days / B numbers per product.
     """
     a = 2.0 / (span + 1.0)
     r = 1.0 - a
-    B = EWMA_BLOCK
-    nlag = int(math.ceil(324.0 / (B * -math.log10(r)))) + 1 if r > 0 else 1
+    if not 0 <= r < 1:
+        raise ValueError("the span must be 1 or more")
+    if r == 0:
+        return daily.withColumn(out, F.col(value))
+    B = max(1, min(EWMA_BLOCK, int(280 / -math.log10(r))))
     t = F.row_number().over(by_product()) - 1
     x = daily.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / B)).withColumn("_u", F.col("_t") % B)
     wk = F.when(F.col("_t") == 0, F.lit(1.0)).otherwise(F.lit(a))
@@ -149,11 +150,8 @@ def ewma(daily: DataFrame, value: str = Y, span: float = 5.0, out: str = "ewma")
     # block totals brought to the block's last slot (u = B−1)
     blocks = (x.groupBy(P, "_b").agg(F.max_by("_local", "_u").alias("_last"), F.max("_u").alias("_umax"))
               .withColumn("_T", F.col("_last") * F.pow(F.lit(r), (F.lit(B - 1) - F.col("_umax")).cast("double"))))
-    wblk = Window.partitionBy(P).orderBy("_b")
-    carry = F.lit(0.0)
-    for m in range(1, nlag + 1):
-        carry = carry + F.coalesce(F.lag("_T", m).over(wblk), F.lit(0.0)) * F.lit(r ** ((m - 1) * B))
-    blocks = blocks.select(P, "_b", carry.alias("_C"))
+    earlier = F.collect_list("_T").over(Window.partitionBy(P).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(P, "_b", F.aggregate(earlier, F.lit(0.0), lambda c, total: c * F.lit(r ** B) + total).alias("_C"))
     x = x.join(blocks, [P, "_b"])
     res = F.col("_local") + F.col("_C") * F.pow(F.lit(r), (F.col("_u") + 1).cast("double"))
     return x.withColumn(out, res).drop("_t", "_b", "_u", "_term", "_local", "_C")
@@ -220,6 +218,3 @@ def standardise(daily: DataFrame, value: str, out: str = "z") -> DataFrame:
     x = x.withColumn("_sd", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0)))
     return x.withColumn(out, (F.col(value) - F.col("_mu")) / F.col("_sd"))
 
-
-def with_ordinal(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("ordinal", date_ordinal(D))

@@ -308,3 +308,44 @@ def q_trend_chart_series(df):
     from ..forecast.series import daily_series
     fc = trend.trend_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
     return ev.chart_series(daily_series(df), fc)
+
+
+# ------------------------------------------------------------------ certificates of M6 and M7 (oracle)
+FILLED = f""", {DAILY}
+, span AS (SELECT Product_ID, min(Date) AS a, max(Date) AS b FROM daily GROUP BY 1)
+, cal AS (SELECT Product_ID, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS Date FROM span)
+, f AS (SELECT c.Product_ID, c.Date, coalesce(d.Demand, 0.0) AS y, row_number() OVER (PARTITION BY c.Product_ID ORDER BY c.Date) - 1 AS t,
+               count(*) OVER (PARTITION BY c.Product_ID) AS n
+        FROM cal c LEFT JOIN daily d ON c.Product_ID = d.Product_ID AND c.Date = d.Date)"""
+
+
+@register("adf_lag0", FILLED + """
+, x AS (SELECT Product_ID, 'level' AS series, Date, y AS v FROM f
+        UNION ALL SELECT Product_ID, 'difference', Date, y - lag(y) OVER (PARTITION BY Product_ID ORDER BY Date) FROM f)
+, l AS (SELECT Product_ID, series, lag(v) OVER w AS x, v - lag(v) OVER w AS dy FROM (SELECT * FROM x WHERE v IS NOT NULL)
+        WINDOW w AS (PARTITION BY Product_ID, series ORDER BY Date))
+, s AS (SELECT Product_ID, series, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy, regr_count(dy, x) AS n
+        FROM l WHERE x IS NOT NULL GROUP BY 1, 2)
+SELECT Product_ID, series, round(b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) AS adf_statistic, CAST(n AS INTEGER) AS nobs FROM s""")
+def q_adf_lag0(df):
+    """M6 with no lagged differences: the statistic is that of a simple regression."""
+    return ar.adf_test(df, max_lag=0).select(PRODUCT, "series", F.round("adf_statistic", 4).alias("adf_statistic"), "nobs")
+
+
+@register("arma_candidates", FILLED + """
+, m AS (SELECT *, 2 + least(greatest(floor(pow(ln(n), 2)), 6), greatest(floor((n - 1) / 3), 1)) + 3 AS first FROM f)
+, l AS (SELECT *, lag(y, 1) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(y, 3) OVER w AS y3 FROM m WINDOW w AS (PARTITION BY Product_ID ORDER BY t))
+, d AS (SELECT Product_ID, d, CASE d WHEN 0 THEN y WHEN 1 THEN y - y1 ELSE y - 2 * y1 + y2 END AS w,
+               CASE d WHEN 0 THEN y1 WHEN 1 THEN y1 - y2 ELSE y1 - 2 * y2 + y3 END AS w1
+        FROM l, range(0, 3) r(d) WHERE t >= first)
+, s AS (SELECT Product_ID, d, count(*) AS n, sum(w * w) AS ww, sum(w * w1) AS w01, sum(w1 * w1) AS w11,
+               regr_syy(w, w1) AS syy, regr_sxy(w, w1) AS sxy, regr_sxx(w, w1) AS sxx FROM d GROUP BY 1, 2)
+, c AS (SELECT Product_ID, d, 0 AS p, n, CASE WHEN d = 0 THEN syy ELSE ww END AS ssr FROM s
+        UNION ALL SELECT Product_ID, d, 1, n, CASE WHEN d = 0 THEN syy - sxy * sxy / sxx ELSE ww - w01 * w01 / w11 END FROM s)
+SELECT Product_ID, CAST(p AS INTEGER) AS p, CAST(d AS INTEGER) AS d, round(n * (ln(2 * pi() * ssr / n) + 1) + 2 * (p + 1 + CASE WHEN d = 0 THEN 1 ELSE 0 END), 4) AS aic
+FROM c""")
+def q_arma_candidates(df):
+    """M7: AIC of the orders (0, d, 0) and (1, d, 0) on the sample that all d share."""
+    from ..forecast.series import daily_series, fill_calendar
+    c = ar.order_candidates(fill_calendar(daily_series(df)))
+    return c.where((F.col("q") == 0) & (F.col("p") <= 1)).select(PRODUCT, "p", "d", F.round("aic", 4).alias("aic"))

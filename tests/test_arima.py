@@ -12,8 +12,8 @@ from demandlens.forecast import arima as ar
 
 def _frame(spark, series: dict[str, np.ndarray]):
     start = dt.date(2020, 1, 1)
-    rows = [(k, "level", start + dt.timedelta(days=i), float(v)) for k, s in series.items() for i, v in enumerate(s)]
-    return spark.createDataFrame(rows, "Product_ID string, series string, Date date, v double")
+    rows = [(k, start + dt.timedelta(days=i), float(v)) for k, s in series.items() for i, v in enumerate(s)]
+    return spark.createDataFrame(rows, "Product_ID string, Date date, Demand double")
 
 
 def _sim(n=1000, phi=0.6, seed=7):
@@ -63,7 +63,7 @@ def test_mackinnon_surface():
 
 def test_adf_matches_numpy_and_separates(spark):
     ar1, rw = _sim()
-    res = {r.Product_ID: r for r in ar.adf_on_series(_frame(spark, {"ar1": ar1, "rw": rw})).collect()}
+    res = {r.Product_ID: r for r in ar.adf_on_series(_frame(spark, {"ar1": ar1, "rw": rw})).where("series = 'level'").collect()}
     for name, s in (("ar1", ar1), ("rw", rw)):
         tau, lag = _adf_numpy(s)
         assert res[name].used_lag == lag
@@ -74,11 +74,51 @@ def test_adf_matches_numpy_and_separates(spark):
 
 def test_hannan_rissanen_recovers_ar1(spark):
     ar1, _ = _sim(n=2000, seed=11)
-    start = dt.date(2020, 1, 1)
-    rows = [("ar1", start + dt.timedelta(days=i), float(v) + 50.0) for i, v in enumerate(ar1)]
-    filled = spark.createDataFrame(rows, "Product_ID string, Date date, Demand double")
-    _, cands = ar.hannan_rissanen(filled)
+    cands = ar.order_candidates(_frame(spark, {"ar1": ar1 + 50.0}))
     c = cands.where((F.col("p") == 1) & (F.col("d") == 0) & (F.col("q") == 0)).collect()[0]
     assert c.coef[1] == pytest.approx(0.6, abs=0.05)
-    best = ar.choose_order(cands).collect()[0]
-    assert best.d == 0
+    assert ar.Fits(ar1 + 50.0).best()[2] == 0
+
+
+def test_candidates_share_one_sample():
+    y = np.arange(200.0) % 7 + np.sin(np.arange(200.0) ** 2)
+    fits = ar.Fits(y)
+    first = fits.first
+    assert first == ar.MAX_D + ar.long_ar_order(200) + ar.MAX_Q
+    for d in range(3):
+        w = np.diff(y, d)[first - d:]
+        aic = {(p, q): a for a, p, dd, q, _ in fits.table if dd == d}[0, 0]
+        rest = w - w.mean() if d == 0 else w
+        assert aic == pytest.approx(ar.gaussian_aic(float(rest @ rest), len(w), 1 + (d == 0)))
+
+
+def test_every_product_gets_rows(spark):
+    series = {"one": [3.0], "three": [1.0, 2.0, 4.0], "five": [1.0, 2.0, 1.0, 3.0, 2.0], "twelve": list(range(12)), "const": [5.0] * 60,
+              "line": [float(i) for i in range(60)], "week": [float(i % 7) for i in range(90)], "long": list(_sim(400)[0] + 20), "walk": list(_sim(400)[1] + 90)}
+    df = _frame(spark, {k: np.array(v, dtype=float) for k, v in series.items()})
+    orders = {r.Product_ID: r for r in ar.ar_order_search(df).collect()}
+    assert orders.keys() == series.keys()
+    assert all((orders[k].p, orders[k].d, orders[k].q, orders[k].status) == (1, 1, 1, "fallback") for k in ("one", "three", "five", "const"))
+    tests = {(r.Product_ID, r.series): r for r in ar.adf_test(df).collect()}
+    assert len(tests) == 2 * len(series)
+    assert tests["one", "level"].status == "too_short" and tests["const", "level"].status == "constant"
+    assert tests["line", "difference"].status == "constant" and tests["long", "level"].status == "ok"
+    assert all(r.adf_statistic is None or abs(r.adf_statistic) < 1e6 for r in tests.values())
+    ahead = {}
+    for r in ar.arima_forecast(df, 30).where("kind = 'forecast'").collect():
+        ahead.setdefault(r.Product_ID, []).append(r.value)
+    assert ahead.keys() == series.keys() and all(len(v) == 30 and np.isfinite(v).all() for v in ahead.values())
+    assert ahead["const"] == [5.0] * 30 and ahead["one"] == [3.0] * 30
+    assert {r.Product_ID for r in ar.arima_metrics(df).collect()} == series.keys()
+
+
+def test_forecast_continues_the_fitted_recursion():
+    y = _sim(300, seed=3)[0] + 10
+    fits = ar.Fits(y)
+    _, _, d, _, coef = fits.best()
+    fitted, ahead = fits.run(2)
+    w = [y, np.diff(y), np.diff(y, 2)][d]
+    e = fits.innovations[d]
+    step = coef[0] + sum(coef[k] * w[-k] + coef[3 + k] * e[-k] for k in (1, 2, 3))
+    assert ahead[0] == pytest.approx(step + [0, y[-1], 2 * y[-1] - y[-2]][d])
+    assert np.isnan(fitted[:fits.first]).all() and np.isfinite(fitted[fits.first:]).all()
