@@ -66,22 +66,19 @@ def rolling_backtest(df: DataFrame, folds: int = 3, horizon: int = 30) -> DataFr
     return _split_key(s1.unionByName(s3))
 
 
-def backtest_summary(df: DataFrame, folds: int = 3, horizon: int = 30) -> DataFrame:
-    """Mean out-of-sample metrics per (product, model) over the folds."""
-    bt = rolling_backtest(df, folds, horizon)
-    return bt.groupBy(P, "model").agg(F.count("*").alias("folds"), F.avg("rmse").alias("rmse"),
-                                      F.avg("rmse_pct").alias("rmse_pct"), F.avg("mape").alias("mape"),
-                                      F.avg("r2").alias("r2"))
-
-
 def compare_models(df: DataFrame, include_boosted: bool = True) -> DataFrame:
-    """In-sample metrics of every model side by side, ranked per product."""
+    """In-sample metrics of every model side by side, ranked per product.
+
+    All models but the seasonal one read the daily sums only; those are
+    computed once, so the fact tables are joined twice and not once per model.
+    """
     from . import arima, pooled, ridge, seasonal
+    daily = daily_checkpoint(df)
     metrics = {
-        "trend": tr.trend_metrics(df), "poly_ridge": ridge.ridge_metrics(df),
-        "recursive_linear": rc.recursive_metrics(df), "lookback": pooled.lookback_metrics(df),
-        "arima": arima.arima_metrics(df), "seasonal_regression": seasonal.seasonal_metrics(df),
+        "trend": tr.trend_metrics(daily), "poly_ridge": ridge.ridge_metrics(daily),
+        "recursive_linear": rc.recursive_metrics(daily), "lookback": pooled.lookback_metrics(daily),
+        "arima": arima.arima_metrics(daily), "seasonal_regression": seasonal.seasonal_metrics(df),
     }
     if include_boosted:
-        metrics["recursive_boosted"] = pooled.boosted_metrics(df)
+        metrics["recursive_boosted"] = pooled.boosted_metrics(daily)
     return ev.compare_models(metrics)

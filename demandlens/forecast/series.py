@@ -68,13 +68,13 @@ def last_n_mean(daily: DataFrame, cols: list[str], n: int = 30) -> DataFrame:
 def fill_calendar(daily: DataFrame, value: str = Y) -> DataFrame:
     """Every day between each product's first and last day; missing = 0.
 
-    The calendar is generated per product from its (min, max) pair with
-    ``sequence`` + ``explode`` (bounded by the date span) and left-joined to
-    the series on (product, day)."""
-    span = daily.groupBy(P).agg(F.min(D).alias("_a"), F.max(D).alias("_b"))
-    cal = span.select(P, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 DAY"))).alias(D))
-    return (cal.join(daily.select(P, D, value), [P, D], "left")
-            .select(P, D, F.coalesce(F.col(value), F.lit(0.0)).alias(value)))
+    One pass over the series: each day is exploded up to the day before the
+    product's next one, and only the first of them keeps the value."""
+    after = F.lead(D).over(by_product())
+    days = F.sequence(F.col(D), F.coalesce(F.date_sub(after, 1), F.col(D)), F.expr("INTERVAL 1 DAY"))
+    filled = daily.select(P, F.col(D).alias("_from"), F.col(value).alias("_v"), days.alias("_days"))
+    filled = filled.select(P, "_from", "_v", F.explode("_days").alias(D))
+    return filled.select(P, D, F.when(F.col(D) == F.col("_from"), F.coalesce("_v", F.lit(0.0))).otherwise(0.0).alias(value))
 
 
 # J4 -------------------------------------------------------------------------------

@@ -70,8 +70,8 @@ def price_discount_surface(df: DataFrame, filters: FilterParams | None = None, k
     [min,max] price × [min,max] discount, mean Demand of rows within
     ±range/10 on both axes; no neighbour → the global mean.
 
-    Instead of a nested-loop join of grid × rows, each row computes the
-    bounded set of grid indices it can reach on each axis (about 2k/10 + 2),
+    Instead of a nested-loop join of grid × rows, each distinct (price,
+    discount) pair, already summed up, computes the bounded set of grid indices it can reach on each axis (about 2k/10 + 2),
     explodes to those candidate cells, applies the exact predicate and
     aggregates per cell with a map-side partial sum.  The only broadcast is
     the one-row min/max/mean aggregate.
@@ -80,7 +80,9 @@ def price_discount_surface(df: DataFrame, filters: FilterParams | None = None, k
                                     F.col(DISCOUNT).cast("double").alias("d"), DEMAND)
     s = d.agg(F.min("p").alias("pmin"), F.max("p").alias("pmax"), F.min("d").alias("dmin"),
               F.max("d").alias("dmax"), F.avg(DEMAND).alias("gmean"))
-    x = d.where(F.col("p").isNotNull() & F.col("d").isNotNull()).crossJoin(F.broadcast(s))
+    # rows of equal price and discount reach the same cells: summed up before they fan out
+    own = d.where(F.col("p").isNotNull() & F.col("d").isNotNull()).groupBy("p", "d").agg(F.sum(DEMAND).alias("_s"), F.count(DEMAND).alias("_n"))
+    x = own.crossJoin(F.broadcast(s))
 
     def axis(v, lo, hi, name):
         step = (F.col(hi) - F.col(lo)) / (k - 1)
@@ -103,7 +105,7 @@ def price_discount_surface(df: DataFrame, filters: FilterParams | None = None, k
             .where(F.abs(F.col("p") - F.col("pv")) <= pr))
     hit = (cand.select("*", axis("d", "dmin", "dmax", "i")).withColumn("dv", grid_value("i", "dmin", "dmax"))
            .where(F.abs(F.col("d") - F.col("dv")) <= dr))
-    cells = hit.groupBy("i", "j").agg(F.sum(DEMAND).alias("_s"), F.count(DEMAND).alias("_n"))
+    cells = hit.groupBy("i", "j").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     grid = (s.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
             .select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
             .withColumn("price", grid_value("j", "pmin", "pmax"))

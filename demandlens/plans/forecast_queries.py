@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..forecast import evaluate as ev
 from ..forecast import trend
 from ..sources.demand import DATE, PRODUCT
-from .registry import register
+from .registry import ORACLES, register
 
 DAILY = "daily AS (SELECT Product_ID, Date, CAST(SUM(Demand) AS DOUBLE) AS Demand FROM demand GROUP BY 1, 2)"
 ORD = "(CAST(Date - DATE '1970-01-01' AS BIGINT) + 719163)"
@@ -349,3 +351,86 @@ def q_arma_candidates(df):
     from ..forecast.series import daily_series, fill_calendar
     c = ar.order_candidates(fill_calendar(daily_series(df)))
     return c.where((F.col("q") == 0) & (F.col("p") <= 1)).select(PRODUCT, "p", "d", F.round("aic", 4).alias("aic"))
+
+
+# ------------------------------------------------------------------ certificates of M2, M3, M5, M14 (oracle)
+@register("rolling_backtest_trend", f""", {DAILY}
+, last AS (SELECT *, max(Date) OVER (PARTITION BY Product_ID) AS last FROM daily)
+, fold AS (SELECT Product_ID, Date, Demand, k AS fold, CAST(last - INTERVAL (k * 30) DAY AS DATE) AS cutoff,
+                  (CAST(Date - DATE '1970-01-01' AS BIGINT) + 719163) AS x FROM last, range(1, 4) r(k))
+, q AS (SELECT *, quantile_cont(Demand, 0.99) OVER (PARTITION BY Product_ID, fold) AS qc FROM fold WHERE Date <= cutoff)
+, c AS (SELECT Product_ID, fold, regr_slope(ln(1 + Demand), x) AS b, avg(ln(1 + Demand)) AS ym, avg(x) AS xm FROM q WHERE Demand < qc GROUP BY 1, 2)
+, t AS (SELECT f.Product_ID, f.fold, Demand AS a, ln(1 + Demand) AS la, ym + coalesce(b, 0) * (x - xm) AS lf
+        FROM fold f JOIN c ON f.Product_ID = c.Product_ID AND f.fold = c.fold
+        WHERE Date > cutoff AND Date <= cutoff + INTERVAL 30 DAY)
+, m AS (SELECT *, avg(la) OVER (PARTITION BY Product_ID, fold) AS lm FROM t)
+SELECT Product_ID, CAST(fold AS INTEGER) AS fold, count(*) AS n, round(sqrt(avg((a - (exp(lf) - 1)) ^ 2)), 5) AS rmse,
+       round(avg(abs((a - (exp(lf) - 1)) / a)) * 100, 5) AS mape,
+       round(CASE WHEN sum((la - lm) ^ 2) > 0 THEN 1 - sum((la - lf) ^ 2) / sum((la - lm) ^ 2) END, 5) AS r2
+FROM m GROUP BY 1, 2""")
+def q_backtest_trend(df):
+    """M14 for M1: out-of-sample metrics of the refitted trend per fold."""
+    m = bt.rolling_backtest(df, 3, 30).where(F.col("model") == "trend")
+    return m.select(PRODUCT, "fold", "n", *[F.round(c, 5).alias(c) for c in ("rmse", "mape", "r2")])
+
+
+def _entries(g, cols):
+    """Upper triangle of a Gram matrix as rows (product, a, b, value)."""
+    names = ["1", *cols]
+    k = len(names)
+    rows = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.round(F.col("g")[i * k + j], 3).alias("value"))
+                     for i in range(k) for j in range(i, k)])
+    return g.select(PRODUCT, F.inline(rows))
+
+
+def _entries_sql(cols, source):
+    """The same sums in SQL; ``cols`` name the columns of ``source``."""
+    names = ["1", *cols]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return " UNION ALL ".join(f"SELECT Product_ID, '{a}' AS a, '{b}' AS b, round(sum(CAST({a} AS DOUBLE) * {b}), 3) AS value FROM {source} GROUP BY 1" for a, b in pairs)
+
+
+from ..forecast.gram import gram  # noqa: E402
+
+_RIDGE_COLS = ["z", "z2", "z3", "z4", "y"]
+_FULL = RIDGE_DESIGN_SQL.replace("round(e, 6) AS smoothed", "e AS y").replace("round((x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 6) AS z", "(x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END AS z")
+
+
+@register("poly_ridge_gram", f"SELECT * FROM (WITH x AS ({_FULL}), d AS (SELECT Product_ID, y, z, z * z AS z2, z * z * z AS z3, z * z * z * z AS z4 FROM x) "
+          + _entries_sql(_RIDGE_COLS, "d") + ")", raw_oracle=True)
+def q_ridge_gram(df):
+    """Sums that M2 is solved from: powers of the standardised day and the smoothed demand."""
+    z = F.col("z")
+    d = rg._prepared(df).select(PRODUCT, z, (z * z).alias("z2"), (z * z * z).alias("z3"), (z * z * z * z).alias("z4"), F.col("smoothed").alias("y"))
+    return _entries(gram(d, [PRODUCT], _RIDGE_COLS), _RIDGE_COLS)
+
+
+_REC_COLS = ["dow", "month", "weekend", "lag1", "lag7", "mean7", "ly"]
+
+
+@register("recursive_linear_gram", None, raw_oracle=True)
+def q_recursive_gram(df):
+    """Sums that M3 is solved from."""
+    from ..forecast.series import daily_series
+    d = rc.smoothed_features(daily_series(df), 0.95, with_x=False)
+    return _entries(gram(d, [PRODUCT], _REC_COLS), _REC_COLS)
+
+
+ORACLES["recursive_linear_gram"] = "SELECT * FROM (WITH d AS (" + re.sub(r"round\(([a-z0-9()+ ]+), 6\)", r"\1", ORACLES["recursive_features"]) + ") " + _entries_sql(_REC_COLS, "d") + ")"
+
+
+_LAGS = (1, 2, 7, 14, 30)
+
+
+@register("lookback_gram", None, raw_oracle=True)
+def q_lookback_gram(df):
+    """Sums over M5's windows: the target with some of its 30 look-back values, all products together."""
+    from ..forecast.series import lookback_windows
+    d = lookback_windows(pl._lookback_frame(df), "scaled", 30, out="look")
+    return d.agg(F.count("*").alias("n"), *[F.round(F.sum(F.col("scaled") * F.element_at("look", -k)), 3).alias(f"lag{k}") for k in _LAGS])
+
+
+ORACLES["lookback_gram"] = ("SELECT count(*) AS n, " + ", ".join(f"round(sum(s * l{k}), 3) AS lag{k}" for k in _LAGS) + " FROM (SELECT s, "
+                            + ", ".join(f"lag(s, {k}) OVER w AS l{k}" for k in _LAGS) + " FROM (SELECT Product_ID, Date, scaled AS s FROM ("
+                            + re.sub(r"round\(CASE WHEN (.*?) END, 6\) AS scaled", r"CASE WHEN \1 END AS scaled", ORACLES["lookback_design"]) + "))"
+                            " WINDOW w AS (PARTITION BY Product_ID ORDER BY Date)) WHERE l30 IS NOT NULL")

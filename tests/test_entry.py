@@ -1,6 +1,10 @@
 """Driver contract: entry smoke run, registry consistency, and every SQL
 oracle against its Spark query on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as E
@@ -31,3 +35,21 @@ def test_query_matches_oracle(spark, con, name):
     res = con.execute(E.oracle_sql()[name])
     msg = compare(rows, df.columns, res.fetchall(), [d[0] for d in res.description])
     assert msg is None, msg
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers get the package from the driver: neither their folder nor their path holds it."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", "{tmp_path}/checkpoints").getOrCreate())
+spec = importlib.util.spec_from_file_location("entry", "{root}/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+print("ROWS", entry.queries()["poly_ridge_metrics"](spark, "{SF_SMALL}").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 25" in done.stdout, done.stderr[-2000:]
