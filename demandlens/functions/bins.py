@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.demand import COMPETITOR, DEMAND, DISCOUNT, EFFECT, PRICE, STOCK
+from .quantiles import exact_quantiles
 
 INF = float("inf")
 
@@ -93,16 +94,10 @@ def marketing_effect_band() -> Column:
 
 
 # Data-dependent edges -------------------------------------------
-def quartile_edges(col: str = PRICE) -> list[Column]:
-    """Aggregate expressions for exact q25/q50/q75 (linear interpolation)."""
-    x = F.col(col).cast("double")
-    return [F.percentile(x, q).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-
-
 def price_quartile_band(df: DataFrame, col: str = PRICE) -> DataFrame:
     """Bins 0, q25, q50, q75, ∞ of the (filtered) set; label with rounded edges."""
-    edges = df.agg(*quartile_edges(col))
-    out = attach_scalars(df, edges)
+    edges = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], "_q")
+    out = attach_scalars(df, edges.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]))
     r = [F.lit("0"), *[F.bround(F.col(c), 0).cast("bigint").cast("string") for c in ("q25", "q50", "q75")]]
     closed = [F.concat(F.lit("("), a, F.lit(", "), b, F.lit("]")) for a, b in zip(r, r[1:], strict=False)]
     label = F.element_at(F.array(*closed, F.concat(F.lit("("), r[-1], F.lit(", inf)"))), F.col("band"))
@@ -125,11 +120,11 @@ def tertile_band(df: DataFrame, col: str) -> DataFrame:
     Quantile bins q=3 (edges at 0, 1/3, 2/3, 1, lowest included).  When
     repeated edges are dropped fewer than three bins remain, the three labels
     no longer fit and the banding falls back to three equal widths (B9).
-    Quantiles, min and max come from one aggregate (one extra scan).
+  
     """
     x = F.col(col).cast("double")
-    stats = df.agg(F.array_distinct(F.percentile(x, [0.0, 1 / 3, 2 / 3, 1.0])).alias("_e"),
-                   F.min(x).alias("_mn"), F.max(x).alias("_mx"))
+    edges = exact_quantiles(df, [], x, [0.0, 1 / 3, 2 / 3, 1.0], "_e")
+    stats = edges.select(F.array_distinct("_e").alias("_e"), F.col("_e")[0].alias("_mn"), F.col("_e")[3].alias("_mx"))
     out = attach_scalars(df, stats)
     qbin = cut(x, [F.element_at("_e", i) for i in range(1, 5)], include_lowest=True)
     ebin = cut(x, _equal_width_edges(F.col("_mn"), F.col("_mx"), 3))
@@ -172,8 +167,7 @@ def level_bands(df: DataFrame) -> DataFrame:
     """B11 discount level (0, q33, q67, 1) and B12 sales performance
     (0, q33, q67, ∞ of Demand), both include the lowest edge."""
     d, y = F.col(DISCOUNT).cast("double"), F.col(DEMAND)
-    qs = df.agg(F.percentile(d, [0.33, 0.67]).alias("_dq"), F.percentile(y, [0.33, 0.67]).alias("_yq"))
-    out = attach_scalars(df, qs)
+    out = attach_scalars(attach_scalars(df, exact_quantiles(df, [], d, [0.33, 0.67], "_dq")), exact_quantiles(df, [], y, [0.33, 0.67], "_yq"))
     out = out.withColumns({
         "discount_level": cut(d, [0, F.col("_dq")[0], F.col("_dq")[1], 1.0], True),
         "sales_level": cut(y, [0, F.col("_yq")[0], F.col("_yq")[1], INF], True),

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.aggs import argmax, dmean, dsum, q, r6, std
+from ...functions.aggs import argmax, dmean, dsum, r6, std
 from ...sources.demand import CAMPAIGN, DATE, DEMAND, PRICE, PRODUCT, SEASON
 from ..filters import FilterParams
-from .overview import prepare
+from .overview import box, prepare
 
 WEEKS = list(range(1, 54))
 
@@ -51,11 +51,7 @@ def daily_moving_average(df: DataFrame, filters: FilterParams | None = None) ->
 
 def seasonal_distribution(df: DataFrame, filters: FilterParams | None = None) -> DataFrame:
     """Demand box per season."""
-    d = prepare(df, filters)
-    return d.groupBy(F.col(SEASON).alias("season")).agg(
-        F.count(DEMAND).alias("n"), r6(dmean(DEMAND)).alias("mean"), r6(q(DEMAND, 0.25)).alias("q25"),
-        r6(q(DEMAND, 0.5)).alias("median"), r6(q(DEMAND, 0.75)).alias("q75"),
-        F.min(DEMAND).cast("double").alias("min"), F.max(DEMAND).cast("double").alias("max"))
+    return box(prepare(df, filters).withColumn("season", F.col(SEASON)), "season")
 
 
 def yearly_demand(df: DataFrame, filters: FilterParams | None = None) -> DataFrame:

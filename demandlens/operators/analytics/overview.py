@@ -3,12 +3,13 @@ products, feature profile with outliers, describe (A1–A7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import bins
-from ...functions.aggs import dmean, dsum, q, r6, std
+from ...functions.aggs import dmean, dsum, r6, std
 from ...functions.derive import HOLIDAY_LABELS, month_label, revenue
+from ...functions.quantiles import exact_quantiles
 from ...sources.demand import (COMPETITOR, DATE, DEMAND, DISCOUNT, EFFECT, HOLIDAY, PRICE, PRODUCT)
 from ..filters import FilterParams, apply_filters, positive_demand
 
@@ -36,16 +37,18 @@ def monthly_performance(df: DataFrame, filters: FilterParams | None = None) -> D
             .orderBy("month"))
 
 
-def _box_stats(y):
-    return [F.count(y).alias("n"), r6(dmean(y)).alias("mean"),
-            r6(q(y, 0.25)).alias("q25"), r6(q(y, 0.5)).alias("median"), r6(q(y, 0.75)).alias("q75"),
-            F.min(y).cast("double").alias("min"), F.max(y).cast("double").alias("max")]
+def box(df: DataFrame, key: str, y: str = DEMAND) -> DataFrame:
+    """Count, mean, quartiles, smallest and largest value of ``y`` per value of ``key``."""
+    stats = df.groupBy(key).agg(F.count(y).alias("n"), r6(dmean(y)).alias("mean"),
+                                F.min(y).cast("double").alias("min"), F.max(y).cast("double").alias("max"))
+    quartiles = exact_quantiles(df, [key], y, [0.25, 0.5, 0.75], "_q")
+    return stats.join(quartiles, key, "left").select(
+        key, "n", "mean", *[r6(F.col("_q")[i]).alias(c) for i, c in enumerate(("q25", "median", "q75"))], "min", "max")
 
 
 def holiday_distribution(df: DataFrame, filters: FilterParams | None = None) -> DataFrame:
     """A3: Demand box (quartiles, whisker range) and mean per holiday flag."""
-    d = prepare(df, filters)
-    out = d.groupBy(F.col(HOLIDAY).cast("bigint").alias("holiday")).agg(*_box_stats(DEMAND))
+    out = box(prepare(df, filters).withColumn("holiday", F.col(HOLIDAY).cast("bigint")), "holiday")
     labels = F.element_at(F.array(*[F.lit(s) for s in HOLIDAY_LABELS]), F.col("holiday").cast("int") + 1)
     return out.withColumn("status", labels).orderBy("holiday")
 
@@ -92,9 +95,11 @@ def feature_demand_profile(df: DataFrame, feature: str = PRICE,
     A single band or no rows at all come out as one row or none."""
     banded = feature_bands(prepare(df, filters), feature)
     per = banded.groupBy("band", "band_label").agg(
-        F.count("*").alias("n"), r6(dmean(DEMAND)).alias("mean"), r6(q(DEMAND, 0.5)).alias("median"),
-        r6(std(DEMAND)).alias("std"), r6(q(DEMAND, 0.25)).alias("q25"), r6(q(DEMAND, 0.75)).alias("q75"),
+        F.count("*").alias("n"), r6(dmean(DEMAND)).alias("mean"), r6(std(DEMAND)).alias("std"),
         F.sum(DEMAND).alias("_sum"))
+    per = per.join(exact_quantiles(banded, ["band"], DEMAND, [0.25, 0.5, 0.75], "_q"), "band")
+    per = per.select("band", "band_label", "n", "mean", r6(F.col("_q")[1]).alias("median"), "std",
+                     r6(F.col("_q")[0]).alias("q25"), r6(F.col("_q")[2]).alias("q75"), "_sum")
     # totals over the per-band rows (at most 4 rows, so a global window is cheap)
     w = Window.partitionBy()
     return (per.withColumn("total_n", F.sum("n").over(w))
@@ -103,21 +108,22 @@ def feature_demand_profile(df: DataFrame, feature: str = PRICE,
             .drop("_sum").orderBy("band"))
 
 
-def box_outliers(df: DataFrame, feature: str = PRICE, filters: FilterParams | None = None) -> DataFrame:
-    """Rows outside the 1.5·IQR fences of their band's Demand box."""
-    banded = feature_bands(prepare(df, filters), feature)
-    fences = banded.groupBy("band").agg(q(DEMAND, 0.25).alias("_q1"), q(DEMAND, 0.75).alias("_q3"))
+def box_outliers(df: DataFrame, feature: str = PRICE, filters: FilterParams | None = None,
+                 measure: Column | None = None) -> DataFrame:
+    """Rows outside the 1.5·IQR fences of their band's box of Demand (or of ``measure``)."""
+    banded = feature_bands(prepare(df, filters), feature).withColumn("_y", (F.col(DEMAND) if measure is None else measure).cast("double"))
     # one row per band (≤ 4): bounded, broadcast to the fact rows
-    joined = banded.join(F.broadcast(fences), "band")
-    iqr = F.col("_q3") - F.col("_q1")
-    out = joined.where((F.col(DEMAND) < F.col("_q1") - 1.5 * iqr) | (F.col(DEMAND) > F.col("_q3") + 1.5 * iqr))
-    return out.select("band", "band_label", PRODUCT, DATE, F.col(DEMAND).alias("demand"))
+    joined = banded.join(F.broadcast(exact_quantiles(banded, ["band"], "_y", [0.25, 0.75], "_q")), "band")
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    out = joined.where((F.col("_y") < q1 - 1.5 * (q3 - q1)) | (F.col("_y") > q3 + 1.5 * (q3 - q1)))
+    return out.select("band", "band_label", PRODUCT, DATE, F.col(DEMAND).alias("demand"), *([] if measure is None else [F.col("_y").alias("measure")]))
 
 
 def describe(df: DataFrame, column: str = PRICE, filters: FilterParams | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles, max (exact quartiles)."""
     d = prepare(df, filters)
     x = F.col(column).cast("double")
-    return d.agg(F.count(x).alias("count"), r6(dmean(column)).alias("mean"), r6(std(column)).alias("std"),
-                 F.min(x).alias("min"), r6(q(column, 0.25)).alias("q25"), r6(q(column, 0.5)).alias("q50"),
-                 r6(q(column, 0.75)).alias("q75"), F.max(x).alias("max"))
+    one = d.agg(F.count(x).alias("count"), r6(dmean(column)).alias("mean"), r6(std(column)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    quartiles = exact_quantiles(d, [], x, [0.25, 0.5, 0.75], "_q")
+    return one.join(F.broadcast(quartiles), how="left", on=F.lit(True)).select(
+        "count", "mean", "std", "min", *[r6(F.col("_q")[i]).alias(c) for i, c in enumerate(("q25", "q50", "q75"))], "max")

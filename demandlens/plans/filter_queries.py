@@ -126,3 +126,12 @@ def _long_products(df: DataFrame, n: int) -> DataFrame:
     from ..forecast.series import daily_series
     from ..operators.filters import min_history
     return min_history(daily_series(df), n).groupBy(PRODUCT).agg(F.count("*").alias("days"))
+
+
+register("box_outliers_revenue", f"""
+, base AS (SELECT * FROM demand WHERE {POS})
+, b AS (SELECT *, CAST(Price * CAST(Demand AS DECIMAL(18,4)) AS DOUBLE) AS y, {cut('Marketing_Effect', [0, 0.3, 0.6, 0.8, 1.0])} AS band FROM base)
+, f AS (SELECT band AS fb, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM b WHERE band IS NOT NULL GROUP BY 1)
+SELECT band, list_extract(['(0, 0.3]', '(0.3, 0.6]', '(0.6, 0.8]', '(0.8, 1.0]'], band) AS band_label, Product_ID, Date, Demand AS demand, y AS measure
+FROM b JOIN f ON band = fb WHERE y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)""")(
+    lambda df: ov.box_outliers(df, "Marketing_Effect", measure=derive.revenue()))
