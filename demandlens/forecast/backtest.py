@@ -62,7 +62,8 @@ def rolling_backtest(df: DataFrame, folds: int = 3, horizon: int = 30) -> DataFr
         "actual", F.when(F.count(Y).over(w7) == 7, F.avg(Y).over(w7)))
     smooth = smooth.where((F.col(D) > F.col("cutoff")) & (F.col(D) <= F.date_add("cutoff", horizon)))
     m3 = smooth.join(fut.select(P, D, F.col("value").alias("fitted")), [P, D]).where(F.col("actual").isNotNull())
-    s3 = ev.forecast_metrics(m3, "actual", "fitted").withColumn("model", F.lit("recursive_linear"))
+    m3 = m3.withColumns({"la": F.log1p("actual"), "lf": F.log1p(F.greatest("fitted", F.lit(0.0)))})
+    s3 = ev.forecast_metrics(m3, "actual", "fitted", "la", "lf").withColumn("model", F.lit("recursive_linear"))
     return _split_key(s1.unionByName(s3))
 
 

@@ -113,3 +113,11 @@ def chart_series(actual: DataFrame, forecast: DataFrame, value: str = "Demand")
     from ..sources.demand import DATE
     a = actual.select(P, DATE, F.lit("actual").alias("kind"), F.col(value).cast("double").alias("value"))
     return a.unionByName(forecast.select(P, DATE, "kind", "value"))
+
+
+def status_rows(df: DataFrame, forecast: DataFrame) -> DataFrame:
+    """One row per product of ``df``: its forecast rows in ``forecast`` and ``status`` ("ok", or "no_forecast" for
+    products whose series is too short, or left empty by the outlier cut)."""
+    known = forecast.groupBy(P).agg(F.count("*").alias("rows"))
+    return df.select(P).distinct().join(known, P, "left").select(
+        P, F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows") > 0, "ok").otherwise("no_forecast").alias("status"))

@@ -51,10 +51,14 @@ REGRESSORS = [EFFECT, PRICE, DISCOUNT, STOCK]
 
 def daily_features(df: DataFrame) -> DataFrame:
     """Per (product, day) sum Demand, max holiday flag, mean of the
-    four regressors (exact decimal sums, double means)."""
+    four regressors (exact decimal sums, double means).
+
+    A table may lack the holiday flag or some regressors (S3): these are 0
+    everywhere, which a standardised, penalised regression leaves without effect."""
+    holiday = F.max(HOLIDAY).cast("int") if HOLIDAY in df.columns else F.lit(0)
     return df.groupBy(P, D).agg(
-        F.sum(Y).cast("double").alias(Y), F.max(HOLIDAY).cast("int").alias(HOLIDAY),
-        *[dmean(c).alias(c) for c in REGRESSORS])
+        F.sum(Y).cast("double").alias(Y), holiday.alias(HOLIDAY),
+        *[(dmean(c) if c in df.columns else F.lit(0.0)).alias(c) for c in REGRESSORS])
 
 
 def last_n_mean(daily: DataFrame, cols: list[str], n: int = 30) -> DataFrame:

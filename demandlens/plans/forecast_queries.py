@@ -434,3 +434,12 @@ ORACLES["lookback_gram"] = ("SELECT count(*) AS n, " + ", ".join(f"round(sum(s *
                             + ", ".join(f"lag(s, {k}) OVER w AS l{k}" for k in _LAGS) + " FROM (SELECT Product_ID, Date, scaled AS s FROM ("
                             + re.sub(r"round\(CASE WHEN (.*?) END, 6\) AS scaled", r"CASE WHEN \1 END AS scaled", ORACLES["lookback_design"]) + "))"
                             " WINDOW w AS (PARTITION BY Product_ID ORDER BY Date)) WHERE l30 IS NOT NULL")
+
+
+@register("trend_status", M1_FIT + """
+, r AS (SELECT f.Product_ID, count(*) + 30 AS rows FROM f GROUP BY 1)
+SELECT p.Product_ID, coalesce(rows, 0) AS rows, CASE WHEN rows > 0 THEN 'ok' ELSE 'no_forecast' END AS status
+FROM (SELECT DISTINCT Product_ID FROM demand) p LEFT JOIN r ON p.Product_ID = r.Product_ID""")
+def q_trend_status(df):
+    """A row per input product: whether M1 has a forecast for it."""
+    return ev.status_rows(df, trend.trend_forecast(df, 30))

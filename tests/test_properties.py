@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -48,3 +49,18 @@ def test_tertiles_equal_pandas_cut_on_quantile_edges(spark, xs):
     for i, e in enumerate(exp):
         want = None if e is None or (isinstance(e, (float, np.floating)) and math.isnan(e)) else int(e) + 1
         assert got[i] == want, (xs[i], got[i], want)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from demandlens.functions.quantiles import exact_quantiles
+    draw = np.random.default_rng(4)
+    groups = {"one": [3.0], "same": [2.5] * 50, "two": [1.0, 2.0], "whole": draw.integers(0, 9, 3000).astype(float), "wide": draw.normal(0, 1e6, 3000),
+              "lumpy": np.concatenate([np.full(900, 5.0), draw.random(100) * 1e-6, [1e9]])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("whole", None)]
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1.0]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "v", probs, "q").collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(np.asarray(vs, dtype=float), probs)), rel=1e-12, abs=1e-12)
+    assert exact_quantiles(df.where("g = 'none'"), [], "v", probs).count() == 0
