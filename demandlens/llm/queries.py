@@ -163,3 +163,37 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every line of all documents."""
     return line_dedup.Lines(read(spark, sf_dir, "documents"), "doc_id", "text").classes()
+
+
+ORACLES["op1_bagminhash"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT min(doc_id) AS id, ws FROM d GROUP BY ws),
+s AS (SELECT id, array_to_string(ws[i:i + 4], ' ') AS shingle, count(*) AS c
+      FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0) GROUP BY ALL),
+w AS (SELECT id, sum(c) AS n FROM s GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN w x ON a = x.id JOIN w y ON b = y.id WHERE o >= 0.8 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT id, id AS r FROM t UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a),
+c AS (SELECT id, min(r) AS class_id, count(*) AS class_texts FROM reach GROUP BY id)
+SELECT doc_id, class_id, class_texts FROM d JOIN t ON d.ws = t.ws JOIN c ON t.id = c.id
+"""
+
+ORACLES["op7_line_dedup"] = """
+WITH RECURSIVE x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM x)),
+u AS (SELECT line, length(line) AS n, row_number() OVER () AS id, min({'k': doc_id, 'pos': pos}) AS first FROM l WHERE length(line) >= 25 GROUP BY line),
+k AS (SELECT id, line, n AS short, 'start' AS side, left(line, n // 2) AS half, 0 AS more FROM u
+      UNION ALL SELECT id, line, n, 'end', right(line, n - n // 2), 0 FROM u
+      UNION ALL SELECT id, line, n - 1, 'start', left(line, (n - 1) // 2), 1 FROM u
+      UNION ALL SELECT id, line, n - 1, 'end', right(line, (n - 1) - (n - 1) // 2), 1 FROM u),
+e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.short = b.short AND a.side = b.side AND a.half = b.half
+      WHERE a.more = 0 AND a.id <> b.id AND (b.more = 1 OR a.id < b.id) AND levenshtein(a.line, b.line) <= 1),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT id, id AS r FROM u UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a),
+c AS (SELECT reach.id, min(u.first) AS first, count(*) AS class_texts FROM reach JOIN u ON r = u.id GROUP BY reach.id)
+SELECT doc_id, CAST(pos AS INTEGER) AS line, c.first.k AS class_doc_id, CAST(c.first.pos AS INTEGER) AS class_line, class_texts,
+       c.first.k = doc_id AND c.first.pos = pos AS kept
+FROM l JOIN u ON l.line = u.line JOIN c ON u.id = c.id
+"""
