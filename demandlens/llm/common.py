@@ -13,13 +13,20 @@ from ..session import checkpoint_dir, table_path
 BLANKS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that one Arrow batch hands to Python; long texts make small batches preferable.
+#: Rows and bytes that one Arrow batch hands to Python at most; long texts make small batches preferable.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, with the Arrow batch size that the operators assume."""
+def small_batches(spark: SparkSession) -> None:
+    """Sets the Arrow batch size that the operators assume."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder."""
+    small_batches(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
@@ -30,30 +37,35 @@ def written(df: DataFrame) -> DataFrame:
     The folder belongs to the job: it may go once the job's results are stored.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, passes: int | None = None) -> DataFrame:
     """Connected components of the undirected ``links``: one row (node, root) per node that
     has a link; root is the smallest node of its component.
 
     Each pass takes the smallest label among a node's neighbours, then follows that label
     once (pointer jumping).  A hub only ever meets partial minima, its links are never
-    gathered, and labels live in a written table between passes.
+    gathered, and labels live in a written table between passes.  With ``passes``, it stops
+    after so many: equal roots then still mean one component, but not the other way round.
     """
     both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v"))
                    .union(links.select(F.col(b).alias("u"), F.col(a).alias("v"))))
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
                      .select("node", F.least("node", "m").alias("root")))
-    while True:
+    done = 0
+    while passes is None or done < passes:
         heard = (both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node"))
                  .agg(F.min("root").alias("m")))
         low = labels.join(heard, "node").select("node", "root", F.least("root", "m").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
         new = written(low.join(jump, "low").select("node", F.col("root").alias("was"),
                                                    F.least("low", "far").alias("root")))
-        if new.where("root <> was").isEmpty():
+        done += 1
+        if passes is None and new.where("root <> was").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
+    return labels

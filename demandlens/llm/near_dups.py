@@ -15,13 +15,20 @@ process only runs until a bound after which no point can be the earliest; a text
 component still empty runs again with twice the bound.
 
 Candidates.  Texts that share a band of the signature share a bucket.  Equal word sequences
-are one node from the start, so copies cost nothing more.  In every bucket all texts are
-first compared with its smallest one.  While a bucket holds texts of different classes, a
-growing random share of its texts (16 times as many each round) is compared with all of the
-others that are in another class; after the last round every pair of a bucket is either in
-one class or has been compared.  Pairs whose lengths, or whose signatures by a margin of
-four standard deviations, rule the similarity out are not read again.  No bucket is ever
-gathered: leaders and sizes are partial aggregates, and pairs come from joins by bucket.
+are one node from the start, so copies cost nothing more.
+
+1. In every bucket all texts are compared with its smallest one, and classes are formed.
+2. Where a bucket still holds different classes, its texts get a finer signature and are
+   dealt into chunks of about ``CHUNK``.  Chunks meet two at a time; inside the task the
+   signatures of every two texts of different classes are compared.  First only each text's
+   likeliest partner of the other chunk becomes a row and is compared, which joins most of
+   what belongs together;
+3. then, in buckets that still hold different classes, all pairs of different classes that
+   the signatures don't rule out.
+
+So every pair of a bucket ends up in one class or has been compared or ruled out: by its
+lengths, or by signatures that lie four standard deviations below the threshold.  No bucket
+is ever gathered, and leaders and sizes are partial aggregates.
 
 Null, empty and blank texts are copies of each other.  Repeated rows are copies.  A null
 key comes after all others when a class takes its smallest key as its name.  Words are
@@ -46,7 +53,9 @@ BANDS, ROWS = 24, 6
 COMPONENTS = BANDS * ROWS
 #: Standard deviations below the threshold at which a signature rules a pair out.
 MARGIN = 4.0
-GROWTH = 16
+#: Components of the finer signature, and texts of a bucket that are compared at a time.
+FINE = 1024
+CHUNK = 256
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
                 dtype=np.uint64)
@@ -180,14 +189,69 @@ def _verified(similarity: float):
     return run
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least(similarity: float, m: int) -> float:
+    """Share of equal components below which a signature of ``m`` components rules the similarity out."""
+    return similarity - MARGIN * (similarity * (1 - similarity) / m) ** 0.5
+
+
+def _likely(similarity: float):
     """Pairs with both short signatures to the pairs that these do not rule out."""
-    least = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, COMPONENTS) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= _least(similarity, COMPONENTS)))
+    return run
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their finer signatures."""
+    words = _Words()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, COMPONENTS) for i in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= least))
+        words.clear()
+        sign = signatures([shingles(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())], FINE)
+        short = (_mix(sign) & np.uint64(0xFFFF)).astype("<u2")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary())], names=["node", "fine"])
+
+
+def _chunked(table: pa.Table) -> pa.Table:
+    """The texts of one chunk as one row."""
+    table = table.combine_chunks()
+    numbers = [table[c].to_numpy().astype("<i8").tobytes() for c in ("node", "root", "weight")]
+    return pa.table({"bucket": table["bucket"][:1], "chunk": table["chunk"][:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("nodes", "roots", "weights"), numbers, strict=True)},
+                     "signs": pa.array([b"".join(table["fine"].to_pylist())], pa.binary())})
+
+
+def _compared(similarity: float, best: bool):
+    """Two chunks of a bucket to their pairs of different classes that nothing rules out; with ``best``, only to each
+    text's likeliest partner among those that look similar enough.  ``share``: of equal components."""
+    least = similarity if best else _least(similarity, FINE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                node, root, weight = ([np.frombuffer(row[f"{c}_{side}"], dtype="<i8") for side in "ab"] for c in ("nodes", "roots", "weights"))
+                x, y = (np.frombuffer(row[f"signs_{side}"], dtype="<u2").reshape(-1, FINE) for side in "ab")
+                share = np.zeros((len(x), len(y)), dtype=np.float32)
+                for i in range(len(x)):
+                    open_ = (root[1] != root[0][i]) & (np.minimum(weight[1], weight[0][i]) >= similarity * np.maximum(weight[1], weight[0][i]))
+                    if row["one"]:
+                        open_ &= node[1] > node[0][i]
+                    at = np.flatnonzero(open_)
+                    share[i, at] = (y[at] == x[i]).mean(1)
+                if best:
+                    own, other = share.max(1), share.max(0)
+                    a = np.concatenate([node[0], node[1]])
+                    b = np.concatenate([node[1][share.argmax(1)], node[0][share.argmax(0)]])
+                    found = np.concatenate([own, other])
+                    good = found >= least
+                    a, b, found = a[good], b[good], found[good]
+                else:
+                    i, j = np.nonzero(share >= least)
+                    a, b, found = np.maximum(node[0][i], node[1][j]), np.minimum(node[0][i], node[1][j]), share[i, j]
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(found.astype(np.float64))],
+                                                 names=["bucket", "a", "b", "share"])
+    return run
 
 
 def digest(text: Column) -> Column:
@@ -247,44 +311,58 @@ def kept(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -
 
 
 def _links(given: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame | None:
-    """Links (a, b, similarity) between nodes that make up all components of the candidates."""
+    """Links (a, b, similarity) between nodes that make up all classes of the candidates."""
     own = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     sizes = written(own.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     if sizes.isEmpty():
         return None
     buckets = written(own.join(sizes, "bucket"))
-    near = F.least("wa", "wb") >= similarity * F.greatest("wa", "wb")
-    signs = nodes.select("node", "weight", "sign")
     texts = _texts(given, nodes, buckets)
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        a = signs.select(F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("sign").alias("sa"))
-        b = signs.select(F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("sign").alias("sb"))
-        likely = pairs.distinct().join(a, "a").join(b, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(_sampled, "a long, b long")
-        likely = written(likely)
-        left = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(similarity), "a long, b long, similarity double"))
 
-    links = checked(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    done, share = 1, GROWTH
-    while True:
-        roots = components(links, "a", "b")
-        now = written(buckets.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(
-            "bucket", "node", "n", F.coalesce("root", "node").alias("root")))
-        mixed = written(now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("size"))
-                        .where((F.col("low") < F.col("high")) & (F.col("size") > max(done, 2))))
-        if mixed.isEmpty():
-            return links
-        # a text leads in the round in which its hash first lies below share / size
-        hash_ = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
-        open_ = written(now.join(mixed.select("bucket"), "bucket").withColumn("u", hash_))
-        leads = open_.where((F.col("u") * F.col("n") < share) & (F.col("u") * F.col("n") >= (done if done > 1 else 0)))
-        pairs = (open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("u").alias("ua"))
-                 .join(leads.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("u").alias("ub")), "bucket")
-                 .where((F.col("ra") != F.col("rb")) & ((F.col("ub") < F.col("ua")) | ((F.col("ub") == F.col("ua")) & (F.col("b") < F.col("a"))))))
-        links = links.union(checked(pairs.select("a", "b")))
-        done, share = share, share * GROWTH
+    # 1. with the smallest of each bucket
+    stars = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    signs = nodes.select("node", "weight", "sign")
+    a = signs.select(F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("sign").alias("sa"))
+    b = signs.select(F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("sign").alias("sb"))
+    near = F.least("wa", "wb") >= similarity * F.greatest("wa", "wb")
+    stars = stars.join(a, "a").join(b, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(_likely(similarity), "a long, b long")
+    links = verified(written(stars))
+
+    # 2. and 3. in buckets that hold different classes yet (two texts have been compared already)
+    fine = None
+    for best in (True, False):
+        # for the first, classes need not be whole yet; for the second they must, or pairs within one would be listed
+        roots = components(links, "a", "b", passes=2 if best else None).select(F.col("node").alias("r"), "root")
+        now = written(buckets.where("n > 2").join(roots, F.col("node") == F.col("r"), "left").select("bucket", "node", "weight", "n", F.coalesce("root", "node").alias("root")))
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        open_ = written(now.join(written(mixed), "bucket"))
+        if open_.isEmpty():
+            break
+        if fine is None:
+            fine = written(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_refined, "node long, fine binary"))
+        links = links.union(verified(written(_pairs(open_.join(fine, "node"), similarity, best))))
+    return links
+
+
+def _pairs(rows: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of texts of one bucket and different classes that are worth a look."""
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))
+    dealt = rows.select("bucket", chunk.alias("chunk"), "node", "root", "weight", "fine")
+    chunks = written(dealt.groupBy("bucket", "chunk").applyInArrow(_chunked, "bucket long, chunk long, nodes binary, roots binary, weights binary, signs binary"))
+    parts = ("nodes", "roots", "weights", "signs")
+    first = chunks.select("bucket", F.col("chunk").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in parts])
+    second = chunks.select("bucket", F.col("chunk").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    met = first.join(second, "bucket").where("ca <= cb").withColumn("one", F.col("ca") == F.col("cb"))
+    met = met.select("bucket", "one", *[f"{c}_{side}" for side in "ab" for c in parts]).repartition(F.xxhash64("nodes_a", "nodes_b"))
+    found = met.mapInArrow(_compared(similarity, best), "bucket long, a long, b long, share double")
+    if best:  # of all chunks that a text has met in a bucket
+        found = found.groupBy("bucket", "a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _texts(given: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame:
