@@ -126,14 +126,15 @@ class Mix:
         x = F.col("rests") * uniform(F.lit(seed), F.col("shard"), F.col("i"))
         draws = draws.withColumn("x", x).withColumn("cell", F.floor("x"))
         spans = own.where("rest > 0").select("last", "sid", "low", "high", F.explode(F.sequence(F.floor("low"), F.floor("high"))).alias("cell"))
-        drawn = (draws.join(spans, ["last", "cell"]).where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+        drawn = (draws.join(spans.hint("merge"), ["last", "cell"]).where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
                  .groupBy("shard", "sid").agg(F.count("*").alias("drawn")))
         counts = shard.join(own.select("last", "sid", "name", "blocks", "sure"), "last").join(drawn, ["shard", "sid"], "left")
         counts = counts.withColumn("count", F.col("sure") + F.coalesce("drawn", F.lit(0)))
         ahead = W.Window.partitionBy("sid").orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)
         counts = written(counts.select("shard", "sid", "name", "blocks", "count", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("first")))
         self.counts = counts
-        slots = counts.where("count > 0").select("shard", "sid", "name", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j"))
+        # few rows that each give many slots: dealt out before, and never taken for a small table after
+        slots = counts.where("count > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", "shard").select("shard", "sid", "name", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j"))
         turn = F.floor(F.col("j") / F.col("blocks"))
         slots = slots.where(turn < repeats).select("shard", "sid", "name", "blocks", "j", turn.alias("pass"))
         return slots.select("shard", "sid", "j", "pass", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("name"), F.col("pass")).alias("at"))
@@ -141,7 +142,7 @@ class Mix:
     def documents(self) -> DataFrame:
         """One row a document: key, source, size, source_size, target (its source's), taken (words, repeats counted)."""
         times = self.slots.groupBy("sid", "at").agg(F.count("*").alias("times"))
-        taken = self.pieces.join(times, ["sid", "at"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        taken = self.pieces.join(times.hint("merge"), ["sid", "at"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         rows = self.sizes.join(taken, "row", "left").join(
             F.broadcast(self.sources.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")))
         return rows.select(F.col("key").alias(self.key), F.col("source").alias(self.source), "size", "source_size", "target",
@@ -153,7 +154,7 @@ class Mix:
         A document taken whole keeps its text as it is; of others the taken runs of words, joined by blanks,
         stand on a line each.
         """
-        runs = self.pieces.join(self.slots.select("sid", "at", "pass"), ["sid", "at"]).groupBy("row", "pass").agg(
+        runs = self.pieces.join(self.slots.select("sid", "at", "pass").hint("merge"), ["sid", "at"]).groupBy("row", "pass").agg(
             F.sort_array(F.collect_list(F.struct("start", "words"))).alias("runs"), F.sum("words").alias("taken"))
         text = F.col("doc")[self.text]
         rows = self.rows.join(runs, "row")
