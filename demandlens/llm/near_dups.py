@@ -53,6 +53,8 @@ BANDS, ROWS = 24, 6
 COMPONENTS = BANDS * ROWS
 #: Standard deviations below the threshold at which a signature rules a pair out.
 MARGIN = 4.0
+#: Shingles whose processes run at a time (for ``COMPONENTS`` components; fewer for more).
+SHINGLES = 100_000
 #: Components of the finer signature, and texts of a bucket that are compared at a time.
 FINE = 1024
 CHUNK = 256
@@ -112,7 +114,22 @@ def _run(best: np.ndarray, seed: np.ndarray, rate: np.ndarray, bound: np.ndarray
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = COMPONENTS) -> np.ndarray:
-    """BagMinHash values (bits of the earliest times, one row per bag); empty bags get rows of zeros."""
+    """BagMinHash values (bits of the earliest times, one row per bag); empty bags get rows of zeros.
+
+    Bags are taken a few at a time, so that the working arrays stay small whatever the batch.
+    """
+    room = SHINGLES * COMPONENTS // m
+    parts, size = [[]], 0
+    for bag in bags:
+        if size and size + len(bag[0]) > room:
+            parts.append([])
+            size = 0
+        parts[-1].append(bag)
+        size += len(bag[0])
+    return np.vstack([_signatures(p, m) for p in parts]) if bags else np.empty((0, m), np.uint64)
+
+
+def _signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     total = np.array([c.sum() for _, c in bags], dtype=np.float64)
     best = np.full((len(bags), m), np.inf)
     reach = (np.log(m) + 3) / np.maximum(total, 1)
