@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
+#: Bytes of text that are coded at a time, at least: larger parts have fewer different words.
+AT_A_TIME = 8 << 20
 #: A word may end with a run of these and still be plain (the apostrophe has a meaning of its own to the tokenizer).
 _ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -113,6 +115,18 @@ class Ids:
         return _gathered(self.flat, (np.cumsum(self.size) - self.size)[at], size), np.diff(edges)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``AT_A_TIME`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= AT_A_TIME:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def cuts(n: int, longest: int = MAX_LENGTH) -> list[int]:
     """Lengths of the pieces of a document of ``n`` tokens; ``longest`` is a power of two."""
     rest = n % longest
@@ -127,7 +141,7 @@ def _packer(tokenizer: str, longest: int, end_id: int, with_ids: bool, names: li
         ids = _IDS.get(tokenizer) or _IDS.setdefault(tokenizer, Ids(tokenizer))
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 33
-        for batch in batches:
+        for batch in _merged(batches):
             rows, start, length, crc, total, tokens = [], [], [], [], [], []
             flat, sizes = ids.texts(batch.column(1))
             to = 0
