@@ -68,8 +68,11 @@ def gram_blocks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Data
     packed = sums.groupBy(*keys).agg(F.max("_n").alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
     place = np.zeros((k, k), dtype=int)
     place[upper] = np.arange(len(upper[0]))
-    place = np.maximum(place, place.T).ravel().tolist()
-    return packed.select(*keys, "n", F.transform(F.lit(place), lambda i: F.get("_s", i)["_x"]).alias("g"))
+    # one text literal: thousands of number literals would slow the planner down
+    place = F.split(F.lit(",".join(map(str, np.maximum(place, place.T).ravel()))), ",").cast("array<int>")
+    # the sorted sums are bound once (as the only element of an array), not sorted again for each entry
+    full = F.transform(F.array("_s"), lambda sums: F.transform(place, lambda i: F.get(sums, i)["_x"]))
+    return packed.select(*keys, "n", F.element_at(full, 1).alias("g"))
 
 
 def solve_table(table: DataFrame, fn: Callable[[dict], dict], schema: T.StructType) -> DataFrame:
