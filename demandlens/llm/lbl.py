@@ -232,6 +232,12 @@ def learn(model: Model, squares: list[np.ndarray], prior: np.ndarray, target: np
         p += RATE * g / (np.sqrt(s) + 1e-6)
 
 
+def minibatches(use: np.ndarray, turn: int) -> list[np.ndarray]:
+    """Those of pass ``turn``: every ``PASSES``-th of one shuffled order, the same in all passes, so that each token is in one pass (shuffles ``use``)."""
+    np.random.default_rng(len(use)).shuffle(use)
+    return [use[i:i + BATCH] for i in range(turn * BATCH, len(use), PASSES * BATCH)]
+
+
 def _trained(prior: np.ndarray, flat: np.ndarray, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(prior).load(flat)
@@ -245,9 +251,7 @@ def _trained(prior: np.ndarray, flat: np.ndarray, turn: int):
                 one, two = contexts(stream, sizes)
                 use = np.flatnonzero(np.repeat(np.array(row["train"], dtype=bool), sizes))
                 draw = np.random.default_rng([turn, len(use)])
-                draw.shuffle(use)
-                for i in range(turn * BATCH, len(use), PASSES * BATCH):
-                    own = use[i:i + BATCH]
+                for own in minibatches(use, turn):
                     noise = np.searchsorted(chance, draw.random(NOISE), side="right").clip(1, CLASSES - 1)
                     learn(model, squares, prior, stream[own], one[own], two[own], noise)
                     seen += len(own)

@@ -4,8 +4,10 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,19 @@ def test_training_steps_climb():
     assert after > np.log(prior[stream]).mean() + 0.5
 
 
+def test_passes_train_on_every_token_once(monkeypatch):
+    sizes, train = np.array([3000, 200, 1800]), [True, False, True]
+    stream, seen = np.arange(5000, dtype="<u2"), []
+    row = pa.RecordBatch.from_arrays([pa.array([train]), pa.array([lbl._shut(sizes)], pa.binary()), pa.array([lbl._shut(stream)], pa.binary())],
+                                     names=["train", "sizes", "stream"])
+    monkeypatch.setattr(lbl, "learn", lambda model, squares, prior, target, *rest: seen.append(target))
+    monkeypatch.setattr(lbl, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    prior = np.full(lbl.CLASSES, 1 / lbl.CLASSES)
+    for turn in range(lbl.PASSES):
+        list(lbl._trained(prior, lbl.Model(prior).flat(), turn)(iter([row])))
+    assert sorted(np.concatenate(seen)) == [*range(3000), *range(3200, 5000)]
+
+
 def test_language_model_on_odd_rows(spark, odd):
     got = lbl.score(odd, "doc_id", "text", F.lit(False)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in got)
