@@ -3,9 +3,10 @@
 A text is brought to a canonical form: lower case, no copyright or all-rights-reserved
 lines, ``&`` as "and", every run of other characters than letters and digits one blank,
 and one spelling for the words that licence texts spell in two ways.  The md5 of the
-canonical form is joined with the digests of known licence texts.  Both the whole document
-and each of its lines are looked up as entire texts, so a licence file and a licence notice
-inside a document are both found, and a text that merely mentions a licence is not.
+canonical form is joined with the digests of known licence texts.  The whole document, each
+of its lines and each run of its blocks (lines between lines without letters and digits) are
+looked up as entire texts, so a licence file, a licence notice and a wrapped notice or licence
+inside a document are all found, and a text that merely mentions a licence is not.
 
 Null text: as empty.  An empty canonical form has a digest, but never a licence.  Repeated
 rows are scanned each for itself; other columns of the input are not touched.
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_texts import BODIES
+
 # Texts of well-known licences and notices, and the identifier of each.
 KNOWN = {
     "Apache-2.0": [
@@ -72,6 +75,86 @@ KNOWN = {
     "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0"],
 }
 
+_CONDITIONS = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+    " disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission.",
+]
+
+
+def _bsd(n: int) -> list[str]:
+    """The BSD licence with ``n`` conditions, numbered or not, under its usual titles or none."""
+    out = []
+    for numbers in (["1. ", "2. ", "3. "], ["(1) ", "(2) ", "(3) "], ["* ", "* ", "* "]):
+        body = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+                " following conditions are met: " + " ".join(i + x for i, x in zip(numbers, _CONDITIONS[:n], strict=False))
+                + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+                " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+                " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+                " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+                " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+                " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE"
+                " OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+        for body in (body, body.replace("COPYRIGHT HOLDER OR", "COPYRIGHT HOLDERS OR")):
+            out += [title + body for title in ("", f"BSD {n}-Clause License ", f"The BSD {n}-Clause License ",
+                                               {2: 'BSD 2-Clause "Simplified" License ', 3: 'BSD 3-Clause "New" or "Revised" License '}[n], "BSD License ")]
+    return out
+
+
+def _bodies(name: str) -> list[str]:
+    """The whole text in its published lines and unwrapped, each also without what follows the terms."""
+    whole = BODIES[name]
+    end = "END OF TERMS AND CONDITIONS"
+    texts = [whole] + ([whole[:whole.index(end) + len(end)], whole[:whole.index(end)]] if end in whole else [])
+    return texts + [" ".join(t.split()) for t in texts]
+
+
+#: What a licence is called in a notice, and its SPDX names where they are not its own.
+NAMES = {
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache License 2.0", "Apache-2.0"],
+    "MIT": ["the MIT License", "the MIT License (MIT)", "MIT License", "MIT"],
+    "ISC": ["the ISC License", "ISC"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "the Modified BSD License", "BSD-3-Clause"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GPL v2", "GPL-2.0", "GPLv2"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GPL v3", "GPL-3.0", "GPLv3"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1", "the GNU LGPL v2.1", "the LGPL v2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0", "the GNU LGPL v3", "the LGPL v3", "LGPL-3.0"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0", "MPL-2.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "the Creative Commons CC0 1.0 Universal License"],
+}
+for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+                      ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version, _kind in (("4.0", "International"), ("3.0", "Unported")):
+        NAMES[f"CC-{_short}-{_version}"] = [f"{_the}{_name}" for _the in ("", "a ") for _name in (
+            f"CC {_short} {_version}", f"CC {_short} {_version} License", f"Creative Commons {_long} {_version} {_kind} License",
+            f"Creative Commons {_long} {_version} License", f"Creative Commons {_long} {_version} {_kind} License (CC {_short} {_version})")]
+_SAID = ["Licensed under", "Released under", "Distributed under", "Available under"]
+_SAID += [f"This {thing} is {said} under" for thing in ("work", "project", "software", "program", "code", "content", "article", "document", "file")
+          for said in ("licensed", "released", "distributed", "available")]
+_GNU = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by"
+        " the Free Software Foundation; either version {3} of the License, or (at your option) any later version.")
+_NO_WARRANTY = (" This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+                " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details.")
+for _name, _kind, _version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3")):
+    for _thing in ("program", "library", "software", "file"):
+        _said = [x.format(_thing, ":", _kind, _version) for x in (_GNU, _GNU + _NO_WARRANTY)]
+        _copy = f" You should have received a copy of the GNU {_kind}General Public License along with this {_thing}."
+        KNOWN.setdefault(_name, []).extend([*_said, _said[1] + _copy + " If not, see <https://www.gnu.org/licenses/>.", _said[1] + _copy + " If not, see <http://www.gnu.org/licenses/>."])
+for _name, _own in NAMES.items():
+    _spdx = [f"{_name}-only", f"{_name}-or-later", f"{_name}+", _name] if "GPL" in _name else [_name]
+    KNOWN.setdefault(_name, []).extend([f"{said} {own}." for said in _SAID for own in _own] + [f"SPDX-License-Identifier: {x}" for x in _spdx])
+_MIT = KNOWN["MIT"][1].removeprefix("MIT License ")
+KNOWN["MIT"] += [title + _MIT for title in ("", "The MIT License ", "The MIT License (MIT) ", "MIT License (MIT) ")]
+KNOWN["ISC"] += [title + KNOWN["ISC"][0].replace("and/or", andor) for title in ("", "ISC License ", "The ISC License ", "ISC License (ISC) ") for andor in ("and/or", "and")]
+KNOWN["Apache-2.0"] += [KNOWN["Apache-2.0"][1].replace("http:", "https:")]
+KNOWN["BSD-2-Clause"] += _bsd(2)
+KNOWN["BSD-3-Clause"] += _bsd(3)
+for _name in BODIES:
+    KNOWN[_name] += _bodies(_name)
+
 # Word beginnings that licence texts spell in two ways, and the one kept.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analys": "analyz", "artefact": "artifact",
@@ -86,6 +169,8 @@ SPELLINGS = {
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
+#: Characters of a canonical form by which a block is seen to begin a known text.
+START = 16
 
 
 def canonical(text: Column) -> Column:
@@ -104,29 +189,61 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """Digests of known texts: (digest, licence); texts that are empty in canonical form are left out."""
-    rows = [F.struct(F.lit(t).alias("text"), F.lit(name).alias("licence"))
-            for name, own in (texts or KNOWN).items() for t in own]
-    frame = spark.range(1).select(F.inline(F.array(*rows)))
-    frame = frame.where(F.length(F.trim(canonical(F.col("text")))) > 0)
-    return frame.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(
-        F.min("licence").alias("licence"))
+    """Digests of known texts: (digest, licence, size and first ``START`` characters of the canonical form); texts that are
+    empty in canonical form are left out."""
+    rows = spark.createDataFrame([(t, name) for name, own in (texts or KNOWN).items() for t in own], "text string, licence string")
+    rows = rows.select(canonical(F.col("text")).alias("text"), "licence").where(F.length(F.trim("text")) > 0)
+    return rows.groupBy(F.md5("text").alias("digest")).agg(
+        F.min("licence").alias("licence"), F.first(F.length("text")).alias("size"), F.first(F.substring("text", 2, START)).alias("start"))
+
+
+def _blocks(text: Column, names: Column, sizes: Column, longest: int, starts: Column) -> Column:
+    """The licences of runs of blocks, of those that are not the whole text; canonical forms of blocks add up to that of the run.
+
+    Only runs that begin as a known text does are followed, to the length of the longest; ends at a known size are looked up.
+    """
+    own = F.transform(F.split(text, r"\n[^\p{L}\p{N}]*\n"), lambda x: F.ltrim(canonical(x)))
+    own = F.filter(own, lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+    def found(blocks: Column) -> Column:
+        def run(i: Column) -> Column:
+            def step(done: Column, block: Column) -> Column:
+                more = F.concat(done["text"], block)
+                hit = F.when(F.array_contains(sizes, F.length(more)), F.element_at(names, F.md5(more)))
+                whole = (i == 1) & (done["n"] + 1 == F.size(blocks))
+                return F.when(F.length(done["text"]) > longest, done).otherwise(F.struct(
+                    more.alias("text"), (done["n"] + 1).alias("n"), F.when(whole | hit.isNull(), done["hits"]).otherwise(F.array_append(done["hits"], hit)).alias("hits")))
+            none = F.struct(F.lit(" ").alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("hits"))
+            return F.aggregate(F.slice(blocks, i, F.lit(longest)), none, step, lambda done: done["hits"])
+        first = F.filter(F.transform(blocks, lambda x, i: F.when(F.array_contains(starts, F.substring(x, 1, START)), i + 1)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(first, run))
+    return F.element_at(F.transform(F.array(own), found), 1)
 
 
 def scan(docs: DataFrame, key: str, text: str, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """One row a document: ``key``, ``digest`` of the whole text, ``licence`` (of the whole text, or null), and
-    ``notices``: the licences of whole lines, as sorted distinct names joined by a comma (empty if none).
+    ``notices``: the licences of whole lines and runs of blocks, as sorted distinct names joined by a comma (empty if none).
 
-    The whole text meets the broadcast digests (as many rows as ``texts`` has) in a hash join; its lines are looked
+    The whole text meets the broadcast digests (as many rows as ``texts`` has) in a hash join; its parts are looked
     up in the same table as a map, inside the row, so that nothing is shuffled and no row key is needed.
     """
-    rows = [F.struct(digest(F.lit(t)), F.lit(name)) for name, own in (texts or KNOWN).items() for t in own]
-    names = F.map_from_entries(F.array_distinct(F.array(*rows)))
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
-                                 lambda x: F.element_at(names, digest(x))), lambda x: x.isNotNull())
+    table = known(docs.sparkSession, texts).collect()
+    if not table:
+        return docs.select(F.col(key), digest(F.col(text)).alias("digest"), F.lit(None).cast("string").alias("licence"), F.lit("").alias("notices"))
+    names = F.map_from_arrays(F.lit([r["digest"] for r in table]), F.lit([r["licence"] for r in table]))
+    sizes = F.lit(sorted({r["size"] for r in table}))
+    # a block may be shorter than a start: the known text then goes on in the next
+    starts = F.lit(sorted({r["start"][:i] for r in table for i in range(1, len(r["start"]) + 1) if i == len(r["start"]) or r["start"][i - 1] == " "}))
+    given = F.coalesce(F.col(text), F.lit(""))
+    lines = F.transform(F.split(given, "\n"), canonical)
+    near = lambda x: F.array_contains(starts, F.substring(x, 2, START)) & F.array_contains(sizes, F.length(x))
+    lines = F.transform(F.filter(lines, near), lambda x: F.element_at(names, F.md5(x)))
+    blocks = _blocks(given, names, sizes, max(r["size"] for r in table), starts)
+    parts = F.filter(F.concat(lines, blocks), lambda x: x.isNotNull())
     whole = docs.select(F.col(key).alias("_key"), digest(F.col(text)).alias("digest"),
-                        F.array_join(F.array_sort(F.array_distinct(lines)), ",").alias("notices"))
-    found = whole.join(F.broadcast(known(docs.sparkSession, texts)), "digest", "left")
+                        F.array_join(F.array_sort(F.array_distinct(parts)), ",").alias("notices"))
+    small = docs.sparkSession.createDataFrame([(r["digest"], r["licence"]) for r in table], "digest string, licence string")
+    found = whole.join(F.broadcast(small), "digest", "left")
     return found.select(F.col("_key").alias(key), "digest", "licence", "notices")
 
 

@@ -134,6 +134,24 @@ def test_licences_in_other_dress(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_licences_of_common_kinds_and_blocks(spark):
+    import textwrap
+
+    mit = licences.KNOWN["MIT"][1].removeprefix("MIT License ")
+    header = licences.KNOWN["Apache-2.0"][1].replace("at http", "at\n#\n#   http").replace(" Unless", "\n#\n# Unless")
+    docs = [(1, "Some article.\nLicensed under CC BY-NC 4.0."), (2, "The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n" + mit), (3, mit)]
+    docs += [(10 + i, text) for i, text in enumerate(licences.BODIES.values())]
+    docs += [(20, licences.KNOWN["BSD-3-Clause"][-30]), (21, "Tool\n\n" + "\n".join(textwrap.wrap(mit, 70)) + "\n\nUsage"),
+             (22, "# My tool\n#\n# " + header + "\n\nimport os"), (23, "About\n\n" + licences.BODIES["GPL-3.0"] + "\n\nMore"),
+             (24, "About\n\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+             (25, "We like\n\nnot Licensed under CC BY-NC 4.0\nand other terms"), (26, "\n\n" * 100_000 + "x")]
+    got = licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    found = {r.doc_id: (r.licence, r.notices) for r in got}
+    assert [found[i] for i in (1, 21, 22, 23, 24)] == [(None, x) for x in ("CC-BY-NC-4.0", "MIT", "Apache-2.0", "GPL-3.0", "CC-BY-SA-4.0")]
+    assert [found[i][0] for i in (2, 3, *range(10, 10 + len(licences.BODIES)))] == ["MIT", "MIT", *licences.BODIES]
+    assert found[20][0] and found[25] == (None, "") and found[26] == (None, "")
+
+
 def brute_topk(rows, k):
     own = {}
     for i, v in rows:
