@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from demandlens.llm import line_dedup, near_dups
 from demandlens.llm.common import components
 
@@ -193,6 +194,17 @@ def test_documents_without_repeated_lines(spark):
     assert line_dedup.Lines(rows.limit(0), "doc_id", "text").documents().count() == 0
 
 
+def test_short_equal_lines(spark):
+    long = "this line has well over twenty-five characters"
+    docs = [(1, f"All rights reserved.\n\n{long}\nAll rights reserved."), (2, f" All rights reserved.\n{long}!\n \nAll rights reserved"),
+            (3, "All rights reserved."), (4, "x"), (5, "own"), (6, "x\n\ny")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {1: f"All rights reserved.\n\n{long}", 2: " \nAll rights reserved", 4: "x", 5: "own", 6: "\ny"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, rows, "").collect()} == kept
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.kept) for r in line_dedup.Lines(rows, "doc_id", "text", short=True).classes().collect()}
+    assert got[2, 0] == (1, 0, False) and got[2, 3] == (2, 3, True) and got[6, 0] == (4, 0, False) and len(got) == 11
+
+
 def test_bands_differ_by_place():
     sign = np.zeros((1, near_dups.COMPONENTS), dtype=np.uint64)
     assert len(set(near_dups.bands(sign)[0].tolist())) == near_dups.BANDS
