@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, lbl, licences, line_dedup, mixing, near_dups, packing, rules, sharding, topk
+from . import alignment, crf, importance, language, lbl, licences, line_dedup, mixing, near_dups, packing, rules, sharding, topk
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,53 @@ SELECT doc_id, CAST(pos AS INTEGER) AS line, c.first.k AS class_doc_id, CAST(c.f
        c.first.k = doc_id AND c.first.pos = pos AS kept
 FROM l JOIN u ON l.line = u.line JOIN c ON u.id = c.id
 """
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark texts."""
+    return importance.resample(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "text")
+
+
+# crc32 is worked out byte by byte from its table
+ORACLES["op11_importance_resampling"] = r"""
+WITH RECURSIVE step AS (SELECT i, i AS c, 0 AS k FROM range(256) x(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT r, unnest(ws) AS word FROM d),
+bw AS (SELECT unnest(ws) AS word FROM b),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM w UNION SELECT word FROM bw)),
+code AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
+                lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS n FROM w JOIN code USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN code USING (word) GROUP BY bucket),
+gain AS (SELECT x.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)::DOUBLE
+                               / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS g
+         FROM range(10000) x(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS total FROM w JOIN code USING (word) JOIN gain USING (bucket) GROUP BY r),
+z AS (SELECT r, doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features,
+             CASE WHEN n IS NULL THEN 0 ELSE total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END END AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS head FROM d LEFT JOIN m USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((head + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN rank <= 10 * (SELECT count(*) FROM ranks) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranks USING (r)
+"""
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = crf.remainder(F.col("doc_id"), 3) == 1
+    rows = language.predict(docs.select("doc_id", "text"), "doc_id", "text", language.fit(docs, "text", "lang", ~held_out))
+    return rows.withColumn("held_out", held_out)
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that two tokenizers' tokens make, and their links, over all documents."""
+    return alignment.align_documents(read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
