@@ -6,11 +6,11 @@ itself, so both cover the same bytes.  All tokens of both are sorted by their fi
 (``maximum.accumulate``), a group begins.  A group's A and B tokens are linked, each with
 each.
 
-Texts are cut before a lone blank that stands between letters, digits or ASCII punctuation.
-Both tokenizers always have a token edge there (A's pattern begins a token at such a blank,
-and no piece of B holds a blank after anything else, which is checked), so the tokens of a
-text are those of its units in order, and each unit is coded and aligned once for all of its
-occurrences in a block of documents.
+Texts are cut before a lone blank between two characters that are no white space.  Both
+tokenizers always have a token edge there (A's pattern begins a token at such a blank, and
+no piece of B holds a blank after anything else, which is checked), so the tokens of a text
+are those of its units in order.  New units are coded one after the other as one text and
+aligned together; a task remembers them in flat arrays of bounded size.
 
 1. One pass over the texts makes blocks of documents: their counts and digests, the block's
    distinct id pairs with the number of documents that hold each, and which pairs a document
@@ -21,9 +21,8 @@ occurrences in a block of documents.
 
 Null and empty texts, and texts that either tokenizer does not give back byte by byte, have
 no tokens: zeros and an empty string instead of a digest.  A very long text makes a block
-of its own; their units are found a part at a time.  Repeated rows count as documents of
-their own and get a row each.  An empty table gives an empty result; columns beyond key and
-text don't matter, whatever their names.
+of its own.  Repeated rows count as documents of their own and get a row each.  An empty
+table gives an empty result; columns beyond key and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,42 +30,66 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import written
+from .common import released, written
 
-#: Bytes of text that make a block, and characters of a text that are cut into units at a time.
-BLOCK = 6 << 20
-PART = 1 << 20
-#: Bytes of units that are coded at a time.
+#: Bytes of text that make a block, and of a text that are looked at for cuts at a time.
+BLOCK = 4 << 20
+PART = 16 << 20
+#: Bytes of units that are coded as one text.
 CODED = 1 << 16
-#: Links that are listed at a time.
+#: Links that are listed at a time; groups with more than ``LARGE`` first put equal ids together.
 LISTED = 1 << 21
+LARGE = 256
+#: Bytes of remembered units that a task holds at most; beyond, it starts anew.
+REMEMBERED = 64 << 20
+#: Units whose texts are put together at a time.
+JOINED = 1 << 14
 
-_EDGE = r"[\w!-/:-@\[-`{-~]"
-_CUT = re.compile(rf"(?<={_EDGE})(?= {_EDGE})")
-_INSIDE = re.compile(rf" {_EDGE}(?:[^ ]*{_EDGE})?")
+# bytes that a unit's last character, and the character after its blank, may end and begin with: printable ASCII, or (the
+# lead bytes of) characters of two bytes from U+00C0 on, none of which is white space
+_ASCII = np.zeros(256, dtype=bool)
+_ASCII[33:127] = True
+_LEAD = np.zeros(256, dtype=bool)
+_LEAD[0xC3:0xE0] = True
+_BEGINS = _ASCII | _LEAD
 
 
-def units(text: str) -> Iterator[str]:
-    """The parts of a text between places at which both tokenizers have a token edge."""
-    at = 0
-    while len(text) - at > PART:
-        cut = _CUT.search(text, at + PART)
-        if not cut:
-            break
-        yield from _CUT.split(text[at:cut.start()])
-        at = cut.start()
-    yield from _CUT.split(text[at:])
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` one after the other."""
+    end = np.cumsum(size)
+    return flat[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+
+
+def _table(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all items, and where each starts and how long it is."""
+    size = np.array([len(x) for x in items], dtype=np.int64)
+    return np.frombuffer(b"".join(items), dtype=np.uint8), np.cumsum(size) - size, size
+
+
+def _ends(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character whose last byte is at ``last`` is one that a unit may end with."""
+    own = data[last]
+    return _ASCII[own] | ((own >= 0x80) & (own < 0xC0) & _LEAD[data[np.maximum(last - 1, 0)]])
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places inside of a text (its bytes, a blank first) before which it is cut."""
+    out = []
+    for at in range(0, len(data), PART):
+        blank = np.flatnonzero(data[at:at + PART] == 32) + at
+        blank = blank[(blank > 1) & (blank + 1 < len(data))]
+        out.append(blank[_ends(data, blank - 1) & _BEGINS[data[blank + 1]]])
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
 def _byte_level() -> dict[str, int]:
@@ -87,27 +110,27 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         vocabulary, of = self.a.get_vocab(), _byte_level()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        a_bytes, b_bytes = [b""] * (max(vocabulary.values()) + 1), []
         for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-        self.b_bytes = []
+            a_bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
         self.whole_words = True
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             as_byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
             self.whole_words &= "▁" not in piece.lstrip("▁")
-            self.b_bytes.append(bytes([int(as_byte[1], 16)]) if as_byte else piece.replace("▁", " ").encode())
-        self.a_size = np.array([len(x) for x in self.a_bytes])
-        self.b_size = np.array([len(x) for x in self.b_bytes])
+            b_bytes.append(bytes([int(as_byte[1], 16)]) if as_byte else piece.replace("▁", " ").encode())
+        self.a_table, self.b_table = _table(a_bytes), _table(b_bytes)
+        self.a_size, self.b_size = self.a_table[2], self.b_table[2]
+        self.wide = len(b_bytes)
+        self.digits = _table([str(i).encode() for i in range(max(len(a_bytes), len(b_bytes)))])
 
-    def code(self, texts: list[str]) -> list[tuple[list[int], list[int], bool]]:
+    def code(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """Ids of both for texts that begin with a blank, and whether both give back the text's bytes."""
-        both = zip(texts, self.a.encode_batch(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)
-        rows = []
-        for text, a, b in both:
-            ids, want = a.ids, text.encode()
-            rows.append((ids, b, b"".join(map(self.a_bytes.__getitem__, ids)) == want == b"".join(map(self.b_bytes.__getitem__, b))))
-        return rows
+        for text, a, b in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
+            want = np.frombuffer(text.encode(), dtype=np.uint8)
+            a, b = np.array(a.ids, dtype=np.int64), np.array(b, dtype=np.int64)
+            same = [np.array_equal(_gathered(flat, at[ids], size[ids]), want) for ids, (flat, at, size) in ((a, self.a_table), (b, self.b_table))]
+            yield a, b, all(same)
 
 
 def groups(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,119 +147,165 @@ def groups(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group[:len(a_size)], group[len(a_size):]
 
 
-def _coded(t: Tokenizers, found: list[str]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-    """Whether each unit came back whole, and its A and B ids (none if it did not)."""
-    whole = np.ones(len(found), dtype=bool)
-    a_of: list[list[int]] = [[]] * len(found)
-    b_of: list[list[int]] = [[]] * len(found)
-
-    def alone(some: list[int]) -> None:
-        for i, (a, b, ok) in zip(some, t.code([found[i] for i in some]), strict=True):
-            whole[i] = ok
-            if ok:
-                a_of[i], b_of[i] = a, b
-
-    def joined(parts: list[list[int]]) -> None:
-        """Units that begin and end like those inside a text, coded one after the other as a text."""
-        for some, (a, b, ok) in zip(parts, t.code(["".join(map(found.__getitem__, p)) for p in parts]), strict=True):
-            ends = np.cumsum([len(found[i].encode()) for i in some])
-            a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
-            if not ok:
-                alone(some)
-                continue
-            a_to, b_to = np.searchsorted(a_ends, ends, side="right"), np.searchsorted(b_ends, ends, side="right")
-            if (a_ends[a_to - 1] != ends).any() or (b_ends[b_to - 1] != ends).any():
-                alone(some)
-                continue
-            a_from = b_from = 0
-            for i, x, y in zip(some, a_to.tolist(), b_to.tolist(), strict=True):
-                a_of[i], b_of[i] = a[a_from:x], b[b_from:y]
-                a_from, b_from = x, y
-
-    parts, rest, size = [[]], [], CODED
-    for i, u in enumerate(found):
-        if not t.whole_words or not _INSIDE.fullmatch(u):
-            rest.append(i)
-            continue
-        if size >= CODED:
-            parts.append([])
-            size = 0
-        parts[-1].append(i)
-        size += len(u)
-    for at in range(1, len(parts), 16):
-        joined(parts[at:at + 16])
-    for at in range(0, len(rest), 1000):
-        alone(rest[at:at + 1000])
-    return whole, a_of, b_of
-
-
-@dataclass
-class Units:
-    """Distinct units, aligned: tokens, groups and links of each, how its groups are written, and its links' pairs."""
-
-    whole: np.ndarray
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    n_links: np.ndarray
-    texts: list[str]
-    #: pairs of unit i: ``pair[first[i]:first[i + 1]]``, each linked ``often`` times
-    first: np.ndarray
-    pair: np.ndarray
-    often: np.ndarray
-
-
-def _summed(*keys_and_n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows of the keys (first key slowest), and the sum of the last column of each."""
-    *keys, n = keys_and_n
-    order = np.lexsort(keys[::-1])
-    keys, n = [k[order] for k in keys], n[order]
-    new = np.ones(len(n), dtype=bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
-    return *(k[at] for k in keys), np.add.reduceat(n, at) if len(n) else n
-
-
-def _links(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, unit_of: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
-    """(unit, pair, how often) of all links; equal ids of a group are put together first, so that a long group makes no more
-    rows than it has id pairs, ``LISTED`` or so at a time."""
-    ag, ax, an = _summed(ga, a, np.ones(len(a), dtype=np.int64))
-    bg, bx, bn = _summed(gb, b, np.ones(len(b), dtype=np.int64))
+def written_groups(t: Tokenizers, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All groups as text, ``a1,a2|b1;`` each, as bytes, and the number of bytes of each group."""
+    a_in, b_in = np.bincount(ga), np.bincount(gb)
+    a_to, b_to = np.cumsum(a_in), np.cumsum(b_in)
+    ids, sep = np.empty(len(a) + len(b), dtype=np.int64), np.full(len(a) + len(b), ord(","), dtype=np.uint8)
+    a_at, b_at = np.arange(len(a)) + (b_to - b_in)[ga], np.arange(len(b)) + a_to[gb]
+    ids[a_at], ids[b_at] = a, b
+    sep[a_at[a_to - 1]], sep[b_at[b_to - 1]] = ord("|"), ord(";")
+    flat, start, digits = t.digits
+    ends = np.cumsum(digits[ids] + 1)
+    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    number = np.ones(len(out), dtype=bool)
+    number[ends - 1] = False
+    out[ends - 1] = sep
+    out[number] = _gathered(flat, start[ids], digits[ids])
+    return out, np.diff(ends[b_at[b_to - 1]], prepend=0)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of ``n`` of each."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at], np.add.reduceat(n, at) if len(n) else n
+
+
+def _fewer(group: np.ndarray, ids: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, id, how often), by group; in large groups equal ids are one row."""
+    big = large[group]
+    often = np.ones(len(ids), dtype=np.int64)
+    if not big.any():
+        return group, ids, often
+    wide = int(ids.max()) + 1
+    key, n = _summed(group[big] * wide + ids[big], often[big])
+    group, ids, often = (np.concatenate(x) for x in ((group[~big], key // wide), (ids[~big], key % wide), (often[~big], n)))
+    order = np.argsort(group, kind="stable")
+    return group[order], ids[order], often[order]
+
+
+def links(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, unit_of: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, pair ``a * wide + b``, how often) of all links, by unit and pair; a long group makes no more rows than it has
+    id pairs, and they are listed ``LISTED`` or so at a time."""
+    large = np.bincount(ga, minlength=len(unit_of)) * np.bincount(gb, minlength=len(unit_of)) > LARGE
+    ag, ax, an = _fewer(ga, a, large)
+    bg, bx, bn = _fewer(gb, b, large)
     b_in = np.bincount(bg, minlength=len(unit_of))
     b_first = np.cumsum(b_in) - b_in
     made, at, out = np.cumsum(b_in[ag]), 0, []
     while at < len(ag):
         to = max(at + 1, int(np.searchsorted(made, (made[at - 1] if at else 0) + LISTED, side="right")))
-        g = ag[at:to]
-        which = np.repeat(np.arange(at, to), b_in[g])
-        other = np.repeat(b_first[g] - np.cumsum(b_in[g]) + b_in[g], b_in[g]) + np.arange(len(which))
-        out.append(_summed(unit_of[ag[which]], ax[which] * wide + bx[other], an[which] * bn[other]))
+        n = b_in[ag[at:to]]
+        which = np.repeat(np.arange(at, to), n)
+        other = np.repeat(b_first[ag[at:to]] - np.cumsum(n) + n, n) + np.arange(len(which))
+        out.append(_summed((unit_of[ag[which]] << 32) | (ax[which] * wide + bx[other]), an[which] * bn[other]))
         at = to
-    if len(out) == 1:
-        return out[0]
-    return _summed(*map(np.concatenate, zip(*out, strict=True))) if out else (np.empty(0, dtype=np.int64),) * 3
+    key, often = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
+    if len(out) > 1:
+        key, often = _summed(key, often)
+    return key >> 32, key & 0xFFFFFFFF, often
 
 
-def align(t: Tokenizers, found: list[str]) -> Units:
-    """Codes and aligns units; one after the other they are one stream of tokens that both tokenizers cut at unit edges."""
-    whole, a_of, b_of = _coded(t, found)
-    n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(found)) for x in (a_of, b_of))
-    a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((a_of, n_a), (b_of, n_b)))
-    ga, gb = groups(t.a_size[a], t.b_size[b])
-    a_in, b_in = np.bincount(ga), np.bincount(gb)
-    unit_of = np.empty(len(a_in), dtype=np.int64)
-    unit_of[ga] = np.repeat(np.arange(len(found)), n_a)
-    n_groups = np.bincount(unit_of, minlength=len(found))
-    n_links = np.bincount(unit_of, weights=a_in * b_in, minlength=len(found)).astype(np.int64)
-    a_text, b_text, each = list(map(str, a.tolist())), list(map(str, b.tolist())), []
-    a_at = b_at = 0
-    for x, y in zip(np.cumsum(a_in).tolist(), np.cumsum(b_in).tolist(), strict=True):
-        each.append(",".join(a_text[a_at:x]) + "|" + ",".join(b_text[b_at:y]))
-        a_at, b_at = x, y
-    ends = np.cumsum(n_groups).tolist()
-    texts = [";".join(each[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
-    unit, pair, often = _links(a, b, ga, gb, unit_of, len(t.b_bytes))
-    return Units(whole, n_a, n_b, n_groups, n_links, texts, np.searchsorted(unit, np.arange(len(found) + 1)), pair, often)
+class Units:
+    """Units coded and aligned so far, in flat arrays: whether both tokenizers gave each back, its tokens, groups and links,
+    its groups as text (each with ``;`` after it), and its distinct links' pairs with how often each is linked."""
+
+    FIELDS = {"whole": bool, "n_a": np.int32, "n_b": np.int32, "n_groups": np.int32, "n_links": np.int64, "text_size": np.int32, "n_pairs": np.int32,
+              "text": np.uint8, "pair": np.uint32, "often": np.int32}
+
+    def __init__(self, t: Tokenizers):
+        self.t = t
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.binary())
+        for name, kind in self.FIELDS.items():
+            setattr(self, name, np.empty(0, dtype=kind))
+
+    def size(self) -> int:
+        return self.words.nbytes + sum(getattr(self, name).nbytes for name in self.FIELDS)
+
+    def numbers(self, found: pa.BinaryArray) -> np.ndarray:
+        """The number of each unit; new ones are coded first."""
+        at = pc.index_in(found, value_set=self.words)
+        new = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            known = len(self.words)
+            order = self.learn(found.take(pa.array(new)))
+            at[new[order]] = known + np.arange(len(new))
+        return at
+
+    def learn(self, new: pa.BinaryArray) -> np.ndarray:
+        """Codes, aligns and adds units; gives the order in which they were added."""
+        at, data = _flat(new)
+        able = self.t.whole_words & (data[at[:-1]] == 32) & (np.diff(at) > 1)
+        able &= _BEGINS[data[np.minimum(at[:-1] + 1, len(data) - 1)]] & _ends(data, at[1:] - 1)
+        order = np.argsort(~able, kind="stable")
+        new = new.take(pa.array(order))
+        at, data = _flat(new)
+        a, b, n_a, n_b, whole = self._coded(at, data, int(able.sum()))
+        ga, gb = groups(self.t.a_size[a], self.t.b_size[b])
+        n = len(new)
+        a_in, b_in = np.bincount(ga), np.bincount(gb)
+        unit_of = np.empty(len(a_in), dtype=np.int64)
+        unit_of[ga] = np.repeat(np.arange(n), n_a)
+        text, bytes_of = written_groups(self.t, a, b, ga, gb)
+        unit, pair, often = links(a, b, ga, gb, unit_of, self.t.wide)
+        more = {"whole": whole, "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(unit_of, minlength=n), "n_links": np.bincount(unit_of, weights=a_in * b_in, minlength=n),
+                "text_size": np.bincount(unit_of, weights=bytes_of, minlength=n), "n_pairs": np.bincount(unit, minlength=n), "text": text, "pair": pair, "often": often}
+        for name, kind in self.FIELDS.items():
+            setattr(self, name, np.concatenate([getattr(self, name), more[name].astype(kind)]))
+        self.words = pa.concat_arrays([self.words, new])
+        return order
+
+    def _coded(self, at: np.ndarray, data: np.ndarray, n_able: int) -> tuple[np.ndarray, ...]:
+        """Ids of A and B of all units, how many each has, and whether both give it back (else it has none)."""
+        n = len(at) - 1
+        n_a, n_b, whole = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        ids: tuple[list, list] = ([], [])
+
+        def text(i: int, j: int) -> str:
+            return data[at[i]:at[j]].tobytes().decode()
+
+        def alone(i: int, j: int) -> None:
+            for k, (a, b, ok) in enumerate(self.t.code([text(k, k + 1) for k in range(i, j)]), i):
+                whole[k] = ok
+                if ok:
+                    ids[0].append(a)
+                    ids[1].append(b)
+                    n_a[k], n_b[k] = len(a), len(b)
+
+        # units that begin and end like those inside a text are coded one after the other, as a text
+        edges = [0]
+        while edges[-1] < n_able:
+            edges.append(min(n_able, max(edges[-1] + 1, int(np.searchsorted(at, at[edges[-1]] + CODED)))))
+        for first in range(0, len(edges) - 1, 4):
+            some = list(zip(edges[first:first + 4], edges[first + 1:first + 5], strict=False))
+            for (i, j), (a, b, ok) in zip(some, self.t.code([text(i, j) for i, j in some]), strict=True):
+                to = at[i + 1:j + 1] - at[i]
+                a_ends, b_ends = np.cumsum(self.t.a_size[a]), np.cumsum(self.t.b_size[b])
+                a_to, b_to = np.searchsorted(a_ends, to, side="right"), np.searchsorted(b_ends, to, side="right")
+                if ok and (a_ends[a_to - 1] == to).all() and (b_ends[b_to - 1] == to).all():
+                    ids[0].append(a)
+                    ids[1].append(b)
+                    n_a[i:j], n_b[i:j] = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+                else:
+                    alone(i, j)
+        for i in range(n_able, n, 256):
+            alone(i, min(n, i + 256))
+        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in ids)
+        return a, b, n_a, n_b, whole
+
+
+def _flat(items: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of a binary array."""
+    items = pa.concat_arrays([items])
+    at = np.frombuffer(items.buffers()[1], dtype=np.int32)[items.offset:items.offset + len(items) + 1].astype(np.int64)
+    data = np.frombuffer(items.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]] if len(items) else np.empty(0, dtype=np.uint8)
+    return at - at[0], data
 
 
 def _shut(x: np.ndarray) -> bytes:
@@ -252,57 +321,80 @@ def _open(x: bytes) -> np.ndarray:
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _block(t: Tokenizers, number: int, keys: list, occurs: list[np.ndarray], found: list[str], key_kind: pa.DataType) -> pa.RecordBatch:
+def units(texts: list[bytes]) -> tuple[np.ndarray, pa.BinaryArray]:
+    """How many units each text has (empty texts: none), and the units of all, a blank before each text."""
+    n, starts, size = [], [], 0
+    for text in texts:
+        at = np.concatenate([[0], cuts(np.frombuffer(b" " + text, dtype=np.uint8))]) if text else np.empty(0, dtype=np.int64)
+        n.append(len(at))
+        starts.append(at + size)
+        size += len(text) + 1 if text else 0
+    data = b"".join(b" " + t for t in texts if t)
+    offsets = np.concatenate([*starts, [size]]).astype(np.int32)
+    return np.array(n, dtype=np.int64), pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _block(u: Units, number: int, keys: list, texts: list[bytes], key_kind: pa.DataType) -> pa.RecordBatch:
     """The row of a block: what is known of its documents without the others, and its pairs."""
-    u = align(t, found)
+    size, own = units(texts)
+    coded = own.dictionary_encode()
+    if u.size() > REMEMBERED:
+        u.forget()
+    unit = u.numbers(coded.dictionary)[coded.indices.to_numpy()] if len(own) else np.empty(0, dtype=np.int64)
     n = len(keys)
+    doc = np.repeat(np.arange(n), size)
     # a document of which a unit did not come back has no tokens
-    occurs = [x if u.whole[x].all() else x[:0] for x in occurs]
-    size = np.fromiter(map(len, occurs), dtype=np.int64, count=n)
-    doc, unit = np.repeat(np.arange(n), size), np.concatenate(occurs) if n else np.empty(0, dtype=np.int64)
-    counts = [np.bincount(doc, weights=c[unit], minlength=n).astype(np.int64) for c in (u.n_a, u.n_b, u.n_groups, u.n_links)]
-    digests = []
-    for x in occurs:
-        h = hashlib.sha256()
-        for at in range(0, len(x), PART):
-            h.update(b";" * (at > 0) + ";".join(map(u.texts.__getitem__, x[at:at + PART].tolist())).encode())
-        digests.append(h.hexdigest() if len(x) else "")
-    pairs, local = np.unique(u.pair, return_inverse=True)
-    doc, unit, times = _summed(doc, unit, np.ones(len(unit), dtype=np.int64))
-    n_pairs = u.first[unit + 1] - u.first[unit]
-    at = np.repeat(u.first[unit] - np.cumsum(n_pairs) + n_pairs, n_pairs) + np.arange(n_pairs.sum())
-    doc, pair, often = _summed(np.repeat(doc, n_pairs), local[at], u.often[at] * np.repeat(times, n_pairs))
-    held = np.bincount(pair, minlength=len(pairs))
-    in_doc = np.bincount(doc, minlength=n)
-    gap = np.diff(pair, prepend=0)
-    starts = (np.cumsum(in_doc) - in_doc)[in_doc > 0]
-    gap[starts] = pair[starts]
+    bad = np.bincount(doc, weights=~u.whole[unit], minlength=n) > 0
+    unit, size = unit[~bad[doc]], np.where(bad, 0, size)
+    doc = np.repeat(np.arange(n), size)
+    counts = [np.bincount(doc, weights=getattr(u, c)[unit], minlength=n).astype(np.int64) for c in _COUNTS]
+    used, unit = np.unique(unit, return_inverse=True)
+    n_pairs = u.n_pairs[used].astype(np.int64)
+    first = np.cumsum(u.n_pairs.astype(np.int64)) - u.n_pairs
+    pairs, local = np.unique(_gathered(u.pair, first[used], n_pairs), return_inverse=True)
+    often_of, first = _gathered(u.often, first[used], n_pairs), np.cumsum(n_pairs) - n_pairs
+    text_size = u.text_size.astype(np.int64)
+    text_at, text_size = (np.cumsum(text_size) - text_size)[used], text_size[used]
+    digests, held, in_doc, gap, often = [], np.zeros(len(pairs), dtype=np.int64), [], [], []
+    for i, to in zip((np.cumsum(size) - size).tolist(), np.cumsum(size).tolist(), strict=True):
+        h, linked = hashlib.sha256(), np.zeros(len(pairs))
+        for at in range(i, to, JOINED):
+            x = unit[at:min(to, at + JOINED)]
+            text = _gathered(u.text, text_at[x], text_size[x])
+            h.update(text[:len(text) - (at + JOINED >= to)].tobytes())  # no ; after the last
+            which = np.repeat(first[x] - np.cumsum(n_pairs[x]) + n_pairs[x], n_pairs[x]) + np.arange(n_pairs[x].sum())
+            linked += np.bincount(local[which], weights=often_of[which], minlength=len(pairs))
+        own = np.flatnonzero(linked)
+        held[own] += 1
+        in_doc.append(len(own))
+        gap.append(np.diff(own, prepend=0))
+        often.append(linked[own])
+        digests.append(h.hexdigest() if to > i else "")
+    packed = [_shut(np.array(in_doc)), _shut(np.concatenate(gap)), _shut(np.concatenate(often))]
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.array([keys], pa.list_(key_kind)), *(pa.array([c.tolist()], pa.list_(pa.int64())) for c in counts), pa.array([digests], pa.list_(pa.string())),
-         *(pa.array([_shut(x)], pa.binary()) for x in (in_doc, gap, often)), pa.array([pairs], pa.list_(pa.int64())), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))],
+         *(pa.array([x], pa.binary()) for x in packed), pa.array([pairs.astype(np.int64)], pa.list_(pa.int64())), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))],
         names=["block", "keys", *_COUNTS, "digests", "sizes", "gaps", "often", "pairs", "held"])
 
 
 def _blocked(a_path: str, b_path: str, key_kind: pa.DataType):
     """Batches of (key, text) to blocks of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizers(a_path, b_path)
+        u = Units(Tokenizers(a_path, b_path))
         number = TaskContext.get().partitionId() << 24
-        keys, occurs, size = [], [], 0
-        found: dict[str, int] = {}
+        keys, texts, size = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 keys.append(key)
-                of = (found.setdefault(x, len(found)) for x in units(" " + text)) if text else ()
-                occurs.append(np.fromiter(of, dtype=np.int32))
-                size += len(text or "")
+                texts.append(text or b"")
+                size += len(texts[-1])
                 if size >= BLOCK:
-                    yield _block(t, number, keys, occurs, list(found), key_kind)
+                    yield _block(u, number, keys, texts, key_kind)
                     number += 1
-                    keys, occurs, found, size = [], [], {}, 0
+                    keys, texts, size = [], [], 0
         if keys:
-            yield _block(t, number, keys, occurs, list(found), key_kind)
-    return run
+            yield _block(u, number, keys, texts, key_kind)
+    return released(run)
 
 
 def _finished(name: str, key_kind: pa.DataType):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,15 +223,29 @@ def test_alignment_of_odd_rows(spark, odd):
 def test_units_are_cut_where_both_tokenizers_have_an_edge(monkeypatch):
     t = alignment.Tokenizers(queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model"))
     assert t.whole_words
+    more = ["a b\u00a0 c", "a\u3000 b \u3000c", "é è\u0301 \u0301x ÿ", "\u2003 a", "x\x85 y", "日 本 x", "end ", "a  b"]
     for part in (1 << 20, 3):
         monkeypatch.setattr(alignment, "PART", part)
-        for _, text in ODD:
-            if text and len(text) < 1000:
-                own = list(alignment.units(" " + text))
-                assert "".join(own) == " " + text
-                whole, parts = t.code([" " + text])[0], t.code(own)
-                if whole[2] and all(p[2] for p in parts):
-                    assert whole[0] == [x for p in parts for x in p[0]] and whole[1] == [x for p in parts for x in p[1]]
+        for text in [x for _, x in ODD if x and len(x) < 1000] + more:
+            n, own = alignment.units([text.encode(), b"", b"x y"])
+            own = [x.decode() for x in own.to_pylist()]
+            assert n.tolist() == [len(own) - 2, 0, 2] and "".join(own) == f" {text} x y"
+            whole, parts = next(t.code([" " + text])), list(t.code(own[:-2]))
+            assert whole[2] == all(p[2] for p in parts)
+            if whole[2]:
+                assert whole[0].tolist() == [x for p in parts for x in p[0]] and whole[1].tolist() == [x for p in parts for x in p[1]]
+
+
+def test_units_are_remembered_within_bounds(monkeypatch):
+    u = alignment.Units(alignment.Tokenizers(queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")))
+    texts = [b"one two one", b"", "zwei  Wörter, one".encode()]
+    first = alignment._block(u, 1, [1, 2, 3], texts, pa.int64())
+    known = len(u.words)
+    assert alignment._block(u, 1, [1, 2, 3], texts, pa.int64()).equals(first) and len(u.words) == known
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)
+    monkeypatch.setattr(alignment, "JOINED", 1)
+    again = alignment._block(u, 1, [1, 2, 3], texts, pa.int64())
+    assert again.equals(first)
 
 
 def test_links_of_a_long_group(monkeypatch):
@@ -238,5 +253,7 @@ def test_links_of_a_long_group(monkeypatch):
     ga, gb = np.array([0, 0, 0, 0, 1]), np.array([0, 0, 0, 1])
     want = ([0, 0, 0, 0, 0, 0, 1], [32, 39, 52, 59, 72, 79, 31], [4, 2, 2, 1, 2, 1, 1])
     for listed_at_a_time in (1, 3, 1000):
-        monkeypatch.setattr(alignment, "LISTED", listed_at_a_time)
-        assert [x.tolist() for x in alignment._links(a, b, ga, gb, np.array([0, 1]), 10)] == list(want)
+        for large in (1, 1000):
+            monkeypatch.setattr(alignment, "LISTED", listed_at_a_time)
+            monkeypatch.setattr(alignment, "LARGE", large)
+            assert [x.tolist() for x in alignment.links(a, b, ga, gb, np.array([0, 1]), 10)] == list(want)
