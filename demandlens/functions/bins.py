@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.demand import COMPETITOR, DEMAND, DISCOUNT, EFFECT, PRICE, STOCK
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantile_table
 
 INF = float("inf")
 
@@ -96,7 +97,7 @@ def marketing_effect_band() -> Column:
 # Data-dependent edges -------------------------------------------
 def price_quartile_band(df: DataFrame, col: str = PRICE) -> DataFrame:
     """Bins 0, q25, q50, q75, ∞ of the (filtered) set; label with rounded edges."""
-    edges = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], "_q")
+    edges = cut_lineage(exact_quantiles(df, [], col, [0.25, 0.5, 0.75], "_q"))  # one row, read by everything that uses the bands
     out = attach_scalars(df, edges.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]))
     r = [F.lit("0"), *[F.bround(F.col(c), 0).cast("bigint").cast("string") for c in ("q25", "q50", "q75")]]
     closed = [F.concat(F.lit("("), a, F.lit(", "), b, F.lit("]")) for a, b in zip(r, r[1:], strict=False)]
@@ -123,7 +124,7 @@ def tertile_band(df: DataFrame, col: str) -> DataFrame:
   
     """
     x = F.col(col).cast("double")
-    edges = exact_quantiles(df, [], x, [0.0, 1 / 3, 2 / 3, 1.0], "_e")
+    edges = cut_lineage(exact_quantiles(df, [], x, [0.0, 1 / 3, 2 / 3, 1.0], "_e"))
     stats = edges.select(F.array_distinct("_e").alias("_e"), F.col("_e")[0].alias("_mn"), F.col("_e")[3].alias("_mx"))
     out = attach_scalars(df, stats)
     qbin = cut(x, [F.element_at("_e", i) for i in range(1, 5)], include_lowest=True)
@@ -167,7 +168,7 @@ def level_bands(df: DataFrame) -> DataFrame:
     """B11 discount level (0, q33, q67, 1) and B12 sales performance
     (0, q33, q67, ∞ of Demand), both include the lowest edge."""
     d, y = F.col(DISCOUNT).cast("double"), F.col(DEMAND)
-    out = attach_scalars(attach_scalars(df, exact_quantiles(df, [], d, [0.33, 0.67], "_dq")), exact_quantiles(df, [], y, [0.33, 0.67], "_yq"))
+    out = attach_scalars(df, cut_lineage(quantile_table(df, [], {"_dq": (d, [0.33, 0.67]), "_yq": (y, [0.33, 0.67])})))
     out = out.withColumns({
         "discount_level": cut(d, [0, F.col("_dq")[0], F.col("_dq")[1], 1.0], True),
         "sales_level": cut(y, [0, F.col("_yq")[0], F.col("_yq")[1], INF], True),

@@ -1,51 +1,70 @@
-"""Exact quantiles (linear interpolation, Q7) that never hold a group's values in one task.
+"""Exact quantiles (linear interpolation, Q7) by a rank index.
 
-Equal values are counted first, map-side, so rows of a hot group arrive as
-counts.  The range of each group is cut into ``CELLS`` cells; the cells' counts
-tell which cell holds each wanted position, and only the distinct values of
-those cells are put in order, in a window that can spill.  All steps read the
-same aggregated counts (Spark reuses that exchange).
+Equal values are counted first, map-side, so rows of a hot group or value arrive as counts.
+The counts are dealt out by ranges of (column, group, value) and sorted there: a range holds
+its share of the *distinct* values, however they are spread, so one extreme value does not
+push the others into one task.  A small table, a row per range and group, says how many rows
+lie before; each wanted rank is looked up in the one range that holds it.  Several columns
+share one index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+from ..session import cut_lineage
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: Sequence[float], name: str = "quantiles") -> DataFrame:
-    """One row per group that has values: ``keys`` and the array of its quantiles.
+def rank_index(df: DataFrame, keys: Sequence[str], values: Sequence[Column]) -> DataFrame:
+    """``(_g, _v, _n, _part)``: how often each value occurs per column number and group, in sorted ranges numbered ``_part``.
+
+    Written once to the checkpoint folder, so that the range numbers stay as they are.
+    """
+    entries = F.array(*[F.struct(F.lit(i).alias("c"), v.cast("double").alias("v")) for i, v in enumerate(values)])
+    rows = df.select(*keys, F.explode(entries).alias("_e")).where(F.col("_e.v").isNotNull())
+    counts = rows.groupBy(F.struct(F.col("_e.c").alias("_c"), *keys).alias("_g"), F.col("_e.v").alias("_v")).agg(F.count("*").alias("_n"))
+    return cut_lineage(counts.repartitionByRange("_g", "_v").withColumn("_part", F.spark_partition_id()))
+
+
+def quantile_table(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str | Column, Sequence[float]]]) -> DataFrame:
+    """One row per group that has values: ``keys`` and, under each name of ``wanted``, the array of that column's quantiles
+    (nulls if the group has no value of it).
 
-    Groups are bands, seasons or the like: a handful, whatever the data.  Their limits and positions
-    (a row per group and probability) are broadcast.
+    Groups are bands, seasons or the like: a handful, whatever the data.  What is broadcast has at most a row per wanted
+    rank and group.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    keys = list(keys)
-    group = F.struct(*keys) if keys else F.lit(0)
-    counts = df.select(group.alias("_g"), v.cast("double").alias("_v")).where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count("*").alias("_n"))
-    limits = counts.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    width = (F.col("_high") - F.col("_low")) / CELLS
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(CELLS - 1))).otherwise(0)
-    valued = counts.join(F.broadcast(limits.select("_g", "_low", "_high")), "_g").select("_g", "_v", "_n", cell.alias("_cell"))
-    upto = Window.partitionBy("_g").orderBy("_cell")
-    cells = valued.groupBy("_g", "_cell").agg(F.sum("_n").alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-
-    places = [F.struct(F.lit(i).alias("i"), ((F.col("_all") - 1) * p).alias("at")) for i, p in enumerate(probs)]
-    places = limits.select("_g", F.explode(F.array(*places)).alias("p")).select("_g", "p.i", "p.at")
-    wanted = places.select("_g", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("_place")).distinct()
-    held = cells.join(F.broadcast(wanted), "_g").where((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n")))
-    held = held.select("_g", "_cell", "_before", "_place")
-    within = Window.partitionBy("_g", "_place").orderBy("_v")
-    found = valued.join(F.broadcast(held), ["_g", "_cell"]).withColumn("_to", F.col("_before") + F.sum("_n").over(within))
-    found = found.where((F.col("_place") < F.col("_to")) & (F.col("_place") >= F.col("_to") - F.col("_n")))
-    at = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_place", "_v"))).alias("_at"))
-
-    low, high = F.element_at("_at", F.floor("at")), F.element_at("_at", F.ceil("at"))
-    between = F.when(low == high, low).otherwise((F.ceil("at") - F.col("at")) * low + (F.col("at") - F.floor("at")) * high)
-    out = places.join(F.broadcast(at), "_g").select("_g", F.struct("i", between.alias("q")).alias("q"))
-    out = out.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list("q")), lambda x: x.q).alias(name))
-    return out.select(*[F.col("_g")[k].alias(k) for k in keys], name)
+    columns = [F.col(v) if isinstance(v, str) else v for v, _ in wanted.values()]
+    index = rank_index(df, keys, columns)
+    parts = index.groupBy("_g", "_part").agg(F.sum("_n").alias("_in"))
+    upto = Window.partitionBy("_g").orderBy("_part")
+    parts = parts.select("_g", "_part", "_in", (F.sum("_in").over(upto) - F.col("_in")).alias("_before"),
+                         F.sum("_in").over(Window.partitionBy("_g")).alias("_all"))
+    ranks = []
+    for c, (_, probs) in enumerate(wanted.values()):
+        for i, p in enumerate(probs):
+            at = (F.col("_all") - 1) * F.lit(float(p))
+            for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+                ranks.append(F.struct(F.lit(c).alias("c"), F.lit(i).alias("i"), F.lit(end).alias("end"), at.alias("at"), rank.alias("rank")))
+    held = F.filter(F.array(*ranks), lambda r: (r["c"] == F.col("_g._c")) & (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_in")))
+    needed = parts.select("_g", "_part", "_before", held.alias("_ranks")).where(F.size("_ranks") > 0)
+    within = Window.partitionBy("_g", "_part").orderBy("_v")
+    found = index.join(F.broadcast(needed), ["_g", "_part"]).withColumn("_to", F.col("_before") + F.sum("_n").over(within))
+    found = found.select("_g", "_v", F.explode(F.filter("_ranks", lambda r: (r["rank"] < F.col("_to")) & (r["rank"] >= F.col("_to") - F.col("_n")))).alias("_r"))
+
+    def quantile(c: int, i: int) -> Column:
+        own = (F.col("_g._c") == c) & (F.col("_r.i") == i)
+        low, high, at = (F.max(F.when(cond, x)) for cond, x in ((own & (F.col("_r.end") == "low"), F.col("_v")), (own & (F.col("_r.end") == "high"), F.col("_v")),
+                                                               (own, F.col("_r.at"))))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    arrays = [F.array(*[quantile(c, i) for i in range(len(probs))]).alias(name) for c, (name, (_, probs)) in enumerate(wanted.items())]
+    out = found.groupBy(*[F.col("_g")[k].alias(k) for k in keys]).agg(F.count("*").alias("_found"), *arrays)
+    return out.where(F.col("_found") > 0).drop("_found")  # without keys, no values would be a row too
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: Sequence[float], name: str = "quantiles") -> DataFrame:
+    """The quantiles of one column: ``keys`` and the array ``name``."""
+    return quantile_table(df, list(keys), {name: (value, probs)})

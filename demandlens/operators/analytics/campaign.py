@@ -9,6 +9,7 @@ from ...functions import bins
 from ...functions.aggs import argmax, dmean, dsum, r6
 from ...functions.derive import (campaign_effectiveness, campaign_roi, discount_amount, revenue,
                                  week_start)
+from ...session import cut_lineage
 from ...sources.demand import CAMPAIGN, DEMAND, DISCOUNT, EFFECT, PRICE, PRODUCT, SEASON
 from ..filters import FilterParams, sample_n
 from .overview import prepare
@@ -53,7 +54,8 @@ def campaign_discount_flow(df: DataFrame, filters: FilterParams | None = None) -
     """Row counts per (campaign, discount level B11) over rows where the
     campaign, B11 and B12 are all present; node numbers: campaigns 0..c−1 in
     name order, then the three discount levels."""
-    d = bins.level_bands(prepare(df, filters))
+    # edges and bands read one copy of three columns
+    d = bins.level_bands(cut_lineage(prepare(df, filters).select(CAMPAIGN, DISCOUNT, DEMAND)))
     d = d.where(F.col(CAMPAIGN).isNotNull() & F.col("discount_level").isNotNull() & F.col("sales_level").isNotNull())
     per = d.groupBy(CAMPAIGN, "discount_level").agg(F.count("*").alias("n"))
     w = Window.partitionBy()

@@ -10,6 +10,7 @@ from ...functions import bins
 from ...functions.aggs import dmean, dsum, r6, std
 from ...functions.derive import HOLIDAY_LABELS, month_label, revenue
 from ...functions.quantiles import exact_quantiles
+from ...session import cut_lineage
 from ...sources.demand import (COMPETITOR, DATE, DEMAND, DISCOUNT, EFFECT, HOLIDAY, PRICE, PRODUCT)
 from ..filters import FilterParams, apply_filters, positive_demand
 
@@ -38,7 +39,10 @@ def monthly_performance(df: DataFrame, filters: FilterParams | None = None) -> D
 
 
 def box(df: DataFrame, key: str, y: str = DEMAND) -> DataFrame:
-    """Count, mean, quartiles, smallest and largest value of ``y`` per value of ``key``."""
+    """Count, mean, quartiles, smallest and largest value of ``y`` per value of ``key``.
+
+    The two columns are written once, so that the input is not read again for the quartiles."""
+    df = cut_lineage(df.select(key, y))
     stats = df.groupBy(key).agg(F.count(y).alias("n"), r6(dmean(y)).alias("mean"),
                                 F.min(y).cast("double").alias("min"), F.max(y).cast("double").alias("max"))
     quartiles = exact_quantiles(df, [key], y, [0.25, 0.5, 0.75], "_q")
@@ -93,7 +97,9 @@ def feature_demand_profile(df: DataFrame, feature: str = PRICE,
     """A5: per band count, mean, median, sample std, q25, q75 of Demand, with
     the totals (rows, bands, overall mean) as columns of every band row.
     A single band or no rows at all come out as one row or none."""
-    banded = feature_bands(prepare(df, filters), feature)
+    # banding, sums and quartiles all read this copy of two columns
+    rows = cut_lineage(prepare(df, filters).select(*{feature: 0, DEMAND: 0}))
+    banded = feature_bands(rows, feature)
     per = banded.groupBy("band", "band_label").agg(
         F.count("*").alias("n"), r6(dmean(DEMAND)).alias("mean"), r6(std(DEMAND)).alias("std"),
         F.sum(DEMAND).alias("_sum"))
@@ -111,7 +117,9 @@ def feature_demand_profile(df: DataFrame, feature: str = PRICE,
 def box_outliers(df: DataFrame, feature: str = PRICE, filters: FilterParams | None = None,
                  measure: Column | None = None) -> DataFrame:
     """Rows outside the 1.5·IQR fences of their band's box of Demand (or of ``measure``)."""
-    banded = feature_bands(prepare(df, filters), feature).withColumn("_y", (F.col(DEMAND) if measure is None else measure).cast("double"))
+    y = (F.col(DEMAND) if measure is None else measure).cast("double")
+    rows = cut_lineage(prepare(df, filters).withColumn("_y", y).select(*{feature: 0, DEMAND: 0, PRODUCT: 0, DATE: 0, "_y": 0}))
+    banded = feature_bands(rows, feature)
     # one row per band (≤ 4): bounded, broadcast to the fact rows
     joined = banded.join(F.broadcast(exact_quantiles(banded, ["band"], "_y", [0.25, 0.75], "_q")), "band")
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
@@ -121,7 +129,7 @@ def box_outliers(df: DataFrame, feature: str = PRICE, filters: FilterParams | No
 
 def describe(df: DataFrame, column: str = PRICE, filters: FilterParams | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles, max (exact quartiles)."""
-    d = prepare(df, filters)
+    d = cut_lineage(prepare(df, filters).select(column))
     x = F.col(column).cast("double")
     one = d.agg(F.count(x).alias("count"), r6(dmean(column)).alias("mean"), r6(std(column)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
     quartiles = exact_quantiles(d, [], x, [0.25, 0.5, 0.75], "_q")

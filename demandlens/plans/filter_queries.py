@@ -16,7 +16,8 @@ from ..operators.analytics import overview as ov
 from ..operators.analytics import price as pr
 from ..operators.analytics import stock as st
 from ..operators.filters import FilterParams
-from ..sources.demand import CAMPAIGN, DEMAND, PRODUCT
+from ..session import cut_lineage
+from ..sources.demand import CAMPAIGN, DEMAND, DISCOUNT, PRODUCT
 from .registry import ORACLES, register
 from .sqlgen import POS, cut, dsum
 
@@ -102,7 +103,7 @@ register("sales_levels", f"""
 , q AS (SELECT quantile_cont(CAST(Demand AS DOUBLE), [0.33, 0.67]) AS yq FROM base)
 SELECT Product_ID, {cut('Demand', ['@0', '@q.yq[1]', '@q.yq[2]', float('inf')], True)} AS sales_level, COUNT(*) AS n, {dsum('Demand')} AS demand
 FROM base, q GROUP BY 1, 2""")(
-    lambda df: bins.level_bands(ov.prepare(df)).groupBy(PRODUCT, "sales_level").agg(F.count("*").alias("n"), F.sum(DEMAND).alias("demand")))
+    lambda df: bins.level_bands(cut_lineage(ov.prepare(df).select(PRODUCT, DISCOUNT, DEMAND))).groupBy(PRODUCT, "sales_level").agg(F.count("*").alias("n"), F.sum(DEMAND).alias("demand")))
 
 register("history_products", """
 , daily AS (SELECT Product_ID, Date, SUM(Demand) AS y FROM demand GROUP BY 1, 2)
