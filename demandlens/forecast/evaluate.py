@@ -115,9 +115,25 @@ def chart_series(actual: DataFrame, forecast: DataFrame, value: str = "Demand")
     return a.unionByName(forecast.select(P, DATE, "kind", "value"))
 
 
+def with_status(forecast: DataFrame, daily: DataFrame, needed: int, value: str = "Demand") -> DataFrame:
+    """``forecast`` with a ``status`` column ("ok") and one row of kind "none" for every product of ``daily`` that it lacks.
+
+    The reason: ``too_short`` (fewer than ``needed`` days), ``constant`` (one value only), else ``no_clean_days`` (the
+    model's cleaning leaves too little).
+    """
+    return forecast.withColumn("status", F.lit("ok")).unionByName(missing_rows(forecast, daily, needed, value), allowMissingColumns=True)
+
+
+def missing_rows(known: DataFrame, daily: DataFrame, needed: int, value: str = "Demand") -> DataFrame:
+    """(product, kind "none", status) of the products of ``daily`` without a row in ``known``."""
+    days = daily.groupBy(P).agg(F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    reason = F.when(F.col("_n") < needed, "too_short").when(F.col("_low").eqNullSafe(F.col("_high")), "constant").otherwise("no_clean_days")
+    return days.join(known.select(P).distinct(), P, "left_anti").select(P, F.lit("none").alias("kind"), reason.alias("status"))
+
+
 def status_rows(df: DataFrame, forecast: DataFrame) -> DataFrame:
     """One row per product of ``df``: its forecast rows in ``forecast`` and ``status`` ("ok", or "no_forecast" for
     products whose series is too short, or left empty by the outlier cut)."""
-    known = forecast.groupBy(P).agg(F.count("*").alias("rows"))
+    known = forecast.where("kind <> 'none'").groupBy(P).agg(F.count("*").alias("rows"))
     return df.select(P).distinct().join(known, P, "left").select(
         P, F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows") > 0, "ok").otherwise("no_forecast").alias("status"))

@@ -87,6 +87,20 @@ def solve_table(table: DataFrame, fn: Callable[[dict], dict], schema: T.StructTy
     return table.mapInPandas(run, schema)
 
 
+def solve_stacks(table: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: T.StructType, g: str = "g") -> DataFrame:
+    """Apply ``fn`` to whole Arrow batches of a small per-key table: it gets the batch and its Gram matrices as one (n, k, k) stack."""
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                stack = np.stack(pdf[g].to_numpy())
+                k = round(stack.shape[1] ** 0.5)
+                yield fn(pdf, stack.astype(float).reshape(-1, k, k))[names]
+
+    return table.mapInPandas(run, schema)
+
+
 # --------------------------------------------------------------- numpy side
 def as_matrix(g, k: int) -> np.ndarray:
     return np.asarray(g, dtype=float).reshape(k, k)
@@ -105,10 +119,14 @@ def lstsq_from_gram(G: np.ndarray, feat: Sequence[int], target: int, ridge: floa
         if intercept is not None and intercept in idx:
             pen[idx.index(intercept)] = 0.0
         A += np.diag(pen)
-    try:
-        beta = np.linalg.solve(A, b)
-    except np.linalg.LinAlgError:
-        beta = np.linalg.lstsq(A, b, rcond=None)[0]
+    # a unit diagonal, so that columns of very different size cost no digits
+    d = np.sqrt(np.maximum(np.diag(A), 1e-300))
+    scaled = A / d[:, None] / d
+    own = np.linalg.eigvalsh(scaled)
+    if own[0] > 1e-13 * own[-1]:
+        beta = np.linalg.solve(scaled, b / d) / d
+    else:  # too few rows or dependent columns: the smallest coefficients that fit
+        beta = np.linalg.lstsq(scaled, b / d, rcond=1e-10)[0] / d
     sse = float(G[target, target] - 2 * beta @ b + beta @ G[np.ix_(idx, idx)] @ beta)
     return beta, max(sse, 0.0)
 

@@ -20,19 +20,21 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
 from .recursive import smoothed_features, step_features
-from .series import by_product, daily_series, lookback_windows, minmax_inverse
+from .series import by_product, daily_checkpoint, daily_series, lookback_windows, minmax_inverse
 
 P, D, Y = PRODUCT, DATE, DEMAND
 BOOST_FEATURES = ["dow", "month", "weekend", "lag1", "lag7", "mean7"]
 PRODUCT_FEATURES = ["level", "spread"]
 CHECKPOINT_EVERY = 5
+#: Days that a product needs for M4's lag 7 of the smoothed values.
+BOOST_DAYS = 14
 
 
 # ------------------------------------------------------------------ M4
@@ -54,9 +56,11 @@ def boosted_model(train: DataFrame, max_iter: int = 100, step: float = 0.1, dept
 
 def boosted_forecast(df: DataFrame, horizon: int = 30, max_iter: int = 100, step: float = 0.1,
                      depth: int = 6) -> DataFrame:
-    """``(Product_ID, Date, kind, value)`` fitted and forecast rows of M4."""
-    train = boosted_frame(df)
-    return boosted_rollout(train, boosted_model(train, max_iter, step, depth), horizon)
+    """``(Product_ID, Date, kind, value, status)`` fitted and forecast rows of M4, and a row of kind "none" for each product
+    that has neither."""
+    daily = daily_checkpoint(df)
+    train = boosted_frame(daily)
+    return ev.with_status(boosted_rollout(train, boosted_model(train, max_iter, step, depth), horizon), daily, BOOST_DAYS)
 
 
 def boosted_rollout(train: DataFrame, model: PipelineModel, horizon: int = 30) -> DataFrame:
@@ -122,8 +126,10 @@ def _dot(coef: list[float], hist: Column, intercept: float) -> Column:
 
 
 def lookback_forecast(df: DataFrame, horizon: int = 30, n: int = LOOK_BACK) -> DataFrame:
-    """``(Product_ID, Date, kind, value)`` of M5 on the natural scale."""
-    frame = cut_lineage(_lookback_frame(df, n))
+    """``(Product_ID, Date, kind, value, status)`` of M5 on the natural scale, and a row of kind "none" for each product
+    that has neither fitted nor forecast days."""
+    daily = daily_checkpoint(df)
+    frame = cut_lineage(_lookback_frame(daily, n))
     model, train = lookback_model(frame, n)
     coef, b = list(model.coefficients.toArray()), float(model.intercept)  # n + 1 numbers
     fitted = model.transform(train).select(
@@ -145,7 +151,7 @@ def lookback_forecast(df: DataFrame, horizon: int = 30, n: int = LOOK_BACK) -> D
     fut = folded.select(P, "last_date", "_mn", "_mx", F.posexplode(F.col("_f")["out"]).alias("_pos", "s"))
     fut = fut.select(P, F.date_add("last_date", F.col("_pos") + 1).alias(D), F.lit("forecast").alias("kind"),
                      minmax_inverse(F.col("s"), F.col("_mn"), F.col("_mx")).alias("value"))
-    return fitted.unionByName(fut)
+    return ev.with_status(fitted.unionByName(fut), daily, n + 6)
 
 
 def lookback_metrics(df: DataFrame, n: int = LOOK_BACK) -> DataFrame:
@@ -167,8 +173,9 @@ def save_model(model, path: str) -> None:
 def load_model(path: str, kind=PipelineModel):
     """Load a model saved by :func:`save_model` (``kind`` is the model
     class, e.g. ``PipelineModel`` or ``LinearRegressionModel``); ``None``
-    when nothing is stored there."""
-    try:
-        return kind.load(path)
-    except Exception:  # noqa: BLE001 - a missing model is reported as None
+    when nothing is stored there.  Any other failure is raised."""
+    sc = SparkSession.active().sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where):
         return None
+    return kind.load(path)

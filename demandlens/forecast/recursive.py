@@ -30,6 +30,9 @@ from .series import by_product, daily_checkpoint
 P, D, Y = PRODUCT, DATE, DEMAND
 # Day numbers are shifted before the Gram sums (conditioning).
 ORDINAL_SHIFT = 730000
+#: Days that a product needs, the outlier cut left aside: 7 for the first smoothed value, 7 more for its lag 7, and as many
+#: training rows as the regression has coefficients.
+MIN_DAYS = 21
 FEATURES = ["x", "dow", "month", "weekend", "lag1", "lag7", "mean7"]
 
 
@@ -51,23 +54,23 @@ def smoothed_features(daily: DataFrame, q: float | None = 0.95, with_x: bool = T
     return d
 
 
-def _coef_schema() -> T.StructType:
-    return T.StructType([T.StructField(P, T.StringType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
-
-
 def fit(d: DataFrame) -> DataFrame:
     """OLS per product from the Gram matrix of [1, FEATURES, ly]."""
-    g = gram(d, [P], FEATURES + ["ly"])
+    return solve(gram(d, [P], FEATURES + ["ly"]), [P])
+
+
+def solve(grams: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the coefficients; none with fewer rows than coefficients, which would only interpolate."""
     k = len(FEATURES) + 2
 
-    def solve(row):
+    def one(row):
         beta, _ = lstsq_from_gram(as_matrix(row["g"], k), range(k - 1), k - 1)
-        return {P: row[P], "beta": [float(v) for v in beta]}
+        return {**{c: row[c] for c in keys}, "beta": [float(v) for v in beta]}
 
-    return solve_table(g, solve, _coef_schema())
+    return solve_table(grams.where(F.col("n") > len(FEATURES)), one, T.StructType([*(grams.schema[c] for c in keys), T.StructField("beta", T.ArrayType(T.DoubleType()))]))
 
 
-def _linear(beta: str, feats: list[Column]) -> Column:
+def linear(beta: str, feats: list[Column]) -> Column:
     out = F.element_at(beta, 1)
     for i, f in enumerate(feats):
         out = out + F.element_at(beta, i + 2) * f
@@ -83,8 +86,8 @@ def _last7(d: DataFrame) -> DataFrame:
         F.expr("transform(sort_array(collect_list(struct(Date, smoothed))), s -> s.smoothed)").alias("hist"))
 
 
-def rollout(state: DataFrame, horizon: int, predict: callable) -> DataFrame:
-    """Fold ``horizon`` steps over the ``hist`` array of each row.
+def rollout(state: DataFrame, horizon: int, predict: callable, held: int = 7) -> DataFrame:
+    """Fold ``horizon`` steps over the ``hist`` array of each row, which keeps its last ``held`` values.
 
     ``predict(h, hist)`` returns the next value as a Column from the step
     number ``h`` (1-based) and the current state array.
@@ -93,7 +96,7 @@ def rollout(state: DataFrame, horizon: int, predict: callable) -> DataFrame:
 
     def step(acc, h):
         p = predict(h, acc["hist"])
-        return F.struct(F.slice(F.concat(acc["hist"], F.array(p)), -7, 7).alias("hist"),
+        return F.struct(F.slice(F.concat(acc["hist"], F.array(p)), -held, held).alias("hist"),
                         F.concat(acc["out"], F.array(p)).alias("out"))
 
     folded = state.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, step))
@@ -117,16 +120,38 @@ def date_ordinal_col(day: Column) -> Column:
 
 
 def recursive_forecast(df: DataFrame, horizon: int = 30, q: float = 0.95) -> DataFrame:
-    """``(Product_ID, Date, kind, value)``: fitted smoothed history and the
-    30-step recursive forecast."""
-    d = smoothed_features(daily_checkpoint(df), q)
+    """``(Product_ID, Date, kind, value, status)``: fitted smoothed history and the
+    30-step recursive forecast, and a row of kind "none" for each product that has neither."""
+    daily = daily_checkpoint(df)
+    d = smoothed_features(daily, q)
     coef = fit(d)
     fitted = d.join(coef, P).select(P, D, F.lit("fitted").alias("kind"),
-                                    F.expm1(_linear("beta", [F.col(c) for c in FEATURES])).alias("value"))
-    state = _last7(d).join(coef, P)
+                                    F.expm1(linear("beta", [F.col(c) for c in FEATURES])).alias("value"))
+    ahead = future(_listed(d, coef), horizon).drop("status")
+    return ev.with_status(fitted.unionByName(ahead), daily, MIN_DAYS)
+
+
+def _listed(d: DataFrame, coef: DataFrame) -> DataFrame:
+    numbers = F.create_map(F.lit("beta"), F.col("beta"), F.lit("last_smoothed"), F.col("hist"))
+    return _last7(d).join(coef, P).select(P, F.col("last_date").alias("through"), F.lit("ok").alias("status"), numbers.alias("values"))
+
+
+def coefficients(df: DataFrame, q: float = 0.95) -> DataFrame:
+    """One row per product: through (last day of the fit), status, and ``values``, a map of number lists."""
+    daily = daily_checkpoint(df)
+    d = smoothed_features(daily, q)
+    rows = _listed(d, fit(d))
+    return rows.unionByName(ev.missing_rows(rows, daily, MIN_DAYS).drop("kind"), allowMissingColumns=True)
+
+
+def future(coefs: DataFrame, horizon: int = 30) -> DataFrame:
+    """Forecast rows from rows of :func:`coefficients`; products without coefficients keep one row with their status."""
+    state = coefs.where("status = 'ok'").select(P, F.col("through").alias("last_date"), F.col("values")["beta"].alias("beta"),
+                                                F.col("values")["last_smoothed"].alias("hist"))
     fut = rollout(state, horizon,
-                  lambda h, hist: F.expm1(_linear("beta", step_features(F.date_add("last_date", h), hist))))
-    return fitted.unionByName(fut.select(P, D, F.lit("forecast").alias("kind"), "value"))
+                  lambda h, hist: F.expm1(linear("beta", step_features(F.date_add("last_date", h), hist))))
+    out = fut.select(P, D, F.lit("forecast").alias("kind"), "value", F.lit("ok").alias("status"))
+    return out.unionByName(coefs.where("status <> 'ok'").select(P, F.lit("none").alias("kind"), "status"), allowMissingColumns=True)
 
 
 def recursive_metrics(df: DataFrame, q: float = 0.95) -> DataFrame:
@@ -134,5 +159,5 @@ def recursive_metrics(df: DataFrame, q: float = 0.95) -> DataFrame:
     d = smoothed_features(daily_checkpoint(df), q)
     coef = fit(d)
     pairs = d.join(coef, P).select(P, F.col("smoothed").alias("actual"), "ly",
-                                   _linear("beta", [F.col(c) for c in FEATURES]).alias("pl"))
+                                   linear("beta", [F.col(c) for c in FEATURES]).alias("pl"))
     return ev.forecast_metrics(pairs.withColumn("fitted", F.expm1("pl")), "actual", "fitted", "ly", "pl")

@@ -12,13 +12,23 @@ fit per product on Spark-built design columns:
   order 3), monthly (30.5, order 3), quarterly (365.25/4, order 2), holiday
   flags for −1, 0, +1 days around any product's holiday (J4, Q22), and the
   four regressors standardised per product;
-* ridge weights 1/scale²: change points 0.01, seasonal and holiday terms
-  0.1, regressors 0.1; intercept and slope unpenalised;
+* seasonal, holiday and regressor terms have ridge weights 1/scale² (scale
+  0.1); the slope changes at the hinges have a Laplace prior of scale 0.01,
+  that is an L1 weight of σ²/0.01, which leaves most of them exactly 0
+  (:mod:`.sparse`); intercept and slope are unpenalised;
 * 30 future days use the mean of the last 30 clean days of each regressor
-  (A37) — only for future rows (Q21); band = ±1.2816·σ of the log residuals.
+  (A37) — only for future rows (Q21);
+* the 80 % band of future days holds noise and trend uncertainty: in
+  ``SAMPLES`` simulated futures the slope goes on changing as often, and on
+  average as much, as it did in the history, and the band's ends are the
+  exact 10 % and 90 % quantiles of each day, so it widens with the horizon.
+  Draws come from digests of (product, sample, day) and repeat in any run.
+  Fitted days have the plain ±1.2816·σ band.
 
 The Gram matrix (62 columns) is built from partial blocks per Arrow batch
-(G); the 62×62 solve is the only per-product Python step.
+(G); the solve of a batch's Gram matrices is the only Python step.  What a
+forecast needs of a product is one row of named number lists
+(:func:`coefficients`), so it can be stored and read again without a refit.
 """
 
 from __future__ import annotations
@@ -26,6 +36,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +45,14 @@ from ..operators.filters import iqr_clean, min_history
 from ..session import cut_lineage
 from ..sources.demand import DATE, HOLIDAY, PRODUCT
 from . import evaluate as ev
-from .gram import as_matrix, gram_blocks, lstsq_from_gram, solve_table
-from .series import REGRESSORS, daily_features, holiday_window, last_n_mean
+from .gram import gram_blocks, solve_stacks
+from .series import REGRESSORS, daily_features, last_n_mean
+from .sparse import sparse_ridge
 
 P = PRODUCT
 N_CHANGEPOINTS = 15
 CHANGEPOINT_RANGE = 0.8
+MIN_DAYS = 30
 # Fixed values: (name, period in days, Fourier order).
 SEASONALITIES = [("yearly", 365.25, 10), ("weekly", 7.0, 3), ("monthly", 30.5, 3), ("quarterly", 365.25 / 4, 2)]
 # Prior scales; ridge weight = 1 / scale².
@@ -48,6 +61,9 @@ SEASONALITY_SCALE = 0.1
 HOLIDAY_SCALE = 0.1
 REGRESSOR_SCALE = 0.1
 INTERVAL_Z = 1.2815515655446004  # 80 % two-sided normal band
+INTERVAL = (0.1, 0.9)
+SAMPLES = 500
+SEED = "42"
 HOLIDAY_COLS = ["hol_m1", "hol_0", "hol_p1"]
 
 
@@ -66,9 +82,9 @@ REG_Z = [f"z_{c}" for c in REGRESSORS]
 DESIGN = ["t"] + HINGES + [f[0] for f in FOURIER] + HOLIDAY_COLS + REG_Z
 
 
-def _penalties() -> np.ndarray:
-    """Ridge weight per Gram column [1, DESIGN…] (target excluded)."""
-    pen = [0.0, 0.0] + [1 / CHANGEPOINT_SCALE ** 2] * N_CHANGEPOINTS
+def penalties() -> np.ndarray:
+    """Ridge weight per Gram column [1, DESIGN…] (target excluded); hinges have none."""
+    pen = [0.0, 0.0] + [0.0] * N_CHANGEPOINTS
     pen += [1 / SEASONALITY_SCALE ** 2] * len(FOURIER) + [1 / HOLIDAY_SCALE ** 2] * len(HOLIDAY_COLS)
     pen += [1 / REGRESSOR_SCALE ** 2] * len(REG_Z)
     return np.array(pen)
@@ -84,74 +100,73 @@ def _fourier(ds: Column) -> dict[str, Column]:
 
 
 def holiday_flags(daily: DataFrame) -> DataFrame:
-    """One row per day near a holiday: the J4 flags keyed by ``ds``."""
-    days = daily.select(DATE, HOLIDAY).distinct()
-    return holiday_window(days).where(F.greatest(*[F.col(c) for c in HOLIDAY_COLS]) > 0) \
-        .select(F.col(DATE).alias("ds"), *HOLIDAY_COLS).distinct()
+    """One row per day near a holiday, whether the table has rows of that day or not: the J4 flags keyed by ``ds``."""
+    holidays = daily.where(F.col(HOLIDAY) == 1).select(DATE).distinct()
+    near = holidays.select(F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_o"), DATE).select(F.date_add(DATE, F.col("_o")).alias("ds"), "_o")
+    return near.groupBy("ds").agg(*[F.max((F.col("_o") == o).cast("int")).alias(c) for o, c in zip((-1, 0, 1), HOLIDAY_COLS, strict=True)])
 
 
-def prepare(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepare(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Clean training frame with its design columns, the per-product scaling
-    table (start, span, change points, regressor means/stds) and the
-    holiday flags."""
+    table (start, span, change points, regressor means/stds), the
+    holiday flags and the daily features."""
     base = cut_lineage(daily_features(df))  # read by the cleaning, the scaling and the holiday flags
     feats = base.withColumnRenamed(DATE, "ds").withColumnRenamed("Demand", "y")
     flags = holiday_flags(base)
-    clean = min_history(iqr_clean(feats.drop(HOLIDAY), "y"), 30)
-    w = Window.partitionBy(P).orderBy("ds")
-    wp = Window.partitionBy(P)
-    clean = clean.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(wp))
+    clean = cut_lineage(min_history(iqr_clean(feats.drop(HOLIDAY), "y"), MIN_DAYS))
+    scale = cut_lineage(scaling(clean))
+    train = clean.join(scale, P).join(flags, "ds", "left").na.fill(0, subset=HOLIDAY_COLS)
+    train = add_design(train).withColumn("ly", F.log(F.col("y")))
+    return train, scale, flags, base
+
+
+def scaling(clean: DataFrame) -> DataFrame:
+    """Per product what the design columns need: first and last day, span, change points (as t), regressor means and deviations."""
+    clean = clean.withColumn("_rn", F.row_number().over(Window.partitionBy(P).orderBy("ds")) - 1).withColumn(
+        "_n", F.count(F.lit(1)).over(Window.partitionBy(P)))
     # change points: rows round(linspace(0, ⌊0.8 n⌋ − 1, 16))[1:] of every product
     hist = F.floor(F.col("_n") * CHANGEPOINT_RANGE)
     pos = [F.round((hist - 1) * j / N_CHANGEPOINTS).cast("int") for j in range(1, N_CHANGEPOINTS + 1)]
     is_cp = F.array_contains(F.array(*pos), F.col("_rn"))
     scale = clean.groupBy(P).agg(
-        F.min("ds").alias("_start"), F.max("ds").alias("_end"),
-        F.sort_array(F.collect_list(F.when(is_cp, F.col("ds")))).alias("_cp_ds"),
-        *[F.avg(c).alias(f"_mu_{c}") for c in REGRESSORS], *[F.stddev_samp(c).alias(f"_sd_{c}") for c in REGRESSORS])
+        F.min("ds").alias("_start"), F.max("ds").alias("_end"), F.sort_array(F.collect_list(F.when(is_cp, F.col("ds")))).alias("_cp_ds"),
+        F.array(*[F.avg(c) for c in REGRESSORS]).alias("_mu"), F.array(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)) for c in REGRESSORS]).alias("_sd"))
     scale = scale.withColumn("_span", F.greatest(F.datediff("_end", "_start"), F.lit(1)).cast("double"))
-    train = clean.join(scale, P).join(flags, "ds", "left").na.fill(0, subset=HOLIDAY_COLS)
-    train = add_design(train).withColumn("ly", F.log(F.col("y")))
-    return train, scale, flags
+    return scale.withColumn("_cp", F.transform("_cp_ds", lambda d: F.datediff(d, F.col("_start")).cast("double") / F.col("_span"))).drop("_cp_ds")
 
 
 def add_design(x: DataFrame) -> DataFrame:
     """Design columns from ``ds``, the scaling columns and regressor values."""
-    t = F.datediff("ds", "_start").cast("double") / F.col("_span")
-    x = x.withColumn("t", t)
-    cp_t = [F.datediff(F.element_at("_cp_ds", j), F.col("_start")).cast("double") / F.col("_span")
-            for j in range(1, N_CHANGEPOINTS + 1)]
-    hinges = {h: F.coalesce(F.greatest(F.col("t") - c, F.lit(0.0)), F.lit(0.0)) for h, c in zip(HINGES, cp_t)}
+    x = x.withColumn("t", F.datediff("ds", "_start").cast("double") / F.col("_span"))
+    hinges = {h: F.coalesce(F.greatest(F.col("t") - F.get("_cp", F.lit(j)), F.lit(0.0)), F.lit(0.0)) for j, h in enumerate(HINGES)}
     regs = {}
-    for c, z in zip(REGRESSORS, REG_Z):
-        sd = F.col(f"_sd_{c}")
-        regs[z] = F.when(sd > 0, (F.col(c) - F.col(f"_mu_{c}")) / sd).otherwise(F.lit(0.0))
+    for j, (c, z) in enumerate(zip(REGRESSORS, REG_Z, strict=True)):
+        sd = F.get("_sd", F.lit(j))
+        regs[z] = F.when(sd > 0, (F.col(c) - F.get("_mu", F.lit(j))) / sd).otherwise(F.lit(0.0))
     return x.withColumns({**hinges, **_fourier(F.col("ds")), **regs}).withColumns(
         {h: F.col(h).cast("double") for h in HOLIDAY_COLS})
 
 
-_COEF_SCHEMA = T.StructType([T.StructField(P, T.StringType()),
-                             T.StructField("beta", T.ArrayType(T.DoubleType())),
-                             T.StructField("sigma", T.DoubleType())])
+def coef_schema(keys: list[T.StructField]) -> T.StructType:
+    return T.StructType([*keys, T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("sigma", T.DoubleType()),
+                         T.StructField("weight", T.DoubleType())])
 
 
-def fit(train: DataFrame) -> DataFrame:
-    g = gram_blocks(train, [P], DESIGN + ["ly"])
-    k = len(DESIGN) + 2
-    pen = _penalties()
+def solve(grams: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, beta, sigma (of the log residuals) and the L1 weight from Gram matrices over [1, DESIGN…, ly]."""
+    ridge = penalties()
+    sparse = np.arange(2, 2 + N_CHANGEPOINTS)
+
+    def fn(pdf: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(dtype=float)
+        beta, weight, sse = sparse_ridge(g[:, :-1, :-1], g[:, :-1, -1], g[:, -1, -1], n, ridge, sparse, CHANGEPOINT_SCALE)
+        return pdf[keys].assign(beta=list(beta), sigma=np.sqrt(sse / np.maximum(n - 1, 1)), weight=weight)
 
-    def solve(row):
-        G = as_matrix(row["g"], k)
-        idx = list(range(k - 1))
-        A = G[np.ix_(idx, idx)] + np.diag(pen)
-        b = G[idx, k - 1]
-        beta = np.linalg.lstsq(A, b, rcond=None)[0]
-        sse = float(G[k - 1, k - 1] - 2 * beta @ b + beta @ G[np.ix_(idx, idx)] @ beta)
-        n = float(row["n"])
-        sigma = math.sqrt(max(sse, 0.0) / max(n - 1.0, 1.0))
-        return {P: row[P], "beta": [float(v) for v in beta], "sigma": sigma}
+    return solve_stacks(grams, fn, coef_schema([grams.schema[k] for k in keys]))
 
-    return solve_table(g, solve, _COEF_SCHEMA)
+
+def fit(train: DataFrame) -> DataFrame:
+    return solve(gram_blocks(train, [P], DESIGN + ["ly"]), [P])
 
 
 def _linear(cols: list[str], offset: int) -> Column:
@@ -162,11 +177,14 @@ def _linear(cols: list[str], offset: int) -> Column:
     return out
 
 
-def _components(x: DataFrame) -> DataFrame:
-    trend = F.element_at("beta", 1) + _linear(["t"] + HINGES, 2)
-    comps = {"trend": trend}
+COMPONENTS = ["trend", *[s[0] for s in SEASONALITIES], "holidays", "regressors"]
+
+
+def components(x: DataFrame) -> DataFrame:
+    """``x`` with the model's parts and their sum ``log_yhat``, and ``yhat`` (mean of a log-normal: exp(μ + σ²/2))."""
+    comps = {"trend": F.element_at("beta", 1) + _linear(["t"] + HINGES, 2)}
     start = 2 + 1 + N_CHANGEPOINTS
-    for name, _, order in SEASONALITIES:
+    for name, _, _ in SEASONALITIES:
         cols = [f[0] for f in FOURIER if f[1] == name]
         comps[name] = _linear(cols, start)
         start += len(cols)
@@ -174,40 +192,101 @@ def _components(x: DataFrame) -> DataFrame:
     start += len(HOLIDAY_COLS)
     comps["regressors"] = _linear(REG_Z, start)
     x = x.withColumns(comps)
-    total = sum((F.col(c) for c in comps), F.lit(0.0))
-    return (x.withColumn("log_yhat", total)
-            # mean of a log-normal: exp(μ + σ²/2); the band uses its quantiles
-            .withColumn("yhat", F.exp(F.col("log_yhat") + 0.5 * F.col("sigma") * F.col("sigma")))
-            .withColumn("yhat_lower", F.exp(F.col("log_yhat") - INTERVAL_Z * F.col("sigma")))
+    total = sum((F.col(c) for c in COMPONENTS), F.lit(0.0))
+    return x.withColumn("log_yhat", total).withColumn("yhat", F.exp(F.col("log_yhat") + 0.5 * F.col("sigma") * F.col("sigma")))
+
+
+def _fitted_band(x: DataFrame) -> DataFrame:
+    return (x.withColumn("yhat_lower", F.exp(F.col("log_yhat") - INTERVAL_Z * F.col("sigma")))
             .withColumn("yhat_upper", F.exp(F.col("log_yhat") + INTERVAL_Z * F.col("sigma"))))
 
 
-OUT_COLS = ["yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly", "monthly", "quarterly",
-            "holidays", "regressors"]
+def _uniform(digest: Column, at: int) -> Column:
+    """52 bits of a digest as a number strictly between 0 and 1."""
+    return (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def simulated_band(future: DataFrame, samples: int = SAMPLES, seed: str = SEED) -> DataFrame:
+    """``future`` (product, _h = 1, 2, …, log_yhat, sigma, beta, _span) with yhat_lower and yhat_upper.
+
+    A row per product, sample and day; a path's trend is two running sums over its slope changes.  Quantiles are exact
+    over a day's samples, so what a task holds per (product, day) is bounded by ``samples``.
+    """
+    change = F.aggregate(F.slice("beta", 3, N_CHANGEPOINTS), F.lit(0.0), lambda a, b: a + F.abs(b)) / N_CHANGEPOINTS
+    rows = future.select(P, "_h", "log_yhat", "sigma", "_span", change.alias("_change"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_s"))
+    digests = {tag: F.md5(F.concat_ws("|", F.lit(seed), F.lit(tag), F.col(P), F.col("_s").cast("string"), F.col("_h").cast("string"))) for tag in ("change", "noise")}
+    rows = rows.withColumns({f"_{tag}s": d for tag, d in digests.items()})
+    side = _uniform(F.col("_changes"), 14) - 0.5
+    size = -F.col("_change") * F.signum(side) * F.log(1 - 2 * F.abs(side))
+    rows = rows.withColumn("_jump", F.when(_uniform(F.col("_changes"), 1) < F.least(F.lit(float(N_CHANGEPOINTS)) / F.col("_span"), F.lit(1.0)), size).otherwise(0.0))
+    noise = F.sqrt(-2 * F.log(_uniform(F.col("_noises"), 1))) * F.cos(F.lit(2 * math.pi) * _uniform(F.col("_noises"), 14))
+    path = Window.partitionBy(P, "_s").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    drift = (F.col("_h") * F.sum("_jump").over(path) - F.sum(F.col("_h") * F.col("_jump")).over(path)) / F.col("_span")
+    rows = rows.select(P, "_h", (F.col("log_yhat") + drift + F.col("sigma") * noise).alias("_y"))
+    ends = rows.groupBy(P, "_h").agg(F.percentile("_y", list(INTERVAL)).alias("_q"))
+    return future.join(ends, [P, "_h"]).withColumns({"yhat_lower": F.exp(F.col("_q")[0]), "yhat_upper": F.exp(F.col("_q")[1])}).drop("_q")
+
+
+OUT_COLS = ["yhat", "yhat_lower", "yhat_upper", *COMPONENTS]
+#: Named number lists of a product's row: what scores it without a refit.
+VALUES = ["beta", "sigma", "weight", "span", "change_points", "means", "deviations", "last_means", *HOLIDAY_COLS]
+
+
+def _listed(c: Column) -> Column:
+    return F.array(c.cast("double"))
+
+
+def coefficients(df: DataFrame, horizon: int = 30) -> DataFrame:
+    """One row per product: through (last clean day), start, status, and ``values``, a map of number lists (see ``VALUES``).
+
+    The holiday flags are those of the next ``horizon`` days.
+    """
+    return _coefficients(*prepare(df), horizon)[0]
+
+
+def _coefficients(train: DataFrame, scale: DataFrame, flags: DataFrame, base: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
+    means = last_n_mean(train.withColumnRenamed("ds", DATE), REGRESSORS, 30).select(P, F.array(*REGRESSORS).alias("_last"))
+    ahead = scale.select(P, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h"), "_end").withColumn("ds", F.date_add("_end", F.col("_h")))
+    ahead = ahead.join(flags, "ds", "left").na.fill(0, subset=HOLIDAY_COLS)
+    ahead = ahead.groupBy(P).agg(F.sort_array(F.collect_list(F.struct("_h", *HOLIDAY_COLS))).alias("_ahead"))
+    parts = {"beta": F.col("beta"), "sigma": _listed(F.col("sigma")), "weight": _listed(F.col("weight")), "span": _listed(F.col("_span")), "change_points": F.col("_cp"),
+             "means": F.col("_mu"), "deviations": F.col("_sd"), "last_means": F.col("_last"),
+             **{h: F.col("_ahead")[h].cast("array<double>") for h in HOLIDAY_COLS}}
+    values = F.create_map(*[x for name in VALUES for x in (F.lit(name), parts[name])])
+    rows = cut_lineage(fit(train)).join(scale, P).join(means, P).join(ahead, P)
+    rows = rows.select(P, F.col("_end").alias("through"), F.col("_start").alias("start"), F.lit("ok").alias("status"), values.alias("values"))
+    return cut_lineage(rows.unionByName(ev.missing_rows(rows, base, MIN_DAYS).drop("kind"), allowMissingColumns=True)), train
+
+
+def future(coefs: DataFrame, horizon: int = 30, samples: int = SAMPLES) -> DataFrame:
+    """Forecast rows from rows of :func:`coefficients`; products without coefficients keep one row with their status."""
+    v = {name: F.col("values")[name] for name in VALUES}
+    x = (coefs.where("status = 'ok'").select(
+        P, F.col("start").alias("_start"), F.col("through").alias("_end"), v["span"][0].alias("_span"), v["change_points"].alias("_cp"), v["means"].alias("_mu"),
+        v["deviations"].alias("_sd"), v["beta"].alias("beta"), v["sigma"][0].alias("sigma"), *[v["last_means"][j].alias(c) for j, c in enumerate(REGRESSORS)],
+        *[v[h].alias(f"_{h}") for h in HOLIDAY_COLS]).select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h")))
+    x = x.withColumn("ds", F.date_add("_end", F.col("_h"))).withColumns({h: F.coalesce(F.get(f"_{h}", F.col("_h") - 1), F.lit(0.0)) for h in HOLIDAY_COLS})
+    x = components(add_design(x)).select(P, "ds", "_h", "_span", "beta", "sigma", "log_yhat", "yhat", *COMPONENTS)
+    out = simulated_band(x, samples).select(P, F.col("ds").alias(DATE), F.lit("forecast").alias("kind"), *OUT_COLS, F.lit("ok").alias("status"))
+    rest = coefs.where("status <> 'ok'").select(P, F.lit("none").alias("kind"), "status")
+    return out.unionByName(rest, allowMissingColumns=True)
+
+
+def _fitted(train: DataFrame, coefs: DataFrame) -> DataFrame:
+    own = coefs.where("status = 'ok'").select(P, F.col("values")["beta"].alias("beta"), F.col("values")["sigma"][0].alias("sigma"))
+    return _fitted_band(components(train.join(own, P)))
 
 
 def seasonal_forecast(df: DataFrame, horizon: int = 30) -> DataFrame:
-    """``(Product_ID, Date, kind, value, yhat_lower, yhat_upper, components…)``."""
-    train, scale, flags = prepare(df)
-    train = cut_lineage(train)
-    coef = fit(train)
-    hist = _components(train.join(coef, P)).select(P, F.col("ds").alias(DATE), F.lit("fitted").alias("kind"),
-                                                   *OUT_COLS)
-    means = last_n_mean(train.withColumnRenamed("ds", DATE), REGRESSORS, 30)
-    fut = (scale.join(means, P).select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h"))
-           .withColumn("ds", F.date_add("_end", F.col("_h"))))
-    fut = add_design(fut.join(flags, "ds", "left").na.fill(0, subset=HOLIDAY_COLS))
-    future = _components(fut.join(coef, P)).select(P, F.col("ds").alias(DATE), F.lit("forecast").alias("kind"),
-                                                   *OUT_COLS)
-    out = hist.unionByName(future)
-    return out.withColumnRenamed("yhat", "value")
+    """``(Product_ID, Date, kind, value, yhat_lower, yhat_upper, components…, status)``."""
+    coefs, train = _coefficients(*prepare(df), horizon)
+    hist = _fitted(train, coefs).select(P, F.col("ds").alias(DATE), F.lit("fitted").alias("kind"), *OUT_COLS, F.lit("ok").alias("status"))
+    return hist.unionByName(future(coefs, horizon)).withColumnRenamed("yhat", "value")
 
 
 def seasonal_pairs(df: DataFrame) -> DataFrame:
-    train, _, _ = prepare(df)
-    train = cut_lineage(train)
-    coef = fit(train)
-    return _components(train.join(coef, P)).select(P, F.col("y").alias("actual"), F.col("yhat").alias("fitted"))
+    coefs, train = _coefficients(*prepare(df), 1)
+    return _fitted(train, coefs).select(P, F.col("y").alias("actual"), F.col("yhat").alias("fitted"))
 
 
 def seasonal_metrics(df: DataFrame) -> DataFrame:
@@ -218,6 +297,26 @@ def seasonal_metrics(df: DataFrame) -> DataFrame:
     return m.join(r, P)
 
 
+def optimality(df: DataFrame) -> DataFrame:
+    """Per product whether the optimum's conditions hold, from the training rows themselves: the slope of the penalised squares
+    is 0 in every free column, and within the L1 weight in every hinge (equal to it, with the sign, where the slope changes)."""
+    coefs, train = _coefficients(*prepare(df), 1)
+    v = F.col("values")
+    own = coefs.where("status = 'ok'").select(P, v["beta"].alias("beta"), v["sigma"][0].alias("sigma"), v["weight"][0].alias("weight"))
+    left = F.col("ly") - F.col("log_yhat")
+    sums = components(train.join(own, P)).groupBy(P, "weight", "beta").agg(
+        F.count("*").alias("n"), F.array(F.sum(left), *[F.sum(F.col(c) * left) for c in DESIGN]).alias("pull"))
+    ridge = F.array(*[F.lit(float(x)) for x in penalties()])
+    slopes = F.zip_with(F.col("pull"), F.zip_with(ridge, F.col("beta"), lambda r, b: r * b), lambda s, r: s - r)
+    hinge = F.slice("beta", 3, N_CHANGEPOINTS)
+    rest = F.zip_with(F.slice("slopes", 3, N_CHANGEPOINTS), hinge, lambda s, b: F.when(b == 0, F.abs(s) <= F.col("weight") + 1e-5).otherwise(
+        F.abs(s - F.col("weight") * F.signum(b)) < 1e-5))
+    free = F.concat(F.slice("slopes", 1, 2), F.slice("slopes", 3 + N_CHANGEPOINTS, len(DESIGN) - 1 - N_CHANGEPOINTS))
+    return sums.withColumn("slopes", slopes).select(
+        P, "n", "weight", F.size(F.filter(hinge, lambda b: b != 0)).alias("slope_changes"), F.aggregate(hinge, F.lit(0.0), lambda a, b: a + F.abs(b)).alias("total_change"),
+        F.forall(free, lambda s: F.abs(s) < 1e-5).alias("free_at_rest"), F.forall(rest, lambda x: x).alias("hinges_at_rest"))
+
+
 def cleaning_report(df: DataFrame) -> DataFrame:
     """F9 report: rows removed by the IQR cleaning per product."""
     feats = daily_features(df).withColumnRenamed(DATE, "ds").withColumnRenamed("Demand", "y").drop(HOLIDAY)

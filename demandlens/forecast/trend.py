@@ -17,6 +17,8 @@ from . import evaluate as ev
 from .series import daily_checkpoint
 
 P, D, Y = PRODUCT, DATE, DEMAND
+#: Days that a product needs for a line.
+MIN_DAYS = 2
 
 
 def _fit(daily: DataFrame, q: float) -> tuple[DataFrame, DataFrame]:
@@ -37,18 +39,39 @@ def trend_fit(df: DataFrame, q: float = 0.99) -> DataFrame:
 
 
 def trend_forecast(df: DataFrame, horizon: int = 30, q: float = 0.99) -> DataFrame:
-    """``(Product_ID, Date, kind, value)``: fitted history and forecasts.
+    """``(Product_ID, Date, kind, value, status)``: fitted history and forecasts, and a row of kind "none" for each product
+    that has neither.
 
     The per-product coefficients (one row per product) are joined back on
     the product key; the future days come from ``sequence(1, horizon)``.
     """
-    d, coef = _fit(daily_checkpoint(df), q)
+    daily = daily_checkpoint(df)
+    d, coef = _fit(daily, q)
     fitted = d.join(coef, P).select(P, D, F.lit("fitted").alias("kind"),
                                     F.expm1(_predict_log(F.col("x"))).alias("value"))
-    fut = coef.select(P, "slope", "ybar", "xbar", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"),
-                      "last_date").withColumn(D, F.date_add("last_date", F.col("h")))
-    future = fut.select(P, D, F.lit("forecast").alias("kind"), F.expm1(_predict_log(date_ordinal(D))).alias("value"))
-    return fitted.unionByName(future)
+    ahead = future(_listed(coef), horizon).drop("status")
+    return ev.with_status(fitted.unionByName(ahead), daily, MIN_DAYS)
+
+
+def _listed(coef: DataFrame) -> DataFrame:
+    numbers = F.create_map(*[x for c in ("slope", "ybar", "xbar") for x in (F.lit(c), F.array(F.coalesce(F.col(c), F.lit(0.0))))])
+    return coef.select(P, F.col("last_date").alias("through"), F.lit("ok").alias("status"), numbers.alias("values"))
+
+
+def coefficients(df: DataFrame, q: float = 0.99) -> DataFrame:
+    """One row per product: through (last day of the fit), status, and ``values``, a map of number lists."""
+    daily = daily_checkpoint(df)
+    rows = _listed(_fit(daily, q)[1])
+    return rows.unionByName(ev.missing_rows(rows, daily, MIN_DAYS).drop("kind"), allowMissingColumns=True)
+
+
+def future(coefs: DataFrame, horizon: int = 30) -> DataFrame:
+    """Forecast rows from rows of :func:`coefficients`; products without coefficients keep one row with their status."""
+    numbers = [F.col("values")[c][0].alias(c) for c in ("slope", "ybar", "xbar")]
+    fut = coefs.where("status = 'ok'").select(P, *numbers, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "through")
+    out = fut.withColumn(D, F.date_add("through", F.col("h"))).select(
+        P, D, F.lit("forecast").alias("kind"), F.expm1(_predict_log(date_ordinal(D))).alias("value"), F.lit("ok").alias("status"))
+    return out.unionByName(coefs.where("status <> 'ok'").select(P, F.lit("none").alias("kind"), "status"), allowMissingColumns=True)
 
 
 def trend_pairs(df: DataFrame, q: float = 0.99) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..forecast import evaluate as ev
 from ..forecast import trend
 from ..sources.demand import DATE, PRODUCT
-from .registry import ORACLES, register
+from . import model_sql as sql
+from .registry import ORACLES, register, with_demand
 
 DAILY = "daily AS (SELECT Product_ID, Date, CAST(SUM(Demand) AS DOUBLE) AS Demand FROM demand GROUP BY 1, 2)"
 ORD = "(CAST(Date - DATE '1970-01-01' AS BIGINT) + 719163)"
@@ -26,17 +27,29 @@ def _r6(c):
     return F.round(F.col(c), 6).alias(c)
 
 
+def _r(c, digits):
+    return F.round(F.col(c), digits).alias(c)
+
+
+def missing_sql(known: str, needed: int, columns: str = "NULL AS Date, 'none' AS kind, NULL AS value", key: str = "Product_ID") -> str:
+    """Rows of the products of ``daily`` that ``known`` lacks."""
+    return f"""SELECT Product_ID, {columns}, CASE WHEN count(*) < {needed} THEN 'too_short' WHEN min(Demand) = max(Demand) THEN 'constant' ELSE 'no_clean_days' END AS status
+FROM daily WHERE Product_ID NOT IN (SELECT {key} FROM {known}) GROUP BY Product_ID"""
+
+
 @register("trend_forecast", M1_FIT + f"""
-SELECT Product_ID, Date, 'fitted' AS kind, round(exp(pl) - 1, 6) AS value FROM f
+SELECT Product_ID, Date, 'fitted' AS kind, round(exp(pl) - 1, 6) AS value, 'ok' AS status FROM f
 UNION ALL
 SELECT Product_ID, CAST(last_date + INTERVAL (h) DAY AS DATE) AS Date, 'forecast' AS kind,
        round(exp(ybar + coalesce(slope, 0) * ((CAST(last_date - DATE '1970-01-01' AS BIGINT) + 719163 + h) - xbar)) - 1, 6)
-         AS value
-FROM c, range(1, 31) r(h)""")
+         AS value, 'ok'
+FROM c, range(1, 31) r(h)
+UNION ALL
+""" + missing_sql("c", 2))
 def q_trend_forecast(df):
-    """M1: fitted values and 30 forecast days per product."""
+    """M1: fitted values and 30 forecast days per product; products without have a row that says why."""
     out = trend.trend_forecast(df, 30)
-    return out.select(PRODUCT, DATE, "kind", _r6("value"))
+    return out.select(PRODUCT, DATE, "kind", _r6("value"), "status")
 
 
 _METRICS_SQL = """
@@ -57,9 +70,9 @@ SELECT Product_ID, n, round(mean, 6) AS mean, round(rmse, 6) AS rmse, round(rmse
 FROM g"""
 
 
-def metrics_sql(t: ev.Thresholds = ev.Thresholds()) -> str:
-    return _METRICS_SQL.format(rg=t.rmse_good, rf=t.rmse_fair, mg=t.mape_good, mf=t.mape_fair,
-                               r2g=t.r2_good, r2f=t.r2_fair)
+# grade limits are written out here, apart from the engine's
+def metrics_sql(limits=(20, 40, 10, 20, 0.7, 0.5)) -> str:
+    return _METRICS_SQL.format(**dict(zip(("rg", "rf", "mg", "mf", "r2g", "r2f"), limits, strict=True)))
 
 
 @register("trend_metrics", M1_FIT + """
@@ -85,25 +98,26 @@ from ..forecast import recursive as rc  # noqa: E402
 from ..forecast import ridge as rg  # noqa: E402
 
 
-@register("poly_ridge_forecast")
+# (values of solved models are rounded to 4 places, so that two solvers' last digits can't part them)
+@register("poly_ridge_forecast", sql.RIDGE_FORECAST, raw_oracle=True)
 def q_ridge_forecast(df):
     """M2: fitted smoothed history and 30 forecast days."""
-    return rg.ridge_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+    return rg.ridge_forecast(df, 30).select(PRODUCT, DATE, "kind", _r("value", 4), "status")
 
 
-@register("poly_ridge_metrics")
+@register("poly_ridge_metrics", sql.PAIRS["poly_ridge"] + metrics_sql().replace("FROM g", ", alpha::DOUBLE AS alpha FROM g JOIN (SELECT DISTINCT Product_ID, alpha FROM pairs) USING (Product_ID)"), raw_oracle=True)
 def q_ridge_metrics(df):
     """M10 + M11 for M2, with the chosen alpha."""
     return ev.grade_metrics(ev.round_metrics(rg.ridge_metrics(df)))
 
 
-@register("recursive_linear_forecast")
+@register("recursive_linear_forecast", sql.RECURSIVE_FORECAST, raw_oracle=True)
 def q_recursive_forecast(df):
-    """M3: fitted smoothed history and the 30-step recursion."""
-    return rc.recursive_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+    """M3: fitted smoothed history and the 30-step recursion; products without have a row that says why."""
+    return rc.recursive_forecast(df, 30).select(PRODUCT, DATE, "kind", _r("value", 4), "status")
 
 
-@register("recursive_linear_metrics")
+@register("recursive_linear_metrics", sql.PAIRS["recursive_linear"] + metrics_sql(), raw_oracle=True)
 def q_recursive_metrics(df):
     """M10 + M11 for M3."""
     return ev.grade_metrics(ev.round_metrics(rc.recursive_metrics(df)))
@@ -167,7 +181,7 @@ from ..forecast import pooled as pl  # noqa: E402
 @register("recursive_boosted_forecast")
 def q_boosted_forecast(df):
     """M4: pooled GBT (100 trees, step 0.1, depth 6), 30-step recursion."""
-    return pl.boosted_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+    return pl.boosted_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"), "status")
 
 
 @register("recursive_boosted_metrics")
@@ -176,30 +190,39 @@ def q_boosted_metrics(df):
     return ev.grade_metrics(ev.round_metrics(pl.boosted_metrics(df)))
 
 
-@register("lookback_forecast")
+@register("lookback_forecast", sql.LOOKBACK_FORECAST, raw_oracle=True)
 def q_lookback_forecast(df):
-    """M5: pooled linear model on 30 scaled look-back values, 30-step rollout."""
-    return pl.lookback_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"))
+    """M5: pooled linear model on 30 scaled look-back values, 30-step rollout; products without have a row that says why."""
+    return pl.lookback_forecast(df, 30).select(PRODUCT, DATE, "kind", _r("value", 4), "status")
 
 
-@register("lookback_metrics")
+@register("lookback_metrics", sql.PAIRS["lookback"] + metrics_sql(), raw_oracle=True)
 def q_lookback_metrics(df):
     """M10 + M11 for M5."""
     return ev.grade_metrics(ev.round_metrics(pl.lookback_metrics(df)))
 
 
-# ------------------------------------------------------------------ M9 (rows-only)
+# ------------------------------------------------------------------ M9
 from ..forecast import seasonal as sn  # noqa: E402
 
 
-@register("seasonal_regression_forecast")
+@register("seasonal_regression_forecast", sql.SEASONAL_FORECAST, raw_oracle=True)
 def q_seasonal_forecast(df):
-    """M9: fitted and 30 forecast days with 80 % band and components."""
+    """M9: fitted and 30 forecast days with 80 % band and components; products without have a row that says why."""
     out = sn.seasonal_forecast(df, 30)
-    return out.select(PRODUCT, DATE, "kind", *[_r6(c) for c in ["value"] + sn.OUT_COLS[1:]])
+    return out.select(PRODUCT, DATE, "kind", *[_r(c, 3) for c in ["value"] + sn.OUT_COLS[1:]], "status")
 
 
-@register("seasonal_regression_metrics")
+@register("seasonal_optimality", sql.SEASONAL_OPTIMALITY, raw_oracle=True)
+def q_seasonal_optimality(df):
+    """M9: slope changes of each product and whether the conditions of the optimum hold."""
+    out = sn.optimality(df)
+    return out.select(PRODUCT, "n", _r("weight", 4), "slope_changes", _r("total_change", 4), "free_at_rest", "hinges_at_rest")
+
+
+@register("seasonal_regression_metrics", sql.PAIRS["seasonal_regression"] + metrics_sql((15, 30, 10, 20, 0.8, 0.6)).replace("FROM g", """, unbiased, residual_mean, residual_std
+FROM g JOIN (SELECT Product_ID, round(avg(actual - fitted), 6) AS residual_mean, round(stddev_pop(actual - fitted), 6) AS residual_std, abs(avg(actual - fitted)) < 0.1 AS unbiased
+             FROM pairs GROUP BY 1) USING (Product_ID)"""), raw_oracle=True)
 def q_seasonal_metrics(df):
     """M10 + M11 (seasonal limits) + M12 for M9."""
     m = ev.grade_metrics(ev.round_metrics(sn.seasonal_metrics(df)), ev.SEASONAL_THRESHOLDS)
@@ -236,9 +259,27 @@ def q_compare(df):
     return _r6all(bt.compare_models(df))
 
 
+_RANKED = ("trend", "poly_ridge", "recursive_linear", "seasonal_regression")
+
+
+def _ranking_sql() -> str:
+    """M13 from each model's own pairs: scores side by side, then ranks."""
+    pairs = {**sql.PAIRS, "trend": with_demand(M1_FIT + ", pairs AS (SELECT Product_ID, Demand AS actual, exp(pl) - 1 AS fitted, ly AS ry, pl AS rf FROM f)")}
+    scores = _METRICS_SQL[:_METRICS_SQL.index("SELECT Product_ID, n, round(mean")]
+    parts = [f"SELECT * FROM ({pairs[m]}{scores} SELECT Product_ID, '{m}' AS model, rmse, rmse_pct, mape, r2 FROM g)" for m in _RANKED]
+    return ("SELECT Product_ID, model, round(rmse, 6) AS rmse, round(rmse_pct, 6) AS rmse_pct, round(mape, 6) AS mape, round(r2, 6) AS r2,"
+            " CAST(row_number() OVER (PARTITION BY Product_ID ORDER BY rmse_pct NULLS LAST, model) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(parts) + ")")
+
+
+@register("model_ranking", _ranking_sql(), raw_oracle=True)
+def q_ranking(df):
+    """M13 over the models that SQL can fit, too."""
+    return _r6all(bt.compare_models(df, models=_RANKED))
+
+
 @register("rolling_backtest")
 def q_backtest(df):
-    """Out-of-sample metrics per product, model and fold (3 folds of 30 days)."""
+    """Out-of-sample metrics of five models per product and fold (3 folds of 30 days)."""
     return _r6all(bt.rolling_backtest(df, 3, 30))
 
 
@@ -370,7 +411,7 @@ SELECT Product_ID, CAST(fold AS INTEGER) AS fold, count(*) AS n, round(sqrt(avg(
 FROM m GROUP BY 1, 2""")
 def q_backtest_trend(df):
     """M14 for M1: out-of-sample metrics of the refitted trend per fold."""
-    m = bt.rolling_backtest(df, 3, 30).where(F.col("model") == "trend")
+    m = bt.rolling_backtest(df, 3, 30, ["trend"])
     return m.select(PRODUCT, "fold", "n", *[F.round(c, 5).alias(c) for c in ("rmse", "mape", "r2")])
 
 
