@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.derive import HOLIDAY_LABELS, MONTH_NAMES_TR
 from ..operators.analytics import overview as ov
 from ..sources import demand as src
 from .registry import register
@@ -15,6 +14,8 @@ EFFECT, EFFECT_LABELS = [0, 0.3, 0.6, 0.8, 1.0], ["(0, 0.3]", "(0.3, 0.6]", "(0.
 STOCK, STOCK_LABELS = [0, 30, 70, 90, 100], ["(0, 30]", "(30, 70]", "(70, 90]", "(90, 100]"]
 RIVAL, RIVAL_LABELS = [0.8, 0.95, 1.05], ["(0, 0.8]", "(0.8, 0.95]", "(0.95, 1.05]", "(1.05, inf)"]
 THIRDS = ["1 of 3", "2 of 3", "3 of 3"]
+HOLIDAY_LABELS = ["Normal", "Holiday"]
+MONTH_NAMES_TR = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"]
 
 # ------------------------------------------------------------------ S4
 register("filter_options", f"""
@@ -378,3 +379,23 @@ register("price_discount_surface", f"""
 SELECT CAST(g.i AS BIGINT) AS i, CAST(g.j AS BIGINT) AS j, round(g.price, 6) AS price,
        round(g.discount, 6) AS discount, round(coalesce(c.m, g.gmean), 6) AS demand
 FROM g LEFT JOIN c ON g.i = c.i AND g.j = c.j""")(pr.price_discount_surface)
+
+# ------------------------------------------------------------------ A2, A11, A13, A15, A16, A26, A28 from the stored roll-up
+from ..operators.analytics import stored  # noqa: E402
+from ..sources.rollup import DailyRollup  # noqa: E402
+from .registry import ORACLES  # noqa: E402
+
+
+def _reg_stored(name: str, fn) -> None:
+    """The same question, answered from a roll-up of the facts that is written first; the oracle is that of the facts."""
+    def run(df):
+        return fn(DailyRollup.build(df).load())
+    run.__doc__ = fn.__doc__
+    register(f"{name}_stored", ORACLES[name], raw_oracle=True)(run)
+
+
+for _name, _fn in [("monthly_performance", stored.monthly_performance), ("daily_demand", stored.daily_demand),
+                   ("daily_demand_by_product", lambda s: stored.daily_demand(s, by_product=True)), ("yearly_demand", stored.yearly_demand),
+                   ("campaign_demand_share", stored.campaign_demand_share), ("weekly_variation", stored.weekly_variation),
+                   ("campaign_weekly_timeline", stored.campaign_weekly_timeline), ("seasonal_campaign_rollup", stored.seasonal_campaign_rollup)]:
+    _reg_stored(_name, _fn)

@@ -157,3 +157,13 @@ def q_standardise(df):
     """W13."""
     d = S.standardise(S.daily_series(df), DEMAND)
     return d.select(PRODUCT, DATE, DEMAND, _r6("z"))
+
+
+@register("daily_features_stored", f", {FEATS} SELECT Product_ID, Date, Demand, Public_Holiday, "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in S.REGRESSORS) + " FROM feats")
+def q_daily_features_stored(df):
+    """A36 from the stored roll-up."""
+    from ..operators.analytics import stored
+    from ..sources.rollup import DailyRollup
+    d = stored.daily_features(DailyRollup.build(df).load())
+    return d.select(PRODUCT, DATE, DEMAND, "Public_Holiday", *[_r6(c) for c in S.REGRESSORS])

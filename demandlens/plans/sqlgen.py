@@ -1,5 +1,4 @@
-"""Small helpers that write the oracle SQL text for the fixed-value bands,
-so the oracle and the engine read the same edge and label lists."""
+"""Small helpers that write oracle SQL text; edges and labels are given by the caller."""
 
 from __future__ import annotations
 
