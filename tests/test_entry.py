@@ -43,7 +43,7 @@ def test_queries_run_from_another_folder(tmp_path):
     code = f"""
 import importlib.util
 from pyspark.sql import SparkSession
-spark = (SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
          .config("spark.checkpoint.dir", "{tmp_path}/checkpoints").getOrCreate())
 spec = importlib.util.spec_from_file_location("entry", "{root}/__spark_entry__.py")
 entry = importlib.util.module_from_spec(spec)
@@ -53,3 +53,28 @@ print("ROWS", entry.queries()["poly_ridge_metrics"](spark, "{SF_SMALL}").count()
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 25" in done.stdout, done.stderr[-2000:]
+
+
+def _entry_without(tmp_path, package):
+    """The names of the queries when ``package`` can't be imported."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = f"""
+import sys
+sys.modules["{package}"] = None
+sys.path.insert(0, "{root}")
+import __spark_entry__ as E
+print("NAMES", *E.queries())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    return done, done.stdout.partition("NAMES")[2].split()
+
+
+@pytest.mark.parametrize("package", ["xxhash", "corpus_pipeline", "demandlens.llm"])
+def test_entry_survives_without_the_training_part(tmp_path, package):
+    done, names = _entry_without(tmp_path, package)
+    assert "top_products" in names and "pipeline" not in names, done.stderr[-2000:]
+
+
+def test_entry_needs_the_rest(tmp_path):
+    done, names = _entry_without(tmp_path, "demandlens.forecast.seasonal")
+    assert not names and done.returncode
