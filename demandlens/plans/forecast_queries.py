@@ -277,7 +277,7 @@ def q_ranking(df):
     return _r6all(bt.compare_models(df, models=_RANKED))
 
 
-@register("rolling_backtest")
+@register("rolling_backtest", sql.BACKTEST_SCORES, raw_oracle=True)
 def q_backtest(df):
     """Out-of-sample metrics of five models per product and fold (3 folds of 30 days)."""
     return _r6all(bt.rolling_backtest(df, 3, 30))

@@ -148,8 +148,9 @@ def _parts(x: str, b: str) -> dict[str, str]:
     return out
 
 
-def seasonal_fit(clean: str = "clean") -> str:
-    """CTEs from ``clean`` (product, ds, y, regressors; its days are counted from 0 in rn, n) to ``beta`` (k, b, sigma, w, n)."""
+def seasonal_scale(clean: str) -> str:
+    """CTEs from ``clean`` (product, ds, regressors; its days are counted from 0 in rn, n) to ``scale`` and, from all features,
+    to the holiday ``flags``."""
     spots = ", ".join(f"CAST(round((floor(n * 0.8) - 1) * {j} / {_N_CP}) AS INTEGER)" for j in range(1, _N_CP + 1))
     return f"""
 , scale0 AS (SELECT Product_ID, min(ds) AS first_day, max(ds) AS last_day, list(ds ORDER BY ds) FILTER (WHERE list_contains([{spots}], rn)) AS cps,
@@ -158,13 +159,16 @@ def seasonal_fit(clean: str = "clean") -> str:
             FROM (SELECT *, greatest(last_day - first_day, 1)::DOUBLE AS span FROM scale0))
 , days AS (SELECT DISTINCT Date AS ds FROM feats WHERE h = 1)
 , flags AS (SELECT CAST(ds + INTERVAL (o) DAY AS DATE) AS ds, max(CASE WHEN o = -1 THEN 1 ELSE 0 END) AS hm, max(CASE WHEN o = 0 THEN 1 ELSE 0 END) AS h0, max(CASE WHEN o = 1 THEN 1 ELSE 0 END) AS hp
-            FROM days, (SELECT unnest([-1, 0, 1]) AS o) GROUP BY 1)
-, train AS (SELECT Product_ID, ds, y, n, [{_design('ds', 'CAST(ds - first_day AS DOUBLE) / span', _REGRESSORS)}, ln(y)] AS x
-            FROM {clean} JOIN scale USING (Product_ID) LEFT JOIN flags USING (ds))
-, {gram_rows('gm', 'train', _ALL + 1)}
+            FROM days, (SELECT unnest([-1, 0, 1]) AS o) GROUP BY 1)"""
+
+
+def seasonal_solve(train: str, key: str) -> str:
+    """CTEs from ``train`` (its key, design list x, log demand last) to ``beta`` (k, b, d, n, w, sigma)."""
+    return f"""
+, {gram_rows('gm', train, _ALL + 1, key)}
 , gp AS (SELECT k, i, j, v + CASE WHEN i = j AND i BETWEEN 2 AND {_FREE - 1} THEN 100.0 ELSE 0.0 END AS v FROM gm)
 , {eliminate('ge', 'gp', _FREE)}
-, counts AS (SELECT Product_ID AS k, max(n) AS n FROM train GROUP BY 1)
+, counts AS (SELECT {key} AS k, count(*) AS n FROM {train} GROUP BY 1)
 , lam AS (SELECT k, n, greatest(v, 0) / greatest(n - 1, 1) / 0.01 AS w FROM ge JOIN counts USING (k) WHERE i = {_ALL} AND j = {_ALL})
 , rows_s AS (SELECT k, i, list(v ORDER BY j) AS r FROM ge WHERE i BETWEEN {_FREE} AND {_ALL - 1} AND j BETWEEN {_FREE} AND {_ALL - 1} GROUP BY k, i)
 , prob AS (SELECT k, s, c, w FROM (SELECT k, list(r ORDER BY i) AS s FROM rows_s GROUP BY k)
@@ -185,7 +189,9 @@ FEATS = HEAD + f"""
 , kept AS (SELECT *, count(*) OVER (PARTITION BY Product_ID) AS n, row_number() OVER (PARTITION BY Product_ID ORDER BY Date) - 1 AS rn
            FROM pos WHERE y >= q1 - 1.5 * (q3 - q1) AND y <= q3 + 1.5 * (q3 - q1))
 , clean AS (SELECT Product_ID, Date AS ds, y, {', '.join(_REGRESSORS)}, n, rn FROM kept WHERE n >= 30)"""
-SEASONAL = FEATS + seasonal_fit() + f"""
+SEASONAL = FEATS + seasonal_scale("clean") + f"""
+, train AS (SELECT Product_ID, ds, y, [{_design('ds', 'CAST(ds - first_day AS DOUBLE) / span', _REGRESSORS)}, ln(y)] AS x
+            FROM clean JOIN scale USING (Product_ID) LEFT JOIN flags USING (ds))""" + seasonal_solve("train", "Product_ID") + f"""
 , fit AS (SELECT Product_ID, ds, y, x, b, sigma, list_dot_product(x[1:{_ALL}], b) AS ly FROM train JOIN beta ON Product_ID = k)"""
 
 _U = "(('0x' || substr({m}, {at}, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
@@ -229,3 +235,98 @@ PAIRS = {
     "lookback": LOOKBACK + f", pairs AS (SELECT Product_ID, actual, fitted, actual AS ry, fitted AS rf FROM (SELECT Product_ID, {_INVERSE.format(v='s')} AS actual, {_INVERSE.format(v='p')} AS fitted FROM fit))",
     "seasonal_regression": SEASONAL + ", pairs AS (SELECT Product_ID, y AS actual, exp(ly + 0.5 * sigma * sigma) AS fitted, y AS ry, exp(ly + 0.5 * sigma * sigma) AS rf FROM fit)",
 }
+
+# ------------------------------------------------------------------ M14: three folds of 30 days
+_FOLDS = "(SELECT unnest([1, 2, 3]) AS f) folds"
+_LAST = ", lastd AS (SELECT Product_ID, max(Date) AS last FROM daily GROUP BY 1)"
+_M = "CAST(floor((last - {d}) / 30.0) AS INTEGER)"
+BACKTEST = {
+    "poly_ridge": HEAD + _LAST + f"""
+, rn AS (SELECT daily.*, {_M.format(d='Date')} AS m, row_number() OVER (PARTITION BY Product_ID ORDER BY Date) AS nr, {ORDINAL.format(d='Date')} AS ord FROM daily JOIN lastd USING (Product_ID))
+, rec AS (SELECT Product_ID, Date, m, nr, ord, Demand AS e FROM rn WHERE nr = 1
+          UNION ALL
+          SELECT rn.Product_ID, rn.Date, rn.m, rn.nr, rn.ord, {_A5!r} * rn.Demand + {1 - _A5!r} * rec.e FROM rec JOIN rn ON rn.Product_ID = rec.Product_ID AND rn.nr = rec.nr + 1)
+, ms AS (SELECT Product_ID, avg(ord) AS mu, CASE WHEN stddev_pop(ord) > 0 THEN stddev_pop(ord) ELSE 1.0 END AS sd FROM rec WHERE m >= 3 GROUP BY 1)
+, z AS (SELECT rec.Product_ID, m, e, (ord - mu) / sd AS z FROM rec JOIN ms USING (Product_ID))
+, rx AS (SELECT Product_ID, m, [1.0, z, pow(z, 2), pow(z, 3), pow(z, 4), e] AS x FROM z)
+, rf AS (SELECT Product_ID || '|' || f AS pk, x FROM rx, {_FOLDS} WHERE m >= f)
+, {gram_rows('rg', 'rf', 6, 'pk')}
+, ra AS (SELECT k || '|' || nr AS k, i, j, v + CASE WHEN i = j AND i BETWEEN 1 AND 4 THEN alpha ELSE 0 END AS v
+         FROM rg, (SELECT unnest({_ALPHAS}) AS alpha, unnest(range({len(_ALPHAS)})) AS nr))
+, {eliminate('rs', 'ra', 5)}
+, {solution('rb', 'rs', 5, 5)}
+, rl AS (SELECT k, list(list_row ORDER BY i) AS g FROM (SELECT k, i, list(v ORDER BY j) AS list_row FROM rg GROUP BY k, i) GROUP BY k)
+, rc AS (SELECT rl.k, CAST(split_part(rb.k, '|', 3) AS INTEGER) AS nr, b, g, list_sum(list_transform(range(1, 6), lambda i: b[i] * list_dot_product(g[i][1:5], b))) AS bab
+         FROM rb JOIN rl ON split_part(rb.k, '|', 1) || '|' || split_part(rb.k, '|', 2) = rl.k)
+, best AS (SELECT k, b FROM rc QUALIFY row_number() OVER (PARTITION BY k ORDER BY sqrt(greatest(g[6][6] - 2 * list_dot_product(g[6][1:5], b) + bab, 0) / g[1][1]) / g[1][6], nr) = 1)
+, pairs AS (SELECT Product_ID, m + 1 AS fold, x[6] AS actual, list_dot_product(x[1:5], b) AS fitted, x[6] AS ry, list_dot_product(x[1:5], b) AS rf
+            FROM rx JOIN best ON k = Product_ID || '|' || (m + 1) WHERE m < 3)""",
+    "recursive_linear": HEAD + _LAST + f"""
+, dm AS (SELECT daily.*, last, {_M.format(d='Date')} AS m FROM daily JOIN lastd USING (Product_ID))
+, t AS (SELECT dm.*, qc FROM dm JOIN (SELECT Product_ID, quantile_cont(Demand, 0.95) AS qc FROM dm WHERE m >= 3 GROUP BY 1) USING (Product_ID))
+, s AS (SELECT *, {_SMOOTH.format(v='Demand')} AS smoothed FROM t WHERE Demand < qc {_W7})
+, c AS (SELECT Product_ID, Date, m, smoothed, lag(smoothed, 1) OVER (PARTITION BY Product_ID ORDER BY Date) AS lag1, lag(smoothed, 7) OVER (PARTITION BY Product_ID ORDER BY Date) AS lag7,
+               {_SMOOTH.format(v='smoothed')} AS mean7 FROM s WHERE smoothed IS NOT NULL {_W7})
+, rx AS (SELECT Product_ID, Date, m, smoothed, [1.0, ({ORDINAL.format(d='Date')} - 730000)::DOUBLE, CAST(isodow(Date) - 1 AS DOUBLE), CAST(month(Date) AS DOUBLE), CAST(isodow(Date) >= 6 AS DOUBLE),
+               lag1, lag7, mean7, ln(1 + smoothed)] AS x FROM c WHERE lag1 IS NOT NULL AND lag7 IS NOT NULL AND mean7 IS NOT NULL)
+, rf AS (SELECT Product_ID || '|' || f AS pk, Product_ID, f, Date, smoothed, x, count(*) OVER (PARTITION BY Product_ID, f) AS n FROM rx, {_FOLDS} WHERE m >= f QUALIFY n > 7)
+, {gram_rows('rg', 'rf', 9, 'pk')}
+, {eliminate('rs', 'rg', 8)}
+, {solution('rb', 'rs', 8, 8)}
+, tail AS (SELECT pk, Product_ID, f, list(smoothed ORDER BY Date) AS hist FROM (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY pk ORDER BY Date DESC) <= 7) GROUP BY 1, 2, 3)
+, fut AS (SELECT Product_ID, f, CAST(last - INTERVAL (30 * f) DAY AS DATE) AS cut, b, hist, 0 AS h, NULL::DOUBLE AS p FROM tail JOIN rb ON pk = k JOIN lastd USING (Product_ID)
+          UNION ALL
+          SELECT Product_ID, f, cut, b, list_append(hist[2:], q), h, q
+          FROM (SELECT Product_ID, f, cut, b, hist, h + 1 AS h, exp(list_dot_product(b, [1.0, ({ORDINAL.format(d='cut')} + h + 1 - 730000)::DOUBLE, CAST(isodow(cut + INTERVAL (h + 1) DAY) - 1 AS DOUBLE),
+                       CAST(month(cut + INTERVAL (h + 1) DAY) AS DOUBLE), CAST(isodow(cut + INTERVAL (h + 1) DAY) >= 6 AS DOUBLE), hist[-1], hist[1], list_avg(hist)])) - 1 AS q FROM fut WHERE h < 30))
+, act AS (SELECT Product_ID, Date, m, {_SMOOTH.format(v='Demand')} AS actual FROM dm {_W7})
+, pairs AS (SELECT fut.Product_ID, f AS fold, actual, p AS fitted, ln(1 + actual) AS ry, ln(1 + greatest(p, 0)) AS rf
+            FROM fut JOIN act ON act.Product_ID = fut.Product_ID AND act.Date = CAST(cut + INTERVAL (h) DAY AS DATE) AND m = f - 1 WHERE h > 0 AND actual IS NOT NULL)""",
+    "lookback": HEAD + _LAST + f"""
+, dm AS (SELECT daily.*, last, {_M.format(d='Date')} AS m FROM daily JOIN lastd USING (Product_ID))
+, a AS (SELECT *, {_SMOOTH.format(v='Demand')} AS smoothed FROM dm {_W7})
+, mm AS (SELECT a.*, mn, mx FROM a JOIN (SELECT Product_ID, min(smoothed) AS mn, max(smoothed) AS mx FROM a WHERE m >= 3 GROUP BY 1) USING (Product_ID) WHERE smoothed IS NOT NULL AND mn IS NOT NULL)
+, sc AS (SELECT *, CASE WHEN mx > mn THEN (smoothed - mn) / (mx - mn) ELSE 0.0 END AS s FROM mm)
+, lb AS (SELECT *, list(s) OVER (PARTITION BY Product_ID ORDER BY Date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS back FROM sc)
+, rx AS (SELECT Product_ID, Date, last, m, mn, mx, smoothed, s, back FROM lb WHERE len(back) = 30)
+, rf AS (SELECT f::VARCHAR AS pk, list_concat([1.0], list_append(back, s)) AS x FROM rx, {_FOLDS} WHERE m >= f)
+, {gram_rows('rg', 'rf', 32, 'pk')}
+, {eliminate('rs', 'rg', 31)}
+, {solution('rb', 'rs', 31, 31)}
+, tail AS (SELECT Product_ID, f, last, mn, mx, list_append(back[2:], s) AS hist FROM rx, {_FOLDS} WHERE m >= f QUALIFY row_number() OVER (PARTITION BY Product_ID, f ORDER BY Date DESC) = 1)
+, fut AS (SELECT Product_ID, f, CAST(last - INTERVAL (30 * f) DAY AS DATE) AS cut, mn, mx, b, hist, 0 AS h, NULL::DOUBLE AS p FROM tail JOIN rb ON k = f::VARCHAR
+          UNION ALL
+          SELECT Product_ID, f, cut, mn, mx, b, list_append(hist[2:], q), h, q
+          FROM (SELECT Product_ID, f, cut, mn, mx, b, hist, h + 1 AS h, b[1] + list_dot_product(b[2:31], hist) AS q FROM fut WHERE h < 30))
+, pairs AS (SELECT Product_ID, fold, actual, fitted, actual AS ry, fitted AS rf FROM (
+              SELECT fut.Product_ID, f AS fold, smoothed AS actual, CASE WHEN fut.mx > fut.mn THEN p * (fut.mx - fut.mn) + fut.mn ELSE fut.mn END AS fitted
+              FROM fut JOIN rx ON rx.Product_ID = fut.Product_ID AND rx.Date = CAST(cut + INTERVAL (h) DAY AS DATE) AND m = f - 1 WHERE h > 0))""",
+    "seasonal_regression": FEATS[:FEATS.index(", pos AS")] + _LAST + f"""
+, fm AS (SELECT feats.*, last, {_M.format(d='Date')} AS m FROM feats JOIN lastd USING (Product_ID))
+, pos AS (SELECT * FROM fm WHERE y > 0 AND {' AND '.join(f'{c} IS NOT NULL' for c in _REGRESSORS)})
+, qs AS (SELECT Product_ID, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM pos WHERE m >= 3 GROUP BY 1)
+, kept AS (SELECT pos.*, Date AS ds FROM pos JOIN qs USING (Product_ID) WHERE y >= q1 - 1.5 * (q3 - q1) AND y <= q3 + 1.5 * (q3 - q1))
+, clean0 AS (SELECT *, count(*) OVER (PARTITION BY Product_ID) AS n, row_number() OVER (PARTITION BY Product_ID ORDER BY ds) - 1 AS rn FROM kept WHERE m >= 3 QUALIFY n >= 30)
+, clean AS (SELECT * FROM kept WHERE Product_ID IN (SELECT Product_ID FROM clean0))""" + seasonal_scale("clean0") + f"""
+, rows_m AS (SELECT Product_ID, ds, m, [{_design('ds', 'CAST(ds - first_day AS DOUBLE) / span', _REGRESSORS)}, ln(y)] AS x
+             FROM clean JOIN scale USING (Product_ID) LEFT JOIN flags USING (ds))
+, train AS (SELECT Product_ID || '|' || f AS pk, x FROM rows_m, {_FOLDS} WHERE m >= f)""" + seasonal_solve("train", "pk") + f"""
+, last30 AS (SELECT Product_ID, f, {', '.join(f'avg({c}) AS {c}' for c in _REGRESSORS)} FROM (
+               SELECT Product_ID, f, {', '.join(_REGRESSORS)} FROM clean, {_FOLDS} WHERE m >= f QUALIFY row_number() OVER (PARTITION BY Product_ID, f ORDER BY ds DESC) <= 30) GROUP BY 1, 2)
+, tested AS (SELECT fm.Product_ID, m + 1 AS fold, Date AS ds, y FROM fm WHERE m < 3)
+, tx AS (SELECT t.Product_ID, fold, y, [{_design('ds', 'CAST(ds - first_day AS DOUBLE) / span', [f'l.{c}' for c in _REGRESSORS])}] AS x
+         FROM tested t JOIN scale USING (Product_ID) JOIN last30 l ON l.Product_ID = t.Product_ID AND l.f = fold LEFT JOIN flags USING (ds))
+, pairs AS (SELECT Product_ID, fold, y AS actual, exp(list_dot_product(x, b) + 0.5 * sigma * sigma) AS fitted, y AS ry, exp(list_dot_product(x, b) + 0.5 * sigma * sigma) AS rf
+            FROM tx JOIN beta ON k = Product_ID || '|' || fold)""",
+    "trend": HEAD + _LAST + f"""
+, fm AS (SELECT Product_ID, f, Demand, {_M.format(d='Date')} AS m, {ORDINAL.format(d='Date')} AS x FROM daily JOIN lastd USING (Product_ID), {_FOLDS})
+, cut AS (SELECT *, quantile_cont(Demand, 0.99) OVER (PARTITION BY Product_ID, f) AS qc FROM fm WHERE m >= f)
+, line AS (SELECT Product_ID, f, regr_slope(ln(1 + Demand), x) AS b, avg(ln(1 + Demand)) AS ym, avg(x) AS xm FROM cut WHERE Demand < qc GROUP BY 1, 2)
+, pairs AS (SELECT Product_ID, f AS fold, Demand AS actual, exp(ym + coalesce(b, 0) * (x - xm)) - 1 AS fitted, ln(1 + Demand) AS ry, ym + coalesce(b, 0) * (x - xm) AS rf
+            FROM fm JOIN line USING (Product_ID, f) WHERE m = f - 1)""",
+}
+_SCORE = """, scored AS (SELECT Product_ID, fold, count(*) AS n, avg(actual) AS mean, sqrt(avg((actual - fitted) ^ 2)) AS rmse, avg(abs((actual - fitted) / nullif(actual, 0))) * 100 AS mape,
+                       sum((ry - rf) ^ 2) AS sse, sum((ry - my) ^ 2) AS sst FROM (SELECT *, avg(ry) OVER (PARTITION BY Product_ID, fold) AS my FROM pairs) GROUP BY 1, 2)
+SELECT Product_ID, CAST(fold AS INTEGER) AS fold, n, round(mean, 6) AS mean, round(rmse, 6) AS rmse, round(rmse / mean * 100, 6) AS rmse_pct, round(mape, 6) AS mape,
+       round(CASE WHEN sst > 0 THEN 1 - sse / sst END, 6) AS r2, '{model}' AS model FROM scored"""
+BACKTEST_SCORES = " UNION ALL ".join(f"SELECT * FROM ({text}{_SCORE.format(model=model)})" for model, text in BACKTEST.items())
