@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +48,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_memory() -> None:
+    """Gives memory that a task is done with back to the system; Python workers outlive their tasks and share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a task's batches that frees its memory at the end of the task."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+    return wrapped
+
+
 def components(links: DataFrame, a: str, b: str, passes: int | None = None) -> DataFrame:
     """Connected components of the undirected ``links``: one row (node, root) per node that
     has a link; root is the smallest node of its component.

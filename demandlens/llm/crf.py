@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 TRAIN_DOCS = 2000
 TRAIN_LINES = 100_000
 #: Documents with more lines are no training examples, so that what reaches the driver is bounded.
@@ -160,6 +162,7 @@ def train(x: np.ndarray, n_lines: np.ndarray, quality: np.ndarray, steps: int =
     return Field(mean, spread, theta[:-4], theta[-4:].reshape(2, 2))
 
 
+@released
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measures([t or b""])[0].astype("<f4") for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -197,7 +200,7 @@ def _scorer(field: Field | None):
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             score = field.scores(texts) if field is not None and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score)], names=["doc", "score"])
-    return run
+    return released(run)
 
 
 def score(docs: DataFrame, text: str, field: Field | None, name: str = "score") -> DataFrame:

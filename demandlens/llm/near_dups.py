@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, components, written
+from .common import BLANKS, components, released, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -167,6 +167,7 @@ def bands(sign: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+@released
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
@@ -203,7 +204,7 @@ def _verified(similarity: float):
                     sims.append(float(sim))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(at), b.take(at), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
-    return run
+    return released(run)
 
 
 def _least(similarity: float, m: int) -> float:
@@ -218,9 +219,10 @@ def _likely(similarity: float):
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, COMPONENTS) for i in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= _least(similarity, COMPONENTS)))
-    return run
+    return released(run)
 
 
+@released
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to their finer signatures."""
     words = _Words()
@@ -268,7 +270,7 @@ def _compared(similarity: float, best: bool):
                     a, b, found = np.maximum(node[0][i], node[1][j]), np.minimum(node[0][i], node[1][j]), share[i, j]
                 yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(found.astype(np.float64))],
                                                  names=["bucket", "a", "b", "share"])
-    return run
+    return released(run)
 
 
 def digest(text: Column) -> Column:

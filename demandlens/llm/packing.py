@@ -10,8 +10,8 @@ is the task's number in the upper bits and a running number below: equal files g
 ids, also when a task is run again.
 
 Null or blank text: only the end id, one piece of one token.  Very long texts give many
-pieces of the largest length.  Repeated rows are packed each for themselves.  Other columns
-of the input don't matter.
+pieces of the largest length.  Repeated rows are packed each for themselves.  An empty table
+gives no pieces.  Other columns of the input don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 MAX_LENGTH = 2048
 END_ID = 1
-#: Words whose ids a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 700_000
+#: Bytes of remembered words and ids that a task holds at most; beyond, it starts anew.
+REMEMBERED = 64 << 20
 #: Bytes of text that are coded at a time, at least: larger parts have fewer different words.
 AT_A_TIME = 8 << 20
 #: A word may end with a run of these and still be plain (the apostrophe has a meaning of its own to the tokenizer).
@@ -42,12 +44,22 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return flat[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
 
+def _tails(words: pa.StringArray, skip: np.ndarray) -> pa.StringArray:
+    """Each word without its first ``skip`` bytes."""
+    words = pa.concat_arrays([words])  # offsets from 0
+    at = np.frombuffer(words.buffers()[1], dtype=np.int32)[:len(words) + 1].astype(np.int64)
+    size = np.diff(at) - skip
+    data = _gathered(np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8), at[:-1] + skip, size)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data))
+
+
 class Ids:
     """Token ids of texts by way of their words.
 
     The tokenizer never looks across blanks, so the ids of a text are those of its words in
     order.  Each new word is encoded once; plain words (letters, then perhaps a run of
     punctuation, which the tokenizer's own pattern parts) go through it many at a time.
+    Known words are an Arrow array and their ids flat arrays, a few bytes each.
     """
 
     def __init__(self, path: str):
@@ -60,7 +72,7 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.flat = np.empty(0, dtype=np.uint32)
         self.size = np.empty(0, dtype=np.int64)
 
@@ -76,28 +88,24 @@ class Ids:
         each = [self._encode(w) for w in words]
         return np.concatenate(each), np.array([len(x) for x in each])
 
-    def learn(self, words: list[str]) -> None:
-        if not words:
+    def learn(self, words: pa.StringArray) -> None:
+        if not len(words):
             return
-        plain: dict[str, int] = {}
-        odd: dict[str, int] = {"": 0}
-        first, then = np.empty(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        for k, w in enumerate(words):
-            x = w.rstrip(_ENDINGS)
-            if x.isalpha() and x.lower().isalpha():
-                first[k] = plain.setdefault(x, len(plain))
-                then[k] = odd.setdefault(w[len(x):], len(odd))
-            else:
-                first[k] = -1 - odd.setdefault(w, len(odd))
-        letters = list(plain)
-        done = [self._plain(letters[i:i + 1000]) for i in range(0, len(letters), 1000)]
-        each = [self._encode(w) for w in odd]
+        cores = pc.utf8_rtrim(words, characters=_ENDINGS).dictionary_encode()
+        letters = cores.dictionary.to_pylist()
+        plain = np.array([x.isalpha() and x.lower().isalpha() for x in letters])
+        core = cores.indices.to_numpy()
+        # what stands after the letters of a plain word; any other word is odd as a whole
+        odd = _tails(words, np.where(plain[core], pc.binary_length(cores.dictionary).to_numpy()[core], 0)).dictionary_encode()
+        known = [x for x, p in zip(letters, plain, strict=True) if p]
+        done = [self._plain(known[i:i + 1000]) for i in range(0, len(known), 1000)]
+        each = [self._encode(w) for w in odd.dictionary.to_pylist()]
         flat = np.concatenate([ids for ids, _ in done] + each)
-        size = np.concatenate([n for _, n in done] + [np.array([len(x) for x in each])]).astype(np.int64)
+        size = np.concatenate([n for _, n in done] + [np.array([len(x) for x in each] + [0])]).astype(np.int64)
         start = np.cumsum(size) - size
-        # odd words stand after the plain ones
-        parts = np.column_stack([np.where(first < 0, len(plain) - 1 - first, first), len(plain) + then])
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        # odd parts stand after the letters, and last of all an empty part
+        parts = np.column_stack([np.where(plain[core], (np.cumsum(plain) - 1)[core], len(size) - 1), len(known) + odd.indices.to_numpy()])
+        self.words = pa.concat_arrays([self.words, words])
         self.flat = np.concatenate([self.flat, _gathered(flat, start[parts.ravel()], size[parts.ravel()])])
         self.size = np.concatenate([self.size, size[parts].sum(1)])
 
@@ -105,11 +113,14 @@ class Ids:
         """Ids of the texts, one after the other, and the number of each."""
         words = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = words.flatten().dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        if len(self.at) > REMEMBERED:
+        if self.words.nbytes + self.flat.nbytes + self.size.nbytes > REMEMBERED:
             self.forget()
-        self.learn([w for w in found if w not in self.at])
-        at = np.fromiter(map(self.at.__getitem__, found), dtype=np.int64, count=len(found))[coded.indices.to_numpy()]
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        new = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(self.words) + np.arange(len(new))
+        self.learn(coded.dictionary.take(pa.array(new)))
+        at = at[coded.indices.to_numpy()]
         size = self.size[at]
         edges = np.concatenate([[0], np.cumsum(size)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return _gathered(self.flat, (np.cumsum(self.size) - self.size)[at], size), np.diff(edges)
@@ -127,50 +138,45 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def cuts(n: int, longest: int = MAX_LENGTH) -> list[int]:
-    """Lengths of the pieces of a document of ``n`` tokens; ``longest`` is a power of two."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
+def pieces(n: np.ndarray, longest: int = MAX_LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cuts of documents of ``n`` tokens each: document, start and length of every piece."""
+    bits = longest.bit_length() - 1
+    value = longest >> np.arange(bits + 1)
+    often = np.column_stack([n // longest, (n % longest)[:, None] >> np.arange(bits - 1, -1, -1) & 1])
+    row = np.repeat(np.arange(len(n)), often.sum(1))
+    length = np.repeat(np.tile(value, len(n)), often.ravel())
+    return row, np.cumsum(length) - length - (np.cumsum(n) - n)[row], length
 
 
-_IDS: dict[str, Ids] = {}
+def cuts(n: int, longest: int = MAX_LENGTH) -> list[int]:
+    """Lengths of the pieces of a document of ``n`` tokens; ``longest`` is a power of two."""
+    return pieces(np.array([n]), longest)[2].tolist()
 
 
 def _packer(tokenizer: str, longest: int, end_id: int, with_ids: bool, names: list[str]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _IDS.get(tokenizer) or _IDS.setdefault(tokenizer, Ids(tokenizer))
+        ids = Ids(tokenizer)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 33
         for batch in _merged(batches):
-            rows, start, length, crc, total, tokens = [], [], [], [], [], []
-            flat, sizes = ids.texts(batch.column(1))
-            to = 0
-            for row, size in enumerate(sizes):
-                own = np.append(flat[to:to + size], np.uint32(end_id)).astype("<u4")
-                to += size
-                at = 0
-                for size in cuts(len(own), longest):
-                    piece = own[at:at + size]
-                    rows.append(row)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(piece))
-                    total.append(len(own))
-                    tokens.append(piece)
-                    at += size
-            n = len(rows)
-            length = np.array(length, dtype=np.int64)
-            cols = [batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(start, type=pa.int64()), pa.array(length),
-                    pa.array(crc, type=pa.int64()), pa.array(total, type=pa.int64()),
-                    pa.array(np.arange(sequence, sequence + n)), pa.array(np.zeros(n, dtype=np.int64)),
+            coded, n = ids.texts(batch.column(1))
+            n = n + 1
+            own = np.zeros(int(n.sum()), dtype=bool)
+            own[np.cumsum(n) - 1] = True
+            flat = np.full(len(own), end_id, dtype="<u4")
+            flat[~own] = coded
+            row, start, length = pieces(n, longest)
+            of = memoryview(flat).cast("B")
+            ends = np.cumsum(length)
+            crc = [zlib.crc32(of[4 * a:4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+            cols = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, type=pa.int64()), pa.array(n[row]),
+                    pa.array(np.arange(sequence, sequence + len(row))), pa.array(np.zeros(len(row), dtype=np.int64)),
                     pa.array(np.log2(np.maximum(length, 1)).astype(np.int32))]
-            sequence += n
-            if with_ids:
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                flat = np.concatenate(tokens).astype(np.int32) if tokens else np.empty(0, dtype=np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            sequence += len(row)
+            if with_ids:  # the pieces are slices of the flat ids, one after the other
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names=names)
-    return pack
+    return released(pack)
 
 
 def pack(docs: DataFrame, key: str, text: str, tokenizer: str, longest: int = MAX_LENGTH, end_id: int = END_ID,
