@@ -61,18 +61,19 @@ ORACLES["op4_quality_rules"] = _MEASURES_SQL + "SELECT *, (failed & %d) <> 0 AS
 @query
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth vector with all other vectors."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    # doubles of 2^53 and more are whole; beyond 64 bits floor() would not hold them
+    whole = F.transform(F.transform("embedding", lambda x: x.cast("double") * 64), lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return topk.search(read(spark, sf_dir, "embeddings"), "vec_id", F.when(finite, whole), F.col("id") % 20 == 0, 20)
 
 
 ORACLES["op5_exact_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id,
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS other,
              CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.r <> q.r),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 

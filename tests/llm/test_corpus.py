@@ -40,6 +40,9 @@ def test_cuts_are_the_binary_digits():
     for n in [*range(1, 300), 2047, 2048, 2049, 10_000]:
         assert sum(packing.cuts(n, 64)) == n and all(x == 64 or x < 64 and not x & (x - 1) for x in packing.cuts(n, 64))
         assert packing.cuts(n, 64) == sorted(packing.cuts(n, 64), reverse=True)
+    row, start, length = packing.pieces(np.array([5, 0, 200, 64, 1]), 64)
+    assert list(zip(row.tolist(), start.tolist(), length.tolist(), strict=True)) == [
+        (0, 0, 4), (0, 4, 1), (2, 0, 64), (2, 64, 64), (2, 128, 64), (2, 192, 8), (3, 0, 64), (4, 0, 1)]
 
 
 def test_buckets_are_folders(spark, tmp_path):
@@ -153,30 +156,29 @@ def test_licences_of_common_kinds_and_blocks(spark):
 
 
 def brute_topk(rows, k):
-    own = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            own[i] = min(own.get(i, v), v)
-    width = max(map(len, own.values()), default=0)
-    full = {i: [int(x) for x in v] + [0] * (width - len(v)) for i, v in own.items()}
-    out = set()
-    for q in (i for i in full if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(full[q], v, strict=True)), i) for i, v in full.items() if i != q)[:k]
-        out |= {(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)}
-    return out
+    own = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = max((len(v) for _, v in own), default=0)
+    full = [(i, [int(x) for x in v] + [0] * (width - len(v))) for i, v in own]
+    out = []
+    for at, (q, x) in enumerate(full):
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for n, (i, v) in enumerate(full) if n != at)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("annulus", [4096, 16])
 def test_topk_matches_brute_force(spark, monkeypatch, annulus):
     monkeypatch.setattr(topk, "ANNULUS", annulus)
     monkeypatch.setattr(topk, "VISITS", 4)
+    monkeypatch.setattr(topk, "GROUP", 2048 if annulus > 16 else 7)
     draw = random.Random(3)
     rows = [(i, [float(draw.randrange(-5, 6)) for _ in range(6)]) for i in range(300)]
     rows += [(300 + i, [1.0, 2.0, 0.0, 0.0, 1.0, 0.0]) for i in range(100)]
     rows += [(500, None), (520, [1.0, None]), (540, [float("nan")] * 6), (560, [float("inf")] * 6), (None, [1.0] * 6), (580, [2.0, 2.0]), (580, [1.0, 1.0]), (600, [])]
     docs = spark.createDataFrame(rows, "vec_id long, v array<double>").withColumn("id", F.lit(1))
     got = topk.search(docs, "vec_id", F.col("v"), F.col("id") % 20 == 0, 5).collect()
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_topk(rows, 5)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_topk(rows, 5)
 
 
 def test_topk_of_few_and_large(spark):
@@ -184,6 +186,10 @@ def test_topk_of_few_and_large(spark):
         return topk.search(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", F.col("v"), F.col("id") % 20 == 0, 5).collect()
     assert run([]) == []
     assert run([(20, [1.0])]) == []
+    assert run([(1, [1.0]), (2, [1.0])]) == []
+    # rows of one id are candidates and queries of their own
+    assert [tuple(r) for r in run([(20, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [-9.0, 0.0]), (2, [2.0, 0.0])])] == [(20, 1, 1, 5), (20, 2, 2, 2), (20, 3, 1, -9)]
+    assert sorted(tuple(r) for r in run([(20, [1.0]), (20, [3.0])])) == [(20, 1, 20, 3), (20, 1, 20, 3)]
     assert [tuple(r) for r in run([(20, [2.0**28, 1.0]), (1, [2.0**28, 3.0]), (2, [2.0**28, 2.0])])] == [(20, 1, 1, 2**56 + 3), (20, 2, 2, 2**56 + 2)]
 
 
