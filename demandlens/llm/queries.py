@@ -162,8 +162,8 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every line of all documents."""
-    return line_dedup.Lines(read(spark, sf_dir, "documents"), "doc_id", "text").classes()
+    """The class of every line of all documents: equal lines of any length, and lines that differ in one stretch."""
+    return line_dedup.Lines(read(spark, sf_dir, "documents"), "doc_id", "text", short=True, stretch=line_dedup.STRETCH).classes()
 
 
 ORACLES["op1_bagminhash"] = r"""
@@ -180,17 +180,20 @@ c AS (SELECT id, min(r) AS class_id, count(*) AS class_texts FROM reach GROUP BY
 SELECT doc_id, class_id, class_texts FROM d JOIN t ON d.ws = t.ws JOIN c ON t.id = c.id
 """
 
+# the longest common beginning and ending of two lines are found by halves, for all pairs of lines of like lengths that agree in their
+# first or last third (of lines with one changed stretch, two thirds agree, so half of that at one end)
 ORACLES["op7_line_dedup"] = """
 WITH RECURSIVE x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM x)),
-u AS (SELECT line, length(line) AS n, row_number() OVER () AS id, min({'k': doc_id, 'pos': pos}) AS first FROM l WHERE length(line) >= 25 GROUP BY line),
-k AS (SELECT id, line, n AS short, 'start' AS side, left(line, n // 2) AS half, 0 AS more FROM u
-      UNION ALL SELECT id, line, n, 'end', right(line, n - n // 2), 0 FROM u
-      UNION ALL SELECT id, line, n - 1, 'start', left(line, (n - 1) // 2), 1 FROM u
-      UNION ALL SELECT id, line, n - 1, 'end', right(line, (n - 1) - (n - 1) // 2), 1 FROM u),
-e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.short = b.short AND a.side = b.side AND a.half = b.half
-      WHERE a.more = 0 AND a.id <> b.id AND (b.more = 1 OR a.id < b.id) AND levenshtein(a.line, b.line) <= 1),
+u AS (SELECT line, length(line) AS n, least(16, length(line) // 3) AS s, row_number() OVER () AS id, min({'k': doc_id, 'pos': pos}) AS first FROM l WHERE length(line) >= 1 GROUP BY line),
+near AS (SELECT a.id AS a, b.id AS b, a.line AS la, b.line AS lb, a.n AS na, b.n AS nb, b.s AS s
+         FROM u a JOIN u b ON left(a.line, 8) = left(b.line, 8) AND a.n BETWEEN b.n - b.s AND b.n AND (a.n < b.n OR a.id < b.id) WHERE a.n >= 25
+         UNION
+         SELECT a.id, b.id, a.line, b.line, a.n, b.n, b.s
+         FROM u a JOIN u b ON right(a.line, 8) = right(b.line, 8) AND a.n BETWEEN b.n - b.s AND b.n AND (a.n < b.n OR a.id < b.id) WHERE a.n >= 25),
+start AS (SELECT *, len(list_filter(range(1, na + 1), lambda i: left(la, i) = left(lb, i))) AS p FROM near),
+e AS (SELECT a, b FROM start WHERE right(la, greatest(nb - s - p, 0)) = right(lb, greatest(nb - s - p, 0))),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT id, id AS r FROM u UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a),
 c AS (SELECT reach.id, min(u.first) AS first, count(*) AS class_texts FROM reach JOIN u ON r = u.id GROUP BY reach.id)

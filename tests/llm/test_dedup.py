@@ -182,6 +182,68 @@ def test_line_classes_match_brute_force(spark, monkeypatch, threshold, wide):
     assert got == brute_lines(docs, threshold, 12)
 
 
+def in_one_stretch(a, b, stretch):
+    if len(a) > len(b):
+        a, b = b, a
+    agree = len(b) - min(stretch, len(b) // 3)
+    p = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    s = next((i for i in range(len(a)) if a[len(a) - 1 - i] != b[len(b) - 1 - i]), len(a))
+    return min(p + s, len(a)) >= agree
+
+
+def brute_stretch(docs, stretch, least):
+    own = [(k, i, x.strip(" \t\r\x0b\x0c")) for k, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
+    own = [x for x in own if x[2]]
+    texts = sorted({x[2] for x in own})
+    found = Union(texts)
+    for i, a in enumerate(texts):
+        for b in texts[i + 1:]:
+            if min(len(a), len(b)) >= least and in_one_stretch(a, b, stretch):
+                found.link(a, b)
+    first, n = {}, Counter(found.root(x) for x in texts)
+    for k, i, x in sorted(own):
+        first.setdefault(found.root(x), (k, i))
+    return {(k, i): (*first[found.root(x)], n[found.root(x)]) for k, i, x in own}
+
+
+@pytest.mark.parametrize(("stretch", "wide"), [(16, 128), (16, 3), (5, 3), (2, 2)])
+def test_lines_with_one_changed_stretch_match_brute_force(spark, monkeypatch, stretch, wide):
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
+    draw = random.Random(stretch * 100 + wide)
+    words = ["alpha", "be", "gamma", "deltaé", "of", "the", "universe", "x" * 11, "y" * 17]
+    base = [" ".join(draw.choice(words) for _ in range(draw.randrange(3, 12))) for _ in range(12)]
+
+    def near(text):
+        w = text.split(" ")
+        for _ in range(draw.choice([0, 1, 1, 1, 2])):
+            i = draw.randrange(len(w))
+            w[i:i + draw.randrange(2)] = [draw.choice(words)] * draw.randrange(2)
+        return " ".join(w) + draw.choice(["", "", ".", " 12345"])
+    docs = [(k, "\n".join(near(draw.choice(base)) for _ in range(6))) for k in range(45)]
+    docs += [(100 + i, f"item number {i:05d} of this long list of alike lines") for i in range(40)]
+    docs += [(200, None), (201, ""), (202, "short"), (203, "short\n\nshort "), (204, "ab" * 20000), (205, "ab" * 20000 + "c"), (206, "é" * 24), (207, "é" * 25), (208, "é" * 26)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"line": F.lit(1), "node": F.lit("n"), "bucket": F.lit(2)})
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.class_texts) for r in line_dedup.Lines(rows, "doc_id", "text", short=True, stretch=stretch).classes().collect()}
+    assert got == brute_stretch(docs, stretch, 25)
+    assert line_dedup.Lines(rows.limit(0), "doc_id", "text", short=True, stretch=stretch).classes().count() == 0
+
+
+def test_stretch_keys_meet(spark):
+    """Any two lines with one changed stretch share a bucket, one of them in its own class."""
+    draw, pairs = random.Random(9), []
+    for _ in range(400):
+        a = "".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(25, 200)))
+        i, cut = draw.randrange(len(a) + 1), draw.randrange(17)
+        b = a[:i] + "".join(draw.choice("xyz") for _ in range(draw.randrange(17))) + a[i + cut:]
+        if min(len(a), len(b)) >= 25 and in_one_stretch(a, b, 16):
+            pairs.append((a, b))
+    assert len(pairs) > 200
+    keys = lambda c: line_dedup.stretch_keys(F.col(c), F.char_length(c), 16)
+    for r in spark.createDataFrame(pairs, "a string, b string").select(keys("a").alias("ka"), keys("b").alias("kb")).collect():
+        a, b = ({x.bucket: x.probe for x in k} for k in (r.ka, r.kb))
+        assert any(not (a[k] and b[k]) for k in a.keys() & b.keys())
+
+
 def test_documents_without_repeated_lines(spark):
     long = "this line has well over twenty-five characters"
     docs = [(1, f"{long}\nshort\n{long}!", 0, 9), (2, f"short\n{long}", 0, 9), (3, long, 0, 9), (3, long, 1, 9), (4, None, 0, 9), (5, "", 0, 9),
