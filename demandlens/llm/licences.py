@@ -8,16 +8,27 @@ of its lines and each run of its blocks (lines between lines without letters and
 looked up as entire texts, so a licence file, a licence notice and a wrapped notice or licence
 inside a document are all found, and a text that merely mentions a licence is not.
 
-Null text: as empty.  An empty canonical form has a digest, but never a licence.  Repeated
-rows are scanned each for itself; other columns of the input are not touched.
+A text is canonicalised once, line by line: the forms of its blocks and of the whole are put
+together from those of its lines (with the spellings of two words applied again).  Lines and
+runs of blocks that begin like a known text and end at the length of one become digests of
+their own; whole texts and these parts meet the known digests in hash joins.
+
+Null text: as empty.  An empty canonical form has a digest, but never a licence.  Very long
+texts are scanned whole.  Repeated rows are scanned each for itself; an empty table gives an
+empty result; other columns of the input are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licence_texts import BODIES
+from .common import written
+
+#: Whole texts of licences, in the lines that they are published in, by identifier.
+BODIES = {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 # Texts of well-known licences and notices, and the identifier of each.
 KNOWN = {
@@ -197,54 +208,89 @@ def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> Dat
         F.min("licence").alias("licence"), F.first(F.length("text")).alias("size"), F.first(F.substring("text", 2, START)).alias("start"))
 
 
-def _blocks(text: Column, names: Column, sizes: Column, longest: int, starts: Column) -> Column:
-    """The licences of runs of blocks, of those that are not the whole text; canonical forms of blocks add up to that of the run.
+#: Stands for a line without letters and digits between the forms of others.
+_GAP = "\x01 "
+
+
+def _spelled(form: Column, two_words: bool) -> Column:
+    for old, new in SPELLINGS.items():
+        if (" " in old.strip()) == two_words:
+            form = F.replace(form, F.lit(f" {old}"), F.lit(f" {new}"))
+    return form
+
+
+def _words(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), OTHER, " ")), F.lit(" "))
 
-    Only runs that begin as a known text does are followed, to the length of the longest; ends at a known size are looked up.
-    """
-    own = F.transform(F.split(text, r"\n[^\p{L}\p{N}]*\n"), lambda x: F.ltrim(canonical(x)))
-    own = F.filter(own, lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
-    def found(blocks: Column) -> Column:
+def _line_form(line: Column) -> Column:
+    """Canonical form of one line: its words and a blank (nothing for a copyright line), or ``_GAP``."""
+    low = F.lower(line)
+
+    def form(w: Column) -> Column:
+        # few lines can hold a copyright line, so few meet the pattern (which takes some other characters for line ends, too)
+        about = w.startswith(" copyright") | w.startswith(" c ") | w.startswith(" all rights")
+        for sign in "©\r\x85\u2028\u2029":
+            about = about | F.contains(low, F.lit(sign))
+        own = F.when(about, _words(F.regexp_replace(low, COPYRIGHT_LINE, " "))).otherwise(w)
+        return F.when(F.trim(w) == "", F.lit(_GAP)).otherwise(F.ltrim(_spelled(own, False)))
+    return _bound(_words(low), form)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _digests(text: Column, sizes: list[int], longest: int, starts: list[str]) -> Column:
+    """``digest`` of the whole text, and ``parts``: digests of its lines and of the runs of its blocks (not the whole text)
+    that begin as a known text does and have the length of one."""
+    def of_lines(forms: Column) -> Column:
+        joined = _spelled(F.concat(F.lit(" "), F.array_join(forms, "")), True)
+        lines = F.transform(forms, lambda x: _spelled(F.concat(F.lit(" "), x), True))
+        lines = F.transform(F.filter(lines, lambda x: F.substring(x, 2, START).isin(starts) & F.length(x).isin(sizes)), F.md5)
+
+        def of_joined(j: Column) -> Column:
+            whole = _spelled(F.replace(j, F.lit(_GAP), F.lit("")), True)
+            blocks = F.filter(F.transform(F.split(j, "\x01"), lambda x: F.ltrim(x)), lambda x: x != "")
+            return F.struct(F.md5(whole).alias("digest"), F.concat(lines, _bound(blocks, of_blocks)).alias("parts"))
+        return _bound(joined, of_joined)
+
+    def of_blocks(blocks: Column) -> Column:
         def run(i: Column) -> Column:
             def step(done: Column, block: Column) -> Column:
                 more = F.concat(done["text"], block)
-                hit = F.when(F.array_contains(sizes, F.length(more)), F.element_at(names, F.md5(more)))
                 whole = (i == 1) & (done["n"] + 1 == F.size(blocks))
-                return F.when(F.length(done["text"]) > longest, done).otherwise(F.struct(
-                    more.alias("text"), (done["n"] + 1).alias("n"), F.when(whole | hit.isNull(), done["hits"]).otherwise(F.array_append(done["hits"], hit)).alias("hits")))
+                hits = F.when(~whole & F.length(more).isin(sizes), F.array_append(done["hits"], F.md5(more))).otherwise(done["hits"])
+                return F.when(F.length(done["text"]) > longest, done).otherwise(F.struct(more.alias("text"), (done["n"] + 1).alias("n"), hits.alias("hits")))
             none = F.struct(F.lit(" ").alias("text"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("hits"))
             return F.aggregate(F.slice(blocks, i, F.lit(longest)), none, step, lambda done: done["hits"])
-        first = F.filter(F.transform(blocks, lambda x, i: F.when(F.array_contains(starts, F.substring(x, 1, START)), i + 1)), lambda i: i.isNotNull())
+        first = F.filter(F.transform(blocks, lambda x, i: F.when(F.substring(x, 1, START).isin(starts), i + 1)), lambda i: i.isNotNull())
         return F.flatten(F.transform(first, run))
-    return F.element_at(F.transform(F.array(own), found), 1)
+
+    return _bound(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _line_form), of_lines)
 
 
 def scan(docs: DataFrame, key: str, text: str, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """One row a document: ``key``, ``digest`` of the whole text, ``licence`` (of the whole text, or null), and
     ``notices``: the licences of whole lines and runs of blocks, as sorted distinct names joined by a comma (empty if none).
 
-    The whole text meets the broadcast digests (as many rows as ``texts`` has) in a hash join; its parts are looked
-    up in the same table as a map, inside the row, so that nothing is shuffled and no row key is needed.
+    The known digests (as many rows as ``texts`` has) are broadcast.
     """
-    table = known(docs.sparkSession, texts).collect()
+    spark = docs.sparkSession
+    table = known(spark, texts).collect()
     if not table:
         return docs.select(F.col(key), digest(F.col(text)).alias("digest"), F.lit(None).cast("string").alias("licence"), F.lit("").alias("notices"))
-    names = F.map_from_arrays(F.lit([r["digest"] for r in table]), F.lit([r["licence"] for r in table]))
-    sizes = F.lit(sorted({r["size"] for r in table}))
-    # a block may be shorter than a start: the known text then goes on in the next
-    starts = F.lit(sorted({r["start"][:i] for r in table for i in range(1, len(r["start"]) + 1) if i == len(r["start"]) or r["start"][i - 1] == " "}))
-    given = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(F.split(given, "\n"), canonical)
-    near = lambda x: F.array_contains(starts, F.substring(x, 2, START)) & F.array_contains(sizes, F.length(x))
-    lines = F.transform(F.filter(lines, near), lambda x: F.element_at(names, F.md5(x)))
-    blocks = _blocks(given, names, sizes, max(r["size"] for r in table), starts)
-    parts = F.filter(F.concat(lines, blocks), lambda x: x.isNotNull())
-    whole = docs.select(F.col(key).alias("_key"), digest(F.col(text)).alias("digest"),
-                        F.array_join(F.array_sort(F.array_distinct(parts)), ",").alias("notices"))
-    small = docs.sparkSession.createDataFrame([(r["digest"], r["licence"]) for r in table], "digest string, licence string")
-    found = whole.join(F.broadcast(small), "digest", "left")
-    return found.select(F.col("_key").alias(key), "digest", "licence", "notices")
+    sizes = sorted({r["size"] for r in table})
+    # a line or block may be shorter than a start: the known text then goes on in the next
+    starts = sorted({r["start"][:i] for r in table for i in range(1, len(r["start"]) + 1) if i == len(r["start"]) or r["start"][i - 1] == " "})
+    rows = docs.select(F.col(key).alias("_key"), _digests(F.col(text), sizes, sizes[-1], starts).alias("d"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(rows.select("_key", "d.digest", "d.parts", "_row"))
+    small = F.broadcast(spark.createDataFrame([(r["digest"], r["licence"]) for r in table], "digest string, licence string"))
+    found = rows.select("_row", F.explode("parts").alias("digest")).join(small, "digest").groupBy("_row").agg(
+        F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
+    out = rows.select("_key", "digest", "_row").join(small, "digest", "left").join(found, "_row", "left")
+    return out.select(F.col("_key").alias(key), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def canonical_sql(text: str) -> str:
