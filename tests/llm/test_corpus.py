@@ -234,3 +234,23 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
         got = corpus_pipeline.run(spark, str(path)).collect()
         assert (n == "none") == (not got)
+
+
+def test_whole_licences_in_a_table(spark, tmp_path):
+    """The registered query and its SQL on a table with whole licence files and notices."""
+    import duckdb
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    docs += [(100_000 + i, text) for i, text in enumerate(licences.BODIES.values())]
+    docs += [(200_000 + i, text.upper().replace(" ", "  ")) for i, text in enumerate(licences.BODIES.values())]
+    docs += [(300_000, "Copyright (c) 2020 Them\n\n" + licences.KNOWN["MIT"][1]), (300_001, "x\nSPDX-License-Identifier: MIT\ny"), (300_002, None), (300_003, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES["op6_license_scan"](spark, str(tmp_path))
+    got = df.collect()
+    assert sum(r.licence is not None for r in got) == 2 * len(licences.BODIES) + 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    res = con.execute(queries.ORACLES["op6_license_scan"])
+    want = {r[0]: r for r in res.fetchall()}
+    at = [d[0] for d in res.description].index("licence")
+    assert all((want[r.doc_id][at] or None) == r.licence for r in got) and len(want) == len(got)

@@ -256,6 +256,38 @@ def test_documents_without_repeated_lines(spark):
     assert line_dedup.Lines(rows.limit(0), "doc_id", "text").documents().count() == 0
 
 
+def test_lines_of_a_table_with_near_copies(spark, tmp_path):
+    """The registered query and its SQL on a table into which lines with one changed word are planted."""
+    import duckdb
+
+    from demandlens.llm import queries
+    from tests.oracle_check import compare
+
+    draw = random.Random(4)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    lines = [x for _, t in docs for x in t.split("\n") if 40 < len(x) < 400][:60]
+    planted = 0
+    for i, line in enumerate(lines):
+        w = line.split(" ")
+        at = draw.randrange(len(w))
+        if len(w[at]) > 12:
+            continue
+        w[at] = draw.choice(["changed", "other", "ab"])
+        planted += 1
+        docs.append((100_000 + i, " ".join(w)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES["op7_line_dedup"](spark, str(tmp_path))
+    got = df.collect()
+    by = {(r.doc_id, r.line): r for r in got}
+    caught = sum(by[k, 0].class_doc_id < 100_000 for k, _ in docs if k >= 100_000)
+    assert planted > 40 and caught >= 0.95 * planted
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    res = con.execute(queries.ORACLES["op7_line_dedup"])
+    assert compare([tuple(r) for r in got], df.columns, res.fetchall(), [d[0] for d in res.description]) is None
+
+
 def test_short_equal_lines(spark):
     long = "this line has well over twenty-five characters"
     docs = [(1, f"All rights reserved.\n\n{long}\nAll rights reserved."), (2, f" All rights reserved.\n{long}!\n \nAll rights reserved"),
