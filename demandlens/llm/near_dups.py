@@ -376,7 +376,10 @@ def _pairs(rows: DataFrame, similarity: float, best: bool) -> DataFrame:
     parts = ("nodes", "roots", "weights", "signs")
     first = chunks.select("bucket", F.col("chunk").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in parts])
     second = chunks.select("bucket", F.col("chunk").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in parts])
-    met = first.join(second, "bucket").where("ca <= cb").withColumn("one", F.col("ca") == F.col("cb"))
+    # each chunk lists the numbers of those it meets, so no join by bucket alone; the chunks themselves follow by number
+    sizes = rows.groupBy("bucket").agg((F.ceil(F.max("n") / CHUNK) - 1).alias("last"))
+    met = chunks.select("bucket", F.col("chunk").alias("ca")).join(sizes, "bucket").select("bucket", "ca", F.explode(F.sequence("ca", "last")).alias("cb"))
+    met = met.join(second, ["bucket", "cb"]).join(first, ["bucket", "ca"]).withColumn("one", F.col("ca") == F.col("cb"))
     met = met.select("bucket", "one", *[f"{c}_{side}" for side in "ab" for c in parts]).repartition(F.xxhash64("nodes_a", "nodes_b"))
     found = met.mapInArrow(_compared(similarity, best), "bucket long, a long, b long, share double")
     if best:  # of all chunks that a text has met in a bucket
