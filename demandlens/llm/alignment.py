@@ -48,8 +48,10 @@ PART = 16 << 20
 #: Bytes of units that are coded as one text.
 CODED = 1 << 16
 #: Links that are listed at a time; groups with more than ``LARGE`` first put equal ids together.
-LISTED = 1 << 21
+LISTED = 1 << 18
 LARGE = 256
+#: Units that are coded and aligned at a time.
+LEARNED = 1 << 15
 #: Bytes of remembered units that a task holds at most; beyond, it starts anew.
 REMEMBERED = 64 << 20
 #: Units whose texts are put together at a time.
@@ -232,10 +234,11 @@ class Units:
         at = pc.index_in(found, value_set=self.words)
         new = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
         at = at.fill_null(0).to_numpy().astype(np.int64)
-        if len(new):
+        for first in range(0, len(new), LEARNED):
+            some = new[first:first + LEARNED]
             known = len(self.words)
-            order = self.learn(found.take(pa.array(new)))
-            at[new[order]] = known + np.arange(len(new))
+            order = self.learn(found.take(pa.array(some)))
+            at[some[order]] = known + np.arange(len(some))
         return at
 
     def learn(self, new: pa.BinaryArray) -> np.ndarray:
