@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.derive import date_ordinal
+from ..functions.derive import date_ordinal, exp_demand, log_demand
+from ..operators.filters import drop_missing
 from ..session import cut_lineage
 from ..sources.demand import DATE, DEMAND, HOLIDAY, PRODUCT
 from . import evaluate as ev
@@ -84,7 +85,7 @@ def _cutoffs(daily: DataFrame, folds: int, horizon: int) -> DataFrame:
 def trend_pairs(x: DataFrame, folds: int) -> DataFrame:
     """M1: (product, fold, actual, fitted, la, lf) of the tested days."""
     cuts = x.groupBy(P).agg(F.array(*[F.percentile(F.when(F.col("seg") <= folds - k, F.col(Y)), 0.99) for k in range(1, folds + 1)]).alias("_cuts"))
-    x = x.join(cuts, P).withColumns({"x": -F.datediff("_last", D).cast("double"), "ly": F.log1p(Y)})
+    x = x.join(cuts, P).withColumns({"x": -F.datediff("_last", D).cast("double"), "ly": log_demand(Y)})
     low = F.array_min("_cuts")
     common = gram(x.where((F.col("seg") < folds) & (F.col(Y) < low)), [P, "seg"], ["x", "ly"])
     some = x.where((F.col("seg") < folds) & (F.col(Y) >= low)).select(P, "x", "ly", Y, "_cuts", F.explode(F.sequence(F.lit(1), F.lit(folds) - F.col("seg"))).alias("fold"))
@@ -96,7 +97,7 @@ def trend_pairs(x: DataFrame, folds: int) -> DataFrame:
     slope = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).otherwise(0.0)
     coef = sums.where("n > 0").select(P, "fold", slope.alias("slope"), (F.col("sy") / F.col("n")).alias("ybar"), (F.col("sx") / F.col("n")).alias("xbar"))
     lf = F.col("ybar") + F.col("slope") * (F.col("x") - F.col("xbar"))
-    return x.where("fold IS NOT NULL").join(coef, [P, "fold"]).select(P, "fold", F.col(Y).alias("actual"), F.expm1(lf).alias("fitted"), F.col("ly").alias("la"), lf.alias("lf"))
+    return x.where("fold IS NOT NULL").join(coef, [P, "fold"]).select(P, "fold", F.col(Y).alias("actual"), exp_demand(lf).alias("fitted"), F.col("ly").alias("la"), lf.alias("lf"))
 
 
 def ridge_rows(x: DataFrame) -> DataFrame:
@@ -130,11 +131,11 @@ def recursive_pairs(x: DataFrame, folds: int, horizon: int) -> DataFrame:
     d = recursive_rows(x)
     coef = rc.solve(prefix_grams(gram(d.where(F.col("seg") < folds), [P, "seg"], rc.FEATURES + ["ly"]), [P], folds), [P, "fold"])
     start = as_of(d, folds, ["hist"]).join(coef, [P, "fold"]).join(_cutoffs(x, folds, horizon), [P, "fold"]).withColumnRenamed("cutoff", "last_date")
-    fut = rc.rollout(start, horizon, lambda h, hist: F.expm1(rc.linear("beta", rc.step_features(F.date_add("last_date", h), hist))))
+    fut = rc.rollout(start, horizon, lambda h, hist: exp_demand(rc.linear("beta", rc.step_features(F.date_add("last_date", h), hist))))
     w7 = by_product().rowsBetween(-6, 0)
     real = x.withColumn("actual", F.when(F.count(Y).over(w7) == 7, F.avg(Y).over(w7))).where("fold IS NOT NULL AND actual IS NOT NULL")
     pairs = real.select(P, "fold", D, "actual").join(fut.select(P, "fold", D, F.col("value").alias("fitted")), [P, "fold", D])
-    return pairs.withColumns({"la": F.log1p("actual"), "lf": F.log1p(F.greatest("fitted", F.lit(0.0)))})
+    return pairs.withColumns({"la": log_demand("actual"), "lf": log_demand(F.greatest("fitted", F.lit(0.0)))})
 
 
 def lookback_rows(x: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def seasonal_rows(df: DataFrame, folds: int, horizon: int) -> tuple[DataFrame, D
     the days up to the oldest cut-off."""
     base = cut_lineage(with_intervals(daily_features(df), folds, horizon)).withColumnRenamed(D, "ds").withColumnRenamed(Y, "y")
     flags = cut_lineage(sn.holiday_flags(base.withColumnRenamed("ds", D)))
-    sound = base.drop(HOLIDAY).na.drop(subset=["y", *REGRESSORS]).where("y > 0")
+    sound = drop_missing(base.drop(HOLIDAY), ["y", *REGRESSORS]).where("y > 0")
     old = sound.where("seg = 0").groupBy(P).agg(F.percentile("y", [0.25, 0.75]).alias("_q"))
     low, high = F.col("_q")[0] - 1.5 * (F.col("_q")[1] - F.col("_q")[0]), F.col("_q")[1] + 1.5 * (F.col("_q")[1] - F.col("_q")[0])
     clean = sound.join(old, P).where(F.col("y").between(low, high)).drop("_q")

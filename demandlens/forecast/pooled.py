@@ -23,6 +23,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.derive import exp_demand
 from ..session import cut_lineage
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
@@ -66,7 +67,7 @@ def boosted_forecast(df: DataFrame, horizon: int = 30, max_iter: int = 100, step
 def boosted_rollout(train: DataFrame, model: PipelineModel, horizon: int = 30) -> DataFrame:
     """Fitted rows of the training frame and the recursion from each product's last seven values."""
     fitted = model.transform(train).select(P, D, F.lit("fitted").alias("kind"),
-                                             F.expm1("prediction").alias("value"))
+                                             exp_demand("prediction").alias("value"))
     w = Window.partitionBy(P).orderBy(F.desc(D))
     state = (train.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 7).groupBy(P)
              .agg(F.max(D).alias("last_date"), *[F.first(c).alias(c) for c in PRODUCT_FEATURES],
@@ -77,7 +78,7 @@ def boosted_rollout(train: DataFrame, model: PipelineModel, horizon: int = 30) -
         feats = step_features(day, F.col("hist"), with_x=False)
         step_df = state.select("*", *[f.alias(n) for f, n in zip(feats, BOOST_FEATURES, strict=True)])
         pred = model.transform(step_df)
-        p = F.expm1("prediction")
+        p = exp_demand("prediction")
         state = pred.select(P, "last_date", *PRODUCT_FEATURES, F.slice(F.concat("hist", F.array(p)), -7, 7).alias("hist"),
                             F.concat("out", F.array(p)).alias("out"))
         if h % CHECKPOINT_EVERY == 0 and h < horizon:
@@ -93,7 +94,7 @@ def boosted_metrics(df: DataFrame, max_iter: int = 100, step: float = 0.1, depth
     model = boosted_model(train, max_iter, step, depth)
     pairs = model.transform(train).select(P, F.col("smoothed").alias("actual"), "ly",
                                             F.col("prediction").alias("pl"))
-    return ev.forecast_metrics(pairs.withColumn("fitted", F.expm1("pl")), "actual", "fitted", "ly", "pl")
+    return ev.forecast_metrics(pairs.withColumn("fitted", exp_demand("pl")), "actual", "fitted", "ly", "pl")
 
 
 # ------------------------------------------------------------------ M5

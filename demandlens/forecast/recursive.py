@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.derive import date_ordinal
-from ..operators.filters import below_quantile
+from ..functions.derive import date_ordinal, day_of_week, exp_demand, is_weekend, log_demand
+from ..operators.filters import below_quantile, drop_missing
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
 from .gram import as_matrix, gram, lstsq_from_gram, solve_table
@@ -43,12 +43,12 @@ def smoothed_features(daily: DataFrame, q: float | None = 0.95, with_x: bool = T
     d = d.withColumn("smoothed", F.when(F.count(Y).over(w7) == 7, F.avg(Y).over(w7))).where(F.col("smoothed").isNotNull())
     # second pass over the rows that survived (positions shift, Q14)
     d = d.withColumns({
-        "dow": F.weekday(D).cast("double"), "month": F.month(D).cast("double"),
-        "weekend": (F.weekday(D) >= 5).cast("double"),
+        "dow": day_of_week(D).cast("double"), "month": F.month(D).cast("double"),
+        "weekend": is_weekend(D).cast("double"),
         "lag1": F.lag("smoothed", 1).over(by_product()), "lag7": F.lag("smoothed", 7).over(by_product()),
         "mean7": F.when(F.count("smoothed").over(w7) == 7, F.avg("smoothed").over(w7)),
-    }).na.drop(subset=["lag1", "lag7", "mean7"])
-    d = d.withColumn("ly", F.log1p("smoothed"))
+    })
+    d = drop_missing(d, ["lag1", "lag7", "mean7"]).withColumn("ly", log_demand("smoothed"))
     if with_x:
         d = d.withColumn("x", (date_ordinal(D) - ORDINAL_SHIFT).cast("double"))
     return d
@@ -110,7 +110,7 @@ def step_features(day: Column, hist: Column, with_x: bool = True) -> list[Column
     lag1 = F.element_at(hist, -1)
     lag7 = F.when(F.size(hist) >= 7, F.element_at(hist, 1)).otherwise(lag1)
     mean7 = F.aggregate(hist, F.lit(0.0), lambda a, v: a + v) / F.size(hist)
-    cal = [F.weekday(day).cast("double"), F.month(day).cast("double"), (F.weekday(day) >= 5).cast("double")]
+    cal = [day_of_week(day).cast("double"), F.month(day).cast("double"), is_weekend(day).cast("double")]
     x = [(date_ordinal_col(day) - ORDINAL_SHIFT).cast("double")] if with_x else []
     return x + cal + [lag1, lag7, mean7]
 
@@ -126,7 +126,7 @@ def recursive_forecast(df: DataFrame, horizon: int = 30, q: float = 0.95) -> Dat
     d = smoothed_features(daily, q)
     coef = fit(d)
     fitted = d.join(coef, P).select(P, D, F.lit("fitted").alias("kind"),
-                                    F.expm1(linear("beta", [F.col(c) for c in FEATURES])).alias("value"))
+                                    exp_demand(linear("beta", [F.col(c) for c in FEATURES])).alias("value"))
     ahead = future(_listed(d, coef), horizon).drop("status")
     return ev.with_status(fitted.unionByName(ahead), daily, MIN_DAYS)
 
@@ -149,7 +149,7 @@ def future(coefs: DataFrame, horizon: int = 30) -> DataFrame:
     state = coefs.where("status = 'ok'").select(P, F.col("through").alias("last_date"), F.col("values")["beta"].alias("beta"),
                                                 F.col("values")["last_smoothed"].alias("hist"))
     fut = rollout(state, horizon,
-                  lambda h, hist: F.expm1(linear("beta", step_features(F.date_add("last_date", h), hist))))
+                  lambda h, hist: exp_demand(linear("beta", step_features(F.date_add("last_date", h), hist))))
     out = fut.select(P, D, F.lit("forecast").alias("kind"), "value", F.lit("ok").alias("status"))
     return out.unionByName(coefs.where("status <> 'ok'").select(P, F.lit("none").alias("kind"), "status"), allowMissingColumns=True)
 
@@ -160,4 +160,4 @@ def recursive_metrics(df: DataFrame, q: float = 0.95) -> DataFrame:
     coef = fit(d)
     pairs = d.join(coef, P).select(P, F.col("smoothed").alias("actual"), "ly",
                                    linear("beta", [F.col(c) for c in FEATURES]).alias("pl"))
-    return ev.forecast_metrics(pairs.withColumn("fitted", F.expm1("pl")), "actual", "fitted", "ly", "pl")
+    return ev.forecast_metrics(pairs.withColumn("fitted", exp_demand("pl")), "actual", "fitted", "ly", "pl")

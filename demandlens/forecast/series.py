@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggs import dmean
-from ..functions.derive import date_ordinal
+from ..functions.derive import holiday_int
 from ..session import cut_lineage
 from ..sources.demand import DATE, DEMAND, DISCOUNT, EFFECT, HOLIDAY, PRICE, PRODUCT, STOCK
 
@@ -55,7 +55,7 @@ def daily_features(df: DataFrame) -> DataFrame:
 
     A table may lack the holiday flag or some regressors (S3): these are 0
     everywhere, which a standardised, penalised regression leaves without effect."""
-    holiday = F.max(HOLIDAY).cast("int") if HOLIDAY in df.columns else F.lit(0)
+    holiday = holiday_int(F.max(HOLIDAY)) if HOLIDAY in df.columns else F.lit(0)
     return df.groupBy(P, D).agg(
         F.sum(Y).cast("double").alias(Y), holiday.alias(HOLIDAY),
         *[(dmean(c) if c in df.columns else F.lit(0.0)).alias(c) for c in REGRESSORS])

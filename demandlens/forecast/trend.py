@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.derive import date_ordinal
+from ..functions.derive import date_ordinal, exp_demand, log_demand
 from ..operators.filters import below_quantile
 from ..sources.demand import DATE, DEMAND, PRODUCT
 from . import evaluate as ev
@@ -22,7 +22,7 @@ MIN_DAYS = 2
 
 
 def _fit(daily: DataFrame, q: float) -> tuple[DataFrame, DataFrame]:
-    d = below_quantile(daily, q).withColumn("x", date_ordinal(D)).withColumn("ly", F.log1p(Y))
+    d = below_quantile(daily, q).withColumn("x", date_ordinal(D)).withColumn("ly", log_demand(Y))
     coef = d.groupBy(P).agg(F.regr_slope("ly", "x").alias("slope"), F.avg("ly").alias("ybar"),
                             F.avg("x").alias("xbar"), F.max(D).alias("last_date"))
     return d, coef
@@ -48,7 +48,7 @@ def trend_forecast(df: DataFrame, horizon: int = 30, q: float = 0.99) -> DataFra
     daily = daily_checkpoint(df)
     d, coef = _fit(daily, q)
     fitted = d.join(coef, P).select(P, D, F.lit("fitted").alias("kind"),
-                                    F.expm1(_predict_log(F.col("x"))).alias("value"))
+                                    exp_demand(_predict_log(F.col("x"))).alias("value"))
     ahead = future(_listed(coef), horizon).drop("status")
     return ev.with_status(fitted.unionByName(ahead), daily, MIN_DAYS)
 
@@ -70,7 +70,7 @@ def future(coefs: DataFrame, horizon: int = 30) -> DataFrame:
     numbers = [F.col("values")[c][0].alias(c) for c in ("slope", "ybar", "xbar")]
     fut = coefs.where("status = 'ok'").select(P, *numbers, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "through")
     out = fut.withColumn(D, F.date_add("through", F.col("h"))).select(
-        P, D, F.lit("forecast").alias("kind"), F.expm1(_predict_log(date_ordinal(D))).alias("value"), F.lit("ok").alias("status"))
+        P, D, F.lit("forecast").alias("kind"), exp_demand(_predict_log(date_ordinal(D))).alias("value"), F.lit("ok").alias("status"))
     return out.unionByName(coefs.where("status <> 'ok'").select(P, F.lit("none").alias("kind"), "status"), allowMissingColumns=True)
 
 
@@ -79,7 +79,7 @@ def trend_pairs(df: DataFrame, q: float = 0.99) -> DataFrame:
     d, coef = _fit(daily_checkpoint(df), q)
     pairs = d.join(coef, P).select(P, D, F.col(Y).alias("actual"), F.col("ly"),
                                    _predict_log(F.col("x")).alias("pl"))
-    return pairs.withColumn("fitted", F.expm1("pl"))
+    return pairs.withColumn("fitted", exp_demand("pl"))
 
 
 def trend_metrics(df: DataFrame, q: float = 0.99) -> DataFrame:

@@ -34,8 +34,8 @@ def with_calendar_parts(df: DataFrame, date: str = DATE) -> DataFrame:
 
 
 # P2 / P17 ---------------------------------------------------------------
-def holiday_int(col: str = HOLIDAY) -> Column:
-    return F.col(col).cast("int")
+def holiday_int(col: str | Column = HOLIDAY) -> Column:
+    return (F.col(col) if isinstance(col, str) else col).cast("int")
 
 
 def holiday_label(col: str = HOLIDAY) -> Column:
@@ -95,13 +95,13 @@ def date_ordinal(date: str = DATE) -> Column:
     return F.unix_date(F.col(date)) + F.lit(ORDINAL_EPOCH)
 
 
-def day_of_week(date: str = DATE) -> Column:
+def day_of_week(date: str | Column = DATE) -> Column:
     """Monday = 0 … Sunday = 6."""
-    return F.weekday(F.col(date))
+    return F.weekday(date)
 
 
-def is_weekend(date: str = DATE) -> Column:
-    return (F.weekday(F.col(date)) >= 5).cast("int")
+def is_weekend(date: str | Column = DATE) -> Column:
+    return (F.weekday(date) >= 5).cast("int")
 
 
 def log_demand(col: str | Column = DEMAND) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import bins
-from ...functions.aggs import dmean, dsum, r6, std
-from ...functions.derive import HOLIDAY_LABELS, month_label, revenue
+from ...functions.aggs import bround2, dmean, dsum, r6, std
+from ...functions.derive import holiday_label, month_label, revenue
 from ...functions.quantiles import exact_quantiles
 from ...session import cut_lineage
 from ...sources.demand import (COMPETITOR, DATE, DEMAND, DISCOUNT, EFFECT, HOLIDAY, PRICE, PRODUCT)
@@ -53,8 +53,7 @@ def box(df: DataFrame, key: str, y: str = DEMAND) -> DataFrame:
 def holiday_distribution(df: DataFrame, filters: FilterParams | None = None) -> DataFrame:
     """A3: Demand box (quartiles, whisker range) and mean per holiday flag."""
     out = box(prepare(df, filters).withColumn("holiday", F.col(HOLIDAY).cast("bigint")), "holiday")
-    labels = F.element_at(F.array(*[F.lit(s) for s in HOLIDAY_LABELS]), F.col("holiday").cast("int") + 1)
-    return out.withColumn("status", labels).orderBy("holiday")
+    return out.withColumn("status", holiday_label("holiday")).orderBy("holiday")
 
 
 def top_products(df: DataFrame, filters: FilterParams | None = None, n: int = 10) -> DataFrame:
@@ -64,7 +63,7 @@ def top_products(df: DataFrame, filters: FilterParams | None = None, n: int = 10
     d = prepare(df, filters)
     agg = d.groupBy(PRODUCT).agg(
         dsum(DEMAND).alias("demand"),
-        F.bround(F.sum(revenue()), 2).cast("double").alias("revenue"),
+        bround2(F.sum(revenue())).cast("double").alias("revenue"),
         r6(dmean(PRICE)).alias("avg_price"))
     return agg.orderBy(F.desc("demand"), F.asc(PRODUCT)).limit(n)
 

@@ -9,7 +9,7 @@ from ...functions import bins
 from ...functions.aggs import dmean, dsum, r6
 from ...functions.derive import stock_turnover
 from ...sources.demand import DATE, DEMAND, PRICE, PRODUCT, STOCK
-from ..filters import FilterParams
+from ..filters import FilterParams, bin_equals
 from .overview import prepare
 
 
@@ -59,4 +59,4 @@ def kpi_stock(df: DataFrame, filters: FilterParams | None = None) -> DataFrame:
     """Avg stock, avg turnover, number of critical-stock rows (Q11)."""
     d = prepare(df, filters)
     return d.agg(r6(dmean(STOCK)).alias("avg_stock"), r6(dmean(stock_turnover())).alias("avg_turnover"),
-                 F.count_if(bins.stock_category() == 1).alias("critical_rows"))
+                 F.count_if(bin_equals(bins.stock_category(), 1)).alias("critical_rows"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.aggs import r6
-from ...functions.derive import month_label, week_start
+from ...functions.derive import holiday_int, month_label, week_start
 from ...sources.demand import CAMPAIGN, DATE, DEMAND, DISCOUNT, EFFECT, HOLIDAY, PRICE, PRODUCT, SEASON, STOCK
 from ...sources.rollup import MONTH
 from ..filters import FilterParams, where_campaigns, where_dates, where_products
@@ -90,5 +90,5 @@ def seasonal_campaign_rollup(states: DataFrame, filters: FilterParams | None = N
 
 def daily_features(states: DataFrame) -> DataFrame:
     """A36, over all rows (the model pages don't ask for positive demand)."""
-    return states.groupBy(PRODUCT, DATE).agg(_sum("demand").alias(DEMAND), F.max(HOLIDAY).cast("int").alias(HOLIDAY),
+    return states.groupBy(PRODUCT, DATE).agg(_sum("demand").alias(DEMAND), holiday_int(F.max(HOLIDAY)).alias(HOLIDAY),
                                              *[_mean(m).alias(c) for m, c in (("effect", EFFECT), ("price", PRICE), ("discount", DISCOUNT), ("stock", STOCK))])

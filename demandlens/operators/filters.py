@@ -95,8 +95,7 @@ def iqr_clean(daily: DataFrame, value: str = "y", product: str = PRODUCT,
     """drop rows with any null, keep value > 0, then keep
     Q1 − 1.5·IQR ≤ value ≤ Q3 + 1.5·IQR per product.  With ``report`` the
     per-product count of removed rows is returned instead."""
-    base = daily.na.drop()
-    base = base.where(F.col(value) > 0)
+    base = drop_missing(daily).where(F.col(value) > 0)
     w = Window.partitionBy(product)
     qs = F.percentile(F.col(value), [0.25, 0.75]).over(w)
     tagged = base.withColumn("_q", qs).withColumn("_iqr", F.col("_q")[1] - F.col("_q")[0])
@@ -133,6 +132,6 @@ def future_rows(forecast: DataFrame, history: DataFrame, date: str = "ds", produ
     return forecast.join(last, product).where(F.col(date) > F.col("_last")).drop("_last")
 
 
-def bin_equals(col: str, value) -> Column:
+def bin_equals(col: str | Column, value) -> Column:
     """rows of one bin / status."""
-    return F.col(col) == F.lit(value)
+    return (F.col(col) if isinstance(col, str) else col) == F.lit(value)

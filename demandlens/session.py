@@ -67,8 +67,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only when it is unset, a folder in
-    the session's warehouse is used, which all executors share as well.
+    The setting is read from the session.  Where it is unset, a folder in the session's
+    warehouse is used in local mode, where one machine runs everything; a cluster must name one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -76,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
