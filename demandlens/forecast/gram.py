@@ -75,6 +75,38 @@ def gram_blocks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Data
     return packed.select(*keys, "n", F.element_at(full, 1).alias("g"))
 
 
+def gram_lists(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """``(keys…, n, u)`` for designs that differ in width: ``col`` holds a row's whole design as a list (equally long within a
+    key), ``u`` the upper triangle of its Gram matrix, row by row (see :func:`from_upper`)."""
+    keys = list(keys)
+    data = df.select(*keys, col)
+    schema = T.StructType([*(data.schema[c] for c in keys), T.StructField("_n", T.LongType()), T.StructField("_u", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches):
+        for pdf in batches:
+            rows = []
+            for kv, grp in pdf.groupby(keys, sort=False, dropna=False):
+                z = np.stack(grp[col].to_numpy())
+                rows.append((*(kv if isinstance(kv, tuple) else (kv,)), len(grp), (z.T @ z)[np.triu_indices(z.shape[1])]))
+            yield pd.DataFrame(rows, columns=[*keys, "_n", "_u"])
+
+    parts = data.mapInPandas(partial, schema).select(*keys, "_n", F.posexplode("_u").alias("_i", "_x"))
+    sums = parts.groupBy(*keys, "_i").agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"))
+    packed = sums.groupBy(*keys).agg(F.max("_n").alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
+    return packed.select(*keys, "n", F.col("_s")["_x"].alias("u"))
+
+
+def solve_rows(table: DataFrame, fn: Callable[[dict], list[dict]], schema: T.StructType) -> DataFrame:
+    """Like :func:`solve_table` with any number of rows per key."""
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([x for r in pdf.to_dict("records") for x in fn(r)], columns=names)
+
+    return table.mapInPandas(run, schema)
+
+
 def solve_table(table: DataFrame, fn: Callable[[dict], dict], schema: T.StructType) -> DataFrame:
     """Apply ``fn`` to every row of a small per-key table (Gram matrices and
     their parameters) in Arrow batches; no shuffle, one output row per key."""
@@ -106,6 +138,33 @@ def as_matrix(g, k: int) -> np.ndarray:
     return np.asarray(g, dtype=float).reshape(k, k)
 
 
+def from_upper(u) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    u = np.asarray(u, dtype=float)
+    k = int(round((np.sqrt(8 * len(u) + 1) - 1) / 2))
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = u
+    return out + np.triu(out, 1).T
+
+
+def regress(g: np.ndarray, use: Sequence[int], target: int) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Coefficients, residual sum of squares and inverse matrix of the regression of a column on others, from their Gram
+    matrix; None if the columns are linearly dependent."""
+    use = list(use)
+    if not use:
+        return np.zeros(0), float(g[target, target]), np.zeros((0, 0))
+    a, b = g[np.ix_(use, use)], g[use, target]
+    scale = np.sqrt(np.maximum(np.diag(a), 0))
+    if not scale.all():
+        return None
+    values, vectors = np.linalg.eigh(a / np.outer(scale, scale))
+    if values[0] <= 1e-10 * values[-1]:
+        return None
+    inverse = (vectors / values) @ vectors.T / np.outer(scale, scale)
+    beta = inverse @ b
+    return beta, max(float(g[target, target] - 2 * beta @ b + beta @ a @ beta), 0.0), inverse
+
+
 def lstsq_from_gram(G: np.ndarray, feat: Sequence[int], target: int, ridge: float = 0.0,
                     intercept: int | None = 0) -> tuple[np.ndarray, float]:
     """Solve the normal equations restricted to the columns ``feat`` for the

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandlens.forecast import arima as ar
+from tests import arima_reference as ref
 
 
 def _frame(spark, series: dict[str, np.ndarray]):
@@ -77,12 +78,12 @@ def test_hannan_rissanen_recovers_ar1(spark):
     cands = ar.order_candidates(_frame(spark, {"ar1": ar1 + 50.0}))
     c = cands.where((F.col("p") == 1) & (F.col("d") == 0) & (F.col("q") == 0)).collect()[0]
     assert c.coef[1] == pytest.approx(0.6, abs=0.05)
-    assert ar.Fits(ar1 + 50.0).best()[2] == 0
+    assert ref.Fits(ar1 + 50.0).best()[2] == 0
 
 
 def test_candidates_share_one_sample():
     y = np.arange(200.0) % 7 + np.sin(np.arange(200.0) ** 2)
-    fits = ar.Fits(y)
+    fits = ref.Fits(y)
     first = fits.first
     assert first == ar.MAX_D + ar.long_ar_order(200) + ar.MAX_Q
     for d in range(3):
@@ -114,7 +115,7 @@ def test_every_product_gets_rows(spark):
 
 def test_forecast_continues_the_fitted_recursion():
     y = _sim(300, seed=3)[0] + 10
-    fits = ar.Fits(y)
+    fits = ref.Fits(y)
     _, _, d, _, coef = fits.best()
     fitted, ahead = fits.run(2)
     w = [y, np.diff(y), np.diff(y, 2)][d]
@@ -122,3 +123,39 @@ def test_forecast_continues_the_fitted_recursion():
     step = coef[0] + sum(coef[k] * w[-k] + coef[3 + k] * e[-k] for k in (1, 2, 3))
     assert ahead[0] == pytest.approx(step + [0, y[-1], 2 * y[-1] - y[-2]][d])
     assert np.isnan(fitted[:fits.first]).all() and np.isfinite(fitted[fits.first:]).all()
+
+
+SERIES = {"one": [3.0], "two": [1.0, 4.0], "three": [1.0, 2.0, 4.0], "four": [1.0, 2.0, 4.0, 3.0], "five": [1.0, 2.0, 1.0, 3.0, 2.0], "twelve": list(range(12)), "const": [5.0] * 60,
+          "line": [float(i) for i in range(60)], "week": [float(i % 7) for i in range(90)], "long": list(_sim(400)[0] + 20), "walk": list(_sim(400)[1] + 90),
+          "zeros": [float(i % 5 == 0) * (i % 13) for i in range(150)], "short": list(_sim(30, seed=2)[0] + 5)}
+
+
+def test_spark_equals_the_series_by_series_reference(spark):
+    series = {k: np.array(v, dtype=float) for k, v in SERIES.items()}
+    df = _frame(spark, series)
+    tests = {(r.Product_ID, r.series): r for r in ar.adf_test(df).collect()}
+    assert len(tests) == 2 * len(series)
+    for name, y in series.items():
+        for kind, v in (("level", y), ("difference", np.diff(y))):
+            want, got = ref.adf(v), tests[name, kind]
+            assert (got.status, got.used_lag, got.nobs, got.is_stationary) == (want["status"], want["used_lag"], want["nobs"], want["is_stationary"]), (name, kind)
+            if want["adf_statistic"] is not None:
+                assert got.adf_statistic == pytest.approx(want["adf_statistic"], rel=1e-6) and got.p_value == pytest.approx(want["p_value"], abs=1e-6)
+    found = {}
+    for r in ar.order_candidates(df.withColumn("Demand", F.col("Demand"))).collect():
+        found.setdefault(r.Product_ID, []).append(r)
+    orders = {r.Product_ID: r for r in ar.ar_order_search(df).collect()}
+    ahead = {}
+    for r in ar.arima_forecast(df, 30).collect():
+        ahead.setdefault((r.Product_ID, r.kind), []).append((r.Date, r.value))
+    for name, y in series.items():
+        fits = ref.Fits(y)
+        assert {(r.p, r.d, r.q) for r in found.get(name, [])} == {c[1:4] for c in fits.table}, name
+        aic = {c[1:4]: c[0] for c in fits.table}
+        assert all(r.aic == pytest.approx(aic[r.p, r.d, r.q], rel=1e-6, abs=1e-4) for r in found.get(name, []))
+        best = fits.best()
+        assert (orders[name].p, orders[name].d, orders[name].q) == best[1:4] and orders[name].status == ("ok" if fits.table else "fallback")
+        assert orders[name].coef == pytest.approx(best[4].tolist(), abs=1e-5)
+        fitted, future = fits.run(30)
+        assert [v for _, v in sorted(ahead[name, "forecast"])] == pytest.approx(future.tolist(), rel=1e-5, abs=1e-5), name
+        assert [v for _, v in sorted(ahead.get((name, "fitted"), []))] == pytest.approx(fitted[~np.isnan(fitted)].tolist(), rel=1e-5, abs=1e-5), name
