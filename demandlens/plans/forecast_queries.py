@@ -146,32 +146,36 @@ def q_recursive_features(df):
                     "dow", "month", "weekend", _r6("ly"))
 
 
-# ------------------------------------------------------------------ M6–M8 (rows-only; checked in tests)
+# ------------------------------------------------------------------ M6–M8
 from ..forecast import arima as ar  # noqa: E402
 
 
-@register("adf_test")
+@register("adf_test", sql.ADF, raw_oracle=True)
 def q_adf(df):
     """M6: ADF on each product's zero-filled series and on its difference."""
-    return ar.adf_test(df)
+    out = ar.adf_test(df)
+    return out.select(PRODUCT, "series", _r("adf_statistic", 4), *[_r6(c) for c in ("p_value", "crit_1", "crit_5", "crit_10")], "used_lag", "nobs", "is_stationary", "status")
 
 
-@register("ar_order_search")
+@register("ar_order_search", sql.ORDERS, raw_oracle=True)
 def q_order(df):
     """M7: chosen (p, d, q) per product by Hannan–Rissanen + AIC."""
-    return ar.ar_order_search(df).select(PRODUCT, "p", "d", "q", F.round("aic", 6).alias("aic"))
+    return ar.ar_order_search(df).select(PRODUCT, "p", "d", "q", _r("aic", 3))
 
 
-@register("arima_forecast")
+@register("arima_forecast", sql.ARIMA_FORECAST, raw_oracle=True)
 def q_arima_forecast(df):
     """M8: fitted values and 30 forecast days from the chosen order."""
-    return ar.arima_forecast(df, 30).select(PRODUCT, DATE, "kind", _r6("value"), "order")
+    return ar.arima_forecast(df, 30).select(PRODUCT, DATE, "kind", _r("value", 4), "order", "status")
 
 
-@register("arima_metrics")
+@register("arima_metrics", sql.PAIRS["arima"] + metrics_sql().replace("abs((actual - fitted) / actual)", "abs((actual - fitted) / nullif(actual, 0))").replace(
+    "FROM g", """, p, d, q, round(aic, 3) AS aic, zero_days, 'ok' AS status FROM g JOIN (
+  SELECT Product_ID, max(p) AS p, max(d) AS d, max(q) AS q, max(aic) AS aic, count(*) FILTER (WHERE actual = 0) AS zero_days FROM pairs GROUP BY 1) USING (Product_ID)"""), raw_oracle=True)
 def q_arima_metrics(df):
     """M10 + M11 for M8."""
-    return ev.grade_metrics(ev.round_metrics(ar.arima_metrics(df)))
+    m = ev.grade_metrics(ev.round_metrics(ar.arima_metrics(df)))
+    return m.select(*[_r("aic", 3) if c == "aic" else c for c in m.columns])
 
 
 # ------------------------------------------------------------------ M4, M5 (Spark ML, rows-only)

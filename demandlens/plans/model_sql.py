@@ -330,3 +330,107 @@ _SCORE = """, scored AS (SELECT Product_ID, fold, count(*) AS n, avg(actual) AS
 SELECT Product_ID, CAST(fold AS INTEGER) AS fold, n, round(mean, 6) AS mean, round(rmse, 6) AS rmse, round(rmse / mean * 100, 6) AS rmse_pct, round(mape, 6) AS mape,
        round(CASE WHEN sst > 0 THEN 1 - sse / sst END, 6) AS r2, '{model}' AS model FROM scored"""
 BACKTEST_SCORES = " UNION ALL ".join(f"SELECT * FROM ({text}{_SCORE.format(model=model)})" for model, text in BACKTEST.items())
+
+# ------------------------------------------------------------------ M6–M8
+_ADF_TOP, _AR_TOP = 32, 64  # the longest lags that the solves below provide for (series of up to about 2,900 days)
+FILLED = HEAD + """
+, span AS (SELECT Product_ID, min(Date) AS a, max(Date) AS b FROM daily GROUP BY 1)
+, cal AS (SELECT Product_ID, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS Date FROM span)
+, f AS (SELECT c.Product_ID, c.Date, coalesce(d.Demand, 0.0) AS y, row_number() OVER (PARTITION BY c.Product_ID ORDER BY c.Date) - 1 AS t, count(*) OVER (PARTITION BY c.Product_ID) AS n
+        FROM cal c LEFT JOIN daily d ON c.Product_ID = d.Product_ID AND c.Date = d.Date)"""
+
+
+def _padded(values: str, n: str, size: int) -> str:
+    """A list of ``size`` numbers: the first ``n`` of ``values``, then zeros."""
+    return f"list_concat({values}[1:{n}], list_transform(range({size} - {n}), lambda i: 0.0::DOUBLE))"
+
+
+def _filled_up(name: str, source: str, size: int) -> str:
+    """CTE: a matrix with 1 on the diagonal where a padded column has none, so that it is a pivot without effect."""
+    return f"{name} AS (SELECT k, i, j, CASE WHEN i = j AND v = 0 AND i < {size} THEN 1.0 ELSE v END AS v FROM {source})"
+
+
+_ADF_ALL = 2 + _ADF_TOP
+_CRIT = {"crit_1": [-3.43035, -6.5393, -16.786, -79.433], "crit_5": [-2.86154, -2.8903, -4.234, -40.04], "crit_10": [-2.56677, -1.5384, -2.809, 0.0]}
+_PHI = ("0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda i: pow(z, 2 * i + 1) / list_product(list_transform(range(0, i + 1), lambda m: (2 * m + 1)::DOUBLE))))")
+ADF = FILLED + f"""
+, x AS (SELECT Product_ID, 'level' AS series, t, y AS v, n FROM f
+        UNION ALL SELECT Product_ID, 'difference', t - 1, v, n - 1 FROM (SELECT Product_ID, t, n, y - lag(y) OVER (PARTITION BY Product_ID ORDER BY t) AS v FROM f) WHERE t > 0)
+, l AS (SELECT *, Product_ID || '|' || series AS k, CAST(least(floor(n / 2) - 2, ceil(12 * pow(n / 100, 0.25))) AS INTEGER) AS top, lag(v) OVER w - avg(v) OVER (PARTITION BY Product_ID, series) AS b,
+               v - lag(v) OVER w AS dy FROM x WINDOW w AS (PARTITION BY Product_ID, series ORDER BY t))
+, g AS (SELECT *, list_reverse(list(dy) FILTER (WHERE dy IS NOT NULL) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN {_ADF_TOP} PRECEDING AND 1 PRECEDING)) AS dys FROM l)
+, r1 AS (SELECT k, list_append(list_concat([1.0, b], {_padded('dys', 'top', _ADF_TOP)}), dy) AS x FROM g WHERE t > top)
+, {gram_rows('g1', 'r1', _ADF_ALL + 1, 'k')}
+, {_filled_up('p1', 'g1', _ADF_ALL)}
+, {eliminate('e1', 'p1', _ADF_ALL)}
+, c1 AS (SELECT k, max(top) AS top, count(*) FILTER (WHERE t > top) AS m FROM g GROUP BY k)
+, chosen AS (SELECT k, step - 2 AS lag FROM e1_e JOIN c1 USING (k) WHERE i = {_ADF_ALL} AND j = {_ADF_ALL} AND step BETWEEN 2 AND top + 2
+             QUALIFY row_number() OVER (PARTITION BY k ORDER BY m * (ln(2 * pi() * v / m) + 1) + 2 * step, step) = 1)
+, r2 AS (SELECT k, list_concat(list_concat([1.0], {_padded('dys', 'lag', _ADF_TOP)}), [b, dy]) AS x FROM g JOIN chosen USING (k) WHERE t > lag)
+, {gram_rows('g2', 'r2', _ADF_ALL + 1, 'k')}
+, {_filled_up('p2', 'g2', _ADF_ALL - 1)}
+, {eliminate('e2', 'p2', _ADF_ALL - 1)}
+, s AS (SELECT k, max(CASE WHEN i = {_ADF_ALL - 1} AND j = i THEN v END) AS vv, max(CASE WHEN i = {_ADF_ALL - 1} AND j = {_ADF_ALL} THEN v END) AS vy, max(CASE WHEN i = {_ADF_ALL} AND j = i THEN v END) AS yy
+        FROM e2 GROUP BY k)
+, c2 AS (SELECT k, lag, count(*) AS m FROM g JOIN chosen USING (k) WHERE t > lag GROUP BY k, lag)
+, tau AS (SELECT k, lag, m, vy / vv / sqrt((yy - vy * vy / vv) / (m - lag - 2) / vv) AS tau FROM s JOIN c2 USING (k))
+, pz AS (SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau * tau ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau END AS z FROM tau)
+, p AS (SELECT *, CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 OR z < -8 THEN 0.0 ELSE {_PHI} END AS p FROM pz)
+SELECT split_part(k, '|', 1) AS Product_ID, split_part(k, '|', 2) AS series, round(tau, 4) AS adf_statistic, round(p, 6) AS p_value,
+       {', '.join(f"round({c[0]} + {c[1]} / m + {c[2]} / pow(m, 2) + {c[3]} / pow(m, 3), 6) AS {n}" for n, c in _CRIT.items())},
+       CAST(lag AS INTEGER) AS used_lag, CAST(m AS INTEGER) AS nobs, p < 0.05 AS is_stationary, 'ok' AS status FROM p"""
+
+_INNER = 8  # columns 1, w1..w3, e1..e3 and the target
+
+
+def _steps(c: str, sign: str = "") -> str:
+    """Whether 1 - c1 z - c2 z² - c3 z³ has its roots outside the unit circle, by stepping down its reflection coefficients."""
+    one, two, three = (f"({sign}{c}[{i}])" for i in (1, 2, 3))
+    low = [f"(({a} + {three} * {b}) / (1 - {three} * {three}))" for a, b in ((one, two), (two, one))]
+    return f"(abs({three}) < 1 AND abs({low[1]}) < 1 AND abs({low[0]} / (1 - {low[1]})) < 1)"
+
+
+ARIMA = FILLED + f"""
+, sq AS (SELECT Product_ID, sum(y * y) AS yy FROM f GROUP BY 1)
+, l AS (SELECT *, lag(y, 1) OVER w AS y1, lag(y, 2) OVER w AS y2, CAST(least(greatest(floor(ln(n) * ln(n)), 6), greatest(floor((n - 1) / 3), 1)) AS INTEGER) AS m
+        FROM f WINDOW w AS (PARTITION BY Product_ID ORDER BY t))
+, wd AS (SELECT Product_ID, d, Product_ID || '|' || d AS k, Date, t, n, m, y, y1, y2, CASE WHEN t < d THEN 0.0 WHEN d = 0 THEN y WHEN d = 1 THEN y - y1 ELSE y - 2 * y1 + y2 END AS w
+         FROM l, (SELECT unnest([0, 1, 2]) AS d))
+, wl AS (SELECT *, list_reverse(list(w) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN {_AR_TOP} PRECEDING AND 1 PRECEDING)) AS back FROM wd)
+, r1 AS (SELECT k, list_append(list_concat([1.0], {_padded('back', 'm', _AR_TOP)}), w) AS x FROM wl WHERE t >= d + m)
+, {gram_rows('g1', 'r1', _AR_TOP + 2, 'k')}
+, {_filled_up('p1', 'g1', _AR_TOP + 1)}
+, {eliminate('e1', 'p1', _AR_TOP + 1)}
+, {solution('b1', 'e1', _AR_TOP + 1, _AR_TOP + 1)}
+, we AS (SELECT wl.* EXCLUDE (back), CASE WHEN t >= d + m THEN w - b[1] - list_dot_product(back[1:m], b[2:m + 1]) ELSE 0.0 END AS e FROM wl JOIN b1 USING (k))
+, lg AS (SELECT *, {', '.join(f'lag({c}, {i}) OVER q AS {c}{i}' for c in 'we' for i in (1, 2, 3))} FROM we WINDOW q AS (PARTITION BY k ORDER BY t))
+, r2 AS (SELECT k, [1.0, w1, w2, w3, e1, e2, e3, w] AS x FROM lg WHERE t >= 5 + m)
+, {gram_rows('g2', 'r2', _INNER, 'k')}
+, tries AS (SELECT g2.k || '|' || p || '|' || q AS k, i, j,
+                   CASE WHEN NOT (ui AND uj) THEN CASE WHEN i = j THEN 1.0 ELSE 0.0 END ELSE v END AS v
+            FROM (SELECT g2.*, p, q, i = 7 OR (i = 0 AND k LIKE '%|0') OR i BETWEEN 1 AND p OR i BETWEEN 4 AND 3 + q AS ui, j = 7 OR (j = 0 AND k LIKE '%|0') OR j BETWEEN 1 AND p OR j BETWEEN 4 AND 3 + q AS uj
+                  FROM g2, (SELECT unnest([0, 1, 2, 3]) AS p) a, (SELECT unnest([0, 1, 2, 3]) AS q) b) g2)
+, {eliminate('e2', 'tries', 7)}
+, {solution('b2', 'e2', 7, 7)}
+, cnt AS (SELECT k, count(*) AS n FROM r2 GROUP BY k)
+, cand AS (SELECT split_part(b2.k, '|', 1) AS Product_ID, CAST(split_part(b2.k, '|', 2) AS INTEGER) AS d, CAST(split_part(b2.k, '|', 3) AS INTEGER) AS p, CAST(split_part(b2.k, '|', 4) AS INTEGER) AS q,
+                  b AS coef, v AS ssr, n, n * (ln(2 * pi() * v / n) + 1) + 2 * (CAST(split_part(b2.k, '|', 3) AS INTEGER) + CAST(split_part(b2.k, '|', 4) AS INTEGER) + 1 + CASE WHEN split_part(b2.k, '|', 2) = '0' THEN 1 ELSE 0 END) AS aic
+           FROM b2 JOIN (SELECT k, v FROM e2 WHERE i = 7 AND j = 7) s USING (k) JOIN cnt ON cnt.k = split_part(b2.k, '|', 1) || '|' || split_part(b2.k, '|', 2))
+, best AS (SELECT cand.* FROM cand JOIN sq USING (Product_ID) WHERE ssr > 1e-11 * yy AND {_steps('coef[2:4]')} AND {_steps('coef[5:7]', '-')}
+           QUALIFY row_number() OVER (PARTITION BY Product_ID ORDER BY aic, p, d, q) = 1)
+, fit AS (SELECT lg.Product_ID, Date, y, p, lg.d, q, aic, coef[1] + list_dot_product(coef[2:7], [w1, w2, w3, e1, e2, e3]) + CASE lg.d WHEN 0 THEN 0 WHEN 1 THEN y1 ELSE 2 * y1 - y2 END AS fitted
+          FROM lg JOIN best ON lg.Product_ID = best.Product_ID AND lg.d = best.d WHERE t >= 5 + m)"""
+ORDERS = ARIMA + """
+SELECT Product_ID, p, d, q, round(aic, 3) AS aic FROM best"""
+ARIMA_FORECAST = ARIMA + """
+, fut AS (SELECT lg.Product_ID, Date AS last, p, lg.d, q, coef, [w2, w1, w] AS ws, [e2, e1, e] AS es, [y1, y] AS ys, 0 AS h, NULL::DOUBLE AS value
+          FROM lg JOIN best ON lg.Product_ID = best.Product_ID AND lg.d = best.d WHERE t = lg.n - 1
+          UNION ALL
+          SELECT Product_ID, last, p, d, q, coef, list_append(ws[2:], s), list_append(es[2:], 0.0), list_append(ys[2:], s + a), h, s + a
+          FROM (SELECT *, CASE d WHEN 0 THEN 0 WHEN 1 THEN ys[2] ELSE 2 * ys[2] - ys[1] END AS a
+                FROM (SELECT Product_ID, last, p, d, q, coef, ws, es, ys, h + 1 AS h,
+                             coef[1] + coef[2] * ws[3] + coef[3] * ws[2] + coef[4] * ws[1] + coef[5] * es[3] + coef[6] * es[2] + coef[7] * es[1] AS s FROM fut WHERE h < 30)))
+SELECT Product_ID, Date, 'fitted' AS kind, round(fitted, 4) AS value, p || ',' || d || ',' || q AS "order", 'ok' AS status FROM fit
+UNION ALL
+SELECT Product_ID, CAST(last + INTERVAL (h) DAY AS DATE), 'forecast', round(value, 4), p || ',' || d || ',' || q, 'ok' FROM fut WHERE h > 0"""
+PAIRS["arima"] = ARIMA + ", pairs AS (SELECT Product_ID, y AS actual, fitted, y AS ry, fitted AS rf, p, d, q, aic FROM fit)"
