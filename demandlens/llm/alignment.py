@@ -28,6 +28,7 @@ table gives an empty result; columns beyond key and text don't matter, whatever
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -105,6 +106,8 @@ class Tokenizers:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
+        # tasks are Spark's; threads of the tokenizer would only hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
