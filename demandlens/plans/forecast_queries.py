@@ -263,13 +263,13 @@ def q_compare(df):
     return _r6all(bt.compare_models(df))
 
 
-_RANKED = ("trend", "poly_ridge", "recursive_linear", "seasonal_regression")
+_RANKED = ("trend", "poly_ridge", "recursive_linear", "lookback", "arima", "seasonal_regression")
 
 
 def _ranking_sql() -> str:
     """M13 from each model's own pairs: scores side by side, then ranks."""
     pairs = {**sql.PAIRS, "trend": with_demand(M1_FIT + ", pairs AS (SELECT Product_ID, Demand AS actual, exp(pl) - 1 AS fitted, ly AS ry, pl AS rf FROM f)")}
-    scores = _METRICS_SQL[:_METRICS_SQL.index("SELECT Product_ID, n, round(mean")]
+    scores = _METRICS_SQL[:_METRICS_SQL.index("SELECT Product_ID, n, round(mean")].replace("(actual - fitted) / actual", "(actual - fitted) / nullif(actual, 0)")
     parts = [f"SELECT * FROM ({pairs[m]}{scores} SELECT Product_ID, '{m}' AS model, rmse, rmse_pct, mape, r2 FROM g)" for m in _RANKED]
     return ("SELECT Product_ID, model, round(rmse, 6) AS rmse, round(rmse_pct, 6) AS rmse_pct, round(mape, 6) AS mape, round(r2, 6) AS r2,"
             " CAST(row_number() OVER (PARTITION BY Product_ID ORDER BY rmse_pct NULLS LAST, model) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(parts) + ")")
