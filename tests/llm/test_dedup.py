@@ -208,7 +208,7 @@ def brute_stretch(docs, stretch, least):
 
 @pytest.mark.parametrize(("stretch", "wide"), [(16, 128), (16, 3), (5, 3), (2, 2)])
 def test_lines_with_one_changed_stretch_match_brute_force(spark, monkeypatch, stretch, wide):
-    monkeypatch.setattr(line_dedup, "WIDE", wide)
+    monkeypatch.setattr(line_dedup, "WIDE_STRETCH", wide)
     draw = random.Random(stretch * 100 + wide)
     words = ["alpha", "be", "gamma", "deltaé", "of", "the", "universe", "x" * 11, "y" * 17]
     base = [" ".join(draw.choice(words) for _ in range(draw.randrange(3, 12))) for _ in range(12)]
