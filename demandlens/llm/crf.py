@@ -12,7 +12,10 @@ of their ids) of at most ``DOC_LINES`` lines each and ``TRAIN_LINES`` in all, in
 
 Null or blank text: one empty line.  Blank lines of other texts don't count.  Repeated rows
 are scored each for itself, with equal scores.  Without labels of both kinds all scores are
-0.5.  Labels, language, source and id are no inputs of a score.
+0.5.  Of several labels of one document the worst counts; labels that are neither 0 nor 1, or
+have no key, are left out.  Very long texts are scored whole (they are only no examples).  An
+empty table gives an empty result; further columns are carried, and one with the name of the
+score gives way to it.  Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations

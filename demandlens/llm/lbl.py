@@ -23,7 +23,9 @@ training and one unknown word per shared class.
    the normaliser of each pair; tokens look theirs up.
 
 Null or blank text: one end.  Repeated rows are trained on and scored each for itself.
-Without training documents the model is uniform over what it knows.
+Without training documents the model is uniform over what it knows.  Very long texts make a
+block of their own.  An empty table gives an empty result; columns beyond key and text don't
+matter, whatever their names.
 """
 
 from __future__ import annotations

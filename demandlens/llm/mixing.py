@@ -16,8 +16,9 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 excess goes to the others by weight until none is above.
 
 Null text: no words.  Null is a source of its own.  Documents without words are listed, with
-nothing taken.  Repeated rows are documents of their own.  Draws depend on ``seed``, the
-source's name and the documents' ids, so reruns agree.
+nothing taken.  Repeated rows are documents of their own.  Very long texts fill many blocks.
+An empty table gives an empty mix; further columns are carried by ``texts``, whatever their
+names.  Draws depend on ``seed``, the source's name and the documents' ids, so reruns agree.
 """
 
 from __future__ import annotations

@@ -32,7 +32,9 @@ is ever gathered, and leaders and sizes are partial aggregates.
 
 Null, empty and blank texts are copies of each other.  Repeated rows are copies.  A null
 key comes after all others when a class takes its smallest key as its name.  Words are
-compared as they are written.
+compared as they are written.  Very long texts are compared whole.  An empty table gives an
+empty result; columns beyond key and text don't matter (and are carried by ``kept``),
+whatever their names.
 """
 
 from __future__ import annotations

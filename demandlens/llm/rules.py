@@ -12,7 +12,8 @@ hold a letter.
 
 Null text: as empty.  Empty texts have 0 everywhere and fail the rules on too few words.
 Repeated rows get a ledger row each.  Rules with a ratio compare products, so that nothing
-is divided by zero.
+is divided by zero.  Very long texts are measured whole.  An empty table gives an empty
+ledger; columns beyond key and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
