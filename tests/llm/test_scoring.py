@@ -68,6 +68,13 @@ def test_field_on_odd_rows(spark, odd):
     assert crf.fit(odd, "doc_id", "text", spark.createDataFrame([(1, 1), (2, None), (None, 0), (4, 1)], "doc_id long, quality int")) is None
 
 
+def test_repeated_labels_count_once(spark, odd):
+    kinds = "doc_id long, quality int"
+    twice = crf.fit(odd, "doc_id", "text", spark.createDataFrame([(7, 1), (7, 0), (7, 0), (8, 1), (8, 1)], kinds))
+    once = crf.fit(odd, "doc_id", "text", spark.createDataFrame([(7, 0), (8, 1)], kinds))
+    assert twice.weights == pytest.approx(once.weights) and twice.pairs == pytest.approx(once.pairs)
+
+
 def test_unlabelled_inputs_do_not_change_scores(spark):
     texts = [b"a line of words\nand one more", b"A!! B!! C!!"]
     field = crf.train(*crf.measures(texts)[::2], np.array([1, 0]), 20)
