@@ -150,4 +150,4 @@ def test_backtest_keys_restored(demand_small):
     out = bt.rolling_backtest(demand_small, 2, 30).select("Product_ID", "fold", "model").collect()
     assert {r.fold for r in out} <= {1, 2}
     assert all("|" not in r.Product_ID for r in out)
-    assert {r.model for r in out} == {"trend", "recursive_linear"}
+    assert {r.model for r in out} == {"trend", "poly_ridge", "recursive_linear", "lookback", "seasonal_regression"}
