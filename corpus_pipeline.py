@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each by one of the training-data operators.
 
 1. quality classifier: documents that it rejects go (scores below ``crf.ACCEPT``);
-2. line dedup: of each class of lines that are equal (of any length) or differ in one stretch of
-   a few words one stays, in its place; a document of which nothing is left goes;
+2. line dedup: of each class of equal (of any length) or nearly equal lines one stays, in its
+   place; a document of which nothing is left goes;
 3. near-dups: of each class of near-duplicate documents that with the smallest id stays;
 4. mixing: the words that the mix takes of each document, a row for each pass that takes some;
 5. packing: the token sequences of all that, with their ids.
@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat another, or differ from it in one stretch."""
-    return line_dedup.Lines(docs, "doc_id", "text", short=True, stretch=line_dedup.STRETCH).documents()
+    """Documents without the lines that repeat another, or differ from it in one edit."""
+    return line_dedup.Lines(docs, "doc_id", "text", short=True).documents()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
