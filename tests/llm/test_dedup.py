@@ -155,6 +155,34 @@ def test_banded_distance(spark, threshold):
         assert r.d == (d if d <= threshold else None)
 
 
+def test_banded_distance_of_a_changed_stretch(spark):
+    """As many errors as the registered query's stretch has characters."""
+    draw = random.Random(16)
+    pairs = [("", ""), ("a" * 17, ""), ("", "é" * 16)]
+    for _ in range(120):
+        a = "".join(draw.choice("abé😀 ") for _ in range(draw.randrange(110)))
+        pairs.append((a, changed(draw, a, draw.randrange(24), "abé😀")))
+    got = spark.createDataFrame(pairs, "a string, b string").withColumn("d", line_dedup.distance(F.col("a"), F.col("b"), line_dedup.STRETCH)).collect()
+    for r in got:
+        d = edits(r.a, r.b)
+        assert r.d == (d if d <= line_dedup.STRETCH else None)
+
+
+def test_registered_query_verifies_by_the_automaton(spark, tmp_path, monkeypatch):
+    from demandlens.llm import queries
+
+    base = "this line of text is longer than twenty-five characters and has one word that is changed"
+    docs = [(1, base), (2, base.replace("twenty-five", "forty")), (3, base.replace("text", "words").replace("one", "a").replace("is longer", "has more"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run, asked = line_dedup.distance, []
+    monkeypatch.setattr(line_dedup, "distance", lambda a, b, threshold: asked.append(threshold) or run(a, b, threshold))
+    got = {r.doc_id: r.class_doc_id for r in queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and set(asked) == {line_dedup.STRETCH}
+    monkeypatch.setattr(line_dedup, "distance", lambda a, b, threshold: F.lit(None).cast("int"))
+    got = {r.doc_id: r.class_doc_id for r in queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+
+
 def brute_lines(docs, threshold, least):
     own = [(k, i, x.strip(" \t\r\x0b\x0c")) for k, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
     own = [x for x in own if len(x[2]) >= least]
