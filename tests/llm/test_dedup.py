@@ -256,6 +256,30 @@ def test_lines_with_one_changed_stretch_match_brute_force(spark, monkeypatch, st
     assert line_dedup.Lines(rows.limit(0), "doc_id", "text", short=True, stretch=stretch).classes().count() == 0
 
 
+def test_wide_buckets_are_cut_without_a_row_for_each_length(spark, monkeypatch):
+    """Near copies of one line, of many lengths: the rows of the buckets stay a small multiple of the lines."""
+    draw = random.Random(11)
+    words = [f"word{draw.randrange(10**5)}" for _ in range(60)]
+    texts = []
+    for _ in range(200):
+        w = list(words)
+        for _ in range(2):
+            w[46 + draw.randrange(14)] = "z" * draw.randrange(1, 12)
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    made, run = [], line_dedup.Lines._shared
+
+    def counted(rows, many=False):
+        out = run(rows, many)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(line_dedup.Lines, "_shared", staticmethod(counted))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.class_texts) for r in line_dedup.Lines(rows, "doc_id", "text", short=True, stretch=16).classes().collect()}
+    assert got == brute_stretch(docs, 16, 25)
+    assert max(made) <= 4 * len(docs)
+
+
 def test_stretch_keys_meet(spark):
     """Any two lines with one changed stretch share a bucket, one of them in its own class."""
     draw, pairs = random.Random(9), []
