@@ -280,6 +280,29 @@ def test_wide_buckets_are_cut_without_a_row_for_each_length(spark, monkeypatch):
     assert max(made) <= 4 * len(docs)
 
 
+def test_few_pairs_of_near_copies(spark, monkeypatch):
+    """Copies of one line with changes in several places: few are paired, as few pairs differ in one stretch only."""
+    draw = random.Random(13)
+    words = [f"word{draw.randrange(10**5)}" for _ in range(60)]
+    texts = []
+    for _ in range(240):
+        w = list(words)
+        for _ in range(3):
+            w[30 + draw.randrange(30)] = "z" * draw.randrange(1, 12)
+        texts.append(" ".join(w))
+    docs, met, run = list(enumerate(texts)), [], line_dedup._together
+
+    def counted(*args):
+        out = run(*args)
+        met.append(out.count())
+        return out
+    monkeypatch.setattr(line_dedup, "_together", counted)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.class_texts) for r in line_dedup.Lines(rows, "doc_id", "text", short=True, stretch=16).classes().collect()}
+    assert got == brute_stretch(docs, 16, 25)
+    assert sum(met) <= 4 * len(docs)
+
+
 def test_stretch_keys_meet(spark):
     """Any two lines with one changed stretch share a bucket, one of them in its own class."""
     draw, pairs = random.Random(9), []
